@@ -105,8 +105,9 @@ def references(df: DataFrame, text_col: str = "text", lang_col: str | None = "la
     word. The table has at most 18,279 rows of at most 32 short words, so it may be broadcast at any input size.
     """
     m = _measured(df, text_col, lang_col)
-    classes = m.groupBy("_lang").agg(*[F.sum(F.col("_classes")[i]).alias(f"c{i}") for i in range(len(CLASSES))], F.sum(F.size("_words")).alias("n"))
+    classes = m.groupBy("_lang").agg(*[F.sum(F.col("_classes")[i]).alias(f"c{i}") for i in range(len(CLASSES))])
     words = m.select("_lang", F.explode("_words").alias("w")).groupBy("_lang", "w").count()
+    classes = classes.join(words.groupBy("_lang").agg(F.sum("count").alias("n")), "_lang", "left")
     words = words.filter(F.length("w") <= 24).groupBy("_lang", F.lower("w").alias("w")).agg(F.sum("count").alias("c"))
     # Two ranked steps, each cut to ``top_words`` before its shuffle: no task sees all words of a language.
     words = words.withColumn("salt", F.pmod(F.xxhash64("w"), F.lit(64)))
@@ -154,8 +155,9 @@ def quality_rules(
     solid = F.greatest(F.col("word_chars"), F.lit(1))
     classes = F.transform("_classes", lambda c: c / solid)
     n = F.size("_words")
-    low = F.transform("_words", lambda w: F.lower(w))
-    seen = let(low, lambda a: F.transform("_ref_words", lambda r: F.size(F.filter(a, lambda w: w == r)) / F.greatest(n, F.lit(1))))
+    # Places of the text's words among the reference's, 0 for none; then how many there are of each place.
+    places = F.array_remove(F.transform("_words", lambda w: F.array_position("_ref_words", F.lower(w))), 0)
+    seen = let(places, lambda a: F.transform("_ref_words", lambda r, k: (F.size(a) - F.size(F.array_remove(a, (k + 1).cast("long")))) / F.greatest(n, F.lit(1))))
     rest = lambda a: F.concat(a, F.array(F.greatest(F.lit(0.0), F.lit(1.0) - F.aggregate(a, F.lit(0.0), lambda s, x: s + x))))
     m = m.select(
         "*",
