@@ -36,7 +36,7 @@ def _keys(batch: pa.RecordBatch, min_chars: int):
                     mine.add(sha(key).digest()[:16])
         digests += mine
         docs += [doc] * len(mine)
-    pairs = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
+    pairs = np.frombuffer(b"".join(digests), ">u8").astype(np.uint64).reshape(-1, 2)
     return pairs[:, 0].copy(), pairs[:, 1].copy(), np.array(docs, np.int64)
 
 
@@ -56,18 +56,14 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     sent = rows.mapInArrow(sender(lambda b: _keys(b, min_chars), shards), SENT)
     suspects = written(repeats(sent), "line-repeats")
     held = suspects.groupBy("fp", "rest").agg(F.count("*").alias("n"), F.max("doc").alias("last")).filter(F.col("n") >= min_docs)
-    drops = suspects.join(held, ["fp", "rest"]).filter(F.col("doc") < F.col("last")).groupBy("doc").agg(F.collect_set(F.struct("fp", "rest")).alias("_drops"))
+    hexed = F.lower(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("fp", "rest")]))
+    drops = suspects.join(held, ["fp", "rest"]).filter(F.col("doc") < F.col("last")).groupBy("doc").agg(F.collect_set(hexed).alias("_drops"))
     texts = F.coalesce(F.col("_row")[text_col], F.lit(""))
     joined = boxed(base).withColumn("_key", F.col("_row")[id_col].cast("long")).join(drops.hint("shuffle_hash"), F.col("_key") == F.col("doc"), "left")
 
-    def little(hexed):  # eight bytes of a digest as the long that numpy reads them as
-        return F.conv(F.concat(*[F.substring(hexed, k, 2) for k in range(15, 0, -2)]), 16, -10).cast("long")
-
     def dropped(line):
         key = F.btrim(ascii_lower(line), F.lit(SPACES))
-        hexed = F.sha2(key, 256)
-        pair = F.struct(little(F.substring(hexed, 1, 16)).alias("fp"), little(F.substring(hexed, 17, 16)).alias("rest"))
-        return (F.length(key) >= min_chars) & F.array_contains(F.col("_drops"), pair)
+        return (F.length(line) >= min_chars) & F.array_contains(F.col("_drops"), F.substring(F.sha2(key, 256), 1, 32))
 
     lines = F.split(texts, "\n", -1)
     stay = F.when(F.col("_drops").isNotNull(), F.filter(lines, lambda x: ~dropped(x)))
