@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import mark_contaminated
+from .html_text import main_text
+from .lattice import lattice_scores
 from .line_dedup import dedup_lines
 from .packing import pack
+from .pii import KINDS, find_pii, written_out
 from .quality_rules import quality_rules
 
 
@@ -18,6 +21,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -38,4 +47,18 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_decontaminate, op5_packing, op6_quality_rules)}
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(F.filter("base_spans", lambda x: x["k"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]  # noqa: B023
+    return d.select("doc_id", *counts, F.sha2(written_out(F.col("base_spans")), 256).alias("base_sha256"), written_out(F.col("all_spans")).alias("spans"))
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_scores(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_decontaminate, op5_packing, op6_quality_rules, op8_pii, op9_html_text, op10_lattice)}
