@@ -12,6 +12,7 @@ from .lattice import lattice_scores
 from .line_dedup import dedup_lines
 from .packing import pack
 from .pii import KINDS, find_pii, written_out
+from .quality_model import quality_model
 from .quality_rules import quality_rules
 
 
@@ -27,6 +28,10 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -61,4 +66,4 @@ def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_scores(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_decontaminate, op5_packing, op6_quality_rules, op8_pii, op9_html_text, op10_lattice)}
+QUERIES = {f.__name__: f for f in (op1_quality_model, op2_line_dedup, op3_decontaminate, op5_packing, op6_quality_rules, op8_pii, op9_html_text, op10_lattice)}
