@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import SPACE_CLASS, SPACES, boxed, let, without, words_of
+from .common import SPACE_CLASS, SPACES, boxed, let, without, words_of, written
 
 #: Characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -101,14 +101,14 @@ def _measured(df: DataFrame, text_col: str, lang_col: str | None) -> DataFrame:
 def references(df: DataFrame, text_col: str = "text", lang_col: str | None = "lang", top_words: int = 32) -> DataFrame:
     """One row a language: shares of the character classes and its most common words with their shares.
 
-    Every text counts. Words are lower-cased as Spark does and at most 24 characters long; equal counts go by the
-    word. The table has at most 18,279 rows of at most 32 short words, so it may be broadcast at any input size.
+    Every text counts. Words are lower-cased as Spark does, at most 24 characters long and without commas; equal
+    counts go by the word. The table has at most 18,279 rows of at most 32 short words, so it may be broadcast at any input size.
     """
     m = _measured(df, text_col, lang_col)
     classes = m.groupBy("_lang").agg(*[F.sum(F.col("_classes")[i]).alias(f"c{i}") for i in range(len(CLASSES))])
-    words = m.select("_lang", F.explode("_words").alias("w")).groupBy("_lang", "w").count()
+    words = written(m.select("_lang", F.explode("_words").alias("w")).groupBy("_lang", "w").count(), "language-words")
     classes = classes.join(words.groupBy("_lang").agg(F.sum("count").alias("n")), "_lang", "left")
-    words = words.filter(F.length("w") <= 24).groupBy("_lang", F.lower("w").alias("w")).agg(F.sum("count").alias("c"))
+    words = words.filter((F.length("w") <= 24) & ~F.contains("w", F.lit(","))).groupBy("_lang", F.lower("w").alias("w")).agg(F.sum("count").alias("c"))
     # Two ranked steps, each cut to ``top_words`` before its shuffle: no task sees all words of a language.
     words = words.withColumn("salt", F.pmod(F.xxhash64("w"), F.lit(64)))
     for keys in (["_lang", "salt"], ["_lang"]):
@@ -156,8 +156,9 @@ def quality_rules(
     classes = F.transform("_classes", lambda c: c / solid)
     n = F.size("_words")
     # Places of the text's words among the reference's, 0 for none; then how many there are of each place.
-    places = F.array_remove(F.transform("_words", lambda w: F.array_position("_ref_words", F.lower(w))), 0)
-    seen = let(places, lambda a: F.transform("_ref_words", lambda r, k: (F.size(a) - F.size(F.array_remove(a, (k + 1).cast("long")))) / F.greatest(n, F.lit(1))))
+    listed = F.array_join("_ref_words", ",")
+    places = F.array_remove(let(listed, lambda x: F.transform("_words", lambda w: F.find_in_set(F.lower(w), x))), 0)
+    seen = let(places, lambda a: F.transform("_ref_words", lambda r, k: (F.size(a) - F.size(F.array_remove(a, k + 1))) / F.greatest(n, F.lit(1))))
     rest = lambda a: F.concat(a, F.array(F.greatest(F.lit(0.0), F.lit(1.0) - F.aggregate(a, F.lit(0.0), lambda s, x: s + x))))
     m = m.select(
         "*",
