@@ -263,7 +263,7 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", se
                 hashes += mine
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hashes, pa.int64())], ["key", "tree"])
 
-    own = boxes.select("_key", F.col("_row")[url_col], F.col("_row")[html_col]).mapInArrow(listed, "key long, tree long").distinct()
+    own = boxes.select("_key", F.col("_row")[url_col].alias("u"), F.col("_row")[html_col].alias("h")).mapInArrow(listed, "key long, tree long").distinct()
     own = own.join(found, "tree").groupBy("key").agg(F.collect_list("tree").alias("_trees"))
     joined = boxes.join(own, F.col("_key") == F.col("key"), "left").select("_row.*", "_trees")
 

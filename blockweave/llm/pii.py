@@ -11,7 +11,6 @@ the base rules do not take. Base spans always stay.
 from __future__ import annotations
 
 import math
-from itertools import product
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -158,8 +157,8 @@ def reliabilities(counts: dict[tuple, int], rounds: int = 50) -> tuple[list, dic
 
 def fit(rows: list[tuple], chance: dict[tuple, float], rounds: int = 25) -> np.ndarray:
     """Weights of a logistic classifier by Newton's method. rows: (kind, votes, size, luhn, count)."""
-    x = np.array([_encoded(k, v, size, luhn) for k, v, size, luhn, _ in rows], float).reshape(len(rows), -1)
-    w = np.zeros(x.shape[1] if len(rows) else len(_encoded(0, (2,) * len(LABELERS), 0, 0)))
+    w = np.zeros(len(_encoded(0, (2,) * len(LABELERS), 0, 0)))
+    x = np.array([_encoded(k, v, size, luhn) for k, v, size, luhn, _ in rows], float).reshape(len(rows), len(w))
     y, n = np.array([chance[(r[0], r[1])] for r in rows]), np.array([r[4] for r in rows], float)
     n = n / max(1.0, n.sum()) * min(float(n.sum()), 1e4)
     for _ in range(rounds if len(rows) else 0):
@@ -215,6 +214,3 @@ def written_out(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
     names = F.array(*[F.lit(k) for k in KINDS])
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["k"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
-
-
-PATTERNS = len(list(product(range(3), repeat=len(LABELERS)))) * len(KINDS)

@@ -71,4 +71,10 @@ def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_scores(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_model, op2_line_dedup, op3_decontaminate, op4_jaccard_join, op5_packing, op6_quality_rules, op8_pii, op9_html_text, op10_lattice)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_model, op2_line_dedup, op3_decontaminate, op4_jaccard_join, op5_packing, op6_quality_rules, op8_pii, op9_html_text, op10_lattice, pipeline)}
