@@ -6,7 +6,8 @@ document chooses its L: a longer prefix costs more rows, but a partner must shar
 lists of its prefix tokens decide. Copies of one set are one node from the start. Tokens of one document only are
 dropped by two Bloom filters (see sightings). Pairs are not made within a token's group as such: first every member is
 compared with the group's most connected one, and what is linked by then is one component; then only pairs of
-different components that pass the size, place and multi-match tests are compared, on the whole texts.
+different components that pass the size, place and multi-match tests, and whose counts of tokens by bin allow the
+overlap, are compared, on the whole texts.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ SKETCH, SEGMENTS = 1 << 20, 16
 MOST_MATCHES, COMPARE_COST = 8, 40.0
 #: Bytes of text for a shard of the filters, and pairs that are compared at once.
 SHARD_BYTES, CELL_PAIRS = 64 << 20, 2000
+#: Members of a token in a block, pairs looked at at once, and bins of a set's signature.
+BLOCK_DOCS, PAIRS_AT_ONCE, BINS = 128, 500_000, 256
 #: Requests for texts that are sent to every worker (about 16 MB); beyond, the texts are shuffled.
 SENT_ROWS = 200_000
 
@@ -119,19 +122,19 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).cast(pa.binary()).to_pylist(), k), strict=True):
                 if doc is not None and len(s):
                     tokens, matches = prefix(s, counts, num, den, common)
-                    out.append((doc, len(s), *set_digest(s), matches, tokens.tobytes()))
+                    out.append((doc, len(s), *set_digest(s), matches, tokens.tobytes(), signature(s).tobytes()))
                 else:
-                    out.append((doc, len(s), 0, 0, 0, b""))
-            cols = list(zip(*out, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["doc", "n", "hi", "lo", "matches", "tokens"])
+                    out.append((doc, len(s), 0, 0, 0, b"", b""))
+            cols = list(zip(*out, strict=True)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["doc", "n", "hi", "lo", "matches", "tokens", "sig"])
 
-    w = written(rows.mapInArrow(sets, "doc long, n long, hi long, lo long, matches int, tokens binary"), "shingle-prefixes")
+    w = written(rows.mapInArrow(sets, "doc long, n long, hi long, lo long, matches int, tokens binary, sig binary"), "shingle-prefixes")
     some = w.filter("doc is not null and n > 0")
     first = some.groupBy("hi", "lo").agg(F.min("doc").alias("node"))
     nodes = some.join(first, ["hi", "lo"])
-    only = nodes.filter("doc = node").dropDuplicates(["doc", "hi", "lo"]).select("doc", "n", "matches", "tokens")
+    only = nodes.filter("doc = node").dropDuplicates(["doc", "hi", "lo"]).select("doc", "n", "matches", "tokens", "sig")
     shards = pieces_for(nbytes, SHARD_BYTES)
-    found = written(repeats(only.mapInArrow(sender(_entries, shards), SENT)), "shingle-tokens")
+    found = written(repeats(only.drop("sig").mapInArrow(sender(_entries, shards), SENT)), "shingle-tokens")
     # rest holds the size of the set, the multi-match and the place in the prefix.
     p = found.select("fp", "doc", F.col("rest").bitwiseAND(0xFFFFFF).alias("at"), F.shiftright("rest", 24).bitwiseAND(0xFF).alias("m"), F.shiftright("rest", 32).alias("n"))
 
@@ -148,27 +151,17 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     grouped = components(start)
 
     c = p.join(grouped.withColumnRenamed("node", "doc"), "doc", "left").withColumn("c", F.coalesce("component", "doc")).drop("component")
-    of_token = c.groupBy("fp", "c").count().groupBy("fp").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count("*").alias("kinds")).filter("kinds > 1")
-    c = written(c.join(of_token, "fp").drop("kinds"), "shingle-groups")
-    # The shorter set of a pair need only show a shorter prefix, for it lies under the longer one.
-    index = c.filter(F.col("at") < F.col("n") - _ceil(F.col("n") * 2 * num, num + den) + F.col("m"))
-    x = index.select("fp", "main", *[F.col(f).alias(f"x_{f}") for f in ("doc", "at", "m", "n", "c")])
-    y = c.select("fp", *[F.col(f).alias(f"y_{f}") for f in ("doc", "at", "m", "n", "c")])
-    longer = (F.col("y_n") > F.col("x_n")) | ((F.col("y_n") == F.col("x_n")) & (F.col("y_doc") > F.col("x_doc")))
-    overlap = _ceil((F.col("x_n") + F.col("y_n")) * num, num + den)
-    least = F.least("x_m", "y_m")
-    passes = (
-        longer
-        & (F.col("x_c") != F.col("y_c"))
-        & (den * F.col("x_n") >= num * F.col("y_n"))
-        & (F.col("x_at") < F.col("x_n") - overlap + least)
-        & (F.col("y_at") < F.col("y_n") - overlap + least)
-    )
-    others = c.filter("c != main").select("fp", *[F.col(f).alias(f"y_{f}") for f in ("doc", "at", "m", "n", "c")])
-    sides = [(x.filter("x_c != main").drop("main"), y), (x.filter("x_c = main").drop("main"), others)]
-    keep = ["x_doc", "y_doc", least.alias("least")]
-    shared = [a.join(b, (a["fp"] == b["fp"]) & passes).select(*keep) for a, b in sides]
-    pairs2 = shared[0].union(shared[1]).groupBy("x_doc", "y_doc").agg(F.count("*").alias("shared"), F.first("least").alias("least")).filter("shared >= least")
+    of_token = c.groupBy("fp", "c").count().groupBy("fp").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.sum("count").alias("size"), F.count("*").alias("kinds")).filter("kinds > 1")
+    c = c.join(of_token, "fp").join(only.select("doc", "sig").dropDuplicates(["doc"]), "doc")
+    # A token's members lie in blocks of bounded size, those of its largest component apart: two of these need no look.
+    block = F.pmod(F.xxhash64("doc"), F.floor(F.col("size") / BLOCK_DOCS) + 1)
+    held = c.groupBy("fp", (F.col("c") == F.col("main")).alias("main"), block.alias("block")).agg(F.collect_list(F.struct("doc", "at", "m", "n", "c", "sig")).alias("rows"))
+    held = written(held, "shingle-groups")
+    x = held.filter("not main").select("fp", F.col("block").alias("xb"), F.col("rows").alias("xs"))
+    y = held.select("fp", "main", F.col("block").alias("yb"), F.col("rows").alias("ys"))
+    met = x.join(y, "fp").filter("main or xb <= yb").select((~F.col("main") & (F.col("xb") == F.col("yb"))).alias("same"), "xs", "ys")
+    shared = met.mapInArrow(lambda batches: _met(batches, num, den), "x_doc long, y_doc long, least int")
+    pairs2 = shared.groupBy("x_doc", "y_doc").agg(F.count("*").alias("shared"), F.first("least").alias("least")).filter("shared >= least")
     pairs2 = pairs2.select(F.least("x_doc", "y_doc").alias("a"), F.greatest("x_doc", "y_doc").alias("b"))
     pairs2 = written(pairs2.join(pairs, ["a", "b"], "left_anti"), "shingle-pairs")
     more = linked(rows, pairs2, k, num, den)
@@ -187,8 +180,50 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     return df.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("_gone"), "left_anti")
 
 
-def _ceil(a, b: int):
-    return F.floor((a + (b - 1)) / b)
+def signature(s: np.ndarray) -> np.ndarray:
+    """How many tokens of a set fall into each of BINS bins; 255 stands for that many or more."""
+    return np.minimum(np.bincount((s & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8)
+
+
+def bound(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """No smaller than the overlap of the sets of each pair of signatures: the sum of the lesser counts."""
+    low = np.minimum(x, y).astype(np.int64)
+    return np.where(low == 255, 1 << 40, low).sum(axis=1)
+
+
+def _met(batches, num: int, den: int):
+    """Pairs (shorter, longer, tokens to share) of two blocks of one token's members that may be similar enough."""
+    for batch in batches:
+        same = np.array(batch.column(0).to_pylist(), bool)
+        sides = []
+        for k in (1, 2):
+            lists = batch.column(k)
+            rows = lists.flatten()
+            sizes = np.diff(np.asarray(lists.offsets))
+            cols = {f: np.asarray(rows.field(f)) for f in ("doc", "at", "m", "n", "c")}
+            sig = np.frombuffer(b"".join(rows.field("sig").to_pylist()), np.uint8).reshape(-1, BINS)
+            sides.append((sizes, np.cumsum(sizes) - sizes, cols, sig))
+        (xs, xo, xc, xg), (ys, yo, yc, yg) = sides
+        counts = xs * ys
+        total = np.cumsum(counts)
+        i = 0
+        while i < len(counts):  # as many rows as make about PAIRS_AT_ONCE pairs
+            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + PAIRS_AT_ONCE, side="right")))
+            row = np.repeat(np.arange(i, j), counts[i:j])
+            k = np.arange(len(row)) - np.repeat(np.cumsum(counts[i:j]) - counts[i:j], counts[i:j])
+            a, b = xo[row] + k // ys[row], yo[row] + k % ys[row]
+            keep = (xc["c"][a] != yc["c"][b]) & (~same[row] | (xc["doc"][a] < yc["doc"][b]))
+            a, b = a[keep], b[keep]
+            nx, ny = xc["n"][a], yc["n"][b]
+            least = np.minimum(xc["m"][a], yc["m"][b])
+            overlap = -(-num * (nx + ny) // (num + den))
+            keep = (den * np.minimum(nx, ny) >= num * np.maximum(nx, ny)) & (xc["at"][a] < nx - overlap + least) & (yc["at"][b] < ny - overlap + least)
+            a, b, overlap, least = a[keep], b[keep], overlap[keep], least[keep]
+            good = [np.flatnonzero(bound(xg[a[q : q + 16384]], yg[b[q : q + 16384]]) >= overlap[q : q + 16384]) + q for q in range(0, len(a), 16384)]
+            good = np.concatenate(good) if good else np.zeros(0, np.int64)
+            da, db = xc["doc"][a[good]], yc["doc"][b[good]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(da, db), pa.int64()), pa.array(np.maximum(da, db), pa.int64()), pa.array(least[good].astype(np.int32))], ["x_doc", "y_doc", "least"])
+            i = j
 
 
 def _entries(batch: pa.RecordBatch):

@@ -16,7 +16,7 @@ _LOWER[65:91] += 32
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes of text that are hashed at once.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:

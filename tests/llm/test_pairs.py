@@ -124,3 +124,17 @@ def test_graph(spark):
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_signatures_bound_the_overlap():
+    rng = np.random.default_rng(7)
+    for n in (5, 300, 90_000):
+        x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        y = np.unique(np.r_[x[: n // 2], rng.integers(0, 2**63, n // 2).astype(np.uint64)])
+        assert jaccard.bound(jaccard.signature(x)[None], jaccard.signature(y)[None])[0] >= len(np.intersect1d(x, y))
+
+
+def test_groups_of_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_DOCS", 6)
+    rows = near_copies(80, 90, 12, 8) + [(5000 + d, t + " and some more") for d, t in near_copies(30, 200, 9, 9)]
+    same(jaccard.jaccard_components(documents(spark, rows), k=3, num=90, den=100).collect(), brute(rows, 3, 90, 100))
