@@ -16,6 +16,8 @@ from .pii import KINDS, find_pii, written_out
 from .quality_model import quality_model
 from .quality_rules import quality_rules
 
+from .suffix_dedup import remove_repeats
+
 
 def tokenizer_path() -> str:
     import public_tokenizers
@@ -57,6 +59,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [F.size(F.filter("base_spans", lambda x: x["k"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]  # noqa: B023
@@ -77,6 +84,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_model, op2_line_dedup, op3_decontaminate, op4_jaccard_join, op5_packing, op6_quality_rules, op8_pii, op9_html_text, op10_lattice, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_quality_model, op2_line_dedup, op3_decontaminate, op4_jaccard_join, op5_packing, op6_quality_rules, op7_suffix_dedup, op8_pii, op9_html_text, op10_lattice, pipeline)}
 
 SQL: dict[str, str] = {}
