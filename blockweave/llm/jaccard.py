@@ -31,7 +31,7 @@ SKETCH, SEGMENTS = 1 << 20, 16
 #: The longest multi-match, and the cost of a comparison against that of a list entry.
 MOST_MATCHES, COMPARE_COST = 8, 40.0
 #: Bytes of text for a shard of the filters, and pairs that are compared at once.
-SHARD_BYTES, CELL_PAIRS = 64 << 20, 2000
+SHARD_BYTES, CELL_PAIRS = 32 << 20, 1000
 #: Members of a token in a block, pairs looked at at once, and bins of a set's signature.
 BLOCK_DOCS, PAIRS_AT_ONCE, BINS = 128, 500_000, 256
 #: Requests for texts that are sent to every worker (about 16 MB); beyond, the texts are shuffled.
@@ -132,9 +132,9 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     some = w.filter("doc is not null and n > 0")
     first = some.groupBy("hi", "lo").agg(F.min("doc").alias("node"))
     nodes = some.join(first, ["hi", "lo"])
-    only = nodes.filter("doc = node").dropDuplicates(["doc", "hi", "lo"]).select("doc", "n", "matches", "tokens", "sig")
+    only = nodes.filter("doc = node").dropDuplicates(["doc", "hi", "lo"]).select("doc", "n", "matches", "tokens")
     shards = pieces_for(nbytes, SHARD_BYTES)
-    found = written(repeats(only.drop("sig").mapInArrow(sender(_entries, shards), SENT)), "shingle-tokens")
+    found = written(repeats(only.mapInArrow(sender(_entries, shards), SENT)), "shingle-tokens")
     # rest holds the size of the set, the multi-match and the place in the prefix.
     p = found.select("fp", "doc", F.col("rest").bitwiseAND(0xFFFFFF).alias("at"), F.shiftright("rest", 24).bitwiseAND(0xFF).alias("m"), F.shiftright("rest", 32).alias("n"))
 
@@ -152,16 +152,31 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     c = p.join(grouped.withColumnRenamed("node", "doc"), "doc", "left").withColumn("c", F.coalesce("component", "doc")).drop("component")
     of_token = c.groupBy("fp", "c").count().groupBy("fp").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.sum("count").alias("size"), F.count("*").alias("kinds")).filter("kinds > 1")
-    c = c.join(of_token, "fp").join(only.select("doc", "sig").dropDuplicates(["doc"]), "doc")
-    # A token's members lie in blocks of bounded size, those of its largest component apart: two of these need no look.
+    c = written(c.join(of_token, "fp"), "shingle-groups")
+    # In a small group the pairs are few. The shorter set of a pair need only show a shorter prefix.
+    few = c.filter(F.col("size") <= BLOCK_DOCS)
+    x = few.filter(F.col("at") < F.col("n") - _ceil(F.col("n") * 2 * num, num + den) + F.col("m")).select("fp", *[F.col(f).alias(f"x_{f}") for f in ("doc", "at", "m", "n", "c")])
+    y = few.select("fp", *[F.col(f).alias(f"y_{f}") for f in ("doc", "at", "m", "n", "c")])
+    overlap, least = _ceil((F.col("x_n") + F.col("y_n")) * num, num + den), F.least("x_m", "y_m")
+    passes = (
+        ((F.col("y_n") > F.col("x_n")) | ((F.col("y_n") == F.col("x_n")) & (F.col("y_doc") > F.col("x_doc"))))
+        & (F.col("x_c") != F.col("y_c"))
+        & (den * F.col("x_n") >= num * F.col("y_n"))
+        & (F.col("x_at") < F.col("x_n") - overlap + least)
+        & (F.col("y_at") < F.col("y_n") - overlap + least)
+    )
+    plain = x.join(y, (x["fp"] == y["fp"]) & passes).select(F.least("x_doc", "y_doc").alias("x_doc"), F.greatest("x_doc", "y_doc").alias("y_doc"), least.cast("int").alias("least"))
+    # In a large one the members lie in blocks of bounded size, those of its largest component apart, for two of these
+    # need no look; and pairs whose counts of tokens by bin do not allow the overlap are never made.
+    many = c.filter(F.col("size") > BLOCK_DOCS).join(some.select("doc", "sig").dropDuplicates(["doc"]), "doc")
     block = F.pmod(F.xxhash64("doc"), F.floor(F.col("size") / BLOCK_DOCS) + 1)
-    held = c.groupBy("fp", (F.col("c") == F.col("main")).alias("main"), block.alias("block")).agg(F.collect_list(F.struct("doc", "at", "m", "n", "c", "sig")).alias("rows"))
-    held = written(held, "shingle-groups")
+    held = many.groupBy("fp", (F.col("c") == F.col("main")).alias("main"), block.alias("block")).agg(F.collect_list(F.struct("doc", "at", "m", "n", "c", "sig")).alias("rows"))
+    held = written(held, "shingle-blocks")
     x = held.filter("not main").select("fp", F.col("block").alias("xb"), F.col("rows").alias("xs"))
     y = held.select("fp", "main", F.col("block").alias("yb"), F.col("rows").alias("ys"))
     met = x.join(y, "fp").filter("main or xb <= yb").select((~F.col("main") & (F.col("xb") == F.col("yb"))).alias("same"), "xs", "ys")
     shared = met.mapInArrow(lambda batches: _met(batches, num, den), "x_doc long, y_doc long, least int")
-    pairs2 = shared.groupBy("x_doc", "y_doc").agg(F.count("*").alias("shared"), F.first("least").alias("least")).filter("shared >= least")
+    pairs2 = shared.union(plain).groupBy("x_doc", "y_doc").agg(F.count("*").alias("shared"), F.first("least").alias("least")).filter("shared >= least")
     pairs2 = pairs2.select(F.least("x_doc", "y_doc").alias("a"), F.greatest("x_doc", "y_doc").alias("b"))
     pairs2 = written(pairs2.join(pairs, ["a", "b"], "left_anti"), "shingle-pairs")
     more = linked(rows, pairs2, k, num, den)
@@ -180,6 +195,10 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     return df.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("_gone"), "left_anti")
 
 
+def _ceil(a, b: int):
+    return F.floor((a + (b - 1)) / b)
+
+
 def signature(s: np.ndarray) -> np.ndarray:
     """How many tokens of a set fall into each of BINS bins; 255 stands for that many or more."""
     return np.minimum(np.bincount((s & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8)
