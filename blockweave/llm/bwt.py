@@ -3,7 +3,7 @@
 Every string is closed by a symbol of its own kind (0, below all bytes) and read as a circle. A shard's rotations are
 sorted once, to a depth beyond what is asked. Shards are then merged without another sort of rotations: the interleave
 says from which shard each place of the merged transform comes; one step of refinement sorts the places, stably, by
-the symbols that the transforms hold there, and so makes the interleave right to one more symbol. Two neighbours stay
+the pairs of symbols that the transforms hold there, and so makes the interleave right to two more symbols. Two neighbours stay
 in one block as long as their first symbols agree, so the step at which a boundary appears is their common prefix,
 and the blocks left after the last step are the repeated strings of that length.
 """
@@ -52,17 +52,19 @@ def transform(t: Strings) -> tuple[np.ndarray, np.ndarray]:
         rank = _ranks((rank << np.uint64(32)) | rank[t.turned(depth)])
         depth *= 2
     order = np.argsort(rank, kind="stable")
-    return t.symbols[t.turned(-1)][order], order
+    pair = (t.symbols[t.turned(-2)].astype(np.uint16) << np.uint16(8)) | t.symbols[t.turned(-1)]
+    return pair[order], order
 
 
 def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The interleave of the transforms right to ``depth`` symbols, and the block of each place: equal where the first
-    ``depth`` symbols are."""
+    """The interleave of the transforms right to ``depth`` symbols (an even number), and the block of each place: equal
+    where the first ``depth`` symbols are. A transform holds the two symbols before each rotation, so a step of
+    refinement makes the interleave right to two more."""
     z = np.repeat(np.arange(len(transforms), dtype=np.uint16), [len(x) for x in transforms])
     held = np.concatenate(transforms)
     symbols = np.empty_like(held)
     block = np.zeros(len(z), np.int32)
-    for _ in range(depth):
+    for _ in range(depth // 2):
         symbols[np.argsort(z, kind="stable")] = held
         p = np.argsort(symbols, kind="stable")
         s, block, z = symbols[p], block[p], z[p]

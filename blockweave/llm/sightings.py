@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Entries of a task that are packed at once, and entries of local repeats in one row.
-FLUSH, CHUNK = 1_000_000, 32_768
+FLUSH, CHUNK = 400_000, 32_768
 #: Bits (held as bytes, for speed) of a filter for each entry, and bits set for each fingerprint.
 BITS, HASHES = 10, 4
 SENT = "shard int, kind int, fps binary, rest binary, docs binary"

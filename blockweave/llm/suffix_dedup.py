@@ -13,7 +13,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,80 +72,119 @@ def _sent(batch: pa.RecordBatch, length: int):
     return np.concatenate(fps), np.zeros(0, np.uint64), np.concatenate(docs)
 
 
-def _contexts(length: int):
-    """Of a batch (key, doc, text, anchors): a row for each distinct context, with the documents and places it has."""
+#: Columns of what goes to a bucket: of each context its anchor's place, length, bytes, document and number of places,
+#: and of each place its row and start; or (kind 1) whole spans that go, as rows, starts and ends.
+_ASKED = ("fps", "anchors", "lengths", "contexts", "docs", "counts", "keys", "starts")
+
+
+def _contexts(length: int, buckets: int):
+    """Of a batch (key, doc, text, anchors): its distinct contexts by bucket, each with the least document that has it.
+
+    Any other document of the batch with the same context has all of it from a smaller one, so its bytes go at once:
+    a context in a third of all documents costs its bucket one entry a batch.
+    """
 
     def run(batches):
         for batch in batches:
-            found: dict[tuple, list] = {}
+            found: dict[bytes, list] = {}
+            gone: list[tuple] = []
             for key, doc, raw, mine in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3), strict=True):
                 first, last, at, fps = anchors(np.frombuffer(raw, np.uint8), length)
                 keep = np.isin(fps, np.asarray(mine.values).view(np.uint64))
                 for a, b, p, fp in zip(first[keep].tolist(), last[keep].tolist(), at[keep].tolist(), fps[keep].tolist(), strict=True):
-                    found.setdefault((fp, raw[a : b + length], p - a), []).append((key, doc, a))
-            rows = [(fp, xxhash.xxh3_64_intdigest(c) >> 1, c, off, min(x[1] for x in u), max(x[1] for x in u), *(np.array([x[i] for x in u], np.int64).tobytes() for i in range(3))) for (fp, c, off), u in found.items()]
-            cols = list(zip(*rows, strict=True)) or [()] * 9
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["fp", "ctx_id", "ctx", "anchor", "low", "high", "keys", "docs", "starts"])
+                    c = raw[a : b + length]
+                    u = found.get(c)
+                    if u is None:
+                        found[c] = [doc, fp, p - a, [key], [a]]
+                    elif doc == u[0]:
+                        u[3].append(key)
+                        u[4].append(a)
+                    elif doc > u[0]:
+                        gone.append((key, a, b + length))
+                    else:
+                        gone += [(k, x, x + len(c)) for k, x in zip(u[3], u[4], strict=True)]
+                        found[c] = [doc, fp, p - a, [key], [a]]
+            yield _dealt(found, gone, buckets)
 
     return run
 
 
-def _shared_side(groups: list, sides: list) -> np.ndarray:
-    """Which strings share (group, side) with another; a side of None is shared with none."""
+def _dealt(found: dict, gone: list, buckets: int) -> pa.RecordBatch:
+    strings, got = list(found), list(found.values())
+    fps = np.fromiter((u[1] for u in got), np.uint64, len(got))
+    to = ((fps * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)
+    order = np.argsort(to, kind="stable")
+    ends = np.flatnonzero(np.r_[to[order][1:] != to[order][:-1], True]) + 1 if len(got) else []
+    rows, i = [], 0
+    for e in ends:
+        k = order[i:e].tolist()
+        u = [got[x] for x in k]
+        ints = lambda v, t=np.int64: np.fromiter(v, t).tobytes()
+        rows.append(
+            (int(to[k[0]]), 0, fps[k].tobytes(), ints((x[2] for x in u), np.int32), ints((len(strings[x]) for x in k), np.int32), b"".join([strings[x] for x in k]), ints(x[0] for x in u), ints((len(x[3]) for x in u), np.int32), ints(y for x in u for y in x[3]), ints(y for x in u for y in x[4]))
+        )
+        i = e
+    for i in range(0, len(gone), 50_000):
+        k, s, e = (np.array(x, np.int64) for x in zip(*gone[i : i + 50_000], strict=True))
+        rows.append((int(k[0]) % buckets, 1, b"", b"", b"", b"", k.tobytes(), b"", s.tobytes(), e.tobytes()))
+    cols = list(zip(*rows, strict=True)) or [()] * 10
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[2:]]], ["bucket", "kind", *_ASKED])
+
+
+def _shared_side(groups: np.ndarray, sides: list) -> np.ndarray:
+    """Which strings share (group, side) with another; an empty side is shared with none."""
     seen: dict[tuple, int] = {}
-    for g, s in zip(groups, sides, strict=True):
-        if s is not None:
-            seen[(g, s)] = seen.get((g, s), 0) + 1
-    return np.fromiter((s is not None and seen[(g, s)] > 1 for g, s in zip(groups, sides, strict=True)), bool, len(groups))
+    pairs = list(zip(groups.tolist(), sides, strict=True))
+    for p in pairs:
+        seen[p] = seen.get(p, 0) + 1
+    return np.fromiter((seen[p] > 1 and p[1] != b"" for p in pairs), bool, len(pairs))
 
 
 def _solve(length: int):
-    """A bucket's distinct contexts to runs of passages with the least document of each."""
+    """A bucket's contexts to the spans (key, s, e) of bytes that go."""
 
     def run(t: pa.Table) -> pa.Table:
-        of: dict[tuple, list] = {}
-        for fp, cid, c, off, low, high in zip(*[t[k].to_pylist() for k in ("fp", "ctx_id", "ctx", "anchor", "low", "high")], strict=True):
-            u = of.setdefault((fp, c), [cid, off, low, high])
-            u[2], u[3] = min(u[2], low), max(u[3], high)
-        keys, got = list(of), list(of.values())
-        low, high = (np.array([u[i] for u in got], np.int64) for i in (2, 3))
-        # A passage has at least ``side`` bytes more on one side of its anchor; a context that shares neither side with
-        # another holds no passage of another.
-        side = (length - ANCHOR + 1) // 2
-        left = [c[u[1] - side : u[1]] if u[1] >= side else None for (_, c), u in zip(keys, got, strict=True)]
-        right = [c[u[1] + ANCHOR : u[1] + ANCHOR + side] if len(c) >= u[1] + ANCHOR + side else None for (_, c), u in zip(keys, got, strict=True)]
-        fps = [fp for fp, _ in keys]
-        some = np.flatnonzero(_shared_side(fps, left) | _shared_side(fps, right))
-        solved = dict(zip(some.tolist(), bwt.least_holder([keys[i][1] for i in some], low[some], length), strict=True))
-        rows = []
-        for i, ((fp, c), u) in enumerate(zip(keys, got, strict=True)):
-            least = solved.get(i)
-            if least is None:
-                if low[i] < high[i]:
-                    rows.append((fp, u[0], np.array([0, len(c) - length + 1], np.int64).tobytes(), np.array([low[i]]).tobytes()))
-            elif int(least.min()) < high[i]:
-                cut = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-                rows.append((fp, u[0], np.r_[cut, len(least)].astype(np.int64).tobytes(), least[cut].tobytes()))
-        cols = list(zip(*rows, strict=True)) or [()] * 4
-        return pa.table({k: pa.array(c, kind) for k, c, kind in zip(("fp", "ctx_id", "cuts", "least"), cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)})
-
-    return run
-
-
-def _spans(length: int):
-    """Of contexts with their answer: (key, start, end) of bytes that go."""
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for keys, docs, starts, cuts, least in zip(*[[np.frombuffer(b, np.int64) for b in c.to_pylist()] for c in batch.columns], strict=True):
-                for a, b, low in zip(cuts[:-1].tolist(), cuts[1:].tolist(), least.tolist(), strict=True):
-                    hit = docs > low
-                    if hit.any():
-                        out.append(np.stack([keys[hit], starts[hit] + a, starts[hit] + (b - 1 + length)]))
-            k, s, e = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(s), pa.array(e)], ["key", "s", "e"])
+        index: dict[bytes, int] = {}
+        own, docs, counts, keys, starts, fps, offs, done = [], [], [], [], [], [], [], []
+        for kind, *blobs in zip(*[t[k].to_pylist() for k in ("kind", *_ASKED)], strict=True):
+            arrays = [np.frombuffer(x, d) for x, d in zip(blobs, (np.uint64, np.int32, np.int32, np.uint8, np.int64, np.int32, np.int64, np.int64), strict=True)]
+            if kind:
+                done.append(np.stack([arrays[4], arrays[6], arrays[7]]))
+                continue
+            ends = np.cumsum(arrays[2]).tolist()
+            raw = blobs[3]
+            mine = [index.setdefault(raw[a:b], len(index)) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            own.append(np.array(mine, np.int64))
+            for into, k in ((fps, 0), (offs, 1), (docs, 4), (counts, 5), (keys, 6), (starts, 7)):
+                into.append(arrays[k])
+        if own:
+            own, docs, counts, keys, starts, fps, offs = (np.concatenate(x) for x in (own, docs, counts, keys, starts, fps, offs))
+            strings = list(index)
+            low = np.full(len(strings), np.iinfo(np.int64).max)
+            np.minimum.at(low, own, docs)
+            fp, off = np.zeros(len(strings), np.uint64), np.zeros(len(strings), np.int64)
+            fp[own], off[own] = fps, offs
+            # A passage has at least ``side`` bytes more on one side of its anchor; a context that shares neither side
+            # with another holds no passage of another.
+            side = (length - ANCHOR + 1) // 2
+            left = [c[o - side : o] if o >= side else b"" for c, o in zip(strings, off.tolist(), strict=True)]
+            right = [c[o + ANCHOR : o + ANCHOR + side] if len(c) >= o + ANCHOR + side else b"" for c, o in zip(strings, off.tolist(), strict=True)]
+            some = np.flatnonzero(_shared_side(fp, left) | _shared_side(fp, right)).tolist()
+            solved = dict(zip(some, bwt.least_holder([strings[i] for i in some], low[some], length), strict=True))
+            size = np.fromiter(map(len, strings), np.int64, len(strings))
+            each, at = np.repeat(np.arange(len(own)), counts), np.repeat(own, counts)
+            whole = (docs[each] > low[at]) & ~np.isin(at, np.array(some, np.int64))
+            done.append(np.stack([keys[whole], starts[whole], starts[whole] + size[at[whole]]]))
+            least = np.full(len(strings), np.iinfo(np.int64).max)
+            least[some] = [int(solved[i].min()) for i in some]
+            spans = []
+            for k in np.flatnonzero(docs[each] > least[at]).tolist():
+                hit = np.flatnonzero(solved[at[k]] < docs[each[k]])
+                for run_ in np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1) if hit[-1] - hit[0] >= len(hit) else (hit,):
+                    spans.append((keys[k], starts[k] + run_[0], starts[k] + run_[-1] + length))
+            done.append(np.array(spans, np.int64).reshape(-1, 3).T)
+        k, s, e = np.concatenate(done, axis=1) if done else np.zeros((3, 0), np.int64)
+        return pa.table({"key": pa.array(k), "s": pa.array(s), "e": pa.array(e)})
 
     return run
 
@@ -159,6 +197,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     take from each other. An empty table gives none; other columns stay, except those of these names. Whole copies of
     a text are found by its digest first: of them only the least id takes part in the search.
     """
+    if min_bytes % 2 or min_bytes < 2 * ANCHOR:
+        raise ValueError(f"min_bytes is to be even and at least {2 * ANCHOR}")
     sc_rows = boxed(df, *OWN).select("_row", F.col("_row")[id_col].cast("long").alias("doc"), F.col("_row")[text_col].alias("text"))
     rows = sc_rows.select(F.xxhash64("doc", "text").alias("key"), "doc", "text").filter("doc is not null and length(text) > 0")
     nbytes = text_bytes(rows)
@@ -171,12 +211,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sent = only.select("doc", "text").mapInArrow(sender(lambda b: _sent(b, min_bytes), shards), SENT)
     lists = repeats(sent).groupBy("doc").agg(F.collect_list("fp").alias("fps")).withColumnRenamed("doc", "of")
     texts = only.join(lists.hint("shuffle_hash"), F.col("doc") == F.col("of")).select("key", "doc", "text", "fps")
-    found = written(texts.mapInArrow(_contexts(min_bytes), "fp long, ctx_id long, ctx binary, anchor int, low long, high long, keys binary, docs binary, starts binary"), "repeat-contexts")
     buckets = pieces_for(nbytes, BUCKET_BYTES)
-    asked = found.select(F.pmod(F.xxhash64("fp"), F.lit(buckets)).alias("bucket"), "fp", "ctx_id", "ctx", "anchor", "low", "high")
-    answers = asked.groupBy("bucket").applyInArrow(_solve(min_bytes), "fp long, ctx_id long, cuts binary, least binary")
-    met = found.select("fp", "ctx_id", "keys", "docs", "starts").join(answers, ["fp", "ctx_id"]).select("keys", "docs", "starts", "cuts", "least")
-    spans = met.mapInArrow(_spans(min_bytes), "key long, s long, e long").union(copies.select(F.col("copy").alias("key"), "s", "e"))
+    asked = texts.mapInArrow(_contexts(min_bytes, buckets), "bucket int, kind int, " + ", ".join(f"{c} binary" for c in _ASKED))
+    spans = asked.groupBy("bucket").applyInArrow(_solve(min_bytes), "key long, s long, e long").union(copies.select(F.col("copy").alias("key"), "s", "e"))
     spans = written(spans.distinct().groupBy("key").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans")).withColumnRenamed("key", "_of"), "repeat-spans")
     size = spans.agg(F.sum(F.size("spans") * 16 + 16)).first()[0] or 0
     given = F.broadcast(spans) if size <= sent_bytes else spans.hint("shuffle_hash")
