@@ -16,6 +16,7 @@ from .pii import KINDS, find_pii, written_out
 from .quality_model import quality_model
 from .quality_rules import quality_rules
 
+from .sql import SQL  # noqa: F401
 from .suffix_dedup import remove_repeats
 
 
@@ -85,5 +86,3 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_model, op2_line_dedup, op3_decontaminate, op4_jaccard_join, op5_packing, op6_quality_rules, op7_suffix_dedup, op8_pii, op9_html_text, op10_lattice, pipeline)}
-
-SQL: dict[str, str] = {}
