@@ -6,20 +6,29 @@ its core neighbours, so the labels do not depend on the order of rows. Noise is
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.vectors import squared_l2
 from ..plans.tables import shared_table
+from .knn import paired, squares
 
 
-def neighbours(vectors: DataFrame, eps: float, slices: int = 8) -> DataFrame:
-    """(i, j, d2) for all pairs within ``eps``, each with itself, both ways. One join serves every smaller eps."""
-    q = vectors.select(F.col("id").alias("i"), F.col("features").alias("fi"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
-    rows = vectors.select(F.col("id").alias("j"), F.col("features").alias("fj"), F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int").alias("slice"))
-    d = q.join(rows, "slice").select("i", "j", squared_l2(F.col("fi"), F.col("fj")).alias("d2"))
-    return d.filter(F.col("d2") <= eps * eps)
+def neighbours(vectors: DataFrame, eps: float) -> DataFrame:
+    """(i, j, d2) for all pairs within ``eps``, each with itself, both ways. One search serves every smaller eps."""
+
+    def near(ids, x, others, y):
+        out = [[], [], []]
+        for i, d in squares(x, y):
+            r, c = np.nonzero(d <= eps * eps)
+            out[0].append(ids[i + r])
+            out[1].append(others[c])
+            out[2].append(d[r, c])
+        return pa.table({n: pa.array(np.concatenate(c) if c else [], t) for n, c, t in zip(("i", "j", "d2"), out, (pa.int64(), pa.int64(), pa.float64()), strict=True)})
+
+    return paired(vectors, near, "i long, j long, d2 double")
 
 
 def labels(vectors: DataFrame, eps: float, min_samples: int, near: DataFrame | None = None) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,17 +18,53 @@ def _nearest(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("r", r).filter(F.col("r") <= k).select(F.col("i").alias("block_id"), F.col("j").alias("id"))
 
 
-def exact_blocks(vectors: DataFrame, k: int = 10, slices: int = 8) -> DataFrame:
-    """(block_id, id): the ``k`` nearest of each vector, itself included; ties by id.
+def paired(vectors: DataFrame, fn, schema: str, block: int = 4096) -> DataFrame:
+    """``fn(ids, rows, other ids, other rows)`` over blocks of at most about ``block`` vectors against such blocks.
 
-    Every query needs every row. The queries are cut into slices by hash, each joined with all rows by the slice's
-    key; a slice keeps its own best k before the merge, so no task holds more than a slice's lists.
+    Every vector meets every other once. Blocks are by hash, their number follows the number of vectors, and each
+    vector is sent once to each block of the other side: the pairs themselves are never rows.
     """
-    q = vectors.select(F.col("id").alias("i"), F.col("features").alias("fi"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
-    rows = vectors.select(F.col("id").alias("j"), F.col("features").alias("fj"), F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int").alias("slice"))
-    d = q.join(rows, "slice").select("i", "j", "slice", squared_l2(F.col("fi"), F.col("fj")).alias("d2"))
-    own = F.row_number().over(W.partitionBy("i", "slice").orderBy("d2", "j"))
-    return _nearest(d.withColumn("r", own).filter(F.col("r") <= k).drop("r"), k)
+    n = vectors.count()
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    side = max(-(-n // block), math.isqrt(max(1, cores - 1)) + 1)
+    own, every = F.pmod(F.xxhash64("id"), F.lit(side)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
+    v = vectors.select("id", F.col("features").cast("array<double>").alias("features"))
+    left, right = v.select("id", "features", own.alias("a"), every.alias("b")), v.select("id", "features", own.alias("b"), every.alias("a"))
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        sides = []
+        for t in (x, y):
+            f = t["features"].combine_chunks()
+            sides += [np.asarray(t["id"]), np.asarray(f.flatten()).reshape(len(t), -1)]
+        return fn(*sides)
+
+    return left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(run, schema)
+
+
+def squares(x: np.ndarray, y: np.ndarray, at_once: int = 1 << 22):
+    """(first row, squared distances) of consecutive rows of ``x`` from all of ``y``, in bounded memory."""
+    step = max(1, at_once // max(1, y.size))
+    for i in range(0, len(x) if y.size else 0, step):
+        d = x[i : i + step, None, :] - y[None]
+        yield i, np.einsum("ijk,ijk->ij", d, d)
+
+
+def exact_blocks(vectors: DataFrame, k: int = 10) -> DataFrame:
+    """(block_id, id): the ``k`` nearest of each vector, itself included; ties by id. A block of rows keeps its own best
+    ``k`` for each query before the merge."""
+
+    def best(ids, x, others, y):
+        out = [[], [], []]
+        for i, d in squares(x, y):
+            for r, row in enumerate(d):
+                at = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1]) if len(row) > k else np.arange(len(row))
+                at = at[np.lexsort((others[at], row[at]))][:k]
+                out[0].append(np.full(len(at), ids[i + r]))
+                out[1].append(others[at])
+                out[2].append(row[at])
+        return pa.table({n: pa.array(np.concatenate(c) if c else [], t) for n, c, t in zip(("i", "j", "d2"), out, (pa.int64(), pa.int64(), pa.float64()), strict=True)})
+
+    return _nearest(paired(vectors, best, "i long, j long, d2 double"), k)
 
 
 def multiprobe_blocks(centred: DataFrame, planes: DataFrame, k: int = 10, probes: int = 20) -> DataFrame:
