@@ -35,7 +35,7 @@ def paired(vectors: DataFrame, fn, schema: str, block: int = 4096) -> DataFrame:
         sides = []
         for t in (x, y):
             f = t["features"].combine_chunks()
-            sides += [np.asarray(t["id"]), np.asarray(f.flatten()).reshape(len(t), -1)]
+            sides += [np.asarray(t["id"]), np.asarray(f.flatten()).reshape(len(t), -1) if len(t) else np.zeros((0, 1))]
         return fn(*sides)
 
     return left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(run, schema)
