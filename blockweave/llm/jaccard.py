@@ -49,7 +49,7 @@ def sketch(rows: DataFrame, k: int, nbytes: int) -> np.ndarray:
 
     def count(batches):
         total = np.zeros(SKETCH, np.uint32)
-        for batch in batches:
+        for batch in sliced(batches):
             for s in shingle_sets(batch.column(1).cast(pa.binary()).to_pylist(), k):
                 np.add.at(total, _bucket(s), 1)
         salt = TaskContext.get().partitionId() % salts
@@ -75,6 +75,13 @@ def _segments(rows):
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["segment", "salt", "counts"])
 
 
+def sliced(batches, rows: int = 512):
+    """The batches in parts of few rows, so that few texts are Python objects at once."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def needed(n, num: int, den: int):
     """The least overlap of a set of ``n`` with any set at least as similar as num/den: ceil(n * num / den)."""
     return -(-num * n // den)
@@ -117,7 +124,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def sets(batches):
         counts = pickle.loads(sent.value).astype(np.int64)
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).cast(pa.binary()).to_pylist(), k), strict=True):
                 if doc is not None and len(s):
@@ -140,9 +147,11 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     degree = p.groupBy("doc").agg(F.count("*").alias("degree"))
     ranked = p.join(degree, "doc")
-    hubs = ranked.groupBy("fp").agg(F.max(F.struct("degree", (-F.col("doc")).alias("d"), "n")).alias("h"), F.count("*").alias("size")).filter("size > 1")
-    hubs = hubs.select("fp", (-F.col("h.d")).alias("hub"), F.col("h.n").alias("hn"))
-    near = p.join(hubs, "fp").filter((F.col("doc") != F.col("hub")) & (den * F.least("n", "hn") >= num * F.greatest("n", "hn")))
+    hubs = ranked.groupBy("fp").agg(F.max(F.struct("degree", (-F.col("doc")).alias("d"), "n", "at", "m")).alias("h"), F.count("*").alias("size")).filter("size > 1")
+    hubs = hubs.select("fp", (-F.col("h.d")).alias("hub"), *[F.col(f"h.{f}").alias(f"h{f}") for f in ("n", "at", "m")])
+    # A pair that shares this token too late in either prefix is left to the tokens that it shares early.
+    late = _ceil((F.col("n") + F.col("hn")) * num, num + den) - F.least("m", "hm")
+    near = p.join(hubs, "fp").filter((F.col("doc") != F.col("hub")) & (den * F.least("n", "hn") >= num * F.greatest("n", "hn")) & (F.col("at") < F.col("n") - late) & (F.col("hat") < F.col("hn") - late))
     pairs = written(near.select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).distinct(), "shingle-pairs")
     links = linked(rows, pairs, k, num, den)
     # Rows that repeat an id tie the nodes of their sets together.
