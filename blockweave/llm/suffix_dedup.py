@@ -24,7 +24,9 @@ from .sightings import SENT, repeats, sender
 
 ANCHOR = 16
 #: Bytes of text for a shard of the filters and for a bucket of contexts.
-SHARD_BYTES, BUCKET_BYTES = 32 << 20, 24 << 20
+SHARD_BYTES, BUCKET_BYTES = 32 << 20, 8 << 20
+#: Symbols of the strings that are merged at once.
+MERGED = 1 << 20
 #: Bytes of spans that are sent to every worker; beyond, texts and spans are shuffled by document.
 SENT_BYTES = 48 << 20
 OWN = ("n_bytes", "n_removed", "n_spans", "kept", "removed")
@@ -140,6 +142,20 @@ def _shared_side(groups: np.ndarray, sides: list) -> np.ndarray:
     return np.fromiter((seen[p] > 1 and p[1] != b"" for p in pairs), bool, len(pairs))
 
 
+def _parts(some: list[int], fp: np.ndarray, size: np.ndarray):
+    """Strings of whole anchors, about MERGED symbols at once: anchors have nothing to do with each other."""
+    part, total, last = [], 0, None
+    for i in sorted(some, key=lambda x: fp[x]):
+        if total >= MERGED and fp[i] != last:
+            yield part
+            part, total = [], 0
+        part.append(i)
+        total += size[i] + 1
+        last = fp[i]
+    if part:
+        yield part
+
+
 def _solve(length: int):
     """A bucket's contexts to the spans (key, s, e) of bytes that go."""
 
@@ -170,8 +186,10 @@ def _solve(length: int):
             left = [c[o - side : o] if o >= side else b"" for c, o in zip(strings, off.tolist(), strict=True)]
             right = [c[o + ANCHOR : o + ANCHOR + side] if len(c) >= o + ANCHOR + side else b"" for c, o in zip(strings, off.tolist(), strict=True)]
             some = np.flatnonzero(_shared_side(fp, left) | _shared_side(fp, right)).tolist()
-            solved = dict(zip(some, bwt.least_holder([strings[i] for i in some], low[some], length), strict=True))
             size = np.fromiter(map(len, strings), np.int64, len(strings))
+            solved: dict[int, np.ndarray] = {}
+            for part in _parts(some, fp, size):
+                solved |= zip(part, bwt.least_holder([strings[i] for i in part], low[part], length), strict=True)
             each, at = np.repeat(np.arange(len(own)), counts), np.repeat(own, counts)
             whole = (docs[each] > low[at]) & ~np.isin(at, np.array(some, np.int64))
             done.append(np.stack([keys[whole], starts[whole], starts[whole] + size[at[whole]]]))

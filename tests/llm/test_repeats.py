@@ -59,6 +59,7 @@ def test_removal(spark, sf_dir, which):
 def test_shuffled_spans_small_parts_and_shards(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 4000)
     monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 6000)
+    monkeypatch.setattr(suffix_dedup, "MERGED", 500)
     rows = passages(4)
     same(suffix_dedup.remove_repeats(documents(spark, rows), sent_bytes=0).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept").collect(), brute(rows))
     monkeypatch.setattr(suffix_dedup, "_PART", 64)
