@@ -88,58 +88,66 @@ def _contexts(length: int, buckets: int):
 
     def run(batches):
         for batch in batches:
-            found: dict[bytes, list] = {}
-            gone: list[tuple] = []
-            for key, doc, raw, mine in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3), strict=True):
-                first, last, at, fps = anchors(np.frombuffer(raw, np.uint8), length)
-                keep = np.isin(fps, np.asarray(mine.values).view(np.uint64))
-                for a, b, p, fp in zip(first[keep].tolist(), last[keep].tolist(), at[keep].tolist(), fps[keep].tolist(), strict=True):
-                    c = raw[a : b + length]
-                    u = found.get(c)
-                    if u is None:
-                        found[c] = [doc, fp, p - a, [key], [a]]
-                    elif doc == u[0]:
-                        u[3].append(key)
-                        u[4].append(a)
-                    elif doc > u[0]:
-                        gone.append((key, a, b + length))
-                    else:
-                        gone += [(k, x, x + len(c)) for k, x in zip(u[3], u[4], strict=True)]
-                        found[c] = [doc, fp, p - a, [key], [a]]
-            yield _dealt(found, gone, buckets)
+            docs, raws = batch.column(1).to_numpy(), batch.column(2).cast(pa.binary()).to_pylist()
+            runs = [anchors(np.frombuffer(raw, np.uint8), length) for raw in raws]
+            sizes = np.fromiter((len(r[0]) for r in runs), np.int64, len(runs))
+            of = np.repeat(np.arange(len(runs)), sizes)
+            first, last, at, fps = (np.concatenate(x) for x in zip(*runs, strict=True)) if runs else (np.zeros(0, np.int64),) * 4
+            lists = batch.column(3)
+            mine = np.repeat(np.arange(len(runs)), np.diff(np.asarray(lists.offsets)))
+            # Fingerprints are told apart by document: both are mixed into one number.
+            salt = np.uint64(0x9E3779B97F4A7C15)
+            keep = np.isin(fps.astype(np.uint64) ^ (of.astype(np.uint64) * salt), np.asarray(lists.flatten()).view(np.uint64) ^ (mine.astype(np.uint64) * salt))
+            of, first, end, at, fps = of[keep], first[keep], last[keep] + length, at[keep], fps[keep].astype(np.uint64)
+            index: dict[bytes, int] = {}
+            own = [index.setdefault(raws[d][x:y], len(index)) for d, x, y in zip(of.tolist(), first.tolist(), end.tolist(), strict=True)]
+            yield _dealt(list(index), np.array(own, np.int64), docs[of], batch.column(0).to_numpy()[of], first, end, at - first, fps, buckets)
 
     return run
 
 
-def _dealt(found: dict, gone: list, buckets: int) -> pa.RecordBatch:
-    strings, got = list(found), list(found.values())
-    fps = np.fromiter((u[1] for u in got), np.uint64, len(got))
-    to = ((fps * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)
-    order = np.argsort(to, kind="stable")
-    ends = np.flatnonzero(np.r_[to[order][1:] != to[order][:-1], True]) + 1 if len(got) else []
-    rows, i = [], 0
-    for e in ends:
-        k = order[i:e].tolist()
-        u = [got[x] for x in k]
-        ints = lambda v, t=np.int64: np.fromiter(v, t).tobytes()
+def _dealt(strings: list[bytes], own, docs, keys, first, end, offs, fps, buckets: int) -> pa.RecordBatch:
+    """The batch's rows: ``own`` is the context of each place, the other arrays its document, row, ends, anchor and hash."""
+    order = np.lexsort((docs, own))
+    own, docs, keys, first, end, offs, fps = (x[order] for x in (own, docs, keys, first, end, offs, fps))
+    starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, np.int64)
+    stay = docs == docs[starts][own] if len(own) else np.zeros(0, bool)
+    to = ((fps[starts] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)
+    by = np.argsort(to, kind="stable")
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.arange(len(by))
+    places = np.argsort(rank[own[stay]], kind="stable")
+    p_keys, p_starts = keys[stay][places], first[stay][places]
+    counts = np.bincount(own[stay], minlength=len(starts))[by]
+    cuts = np.r_[0, np.flatnonzero(to[by][1:] != to[by][:-1]) + 1, len(by)] if len(by) else np.zeros(1, np.int64)
+    place_cuts = np.r_[0, np.cumsum(counts)][cuts]
+    rows = []
+    for a, b, x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), place_cuts[:-1].tolist(), place_cuts[1:].tolist(), strict=True):
+        u = by[a:b]
+        s = starts[u]
         rows.append(
-            (int(to[k[0]]), 0, fps[k].tobytes(), ints((x[2] for x in u), np.int32), ints((len(strings[x]) for x in k), np.int32), b"".join([strings[x] for x in k]), ints(x[0] for x in u), ints((len(x[3]) for x in u), np.int32), ints(y for x in u for y in x[3]), ints(y for x in u for y in x[4]))
+            (int(to[u[0]]), 0, fps[s].tobytes(), offs[s].astype(np.int32).tobytes(), (end[s] - first[s]).astype(np.int32).tobytes(), b"".join([strings[i] for i in u.tolist()]), docs[s].tobytes(), counts[a:b].astype(np.int32).tobytes(), p_keys[x:y].tobytes(), p_starts[x:y].tobytes())
         )
-        i = e
+    gone = np.flatnonzero(~stay)
     for i in range(0, len(gone), 50_000):
-        k, s, e = (np.array(x, np.int64) for x in zip(*gone[i : i + 50_000], strict=True))
-        rows.append((int(k[0]) % buckets, 1, b"", b"", b"", b"", k.tobytes(), b"", s.tobytes(), e.tobytes()))
+        g = gone[i : i + 50_000]
+        rows.append((int(keys[g[0]]) % buckets, 1, b"", b"", b"", b"", keys[g].tobytes(), b"", first[g].tobytes(), end[g].tobytes()))
     cols = list(zip(*rows, strict=True)) or [()] * 10
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[2:]]], ["bucket", "kind", *_ASKED])
 
 
-def _shared_side(groups: np.ndarray, sides: list) -> np.ndarray:
-    """Which strings share (group, side) with another; an empty side is shared with none."""
-    seen: dict[tuple, int] = {}
-    pairs = list(zip(groups.tolist(), sides, strict=True))
-    for p in pairs:
-        seen[p] = seen.get(p, 0) + 1
-    return np.fromiter((seen[p] > 1 and p[1] != b"" for p in pairs), bool, len(pairs))
+def _may_share(strings: list[bytes], offs: list[int], length: int, step: int = 5) -> list[int]:
+    """The strings that may have a passage with another: a passage with its anchor ``l`` bytes in holds the string's
+    ``length - step + 1`` bytes that start at a multiple of ``step`` before its anchor, whichever is next below ``l``."""
+    n = length - step + 1
+    keys: list[list[bytes]] = []
+    seen: dict[bytes, int] = {}
+    for c, o in zip(strings, offs, strict=True):
+        mine = [k for x in range(0, length - ANCHOR + 1, step) if x <= o and len(k := c[o - x : o - x + n]) == n]
+        keys.append(mine)
+        for k in set(mine):
+            seen[k] = seen.get(k, 0) + 1
+    return [i for i, mine in enumerate(keys) if any(seen[k] > 1 for k in mine)]
 
 
 def _parts(some: list[int], fp: np.ndarray, size: np.ndarray):
@@ -180,12 +188,7 @@ def _solve(length: int):
             np.minimum.at(low, own, docs)
             fp, off = np.zeros(len(strings), np.uint64), np.zeros(len(strings), np.int64)
             fp[own], off[own] = fps, offs
-            # A passage has at least ``side`` bytes more on one side of its anchor; a context that shares neither side
-            # with another holds no passage of another.
-            side = (length - ANCHOR + 1) // 2
-            left = [c[o - side : o] if o >= side else b"" for c, o in zip(strings, off.tolist(), strict=True)]
-            right = [c[o + ANCHOR : o + ANCHOR + side] if len(c) >= o + ANCHOR + side else b"" for c, o in zip(strings, off.tolist(), strict=True)]
-            some = np.flatnonzero(_shared_side(fp, left) | _shared_side(fp, right)).tolist()
+            some = _may_share(strings, off.tolist(), length)
             size = np.fromiter(map(len, strings), np.int64, len(strings))
             solved: dict[int, np.ndarray] = {}
             for part in _parts(some, fp, size):

@@ -99,3 +99,22 @@ def test_interleave_orders_rotations():
         seen.append(bytes(x.symbols[x.starts[x.owner[i]] + (x.place[i] + q) % x.lengths[x.owner[i]]] for q in range(4)))
     assert seen == sorted(seen)
     assert [a == b for a, b in zip(seen[1:], seen[:-1])] == (block[1:] == block[:-1]).tolist()
+
+
+def test_what_shares_a_passage_is_kept():
+    rng = random.Random(11)
+    for _ in range(200):
+        anchor = bytes(rng.randrange(97, 123) for _ in range(16))
+        strings, offs = [], []
+        for _ in range(4):
+            left, right = (bytes(rng.choice(b"ab") for _ in range(rng.randrange(0, 35))) for _ in range(2))
+            if len(left + right) >= 34:
+                strings.append(left + anchor + right)
+                offs.append(len(left))
+        strings += [s[1:] for s in strings if len(s) > 50]
+        offs += [o - 1 for s, o in zip(strings, offs, strict=False) if len(s) > 50][: len(strings) - len(offs)]
+        keep = [i for i, (s, o) in enumerate(zip(strings, offs, strict=True)) if o >= 0 and len(s) >= 50]
+        strings, offs = [strings[i] for i in keep], [offs[i] for i in keep]
+        windows = [{s[k : k + 50] for k in range(len(s) - 49) if k <= o and k + 50 >= o + 16} for s, o in zip(strings, offs, strict=True)]
+        must = {i for i, w in enumerate(windows) if any(w & x for j, x in enumerate(windows) if j != i)}
+        assert must <= set(suffix_dedup._may_share(strings, offs, 50))
