@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces_for, text_bytes, written
+from .common import pieces_for, release, text_bytes, written
 from .graph import components
 from .shingles import set_digest, shingle_sets
 from .sightings import SENT, repeats, sender
@@ -80,6 +80,7 @@ def sliced(batches, rows: int = 512):
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+        release()
 
 
 def needed(n, num: int, den: int):
@@ -283,6 +284,8 @@ def linked(rows: DataFrame, pairs: DataFrame, k: int, num: int, den: int, sent_r
         for doc, s in zip(t["doc"].to_pylist(), shingle_sets(t["text"].cast(pa.binary()).to_pylist(), k), strict=True):
             have.setdefault(doc, []).append(s)
         out = [(a, b) for a, b in zip(ps["a"].to_pylist(), ps["b"].to_pylist(), strict=True) if any(similar(x, y, num, den) for x in have.get(a, ()) for y in have.get(b, ()))]
+        del have
+        release()
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     return texts.groupBy("cell").cogroup(dealt.groupBy("cell")).applyInArrow(verify, "a long, b long")

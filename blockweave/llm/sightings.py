@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import release
+
 #: Entries of a task that are packed at once, and entries of local repeats in one row.
 FLUSH, CHUNK = 400_000, 32_768
 #: Bits (held as bytes, for speed) of a filter for each entry, and bits set for each fingerprint.
@@ -79,8 +81,11 @@ def sender(of_batch: Callable[[pa.RecordBatch], tuple], shards: int):
             if n >= FLUSH:
                 yield from out(parts)
                 parts, n = [], 0
+                release()
         if parts:
             yield from out(parts)
+        parts = None
+        release()
 
     return run
 
@@ -104,6 +109,8 @@ def _told(t: pa.Table) -> pa.Table:
         keep = np.ones(len(f), bool) if kind else twice[_places(f, size)].all(axis=0) & (d >= 0)
         found.append((f[keep], r[keep] if len(r) else np.zeros(int(keep.sum()), np.uint64), d[keep]))
     f, r, d = (np.concatenate(x) for x in zip(*found, strict=True))
+    del rows, found, once, twice
+    release()
     return pa.table({"fp": pa.array(f.view(np.int64)), "rest": pa.array(r.view(np.int64)), "doc": pa.array(d)})
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bwt
-from .common import boxed, pieces_for, text_bytes, without, written
+from .common import boxed, pieces_for, release, text_bytes, without, written
 from .shingles import _BYTE, _POWERS, mix
 from .sightings import SENT, repeats, sender
 
@@ -102,6 +102,8 @@ def _contexts(length: int, buckets: int):
             index: dict[bytes, int] = {}
             own = [index.setdefault(raws[d][x:y], len(index)) for d, x, y in zip(of.tolist(), first.tolist(), end.tolist(), strict=True)]
             yield _dealt(list(index), np.array(own, np.int64), docs[of], batch.column(0).to_numpy()[of], first, end, at - first, fps, buckets)
+            del raws, runs, index, own
+            release()
 
     return run
 
@@ -205,6 +207,7 @@ def _solve(length: int):
                     spans.append((keys[k], starts[k] + run_[0], starts[k] + run_[-1] + length))
             done.append(np.array(spans, np.int64).reshape(-1, 3).T)
         k, s, e = np.concatenate(done, axis=1) if done else np.zeros((3, 0), np.int64)
+        release()
         return pa.table({"key": pa.array(k), "s": pa.array(s), "e": pa.array(e)})
 
     return run
