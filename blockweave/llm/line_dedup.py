@@ -47,8 +47,8 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     points that at least ``min_docs`` rows hold loses all its lines except in the row with the largest id.
 
     Null and empty texts are one empty line and become empty. Rows without an id neither count nor lose lines. Rows
-    that repeat an id count each, and all rows with the largest id keep the line. Ids must be integers that are not
-    negative. An empty table gives an empty table; other columns stay, except those named n_lines and n_dropped.
+    that repeat an id count each, and all rows with the largest id keep the line. Ids are integers
+    above the least long. An empty table gives an empty table; other columns stay, except those named n_lines and n_dropped.
     """
     base = without(df, *OWN)
     rows = base.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`"))

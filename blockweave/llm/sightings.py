@@ -22,6 +22,8 @@ from .common import release
 FLUSH, CHUNK = 400_000, 32_768
 #: Bits (held as bytes, for speed) of a filter for each entry, and bits set for each fingerprint.
 BITS, HASHES = 10, 4
+#: Stands for documents that a task has passed on itself.
+MARK = np.int64(np.iinfo(np.int64).min)
 SENT = "shard int, kind int, fps binary, rest binary, docs binary"
 
 
@@ -32,6 +34,17 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def planes(a: np.ndarray) -> bytes:
+    """The bytes of numbers by place: first all lowest bytes, and so on, which compress where high bytes are alike."""
+    return np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
+
+
+def numbers(blob: bytes, kind) -> np.ndarray:
+    """The inverse of ``planes``."""
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+
+
 def _places(fps: np.ndarray, size: int) -> np.ndarray:
     a = mixed(fps)
     b = mixed(a) | np.uint64(1)
@@ -50,8 +63,8 @@ def packed(fps: np.ndarray, rest: np.ndarray, docs: np.ndarray, shards: int) ->
     at = np.flatnonzero(own)
     for i in range(0, len(at), CHUNK):  # any shard may carry these, so they go to one by their first document
         k = at[i : i + CHUNK]
-        yield int(mixed(docs[k[:1]].view(np.uint64))[0] % np.uint64(shards)), 1, fps[k].tobytes(), rest[k].tobytes() if len(rest) else b"", docs[k].tobytes()
-    f, d = fps[starts], np.where(twice, np.int64(-1), docs[starts])
+        yield int(mixed(docs[k[:1]].view(np.uint64))[0] % np.uint64(shards)), 1, planes(fps[k]), planes(rest[k]) if len(rest) else b"", planes(docs[k])
+    f, d = fps[starts], np.where(twice, MARK, docs[starts])
     r = rest[starts] if len(rest) else rest
     to = (mixed(f) >> np.uint64(33)) % np.uint64(shards)
     by = np.argsort(to, kind="stable")
@@ -59,7 +72,7 @@ def packed(fps: np.ndarray, rest: np.ndarray, docs: np.ndarray, shards: int) ->
     i = 0
     for e in ends:
         k = by[i:e]
-        yield int(to[k[0]]), 0, f[k].tobytes(), r[k].tobytes() if len(r) else b"", d[k].tobytes()
+        yield int(to[k[0]]), 0, planes(f[k]), planes(r[k]) if len(r) else b"", planes(d[k])
         i = e
 
 
@@ -93,7 +106,7 @@ def sender(of_batch: Callable[[pa.RecordBatch], tuple], shards: int):
 def _told(t: pa.Table) -> pa.Table:
     """The sightings of one shard that may be repeats: fingerprint, rest and document."""
     rows = [
-        (kind, np.frombuffer(f, np.uint64), np.frombuffer(r, np.uint64), np.frombuffer(d, np.int64))
+        (kind, numbers(f, np.uint64), numbers(r, np.uint64), numbers(d, np.int64))
         for kind, f, r, d in zip(t["kind"].to_pylist(), t["fps"].to_pylist(), t["rest"].to_pylist(), t["docs"].to_pylist(), strict=True)
     ]
     size = max(1024, BITS * sum(len(f) for kind, f, _, _ in rows if kind == 0))
@@ -101,12 +114,12 @@ def _told(t: pa.Table) -> pa.Table:
     for kind, f, _, d in rows:
         if kind == 0:
             at = _places(f, size)
-            again = once[at].all(axis=0) | (d < 0)
+            again = once[at].all(axis=0) | (d == MARK)
             twice[at[:, again]] = True
             once[at] = True
     found = []
     for kind, f, r, d in rows:
-        keep = np.ones(len(f), bool) if kind else twice[_places(f, size)].all(axis=0) & (d >= 0)
+        keep = np.ones(len(f), bool) if kind else twice[_places(f, size)].all(axis=0) & (d != MARK)
         found.append((f[keep], r[keep] if len(r) else np.zeros(int(keep.sum()), np.uint64), d[keep]))
     f, r, d = (np.concatenate(x) for x in zip(*found, strict=True))
     del rows, found, once, twice

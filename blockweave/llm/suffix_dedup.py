@@ -14,13 +14,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bwt
 from .common import boxed, pieces_for, release, text_bytes, without, written
 from .shingles import _BYTE, _POWERS, mix
-from .sightings import SENT, repeats, sender
+from .sightings import SENT, numbers, planes, repeats, sender
 
 ANCHOR = 16
 #: Bytes of text for a shard of the filters and for a bucket of contexts.
@@ -128,12 +129,12 @@ def _dealt(strings: list[bytes], own, docs, keys, first, end, offs, fps, buckets
         u = by[a:b]
         s = starts[u]
         rows.append(
-            (int(to[u[0]]), 0, fps[s].tobytes(), offs[s].astype(np.int32).tobytes(), (end[s] - first[s]).astype(np.int32).tobytes(), b"".join([strings[i] for i in u.tolist()]), docs[s].tobytes(), counts[a:b].astype(np.int32).tobytes(), p_keys[x:y].tobytes(), p_starts[x:y].tobytes())
+            (int(to[u[0]]), 0, planes(fps[s]), planes(offs[s].astype(np.int32)), planes((end[s] - first[s]).astype(np.int32)), b"".join([strings[i] for i in u.tolist()]), planes(docs[s]), planes(counts[a:b].astype(np.int32)), planes(p_keys[x:y]), planes(p_starts[x:y]))
         )
     gone = np.flatnonzero(~stay)
     for i in range(0, len(gone), 50_000):
         g = gone[i : i + 50_000]
-        rows.append((int(keys[g[0]]) % buckets, 1, b"", b"", b"", b"", keys[g].tobytes(), b"", first[g].tobytes(), end[g].tobytes()))
+        rows.append((int(keys[g[0]]) % buckets, 1, b"", b"", b"", b"", planes(keys[g]), b"", planes(first[g]), planes(end[g])))
     cols = list(zip(*rows, strict=True)) or [()] * 10
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[2:]]], ["bucket", "kind", *_ASKED])
 
@@ -173,7 +174,7 @@ def _solve(length: int):
         index: dict[bytes, int] = {}
         own, docs, counts, keys, starts, fps, offs, done = [], [], [], [], [], [], [], []
         for kind, *blobs in zip(*[t[k].to_pylist() for k in ("kind", *_ASKED)], strict=True):
-            arrays = [np.frombuffer(x, d) for x, d in zip(blobs, (np.uint64, np.int32, np.int32, np.uint8, np.int64, np.int32, np.int64, np.int64), strict=True)]
+            arrays = [numbers(x, d) for x, d in zip(blobs, (np.uint64, np.int32, np.int32, np.uint8, np.int64, np.int32, np.int64, np.int64), strict=True)]
             if kind:
                 done.append(np.stack([arrays[4], arrays[6], arrays[7]]))
                 continue
@@ -238,7 +239,12 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     buckets = pieces_for(nbytes, BUCKET_BYTES)
     asked = texts.mapInArrow(_contexts(min_bytes, buckets), "bucket int, kind int, " + ", ".join(f"{c} binary" for c in _ASKED))
     spans = asked.groupBy("bucket").applyInArrow(_solve(min_bytes), "key long, s long, e long").union(copies.select(F.col("copy").alias("key"), "s", "e"))
-    spans = written(spans.distinct().groupBy("key").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans")).withColumnRenamed("key", "_of"), "repeat-spans")
+    # Spans of a row that touch are joined: a row's are in order of their start, and a gap to all before starts a new one.
+    w = W.partitionBy("key").orderBy("s", "e")
+    before = F.max("e").over(w.rowsBetween(W.unboundedPreceding, -1))
+    spans = spans.withColumn("new", (before.isNull() | (F.col("s") > before)).cast("int")).withColumn("run", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    spans = spans.groupBy("key", "run").agg(F.min("s").alias("s"), F.max("e").alias("e")).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans"))
+    spans = written(spans.withColumnRenamed("key", "_of"), "repeat-spans")
     size = spans.agg(F.sum(F.size("spans") * 16 + 16)).first()[0] or 0
     given = F.broadcast(spans) if size <= sent_bytes else spans.hint("shuffle_hash")
     columns = without(df, *OWN).columns

@@ -48,6 +48,8 @@ def test_line_dedup_nulls_and_empty_table(spark):
     got = dedup_lines(documents(spark, rows)).select("doc_id", "text", "n_dropped").collect()
     same(got, [(d, t, 0) for d, t in rows])
     assert dedup_lines(documents(spark, [])).count() == 0
+    below = [(-i, LINE) for i in range(1, 8)]
+    same(dedup_lines(documents(spark, below)).select("doc_id", "n_dropped").collect(), [(d, int(d < -1)) for d, _ in below])
 
 
 def test_filters_miss_no_repeat():
