@@ -47,12 +47,21 @@ def labels(vectors: DataFrame, eps: float, min_samples: int, near: DataFrame | N
         done = shared_table(jump, "roots")
         changed = done.filter("c != new").limit(1).count()
         root = done.select("i", F.col("new").alias("c"))
-    numbered = root.join(root.select("c").distinct().withColumn("cluster", (F.dense_rank().over(W.orderBy("c")) - 1).cast("long")), "c").select("i", "cluster")
+    numbered = root.join(_numbered(root.select("c").distinct()), "c").select("i", "cluster")
     border = near.join(cores.withColumnRenamed("i", "j"), "j", "left_semi").join(numbered.withColumnRenamed("i", "j"), "j").groupBy("i").agg(F.min("cluster").alias("border"))
     out = vectors.select(F.col("id").alias("i")).join(numbered, "i", "left").join(border, "i", "left")
     return out.select(F.col("i").alias("id"), F.coalesce("cluster", "border", F.lit(-1)).cast("long").alias("cluster"))
 
 
+def _numbered(roots: DataFrame) -> DataFrame:
+    """(c, cluster): the place of each root in their order, counted by ranges so that no task sees all of them."""
+    parts = shared_table(roots.repartitionByRange("c").withColumn("part", F.spark_partition_id()), "ranges")
+    sizes = parts.groupBy("part").agg(F.count("*").alias("n"))  # a row a range
+    before = sizes.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
+    place = F.row_number().over(W.partitionBy("part").orderBy("c")) - 1
+    return parts.withColumn("place", place).join(F.broadcast(before), "part").select("c", (F.col("before") + F.col("place")).cast("long").alias("cluster"))
+
+
 def blocks(labelled: DataFrame, noise: str = "block") -> DataFrame:
     """(block_id, id): a block a cluster. Noise is a block of its own, or dropped with ``noise='drop'``."""
     kept = labelled if noise == "block" else labelled.filter("cluster >= 0")
