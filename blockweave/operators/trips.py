@@ -19,8 +19,9 @@ def trips(points: DataFrame) -> DataFrame:
 
 
 def timed(points: DataFrame, tz: str = "Europe/Lisbon") -> DataFrame:
-    """The trips with time, date and hour of their first point in ``tz``. The session's zone is to be UTC."""
-    local = F.from_utc_timestamp(F.timestamp_seconds("t0"), tz)
+    """The trips with time, date and hour of their first point in ``tz``, whatever the session's zone."""
+    utc = F.expr("timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, t0)")
+    local = F.convert_timezone(F.lit("UTC"), F.lit(tz), utc)
     return trips(points).withColumn("time", local).withColumns({"date": F.to_date("time"), "hour": F.hour("time")})
 
 
@@ -86,8 +87,8 @@ def speed_info(kin: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def cell_hours(kin: DataFrame, grid: Grid) -> DataFrame:
-    """Mean and population variance of speed and turning speed for each cell and each of 24 hours; null for none."""
-    k = assign(kin, grid).withColumn("hour", F.hour(F.timestamp_seconds("t")))
+    """Mean and population variance of speed and turning speed for each cell and each of 24 hours (of UTC); null for none."""
+    k = assign(kin, grid).withColumn("hour", F.floor(F.pmod("t", F.lit(86400)) / 3600).cast("int"))
     turning = F.when(F.col("is_turning"), F.col("speed"))
     stats = k.groupBy("cell_x", "cell_y", "hour").agg(F.avg("speed").alias("speed_mean"), F.var_pop("speed").alias("speed_var"), F.avg(turning).alias("turn_mean"), F.var_pop(turning).alias("turn_var"))
     spine = stats.select("cell_x", "cell_y").distinct().select("cell_x", "cell_y", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour"))
