@@ -40,21 +40,30 @@ def duplicate_pairs(entities: DataFrame, blocks: DataFrame) -> DataFrame:
     return _pairs(members(blocks).join(entities, "id"), "block_id", "label")
 
 
-def comparisons(blocks: DataFrame, distinct: bool) -> DataFrame:
-    """One row with b: pairs over all blocks, each block's counted (from its size alone) or distinct."""
-    if distinct:
-        return _pairs(members(blocks), "block_id").agg(F.count("*").cast("double").alias("b"))
-    sizes = members(blocks).groupBy("block_id").agg(F.count("*").alias("size"))
-    return sizes.agg(F.coalesce(F.sum(_choose2(F.col("size"))), F.lit(0.0)).alias("b"))
+def pair_counts(m: DataFrame, keys: list[str], by: list[str], distinct: bool = True) -> DataFrame:
+    """(by..., n): pairs of ids that share ``keys``, from the groups' sizes; ``distinct`` counts a pair of several groups
+    once. Only pairs of ids that are both in several groups can repeat, so no others are ever made."""
+    sizes = m.groupBy(*by, *keys).agg(F.count("*").alias("size"))
+    total = sizes.groupBy(*by).agg(F.coalesce(F.sum(_choose2(F.col("size"))), F.lit(0.0)).alias("n"))
+    if not distinct:
+        return total
+    several = m.groupBy(*by, "id").agg(F.count("*").alias("groups")).filter("groups > 1")
+    some = m.join(several.drop("groups"), [*by, "id"], "left_semi")
+    on = [*by, *keys]
+    left, right = some.select(*on, F.col("id").alias("i")), some.select(*on, F.col("id").alias("j"))
+    again = left.join(right, on).filter("i < j").groupBy(*by, "i", "j").agg((F.count("*") - 1).alias("more")).groupBy(*by).agg(F.sum("more").alias("more"))
+    both = total.join(again, by, "left") if by else total.crossJoin(again)  # one row each
+    return both.select(*by, (F.col("n") - F.coalesce("more", F.lit(0))).alias("n"))
 
 
 def evaluate(entities: DataFrame, blocks: DataFrame, distinct: bool = False) -> DataFrame:
     """One row (pc, pq, rr, db, b). Ratios without a denominator are 0; without blocks all five are 0."""
     blocks = shared_table(members(blocks), "members")  # read by each of the counts below
     expected = label_frequency(entities).agg(F.coalesce(F.sum(_choose2(F.col("n"))), F.lit(0.0)).alias("de"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-    db = duplicate_pairs(entities, blocks).agg(F.count("*").cast("double").alias("db"))
+    db = pair_counts(blocks.join(entities, "id"), ["block_id", "label"], []).withColumnRenamed("n", "db")
+    b = pair_counts(blocks, ["block_id"], [], distinct).withColumnRenamed("n", "b")
     some = blocks.select(F.lit(1).alias("x")).limit(1).agg((F.count("*") > 0).alias("some"))
-    r = expected.crossJoin(db).crossJoin(comparisons(blocks, distinct)).crossJoin(some)  # one row each
+    r = expected.crossJoin(db).crossJoin(b).crossJoin(some)  # one row each
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     r = r.select(
         ratio(F.col("db"), F.col("de")).alias("pc"),
@@ -69,13 +78,10 @@ def evaluate(entities: DataFrame, blocks: DataFrame, distinct: bool = False) ->
 
 def evaluate_configs(entities: DataFrame, blocks: DataFrame, config: str = "config_id") -> DataFrame:
     """``evaluate`` with redundant comparisons for many block collections at once, one row for each ``config``."""
-    m = blocks.select(config, "block_id", "id").dropDuplicates()
-    sizes = m.groupBy(config, "block_id").agg(F.count("*").alias("size"))
-    b = sizes.groupBy(config).agg(F.sum(_choose2(F.col("size"))).alias("b"), F.count("*").alias("blocks"))
-    lab = m.join(entities, "id")
-    keys = [config, "block_id", "label"]
-    left, right = lab.select(*keys, F.col("id").alias("i")), lab.select(*keys, F.col("id").alias("j"))
-    db = left.join(right, keys).filter("i < j").select(config, "i", "j").dropDuplicates().groupBy(config).agg(F.count("*").cast("double").alias("db"))
+    m = shared_table(blocks.select(config, "block_id", "id").dropDuplicates(), "members")
+    blocks_of = m.groupBy(config).agg(F.count_distinct("block_id").alias("blocks"))
+    b = pair_counts(m, ["block_id"], [config], distinct=False).withColumnRenamed("n", "b").join(blocks_of, config)
+    db = pair_counts(m.join(entities, "id"), ["block_id", "label"], [config]).withColumnRenamed("n", "db")
     de = label_frequency(entities).agg(F.sum(_choose2(F.col("n"))).alias("de"), F.sum("n").alias("n"))
     r = b.join(db, config, "left").crossJoin(de)
     d = F.coalesce("db", F.lit(0.0))
