@@ -1,9 +1,10 @@
 """Quality rules by distribution divergence, in DataFrame functions only.
 
 Base rules look at a text alone: too few words, or too many words in repeated five-word windows. The method
-compares two histograms of each text with references of its language, learnt from all documents: shares of
-character classes, and shares of the language's most common words. The distance is Jensen-Shannon's (the square
-root of the divergence to base 2, so between 0 and 1). Texts too short for a histogram to mean anything pass.
+compares two histograms of each text with references of its language: shares of character classes, and shares of
+the language's most common words. The references are learnt from all documents that pass the base rules, each
+distinct text once, so that copies do not set the norm. The distance is Jensen-Shannon's (the square root of the
+divergence to base 2, so between 0 and 1). Texts too short for a histogram to mean anything pass.
 """
 
 from __future__ import annotations
@@ -98,13 +99,29 @@ def _measured(df: DataFrame, text_col: str, lang_col: str | None) -> DataFrame:
     )
 
 
-def references(df: DataFrame, text_col: str = "text", lang_col: str | None = "lang", top_words: int = 32) -> DataFrame:
+def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
+    """The base rules: fewer than ten words, or more than a fifth of them in repeated windows."""
+    return (n_words < 10) | (100 * n_repeat_words > 20 * n_words)
+
+
+def _norm(df: DataFrame, text_col: str, lang_col: str | None) -> DataFrame:
+    """_lang, _words and _classes of each distinct text of a language that passes the base rules."""
+    lang = language_of(F.col(f"`{lang_col}`")) if lang_col else F.lit("und")
+    # Copies meet in partial sums of their task, so a text in a third of all rows is one row a task.
+    texts = df.select(F.col(f"`{text_col}`").alias("text"), lang.alias("lang")).distinct()
+    m = _measured(texts, "text", "lang")
+    m = m.filter(~base_failed(F.size("_words"), repeated_words(F.col("_words"))))
+    return written(m.select("_lang", "_words", "_classes"), "language-texts")
+
+
+def references(df: DataFrame, text_col: str = "text", lang_col: str | None = "lang", top_words: int = 32, every_row: bool = False) -> DataFrame:
     """One row a language: shares of the character classes and its most common words with their shares.
 
-    Every text counts. Words are lower-cased as Spark does, at most 24 characters long and without commas; equal
+    Each distinct text of a language that passes the base rules counts once; a language without one has no row. With
+    ``every_row`` all rows count, copies and failed ones too. Words are lower-cased as Spark does, at most 24 characters long and without commas; equal
     counts go by the word. The table has at most 18,279 rows of at most 32 short words, so it may be broadcast at any input size.
     """
-    m = _measured(df, text_col, lang_col)
+    m = _measured(df, text_col, lang_col) if every_row else _norm(df, text_col, lang_col)
     classes = m.groupBy("_lang").agg(*[F.sum(F.col("_classes")[i]).alias(f"c{i}") for i in range(len(CLASSES))])
     words = written(m.select("_lang", F.explode("_words").alias("w")).groupBy("_lang", "w").count(), "language-words")
     classes = classes.join(words.groupBy("_lang").agg(F.sum("count").alias("n")), "_lang", "left")
@@ -147,7 +164,7 @@ def quality_rules(
 
     A null or empty text has no words, fails the base and is not kept; its distances are 0. Texts below ``min_chars``
     characters of words have no class distance and those below ``min_words`` words no word distance (both 0): the
-    guards keep short clean texts. A null or odd language counts as ``und``. Rows are judged one by one, so repeated
+    guards keep short clean texts. So have all texts of a language without a reference. A null or odd language counts as ``und``. Rows are judged one by one, so repeated
     rows get the same verdict; an empty table gives none. Columns of these names in ``df`` are replaced.
     """
     refs = references(df, text_col, lang_col) if refs is None else refs
@@ -167,7 +184,7 @@ def quality_rules(
         F.when(F.col("word_chars") >= min_chars, js_distance(classes, F.col("_ref_classes"))).otherwise(0.0).alias("class_distance"),
         F.when(n >= min_words, let(seen, lambda s: js_distance(rest(s), rest(F.col("_ref_shares"))))).otherwise(0.0).alias("word_distance"),
     )
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
     fits = (F.col("class_distance") <= max_class_distance) & (F.col("word_distance") <= max_word_distance)
     return m.select(
         *[F.col("_row")[c].alias(c) for c in without(df, *OWN).columns],

@@ -185,6 +185,26 @@ def test_rules_keep_good_and_reject_junk(spark):
     assert share[1] > 0.995 and share[0] < 0.1
 
 
+@pytest.mark.parametrize("failed", [True, False])
+def test_clean_documents_survive_a_junk_group(spark, failed):
+    d = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{d}/documents.parquet").filter("doc_id < 3000").select("doc_id", "text", "lang")
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    of = quality_rules(docs).join(labels, "doc_id").filter("lang = 'en' and quality = 0 and n_words >= 100")
+    junk = of.filter(F.col("base_failed") == failed).orderBy("doc_id").first()
+    copies = spark.range(1500).select((F.col("id") + 1_000_000).alias("doc_id"), F.lit(junk["text"]).alias("text"), F.lit("en").alias("lang"))
+    got = quality_rules(docs.union(copies))
+    clean = got.join(labels, "doc_id").filter("quality = 1 and n_words >= 40 and not base_failed")
+    assert clean.agg(F.avg(F.col("kept").cast("int"))).first()[0] > 0.995
+    assert got.filter("doc_id >= 1000000 and kept").count() == 0
+
+
+def test_a_language_of_failed_texts_only(spark):
+    rows = [(1, "word " * 300), (2, None), (3, "one two")]
+    got = quality_rules(documents(spark, rows)).select("doc_id", "base_failed", "class_distance", "word_distance", "kept").collect()
+    same(got, [(d, True, 0.0, 0.0, False) for d, _ in rows])
+
+
 def test_rules_empty_table(spark):
     assert quality_rules(documents(spark, [])).count() == 0
 
