@@ -44,18 +44,19 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     """``df`` with its repeated lines taken out of ``text_col``, and n_lines (before) and n_dropped.
 
     A line's key is the line without white space at both ends, A-Z lower-cased. A key of at least ``min_chars`` code
-    points that at least ``min_docs`` rows hold loses all its lines except in the row with the largest id.
+    points that at least ``min_docs`` ids hold loses all its lines except in the row with the largest id.
 
     Null and empty texts are one empty line and become empty. Rows without an id neither count nor lose lines. Rows
-    that repeat an id count each, and all rows with the largest id keep the line. Ids are integers
-    above the least long. An empty table gives an empty table; other columns stay, except those named n_lines and n_dropped.
+    that repeat an id count once, and all rows with the largest id keep the line. Ids are integers above the least
+    long. An empty table gives an empty table; other columns stay, except those named n_lines and n_dropped.
     """
     base = without(df, *OWN)
     rows = base.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`"))
     shards = pieces_for(text_bytes(rows, text_col), SHARD_BYTES)
     sent = rows.mapInArrow(sender(lambda b: _keys(b, min_chars), shards), SENT)
     suspects = written(repeats(sent), "line-repeats")
-    held = suspects.groupBy("fp", "rest").agg(F.count("*").alias("n"), F.max("doc").alias("last")).filter(F.col("n") >= min_docs)
+    # Rows that repeat an id count once, however they fell into tasks.
+    held = suspects.distinct().groupBy("fp", "rest").agg(F.count("*").alias("n"), F.max("doc").alias("last")).filter(F.col("n") >= min_docs)
     hexed = F.lower(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("fp", "rest")]))
     drops = suspects.join(held, ["fp", "rest"]).filter(F.col("doc") < F.col("last")).groupBy("doc").agg(F.collect_set(hexed).alias("_drops"))
     texts = F.coalesce(F.col("_row")[text_col], F.lit(""))

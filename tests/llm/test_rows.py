@@ -52,6 +52,16 @@ def test_line_dedup_nulls_and_empty_table(spark):
     same(dedup_lines(documents(spark, below)).select("doc_id", "n_dropped").collect(), [(d, int(d < -1)) for d, _ in below])
 
 
+@pytest.mark.parametrize("flush", [1, 400_000])
+def test_line_dedup_counts_ids(spark, monkeypatch, flush):
+    rows = [(7, LINE)] * 4 + [(9, LINE)] + [(i, LINE + " again") for i in (1, 1, 2, 3, 4, 5)]
+    monkeypatch.setattr(sightings, "FLUSH", flush)
+    docs = documents(spark, rows)
+    for df in (docs.coalesce(1), docs.repartition(5)):
+        got = dedup_lines(df).select("doc_id", "n_dropped").collect()
+        same(got, [(d, int(d < 5)) for d, _ in rows])
+
+
 def test_filters_miss_no_repeat():
     rng = np.random.default_rng(1)
     fps = np.r_[rng.integers(0, 2**63, 5000), np.repeat(rng.integers(0, 2**63, 300), 4), np.full(900, 7)].astype(np.uint64)
