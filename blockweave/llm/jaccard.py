@@ -178,7 +178,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     plain = x.join(y, (x["fp"] == y["fp"]) & passes).select(F.least("x_doc", "y_doc").alias("x_doc"), F.greatest("x_doc", "y_doc").alias("y_doc"), least.cast("int").alias("least"))
     # In a large one the members lie in blocks of bounded size, those of its largest component apart, for two of these
     # need no look; and pairs whose counts of tokens by bin do not allow the overlap are never made.
-    many = c.filter(F.col("size") > BLOCK_DOCS).join(some.select("doc", "sig").dropDuplicates(["doc"]), "doc")
+    many = c.filter(F.col("size") > BLOCK_DOCS).join(_signatures(some), ["doc", "n"])
     block = F.pmod(F.xxhash64("doc"), F.floor(F.col("size") / BLOCK_DOCS) + 1)
     held = many.groupBy("fp", (F.col("c") == F.col("main")).alias("main"), block.alias("block")).agg(F.collect_list(F.struct("doc", "at", "m", "n", "c", "sig")).alias("rows"))
     held = written(held, "shingle-blocks")
@@ -186,7 +186,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     y = held.select("fp", "main", F.col("block").alias("yb"), F.col("rows").alias("ys"))
     met = x.join(y, "fp").filter("main or xb <= yb").select((~F.col("main") & (F.col("xb") == F.col("yb"))).alias("same"), "xs", "ys")
     shared = met.mapInArrow(lambda batches: _met(batches, num, den), "x_doc long, y_doc long, least int")
-    pairs2 = shared.union(plain).groupBy("x_doc", "y_doc").agg(F.count("*").alias("shared"), F.first("least").alias("least")).filter("shared >= least")
+    pairs2 = shared.union(plain).groupBy("x_doc", "y_doc").agg(F.count("*").alias("shared"), F.min("least").alias("least")).filter("shared >= least")
     pairs2 = pairs2.select(F.least("x_doc", "y_doc").alias("a"), F.greatest("x_doc", "y_doc").alias("b"))
     pairs2 = written(pairs2.join(pairs, ["a", "b"], "left_anti"), "shingle-pairs")
     more = linked(rows, pairs2, k, num, den)
@@ -214,6 +214,13 @@ def signature(s: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount((s & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8)
 
 
+def _signatures(sets: DataFrame) -> DataFrame:
+    """(doc, n, sig) for the sets of each id by size. Sets of one id and size with different signatures get the one that
+    allows any overlap."""
+    one = F.when(F.min("sig") == F.max("sig"), F.max("sig")).otherwise(F.lit(b"\xff" * BINS))
+    return sets.groupBy("doc", "n").agg(one.alias("sig"))
+
+
 def bound(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """No smaller than the overlap of the sets of each pair of signatures: the sum of the lesser counts."""
     low = np.minimum(x, y).astype(np.int64)

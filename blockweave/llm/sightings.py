@@ -52,13 +52,17 @@ def _places(fps: np.ndarray, size: int) -> np.ndarray:
 
 
 def packed(fps: np.ndarray, rest: np.ndarray, docs: np.ndarray, shards: int) -> Iterator[tuple]:
-    """Rows of SENT for one flush. ``rest`` is 8 more bytes of each fingerprint, or empty."""
+    """Rows of SENT for one flush. ``rest`` is 8 more bytes of each fingerprint, or empty; sightings in one document stay
+    apart where it differs."""
     order = np.argsort(fps, kind="stable")
     fps, docs, rest = fps[order], docs[order], rest[order] if len(rest) else rest
     starts = np.flatnonzero(np.r_[True, fps[1:] != fps[:-1]])
     counts = np.diff(np.r_[starts, len(fps)])
     lows, highs = np.minimum.reduceat(docs, starts), np.maximum.reduceat(docs, starts)
-    twice = (counts > 1) & (lows != highs)
+    differ = lows != highs
+    if len(rest):
+        differ |= np.minimum.reduceat(rest, starts) != np.maximum.reduceat(rest, starts)
+    twice = (counts > 1) & differ
     own = np.repeat(twice, counts)
     at = np.flatnonzero(own)
     for i in range(0, len(at), CHUNK):  # any shard may carry these, so they go to one by their first document

@@ -4,9 +4,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from blockweave.llm import jaccard
+from blockweave.llm import jaccard, sightings
 from blockweave.llm.graph import components
 from blockweave.llm.shingles import shingle_sets
 
@@ -138,3 +139,28 @@ def test_groups_of_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK_DOCS", 6)
     rows = near_copies(80, 90, 12, 8) + [(5000 + d, t + " and some more") for d, t in near_copies(30, 200, 9, 9)]
     same(jaccard.jaccard_components(documents(spark, rows), k=3, num=90, den=100).collect(), brute(rows, 3, 90, 100))
+
+
+@pytest.mark.parametrize("block", [6, 128])
+def test_ids_with_different_texts(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK_DOCS", block)
+    rows = near_copies(80, 90, 12, 8)
+    rng = random.Random(4)
+    cut = lambda t: " ".join(t.split()[: rng.randrange(45, 90)])
+    rows += [(d, cut(t)) for d, t in rows[::2]] + [(d, " ".join(f"u{d}x{rng.randrange(300)}" for _ in t.split())) for d, t in rows[1::2]]
+    same(jaccard.jaccard_components(documents(spark, rows), k=3, num=90, den=100).collect(), brute(rows, 3, 90, 100))
+
+
+def test_signatures_of_an_id_with_two_sets(spark):
+    a, b = (jaccard.signature(np.arange(s, s + 40, dtype=np.uint64)).tobytes() for s in (0, 100))
+    rows = [(7, 40, a), (7, 40, b), (7, 41, a), (9, 40, b), (9, 40, b)]
+    got = {(r["doc"], r["n"]): bytes(r["sig"]) for r in jaccard._signatures(spark.createDataFrame(rows, "doc long, n long, sig binary")).collect()}
+    assert got == {(7, 40): b"\xff" * jaccard.BINS, (7, 41): a, (9, 40): b}
+    assert jaccard.bound(*(np.frombuffer(got[k], np.uint8)[None] for k in ((7, 40), (9, 40))))[0] >= 40
+
+
+def test_sets_of_an_id_keep_their_places():
+    fps, rest, docs = np.array([5, 5], np.uint64), np.array([1, 2], np.uint64), np.array([7, 7], np.int64)
+    sent = [r for part in ((fps, rest, docs), (fps[:1], rest[:1] + np.uint64(2), docs[:1] + 2)) for r in sightings.packed(*part, 1)]
+    told = sightings._told(pa.table({k: pa.array([r[i] for r in sent]) for i, k in enumerate(("shard", "kind", "fps", "rest", "docs"))}))
+    assert sorted(zip(told["doc"].to_pylist(), told["rest"].to_pylist(), strict=True)) == [(7, 1), (7, 2), (9, 3)]
