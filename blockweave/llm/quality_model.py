@@ -106,6 +106,9 @@ def quality_model(
 ) -> DataFrame:
     """One row for each row of ``df``: doc_id, n_words, evidence, host_posterior, path_posterior, quality and kept.
 
+    documents has no URL, so by default its source stands for the host and its lang for the path: path_posterior is
+    then that of a language within a source.
+
     The classifier is fitted to at most ``max_labels`` labelled documents, those with the least hash of their id; all
     else (scores, means, strengths, posteriors) covers every row. Without labels of both kinds the evidence is 0.5 and
     everything is kept. Null hosts and paths are groups of their own; null and empty texts have no words. Labels with
