@@ -1,16 +1,21 @@
 """Main text of web pages, with each site's template taken out.
 
-A page is read once into elements and blocks of text. Tags and names say what is menu, header, footer, sidebar,
-notice, advert, form, script, style or reader comment. Beyond names, every element subtree gets a hash (tags and
-text, not attributes) with its host; Spark counts per host in how many pages of different main text each hash stands,
-and subtrees that recur across many of them are template and go too. Copies of one page count once, so copied
-articles do not pass for template; inside an article, paragraphs, headings and list items are content and stay.
+A page is read once into elements and blocks of text. The text of ``main`` is kept, or else that of articles, with
+headings and paragraphs right beside either; a page without both keeps all. Tags and roles say what is menu, header,
+footer, sidebar, form or dialog; whole class and id names say what else is notice, advert or reader comment. A name
+never takes away an element that holds ``main``, nor the only article. Beyond names, every element subtree gets a hash
+(tags and text, not attributes) with its host; Spark counts per host in how many pages of different main text each
+hash stands, and subtrees that recur across many of them are template and go too. Copies of one page count once, so
+copied articles do not pass for template; inside an article, paragraphs, headings and list items are content and stay.
+
+Reading is linear in the page whatever its markup: a failed search for an end is never made twice.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,92 +31,176 @@ SENT_HASHES = 500_000
 # Element names by their role in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math object canvas select".split())
-DROPPED = frozenset("nav footer aside form menu dialog button head".split())
+ENDLESS = frozenset("script style textarea title".split())
+HARD = frozenset("nav footer aside menu button head".split())
+SOFT = frozenset("form dialog".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figcaption".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CONTENT = HEADINGS | frozenset("p li blockquote pre td th dd dt figcaption".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|adbox|adslot|promo|promos|promotion|sponsor|sponsored|banner|cookies?|consent|gdpr|notice|notices|notification|popup|modal|overlay"
-    r"|newsletter|subscribe|subscription|signup|login|sidebar|rail|widget|widgets|related|recommended|recommendations|share|sharing|social|comments?|commentlist|disqus|replies|respond"
-    r"|breadcrumbs?|menu|nav|navbar|navigation|topbar|footer|masthead|pagination|pager|toolbar|skip)(?:$|[\s_-])",
-    re.I,
+# Words that name boilerplate where they head a class or id name, those of reader comments, words that
+# may follow such a word, and words that make a name one of a state.
+ADVERTS = frozenset("ad ads advert adverts advertisement advertisements advertising adsense adbox adslot sponsor sponsored share sharing social skip".split())
+WORDS = ADVERTS | frozenset(
+    "promo promos promotion banner cookie cookies consent gdpr notice notices notification notifications alert alerts popup modal overlay newsletter subscribe subscription signup login search searchbox"
+    " sidebar rail widget widgets related recommended recommendations breadcrumb breadcrumbs menu nav navbar navigation topbar footer masthead pagination pager toolbar".split()
 )
-PAGE_HEADER = re.compile(r"(?:^|[\s_-])(?:header|site-?header|page-?header)(?:$|[\s_-])", re.I)
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^'">]|"[^"]*"|'[^']*')*)>""")
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|itemprop)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-
+COMMENTS = frozenset("comment comments commentlist disqus replies respond".split())
+PAGE_HEADER = frozenset("header siteheader pageheader topheader".split())
+TAIL = frozenset(
+    "area articles bar block body bottom box btn button buttons col column container content desktop form group holder icons inner item items left link links list main mobile module news outer panel posts primary reading"
+    " region right row secondary section slot stories top unit widget widgets wrap wrapper".split()
+)
+STATES = frozenset("no not non has have with without is are open opened closed enabled disabled active inactive allowed visible collapsed expanded".split())
 
-class _Element:
-    __slots__ = ("tag", "parts", "gone", "article", "first", "holds")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_VALUE = r"""\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+"""
+_TAG = re.compile(rf"""<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>=]++(?:{_VALUE})?+|=)*+)>""")
+_ATTR = re.compile(r"""([^\s/>=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+""")
+_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
+_TOLD = frozenset("class id role hidden aria-hidden itemprop".split())
+# Why an element goes: its tag, its role or name (given up where it holds the main text), or as reader comments.
+STAYS, BY_TAG, BY_NAME, BY_COMMENT = range(4)
 
-    def __init__(self, tag: str, gone: bool, article: bool, first: int):
-        self.tag, self.parts, self.gone, self.article, self.first, self.holds = tag, [], gone, article, first, False
 
+@lru_cache(65536)
+def named(name: str) -> str:
+    """The word that heads a class or id name, if it names boilerplate or a header; otherwise an empty string.
 
-def _named(tag: str, attributes: str, article: bool) -> tuple[bool, bool]:
-    """Whether the element's role or names say that it goes, and whether they say that it is the main text."""
-    if not attributes or attributes.isspace():
-        return False, False
-    gone = main = False
+    The name is read as words; trailing words of position or kind do not count, and a name of a state has no head:
+    ``site-footer`` and ``footer__inner`` are headed by footer, ``share-article`` by none, nor ``has-banner``.
+    """
+    words = [w.lower() for w in _WORD.findall(name)]
+    if not words or not STATES.isdisjoint(words):
+        return ""
+    while len(words) > 1 and (words[-1] in TAIL or words[-1].isdigit()):
+        words.pop()
+    head = words[-1]
+    if head in WORDS or head in COMMENTS:
+        return head
+    return "header" if "".join(words[-2:]) in PAGE_HEADER or words == ["header"] else ""
+
+
+def _told(attributes: str) -> tuple[int, bool, frozenset]:
+    """Why an element of these attributes goes, whether they say that it is the main text, and the heads of its names."""
+    why, main, heads = STAYS, False, set()
     for name, value in _ATTR.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
+        name = name.lower()
+        if name not in _TOLD:
+            continue
+        value = value[1:-1] if value[:1] in ("'", '"') else value
         if name in ("class", "id"):
-            gone = gone or bool(NAMES.search(value)) or (not article and bool(PAGE_HEADER.search(value)))
+            heads.update(named(n) for n in value.split())
         elif name == "role":
-            gone, main = gone or value.lower() in ROLES, main or value.lower() == "main"
+            why, main = BY_NAME if value.lower() in ROLES else why, main or value.lower() == "main"
         elif name == "itemprop":
             main = main or value == "articleBody"
-        else:
-            gone = gone or name == "hidden" or value.lower() == "true"
-    return gone, main
+        elif name == "hidden" or value.lower() == "true":
+            why = BY_TAG
+    heads.discard("")
+    return why, main, frozenset(heads)
+
+
+class _Element:
+    __slots__ = ("tag", "parent", "why", "gone", "article", "main", "first", "parts", "has")
+
+    def __init__(self, tag: str, parent, why: int, article: bool, main: bool, first: int):
+        self.tag, self.parent, self.why, self.article, self.main, self.first = tag, parent, why, article, main, first
+        self.gone, self.parts, self.has = False, [], set()
 
 
 class Page:
-    """Blocks of text as [text, in an article, in main], and subtrees as (hash, first block, end, in an article, tag)."""
+    """Blocks of text as [text, element], which of them are kept, and subtrees as (hash, first block, end, in an article)."""
 
     def __init__(self, raw: str | None, host: str):
-        self.blocks: list[list] = []
+        self.blocks: list[tuple] = []
         self.trees: list[tuple] = []
         self._host = host
-        self._stack = [_Element("", False, False, 0)]
+        root = _Element("", None, STAYS, False, False, 0)
+        self._all = [root]
+        self._stack = [root]
+        self._open: dict[str, int] = {}
+        self._stray: set[str] = set()
         self._text: list[str] = []
-        self._main = 0
         self._read(raw or "")
         self._break()
         while len(self._stack) > 1:
             self._pop()
-        kind = 1 if any(b[1] for b in self.blocks) else 2 if any(b[2] for b in self.blocks) else 0
-        self.kept = [not kind or b[kind] for b in self.blocks]
+        self.kept = self._choose()
+
+    def _choose(self) -> list[bool]:
+        """Which blocks are main text, as far as tags and names tell."""
+
+        def settle():
+            for e in self._all[1:]:  # parents come before their children
+                e.gone = e.why != STAYS or e.parent.gone
+            return [e for e in self._all if not e.gone and e.main == "here"], [e for e in self._all if not e.gone and e.tag == "article"]
+
+        mains, articles = settle()
+        if not mains and not articles:
+            # The only article gives up names on it and around it; names on the article itself count for more.
+            found = [e for e in self._all if e.tag == "article" and not any(a.why in (BY_TAG, BY_COMMENT) for a in _up(e))]
+            for e in [x for x in found if x.why == STAYS] or ([] if any(not b[1].gone for b in self.blocks) else found):
+                for a in _up(e):
+                    a.why = STAYS
+            if not found and self.blocks and all(b[1].gone for b in self.blocks):
+                for e in self._all:
+                    if e.why == BY_NAME and {"h1", "p"} <= e.has:
+                        e.why = STAYS
+            mains, articles = settle()
+        if not mains and not articles:
+            return [not e.gone for _, e in self.blocks]
+        beside = {id(e.parent) for e in mains or articles}
+        inside = (lambda e: e.main) if mains else (lambda e: e.article)
+        return [not e.gone and bool(inside(e) or (e.tag in HEADINGS or e.tag == "p") and id(e.parent) in beside) for _, e in self.blocks]
 
     def _break(self) -> None:
         if self._text:
             text = " ".join("".join(self._text).split())
             self._text = []
-            if text and not self._stack[-1].gone:
-                self.blocks.append([text, self._stack[-1].article, self._main > 0])
+            if text:
+                self.blocks.append((text, self._stack[-1]))
 
     def _push(self, tag: str, attributes: str) -> None:
         top = self._stack[-1]
-        named, main = _named(tag, attributes, top.article)
-        gone = top.gone or tag in DROPPED or named and tag not in ("body", "html") or tag == "header" and not top.article
-        e = _Element(tag, gone, top.article or tag == "article" and not gone, len(self.blocks))
-        if (tag == "main" or main) and not gone:
-            self._main += 1
-            e.holds = True
+        why, main, heads = _told(attributes) if attributes and not attributes.isspace() else (STAYS, False, ())
+        if tag in ("body", "html"):
+            why = STAYS
+        elif tag in HARD:
+            why = BY_TAG
+        elif not COMMENTS.isdisjoint(heads):
+            why = why or BY_COMMENT
+        elif tag in SOFT or tag == "header" and not (top.article or top.main) or any(h != "header" or not (top.article or top.main) for h in heads):
+            why = why or BY_NAME
+        here = "here" if tag == "main" or main else top.main and "in"
+        e = _Element(tag, top, why, top.article or tag == "article", here, len(self.blocks))
+        self._all.append(e)
         self._stack.append(e)
+        self._open[tag] = self._open.get(tag, 0) + 1
+        self._stray.clear()
 
     def _pop(self) -> None:
         e = self._stack.pop()
-        if e.holds:
-            self._main -= 1
-        if not e.gone and e.parts:
+        self._open[e.tag] -= 1
+        self._stray.clear()
+        up = self._stack[-1]
+        if e.why in (BY_NAME, BY_COMMENT) and ("main" in e.has or e.tag == "form" and not e.has.isdisjoint(("h1", "article"))):
+            e.why = STAYS
+        if e.why != BY_TAG:
+            if e.main == "here" and e.why == STAYS:
+                up.has.add("main")
+            if e.tag in ("article", "h1", "p"):
+                up.has.add(e.tag)
+            up.has |= e.has
+        if e.why == STAYS and e.parts:
             h = xxhash.xxh3_64_intdigest(f"{self._host}\0{e.tag}\0" + "\1".join(e.parts)) >> 1
-            self._stack[-1].parts.append(str(h))
+            up.parts.append(str(h))
             if e.tag not in ("html", "body", "article", "main") and len(self.blocks) > e.first and not (e.article and e.tag in CONTENT):
                 self.trees.append((h, e.first, len(self.blocks), e.article))
+        e.parts = ()
 
     def _read(self, raw: str) -> None:
-        at, n, low = 0, len(raw), None
+        at, n, low, quotes, endless = 0, len(raw), None, True, set()
         while at < n:
             lt = raw.find("<", at)
             if lt < 0:
@@ -128,42 +217,59 @@ class Page:
                 end = raw.find(">", lt)
                 at = n if end < 0 else end + 1
                 continue
-            m = _TAG.match(raw, lt)
+            m = _NAME.match(raw, lt)
             if not m:
                 self._say("<")
                 at = lt + 1
                 continue
-            at, tag = m.end(), m[2].lower()
+            whole = _TAG.match(raw, lt) if quotes else None
+            if whole:
+                attributes, at = whole[3], whole.end()
+            else:
+                # Quotes that swallow the rest of the page do not count from here; a tag without an end is text.
+                quotes = False
+                end = raw.find(">", m.end())
+                if end < 0:
+                    self._say(raw[lt:])
+                    return
+                attributes, at = raw[m.end() : end], end + 1
+            tag = m[2].lower()
             if m[1]:
                 self._close(tag)
-                continue
-            if tag in RAW:
-                if not m[3].endswith("/"):
+            elif tag in RAW:
+                if not attributes.endswith("/") and tag not in endless:
                     low = raw.lower() if low is None else low
                     # Lower-casing may change lengths of odd letters; then the search goes by the text itself.
                     end = low.find(f"</{tag}", at) if len(low) == n else raw.find(f"</{tag}", at)
-                    end = n if end < 0 else raw.find(">", end)
-                    at = n if end < 0 else end + 1
+                    if end >= 0:
+                        end = raw.find(">", end)
+                        at = n if end < 0 else end + 1
+                    elif tag in ENDLESS:
+                        at = n
+                    else:  # never closed, so it hides nothing
+                        endless.add(tag)
                 self._text.append(" ")
-                continue
-            if tag in VOID:
-                self._break() if tag not in INLINE else self._text.append(" " if tag in ("br", "wbr") and tag == "br" else "")
-                continue
-            if tag not in INLINE:
+            elif tag in VOID:
+                if tag not in INLINE:
+                    self._break()
+                elif tag == "br":
+                    self._text.append(" ")
+            elif tag not in INLINE:
                 self._break()
                 if tag in CONTENT:  # such an element ends an open one of the kind
                     self._end_open(tag)
-                self._push(tag, m[3])
-            elif m[3] and _named(tag, m[3], True)[0] and not m[3].endswith("/"):
-                self._break()  # an inline element that goes by its name stands as an element
-                self._push(tag, m[3])
+                self._push(tag, attributes)
+            elif attributes and not attributes.isspace() and not attributes.endswith("/"):
+                why, _, heads = _told(attributes)
+                if why == BY_TAG or not (ADVERTS | COMMENTS).isdisjoint(heads):
+                    self._break()  # an inline element that goes by its name stands as an element
+                    self._push(tag, attributes)
 
     def _say(self, text: str) -> None:
         text = html.unescape(text) if "&" in text else text
         self._text.append(text)
-        top = self._stack[-1]
-        if not top.gone and not text.isspace():
-            top.parts.append(" ".join(text.split()))
+        if not text.isspace():
+            self._stack[-1].parts.append(" ".join(text.split()))
 
     def _end_open(self, tag: str) -> None:
         kind = ("p",) if tag not in ("li", "td", "th", "dd", "dt") else (tag, "p") if tag == "li" else ("td", "th", "dd", "dt", "p")
@@ -171,14 +277,16 @@ class Page:
             self._pop()
 
     def _close(self, tag: str) -> None:
-        for k in range(len(self._stack) - 1, 0, -1):
-            if self._stack[k].tag == tag:
-                self._break()
-                while len(self._stack) > k:
-                    self._pop()
-                return
-            if tag in CONTENT and self._stack[k].tag not in CONTENT:
-                break  # a stray end tag does not close what holds it
+        if self._open.get(tag) and tag not in self._stray:
+            for k in range(len(self._stack) - 1, 0, -1):
+                if self._stack[k].tag == tag:
+                    self._break()
+                    while len(self._stack) > k:
+                        self._pop()
+                    return
+                if tag in CONTENT and self._stack[k].tag not in CONTENT:
+                    break  # a stray end tag does not close what holds it
+            self._stray.add(tag)
         if tag not in INLINE:
             self._break()
 
@@ -193,6 +301,12 @@ class Page:
         return "\n".join(b[0] for b, k in zip(self.blocks, kept, strict=True) if k)
 
 
+def _up(e):
+    while e is not None:
+        yield e
+        e = e.parent
+
+
 def host_of(url: str | None) -> str:
     m = re.match(r"\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", url or "")
     return m[1].lower() if m else ""
@@ -228,8 +342,10 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", se
     """``pages`` with text: the main text, blocks in page order joined by one newline, white space in a block one space.
 
     Null and empty pages have an empty text. A null or odd url is a host of its own, the empty one. Pages are judged
-    one by one given their host's template, so repeated rows get the same text. Unclosed and stray tags are borne. An
-    empty table gives none; other columns stay, except one named text.
+    one by one given their host's template, so repeated rows get the same text, and there are no ties. Unclosed and
+    stray tags are borne: a tag without an end is text, quotes that swallow the rest of a page do not count. Very long
+    pages are read whole, in time linear in their length. An empty table gives none; other columns stay, except one
+    named text.
     """
     found = written(templates(pages, url_col, html_col, **limits), "page-templates")
     base = without(pages, "text")

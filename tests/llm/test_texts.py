@@ -94,6 +94,82 @@ def test_page_text():
     assert html_text.Page("<div>" * 30000 + "deep", "").text(()) == "deep"
 
 
+@pytest.mark.parametrize("name", ["site-content no-sidebar", "has-banner", "comments-open", "post share-buttons-enabled", "sidebar", "elementor-widget", "content-sidebar-wrap", "modal share", "menu-open cookie"])
+def test_main_text_survives_names(name):
+    body = "<h1>T</h1><p>x y</p>"
+    for inner in (f"<article>{body}</article>", f"<main>{body}</main>", body):
+        assert html_text.Page(f'<body><div id=a class="{name}">{inner}</div><footer>f</footer></body>', "h").text(()) == "T\nx y"
+    assert html_text.Page(f'<main class="{name}">{body}</main>', "").text(()) == "T\nx y"
+    assert html_text.Page(f'<article class="{name}">{body}</article>', "").text(()) == "T\nx y"
+
+
+def test_names_that_go():
+    for name in ("ad", "site-footer", "cookieBanner", "footer__inner", "post-comments", "related-posts", "social-share-buttons", "widget-area", "ad-300"):
+        assert html_text.Page(f'<body><div class="x {name}"><p>gone</p></div><article><p>stays</p></article><div class="{name}"><p>gone</p></div></body>', "").text(()) == "stays"
+        assert html_text.Page(f'<body><div class="{name}"><p>gone</p></div><div><p>stays</p></div></body>', "").text(()) == "stays"
+    assert [html_text.named(x) for x in ("share-article", "no-sidebar", "comments-open", "site-header", "content", "entry-header", "")] == ["", "", "", "header", "", "", ""]
+    assert html_text.Page('<p title="class=ad" data-class="ad">a</p><p title=it\'s>b', "").text(()) == "a\nb"
+
+
+def test_leads_beside_articles_and_whole_forms():
+    text = lambda h: html_text.Page(h, "").text(())
+    assert text("<body><nav>n</nav><h1>H</h1><p>lead</p><article><p>x</p></article><div>box</div><article>y</article></body>") == "H\nlead\nx\ny"
+    assert text("<main><h1>H</h1><div><article><p>x</p></article></div></main><div><p>z</p></div>") == "H\nx"
+    assert text("<form><div><h1>a</h1><p>b</p></div></form>") == "a\nb"
+    assert text("<form><p>search</p></form><p>b</p>") == "b"
+    assert text("<article></article><div class=ad>buy</div>") == text('<div class="ad">buy</div><nav>n</nav>') == ""
+    assert text('<article><p>x</p></article><section class="comments"><article><p>nice</p></article></section>') == "x"
+    assert text('<section class="comments"><article><p>nice</p></article></section><div><p>x</p></div>') == "x"
+
+
+ODD_MARKUP = ["<a ", '<p class="', "if a <b c ", "<svg ", "<svg>", "<p a=\">\" ", "<!--", "<!", "<div>x", "<ul><li>", "&", '<b class="ad ', "</p>", "<blockquote></p>", "<p a=b\"'"]
+
+
+@pytest.mark.parametrize("unit", ODD_MARKUP)
+def test_malformed_pages_are_read_in_linear_time(unit):
+    import time
+
+    start = time.process_time()
+    page = html_text.Page("<article><p>x</p></article>" + unit * (1_000_000 // len(unit)), "")
+    assert page.text(()).startswith("x") and time.process_time() - start < 30
+
+
+def test_pages_of_known_parts():
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(1, 9)))
+    say = lambda: " ".join(word() for _ in range(rng.integers(1, 9)))
+    junk = ["<nav><ul><li>{}</li></ul></nav>", "<footer><p>{}</p></footer>", '<div class="ad"><p>{}</p></div>', "<aside>{}</aside>", '<div id="cookie-notice">{}</div>', "<form><p>{}</p></form>", "<script>{}</script>", "<!-- {} -->", '<section class="comments"><p>{}</p></section>']
+    for _ in range(200):
+        parts, want = [], []
+        for _ in range(rng.integers(0, 6)):
+            kind, t = rng.integers(0, 5), say()
+            if kind == 4:
+                items = [say() for _ in range(rng.integers(1, 4))]
+                parts.append("<ul>" + "".join(f"<li>{i}" for i in items) + "</ul>")
+                want += items
+            else:
+                parts.append(("<p>{}</p>", "<h2> {}</h2>", "<p>{}\n", "<div><b>{}</b></div>")[kind].format(t))
+                want.append(t)
+            if rng.random() < 0.4:
+                parts.append(junk[rng.integers(len(junk))].format(say()))
+        around = [junk[i].format(say()) for i in rng.integers(0, len(junk), 4)]
+        tag = ("article", "main")[rng.integers(2)]
+        page = f"<html><body><div class='page has-sidebar'>{''.join(around[:2])}<{tag}>{''.join(parts)}</{tag}>{''.join(around[2:])}</div></body></html>"
+        assert html_text.Page(page, "h").text(()) == "\n".join(want)
+
+
+def test_data_pages(spark, sf_dir):
+    """The test pages hold one article of headings and paragraphs and otherwise only template."""
+    import html
+
+    got = {r["page_id"]: r["text"] for r in queries.op9_html_text(spark, sf_dir).collect()}
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        inner = re.search(r"<article>(.*?)(?:</article>|$)", r["html"] or "", re.S)
+        blocks = re.split(r"</?(?:p|h1)>", inner[1] if inner else "")
+        plain = [" ".join(html.unescape(re.sub(r"</?b>", "", re.sub(r"<br>", " ", b))).split()) for b in blocks]
+        assert got[r["page_id"]] == "\n".join(b for b in plain if b)
+
+
 def pages(n, article, box, host="h.example.com", extra=""):
     return [(i, f"https://{host}/{i}", f"<body><div class=x1><span>Site wide box</span><p>{box}</p></div>{extra}<{article}><p>Text number {i % (n - 2)} here.</p></{article}></body>") for i in range(n)]
 
