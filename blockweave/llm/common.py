@@ -11,6 +11,7 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The white space of every contract, as text and as a regular expression's class.
 SPACES = " \t\n\x0b\x0c\r"
@@ -21,11 +22,14 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` as the session has it.
 
-    Where the cluster names none (as in tests), a temporary folder is set for this session.
+    A session on one machine (a local master, as in tests) that names none gets a temporary folder; a cluster that
+    names none is refused, since its executors could not read each other's tables.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is to name a folder that all executors share")
         made = tempfile.mkdtemp(prefix="blockweave-")
         atexit.register(shutil.rmtree, made, ignore_errors=True)
         sc.setCheckpointDir(made)
@@ -49,6 +53,14 @@ def release() -> None:
         trim(0)
 
 
+def id_column(df: DataFrame, name: str) -> Column:
+    """The column ``name`` as long. Ids are integers: a column of another type is refused, not turned into nulls."""
+    kind = df.schema[name].dataType
+    if not isinstance(kind, T.IntegralType | T.NullType):
+        raise TypeError(f"{name} is to be a column of integers, not {kind.simpleString()}")
+    return F.col(f"`{name}`").cast("long")
+
+
 def text_bytes(df: DataFrame, text_col: str = "text") -> int:
     """Bytes of all texts: a measured size from which numbers of shards and buckets follow."""
     return df.select(F.sum(F.octet_length(F.col(text_col))).alias("b")).first()["b"] or 0

@@ -123,13 +123,21 @@ def test_decontamination_without_rows(spark):
     assert mark_contaminated(documents(spark, []), b).count() == 0
 
 
-@pytest.mark.parametrize("which", ["odd", "real"])
+LONG_TEXTS = [
+    (1, "a" + " " * 2_000_000 + "b"),
+    (2, "\n" * 1_000_000),
+    (3, "x" * 2_000_000),
+    (4, "one" + " \n" * 60_000 + "<|endoftext|>" + "\t" * 150_000 + "two\u3000" + " " * 100_000 + "\n!"),
+    (5, "<|endoftext|><|endoftext|> <|endoftext |>" + "漢" * 30_000),
+]
+
+
+@pytest.mark.parametrize("which", ["odd", "real", "long"])
 def test_packing_is_a_round_trip(spark, sf_dir, which):
     from tokenizers import Tokenizer
 
-    rows = [r for r in ODD if r[0] != 14] if which == "odd" else real(spark, sf_dir)
+    rows = {"odd": [r for r in ODD if r[0] != 14], "real": real(spark, sf_dir), "long": LONG_TEXTS}[which]
     t = Tokenizer.from_file(queries.tokenizer_path())
-    t.encode_special_tokens = True
     got = packing.pack(documents(spark, rows), queries.tokenizer_path()).collect()
     by = collections.defaultdict(list)
     seqs = collections.defaultdict(list)
@@ -143,22 +151,45 @@ def test_packing_is_a_round_trip(spark, sf_dir, which):
         pieces = sorted(by[d], key=lambda r: r["start"])
         assert np.concatenate([np.frombuffer(p["ids"], "<u4") for p in pieces]).tolist() == ids
         assert {p["doc_tokens"] for p in pieces} == {len(ids)}
-    padding = tokens = 0
     for places in seqs.values():
         at = 0
         for offset, length in sorted(places):
             assert offset == at
             at += length
-        assert at <= 2048
-        tokens += at
-        padding += 0 if at & (at - 1) == 0 else 2048 - at
-    assert padding < 0.02 * tokens
+        assert at <= 2048 and at & (at - 1) == 0  # no padding at all
 
 
-def test_cuts():
-    for n in range(0, 7000, 13):
-        c = packing.cuts(n, 2048, 64)
-        assert sum(c) == n and all(0 < x <= 2048 for x in c) and sum(x <= 64 for x in c) <= 2
+def test_special_tokens_are_ids():
+    assert packing.encoder(queries.tokenizer_path())("a <|endoftext|> b") == [64, 220, 50256, 275]
+
+
+def test_bins_hold_whole_pieces_of_their_class():
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(1, 3000, 3000)
+    p = packing.Packer(2048, 0)
+    for d, n in enumerate(sizes.tolist()):
+        p.add(d, np.arange(n, dtype="<u4"))
+    done = {s for *_, s, _ in p.rows}
+    p.finish()
+    by = collections.defaultdict(list)
+    for doc, start, ids, total, seq, _ in p.rows:
+        assert ids[0] == start and total == sizes[doc]
+        by[seq].append((doc, len(ids), total))
+    cut = 0
+    for s, pieces in by.items():
+        used = sum(n for _, n, _ in pieces)
+        assert used == 2048 if s in done else used & (used - 1) == 0
+        if s in done and pieces[0][1] < 2048:
+            k = 2048 // pieces[0][1]
+            assert {2048 // n for _, n, _ in pieces[:k]} == {k} and all(n == t % 2048 for _, n, t in pieces[:k])
+            cut += len(pieces) - k
+    assert sum(len(x) for x in by.values()) < (sizes // 2048).sum() + len(sizes) + 2 * len(by)
+
+
+def test_ids_are_integers(spark):
+    df = documents(spark).withColumn("doc_id", F.col("doc_id").cast("string"))
+    with pytest.raises(TypeError, match="integers"):
+        packing.pack(df, queries.tokenizer_path())
 
 
 def test_packing_empty_table(spark):
