@@ -98,5 +98,25 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def scan(a: Column, zero: int, op, width: int = 256) -> Column:
+    """Running values of ``op`` (max, sum and the like, with ``zero`` as its neutral long) over an array of longs.
+
+    An array grows by a copy, so it is run over in parts of ``width`` and then over the parts' last values: the cost is
+    that of the length, not of its square.
+    """
+    none, start = F.array().cast("array<bigint>"), F.lit(zero).cast("long")
+
+    def over(part: Column) -> Column:
+        step = lambda acc, x: F.struct(op(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(op(acc["at"], x))).alias("out"))
+        return F.aggregate(part, F.struct(start.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    def whole(v: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / width).cast("int")), lambda c: over(F.slice(v, c * width + 1, width)))
+        before = lambda p: F.slice(F.concat(F.array(start), over(F.transform(p, lambda x: F.element_at(x, -1)))), 1, F.size(p))
+        return let(parts, lambda p: F.flatten(F.zip_with(p, before(p), lambda x, o: F.transform(x, lambda y: op(y, o)))))
+
+    return let(a, lambda v: F.when(F.size(v) == 0, none).otherwise(whole(v)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
