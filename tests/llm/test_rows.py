@@ -117,6 +117,37 @@ def test_decontamination(spark, sf_dir, which, blocks):
     same(got, brute_hits(rows, items))
 
 
+def test_blocks_of_test_texts_are_joined_by_shuffle_too(spark):
+    rows = [*ODD, (30, "c d e f g h i j k l two words c d e f g h i j k l")] * 2
+    b = spark.createDataFrame(ITEMS, "item_id long, text string")
+    got = mark_contaminated(documents(spark, rows), b, block_bytes=60, sent_bytes=0).select("doc_id", "n_words", "n_hit", "item_ids").collect()
+    same(got, brute_hits(rows, ITEMS))
+
+
+def test_tables_are_small_and_search_random_words():
+    import pickle
+
+    from blockweave.llm.decontaminate import matched, tables, words
+
+    rng = random.Random(3)
+    for _ in range(150):
+        some = [f"w{i}" for i in range(rng.choice([2, 3, 8, 30]))]
+        items = [(i, " ".join(rng.choice(some) for _ in range(rng.randrange(0, 25)))) for i in range(rng.randrange(1, 8))]
+        rows = [(i, " ".join(rng.choice(some) for _ in range(rng.randrange(0, 80))) + " " + rng.choice(items)[1]) for i in range(6)]
+        found = tables([(i, t.encode()) for i, t in items])
+        out = []
+        for d, t in rows:
+            w = words(t.encode())
+            spans, which = matched(found, w)
+            out.append((d, len(w), sum(b - a for a, b in spans), sorted(which)))
+        assert out == brute_hits(rows, items)
+    zipf = np.random.default_rng(0).zipf(1.3, 250_000) % 20_000
+    big = [(i, " ".join(f"w{x}" for x in zipf[a : a + 500].tolist()).encode()) for i, a in enumerate(range(0, len(zipf), 500))]
+    found = tables(big)
+    assert len(pickle.dumps(found)) < 12 * sum(len(t) for _, t in big)
+    assert {i for i, t in big[:20] if i in matched(found, words(t))[1]} == set(range(20))
+
+
 def test_decontamination_without_rows(spark):
     b = spark.createDataFrame([], "item_id long, text string")
     assert {r["n_hit"] for r in mark_contaminated(documents(spark), b).collect()} == {0}
