@@ -3,9 +3,10 @@
 Every string is closed by a symbol of its own kind (0, below all bytes) and read as a circle. A shard's rotations are
 sorted once, to a depth beyond what is asked. Shards are then merged without another sort of rotations: the interleave
 says from which shard each place of the merged transform comes; one step of refinement sorts the places, stably, by
-the pairs of symbols that the transforms hold there, and so makes the interleave right to two more symbols. Two neighbours stay
-in one block as long as their first symbols agree, so the step at which a boundary appears is their common prefix,
-and the blocks left after the last step are the repeated strings of that length.
+the pairs of symbols that the transforms hold there, and so makes the interleave right to two more symbols. The order
+by few symbols and that by more have the same boundaries between what differs in the few, so the step at which a place
+first is a boundary gives the common prefix of its neighbours, and the intervals between places of a common prefix
+below a length are the strings of that length that repeat.
 """
 
 from __future__ import annotations
@@ -57,14 +58,17 @@ def transform(t: Strings) -> tuple[np.ndarray, np.ndarray]:
 
 
 def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The interleave of the transforms right to ``depth`` symbols (an even number), and the block of each place: equal
-    where the first ``depth`` symbols are. A transform holds the two symbols before each rotation, so a step of
-    refinement makes the interleave right to two more."""
+    """The interleave of the transforms right to ``depth`` symbols (an even number), and the common prefix of each place
+    with the one before, as the greatest even number of symbols that does not exceed it, and ``depth`` at most (the
+    first place has none: 0). A transform holds the two symbols before each rotation, so a step of refinement makes the
+    interleave right to two more."""
     z = np.repeat(np.arange(len(transforms), dtype=np.uint16), [len(x) for x in transforms])
     held = np.concatenate(transforms)
     symbols = np.empty_like(held)
     block = np.zeros(len(z), np.int32)
-    for _ in range(depth // 2):
+    prefix = np.full(len(z), depth, np.uint16)
+    prefix[:1] = 0
+    for step in range(depth // 2):
         symbols[np.argsort(z, kind="stable")] = held
         p = np.argsort(symbols, kind="stable")
         s, block, z = symbols[p], block[p], z[p]
@@ -73,7 +77,13 @@ def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndar
         np.not_equal(s[1:], s[:-1], out=edge[1:])
         edge[1:] |= block[1:] != block[:-1]
         block = np.cumsum(edge, dtype=np.int32)
-    return z, block
+        prefix[edge & (prefix == depth)] = 2 * step
+    return z, prefix
+
+
+def intervals(prefix: np.ndarray, length: int) -> np.ndarray:
+    """Where the runs of places that share ``length`` symbols begin."""
+    return np.flatnonzero(np.r_[True, prefix[1:] < length])
 
 
 def least_holder(strings: list[bytes], values: np.ndarray, depth: int, shard_symbols: int = SHARD_SYMBOLS) -> list[np.ndarray]:
@@ -85,13 +95,13 @@ def least_holder(strings: list[bytes], values: np.ndarray, depth: int, shard_sym
     bounds = sorted({0, *cut.tolist(), len(strings)})
     shards = [Strings(strings[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     built = [transform(t) for t in shards]
-    z, block = merge([x for x, _ in built], depth)
+    z, prefix = merge([x for x, _ in built], depth)
     by_shard = np.argsort(z, kind="stable")
     origin = np.empty(len(z), np.int64)
     offset = np.cumsum([0] + [len(t.symbols) for t in shards])
     origin[by_shard] = np.concatenate([o + offset[i] for i, (_, o) in enumerate(built)])
     owner = np.concatenate([t.owner + a for t, a in zip(shards, bounds, strict=False)])
-    starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+    starts = intervals(prefix, depth)
     least = np.minimum.reduceat(values[owner[origin]], starts)
     out = np.empty(len(z), values.dtype)
     out[origin] = np.repeat(least, np.diff(np.r_[starts, len(z)]))

@@ -3,9 +3,14 @@
 A passage of ``min_bytes`` holds one anchor: the 16 bytes of it with the least hash. Equal passages have equal anchors
 at equal places, so all that can be equal meets in the group of one anchor. Anchors in one document only are dropped
 by two Bloom filters (see sightings). For the others each document sends contexts: the bytes of all passages whose
-anchor stands there, once for every task however many documents share them. In a bucket of anchors the distinct
-contexts are the strings of shard transforms, which are merged to ``min_bytes`` symbols (see bwt); each block of the
-merge is one repeated passage, and the least document that holds it goes back to the contexts' documents.
+anchor stands there, once for every batch however many documents share them. In a bucket of anchors the distinct
+contexts that may share a passage are the strings of shard transforms, which are merged to ``min_bytes`` symbols (see
+bwt); each interval of that common prefix is one repeated passage, and the least document that holds it goes back to
+the contexts' documents.
+
+Two short cuts come before: whole copies of a text go by their digest, and where one batch holds a context very many
+times, all but its least document lose it at once, so that a passage of a third of all documents stays one entry a
+batch. Anchors of very many documents are split further, by a second one or by the passage, so no group holds them.
 """
 
 from __future__ import annotations
@@ -13,13 +18,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bwt
-from .common import boxed, pieces_for, release, text_bytes, without, written
+from .common import boxed, id_column, pieces_for, release, text_bytes, without, written
 from .shingles import _BYTE, _POWERS, mix
 from .sightings import SENT, numbers, planes, repeats, sender
 
@@ -28,6 +34,10 @@ ANCHOR = 16
 SHARD_BYTES, BUCKET_BYTES = 32 << 20, 8 << 20
 #: Symbols of the strings that are merged at once.
 MERGED = 1 << 20
+#: Places of one context in a batch that go to its bucket; beyond, only its least document's do.
+MANY = 256
+#: Sightings of an anchor from which its passages are told apart by a second anchor, and from which each by itself.
+HOT, HOTTEST = 50_000, 5_000_000
 #: Bytes of spans that are sent to every worker; beyond, texts and spans are shuffled by document.
 SENT_BYTES = 48 << 20
 OWN = ("n_bytes", "n_removed", "n_spans", "kept", "removed")
@@ -36,26 +46,34 @@ _PLACES = np.uint64((1 << 24) - 1)
 _PART = 1 << 22
 
 
+def _grams(r: np.ndarray) -> np.ndarray:
+    """A hash of each ANCHOR bytes of ``r``."""
+    n = len(r) - ANCHOR + 1
+    _POWERS.to(len(r) + 1)
+    s = np.cumsum(_BYTE[r] * _POWERS.up[: len(r)])
+    g = s[ANCHOR - 1 :].copy()
+    g[1:] -= s[: n - 1]
+    return mix(g * _POWERS.down[:n])
+
+
+def _least(m: np.ndarray, window: int) -> np.ndarray:
+    """The least of each ``window`` numbers."""
+    span = 1
+    while span * 2 <= window:
+        m = np.minimum(m[:-span], m[span:])
+        span *= 2
+    return np.minimum(m[: len(m) - (window - span)], m[window - span :]) if span < window else m
+
+
 def anchors(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first, last, place, fingerprint): runs of passages (by their starts) and the place of the anchor they share."""
     parts = []
     for a in range(0, max(1, len(raw) - length + 1), _PART):
         r = raw[a : a + _PART + length - 1]
-        n = len(r) - ANCHOR + 1
         if len(r) < length:
             continue
-        _POWERS.to(len(r) + 1)
-        s = np.cumsum(_BYTE[r] * _POWERS.up[: len(r)])
-        g = s[ANCHOR - 1 :].copy()
-        g[1:] -= s[: n - 1]
-        h = mix(g * _POWERS.down[:n])
-        m = (h & ~_PLACES) | np.arange(n, dtype=np.uint64)
-        window, span = length - ANCHOR + 1, 1
-        while span * 2 <= window:
-            m = np.minimum(m[:-span], m[span:])
-            span *= 2
-        if span < window:
-            m = np.minimum(m[: len(m) - (window - span)], m[window - span :])
+        h = _grams(r)
+        m = _least((h & ~_PLACES) | np.arange(len(h), dtype=np.uint64), length - ANCHOR + 1)
         at = (m & _PLACES).astype(np.int64)
         first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
         last = np.r_[first[1:] - 1, len(at) - 1]
@@ -75,17 +93,26 @@ def _sent(batch: pa.RecordBatch, length: int):
     return np.concatenate(fps), np.zeros(0, np.uint64), np.concatenate(docs)
 
 
-#: Columns of what goes to a bucket: of each context its anchor's place, length, bytes, document and number of places,
-#: and of each place its row and start; or (kind 1) whole spans that go, as rows, starts and ends.
-_ASKED = ("fps", "anchors", "lengths", "contexts", "docs", "counts", "keys", "starts")
+def _split(raw: bytes, first: int, last: int, fp: int, way: int, length: int):
+    """(first, last, key): the runs of passages of a hot anchor that share a second anchor (way 1: the least hash of
+    those unlike the first), or each passage by itself (way 2)."""
+    if way == 1:
+        h = _grams(np.frombuffer(raw, np.uint8, last - first + length, first))
+        key = _least(np.where(h >> np.uint64(16) == np.uint64(fp), ~np.uint64(0), h), length - ANCHOR + 1)
+    else:
+        key = np.fromiter((xxhash.xxh3_64_intdigest(raw[i : i + length]) for i in range(first, last + 1)), np.uint64, last - first + 1)
+    key = mix(key ^ mix(np.full(len(key), fp, np.uint64)))
+    at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return zip((at + first).tolist(), (np.r_[at[1:], len(key)] + first - 1).tolist(), key[at].tolist(), strict=True)
 
 
-def _contexts(length: int, buckets: int):
-    """Of a batch (key, doc, text, anchors): its distinct contexts by bucket, each with the least document that has it.
+#: Columns of what goes to a bucket: of each context its key, its anchor's place, length, bytes and number of places, and
+#: of each place its document, row and start; or (kind 1) whole spans that go, by their lengths, documents, rows and starts.
+_ASKED = ("fps", "anchors", "lengths", "contexts", "counts", "docs", "keys", "starts")
 
-    Any other document of the batch with the same context has all of it from a smaller one, so its bytes go at once:
-    a context in a third of all documents costs its bucket one entry a batch.
-    """
+
+def _contexts(length: int, buckets: int):
+    """Of a batch (key, doc, text, anchors and how each is split): its distinct contexts by bucket, with their places."""
 
     def run(batches):
         for batch in batches:
@@ -95,11 +122,24 @@ def _contexts(length: int, buckets: int):
             of = np.repeat(np.arange(len(runs)), sizes)
             first, last, at, fps = (np.concatenate(x) for x in zip(*runs, strict=True)) if runs else (np.zeros(0, np.int64),) * 4
             lists = batch.column(3)
+            flat = lists.flatten()
             mine = np.repeat(np.arange(len(runs)), np.diff(np.asarray(lists.offsets)))
             # Fingerprints are told apart by document: both are mixed into one number.
             salt = np.uint64(0x9E3779B97F4A7C15)
-            keep = np.isin(fps.astype(np.uint64) ^ (of.astype(np.uint64) * salt), np.asarray(lists.flatten()).view(np.uint64) ^ (mine.astype(np.uint64) * salt))
-            of, first, end, at, fps = of[keep], first[keep], last[keep] + length, at[keep], fps[keep].astype(np.uint64)
+            told = np.asarray(flat.field("fp")).view(np.uint64) ^ (mine.astype(np.uint64) * salt)
+            order = np.argsort(told)
+            told, ways = told[order], np.asarray(flat.field("way"))[order]
+            own = fps.astype(np.uint64) ^ (of.astype(np.uint64) * salt)
+            where = np.minimum(np.searchsorted(told, own), max(0, len(told) - 1))
+            keep = told[where] == own if len(told) else np.zeros(len(own), bool)
+            way = ways[where[keep]] if len(told) else np.zeros(0, np.int32)
+            of, first, last, at, fps = of[keep], first[keep], last[keep], at[keep], fps[keep].astype(np.uint64)
+            if way.any():
+                more = [(d, a, b, p, k) for d, x, y, p, f, w in zip(*[v[way > 0].tolist() for v in (of, first, last, at, fps, way)], strict=True) for a, b, k in _split(raws[d], x, y, f, w, length)]
+                cols = list(zip(*more, strict=True))
+                of, first, last, at = (np.r_[v[way == 0], np.array(c, np.int64)] for v, c in zip((of, first, last, at), cols, strict=False))
+                fps = np.r_[fps[way == 0], np.array(cols[4], np.uint64)]
+            end = last + length
             index: dict[bytes, int] = {}
             own = [index.setdefault(raws[d][x:y], len(index)) for d, x, y in zip(of.tolist(), first.tolist(), end.tolist(), strict=True)]
             yield _dealt(list(index), np.array(own, np.int64), docs[of], batch.column(0).to_numpy()[of], first, end, at - first, fps, buckets)
@@ -110,17 +150,18 @@ def _contexts(length: int, buckets: int):
 
 
 def _dealt(strings: list[bytes], own, docs, keys, first, end, offs, fps, buckets: int) -> pa.RecordBatch:
-    """The batch's rows: ``own`` is the context of each place, the other arrays its document, row, ends, anchor and hash."""
+    """The batch's rows: ``own`` is the context of each place, the other arrays its document, row, ends, anchor and key."""
     order = np.lexsort((docs, own))
     own, docs, keys, first, end, offs, fps = (x[order] for x in (own, docs, keys, first, end, offs, fps))
     starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, np.int64)
-    stay = docs == docs[starts][own] if len(own) else np.zeros(0, bool)
+    # Another document of the batch with a context has all of it from the least one: of many places these go at once.
+    stay = (docs == docs[starts][own]) | (np.bincount(own, minlength=len(starts))[own] <= MANY) if len(own) else np.zeros(0, bool)
     to = ((fps[starts] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)
     by = np.argsort(to, kind="stable")
     rank = np.empty(len(by), np.int64)
     rank[by] = np.arange(len(by))
     places = np.argsort(rank[own[stay]], kind="stable")
-    p_keys, p_starts = keys[stay][places], first[stay][places]
+    p_docs, p_keys, p_starts = docs[stay][places], keys[stay][places], first[stay][places]
     counts = np.bincount(own[stay], minlength=len(starts))[by]
     cuts = np.r_[0, np.flatnonzero(to[by][1:] != to[by][:-1]) + 1, len(by)] if len(by) else np.zeros(1, np.int64)
     place_cuts = np.r_[0, np.cumsum(counts)][cuts]
@@ -128,13 +169,13 @@ def _dealt(strings: list[bytes], own, docs, keys, first, end, offs, fps, buckets
     for a, b, x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), place_cuts[:-1].tolist(), place_cuts[1:].tolist(), strict=True):
         u = by[a:b]
         s = starts[u]
-        rows.append(
-            (int(to[u[0]]), 0, planes(fps[s]), planes(offs[s].astype(np.int32)), planes((end[s] - first[s]).astype(np.int32)), b"".join([strings[i] for i in u.tolist()]), planes(docs[s]), planes(counts[a:b].astype(np.int32)), planes(p_keys[x:y]), planes(p_starts[x:y]))
-        )
+        contexts = b"".join([strings[i] for i in u.tolist()])
+        numbers_ = (fps[s], offs[s].astype(np.int32), (end[s] - first[s]).astype(np.int32)), (counts[a:b].astype(np.int32), p_docs[x:y], p_keys[x:y], p_starts[x:y])
+        rows.append((int(to[u[0]]), 0, *map(planes, numbers_[0]), contexts, *map(planes, numbers_[1])))
     gone = np.flatnonzero(~stay)
     for i in range(0, len(gone), 50_000):
         g = gone[i : i + 50_000]
-        rows.append((int(keys[g[0]]) % buckets, 1, b"", b"", b"", b"", planes(keys[g]), b"", planes(first[g]), planes(end[g])))
+        rows.append((int(keys[g[0]]) % buckets, 1, b"", b"", planes((end[g] - first[g]).astype(np.int32)), b"", b"", planes(docs[g]), planes(keys[g]), planes(first[g])))
     cols = list(zip(*rows, strict=True)) or [()] * 10
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[2:]]], ["bucket", "kind", *_ASKED])
 
@@ -168,48 +209,51 @@ def _parts(some: list[int], fp: np.ndarray, size: np.ndarray):
 
 
 def _solve(length: int):
-    """A bucket's contexts to the spans (key, s, e) of bytes that go."""
+    """A bucket's contexts to the spans (doc, key, s, e) of bytes that go."""
 
     def run(t: pa.Table) -> pa.Table:
         index: dict[bytes, int] = {}
-        own, docs, counts, keys, starts, fps, offs, done = [], [], [], [], [], [], [], []
+        own, counts, docs, keys, starts, fps, offs, done = [], [], [], [], [], [], [], []
         for kind, *blobs in zip(*[t[k].to_pylist() for k in ("kind", *_ASKED)], strict=True):
-            arrays = [numbers(x, d) for x, d in zip(blobs, (np.uint64, np.int32, np.int32, np.uint8, np.int64, np.int32, np.int64, np.int64), strict=True)]
+            arrays = [numbers(x, d) for x, d in zip(blobs, (np.uint64, np.int32, np.int32, np.uint8, np.int32, np.int64, np.int64, np.int64), strict=True)]
             if kind:
-                done.append(np.stack([arrays[4], arrays[6], arrays[7]]))
+                done.append(np.stack([arrays[5], arrays[6], arrays[7], arrays[7] + arrays[2]]))
                 continue
             ends = np.cumsum(arrays[2]).tolist()
             raw = blobs[3]
             mine = [index.setdefault(raw[a:b], len(index)) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
             own.append(np.array(mine, np.int64))
-            for into, k in ((fps, 0), (offs, 1), (docs, 4), (counts, 5), (keys, 6), (starts, 7)):
+            for into, k in ((fps, 0), (offs, 1), (counts, 4), (docs, 5), (keys, 6), (starts, 7)):
                 into.append(arrays[k])
         if own:
-            own, docs, counts, keys, starts, fps, offs = (np.concatenate(x) for x in (own, docs, counts, keys, starts, fps, offs))
+            own, counts, docs, keys, starts, fps, offs = (np.concatenate(x) for x in (own, counts, docs, keys, starts, fps, offs))
             strings = list(index)
-            low = np.full(len(strings), np.iinfo(np.int64).max)
-            np.minimum.at(low, own, docs)
+            at = np.repeat(own, counts)
+            far = np.iinfo(np.int64).max
+            low, high = np.full(len(strings), far), np.full(len(strings), -far)
+            np.minimum.at(low, at, docs)
+            np.maximum.at(high, at, docs)
             fp, off = np.zeros(len(strings), np.uint64), np.zeros(len(strings), np.int64)
             fp[own], off[own] = fps, offs
-            some = _may_share(strings, off.tolist(), length)
+            # A context of one document that shares no passage with another has nothing to lose.
+            some = np.union1d(_may_share(strings, off.tolist(), length), np.flatnonzero(high > low)).astype(np.int64)
             size = np.fromiter(map(len, strings), np.int64, len(strings))
             solved: dict[int, np.ndarray] = {}
-            for part in _parts(some, fp, size):
+            for part in _parts(some.tolist(), fp, size):
                 solved |= zip(part, bwt.least_holder([strings[i] for i in part], low[part], length), strict=True)
-            each, at = np.repeat(np.arange(len(own)), counts), np.repeat(own, counts)
-            whole = (docs[each] > low[at]) & ~np.isin(at, np.array(some, np.int64))
-            done.append(np.stack([keys[whole], starts[whole], starts[whole] + size[at[whole]]]))
-            least = np.full(len(strings), np.iinfo(np.int64).max)
-            least[some] = [int(solved[i].min()) for i in some]
+            least, most = np.full(len(strings), far), np.full(len(strings), far)
+            least[some], most[some] = [int(solved[i].min()) for i in some.tolist()], [int(solved[i].max()) for i in some.tolist()]
+            whole = docs > most[at]
+            done.append(np.stack([docs[whole], keys[whole], starts[whole], starts[whole] + size[at[whole]]]))
             spans = []
-            for k in np.flatnonzero(docs[each] > least[at]).tolist():
-                hit = np.flatnonzero(solved[at[k]] < docs[each[k]])
+            for k in np.flatnonzero((docs > least[at]) & ~whole).tolist():
+                hit = np.flatnonzero(solved[at[k]] < docs[k])
                 for run_ in np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1) if hit[-1] - hit[0] >= len(hit) else (hit,):
-                    spans.append((keys[k], starts[k] + run_[0], starts[k] + run_[-1] + length))
-            done.append(np.array(spans, np.int64).reshape(-1, 3).T)
-        k, s, e = np.concatenate(done, axis=1) if done else np.zeros((3, 0), np.int64)
+                    spans.append((docs[k], keys[k], starts[k] + run_[0], starts[k] + run_[-1] + length))
+            done.append(np.array(spans, np.int64).reshape(-1, 4).T)
+        d, k, s, e = np.concatenate(done, axis=1) if done else np.zeros((4, 0), np.int64)
         release()
-        return pa.table({"key": pa.array(k), "s": pa.array(s), "e": pa.array(e)})
+        return pa.table({"doc": pa.array(d), "key": pa.array(k), "s": pa.array(s), "e": pa.array(e)})
 
     return run
 
@@ -219,37 +263,45 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A byte goes if a string of ``min_bytes`` bytes of UTF-8 that covers it also starts in a row with a smaller id.
     Null and empty texts have no bytes. Rows without an id neither lose bytes nor count; rows that repeat an id do not
-    take from each other. An empty table gives none; other columns stay, except those of these names. Whole copies of
-    a text are found by its digest first: of them only the least id takes part in the search.
+    take from each other; of the rows of a tied least id each keeps what it holds. Very long texts are read in parts
+    that overlap, and judged whole. Ids are integers. An empty table gives none; other columns stay, except those of
+    these names. Whole copies of a text are found by its digest first: of them only the least id takes part in the search.
     """
     if min_bytes % 2 or min_bytes < 2 * ANCHOR:
         raise ValueError(f"min_bytes is to be even and at least {2 * ANCHOR}")
     sc_rows = boxed(df, *OWN).select("_row", F.col("_row")[id_col].cast("long").alias("doc"), F.col("_row")[text_col].alias("text"))
-    rows = sc_rows.select(F.xxhash64("doc", "text").alias("key"), "doc", "text").filter("doc is not null and length(text) > 0")
+    id_column(df, id_col)
+    # A row is known by its id and a hash of its text, 128 bits in all.
+    rows = sc_rows.select(F.xxhash64("text").alias("key"), "doc", "text").filter("doc is not null and length(text) > 0")
     nbytes = text_bytes(rows)
     digest = rows.select("doc", F.octet_length("text").alias("n"), F.sha2("text", 256).alias("d"), "key").filter(F.col("n") >= min_bytes)
     first = digest.groupBy("d").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high")
-    copies = written(digest.join(first, "d").filter("doc > low").select(F.col("key").alias("copy"), (F.lit(0)).cast("long").alias("s"), F.col("n").cast("long").alias("e")), "repeat-copies")
-    small = copies.count() * 16 <= sent_bytes
-    only = rows.join(F.broadcast(copies) if small else copies.hint("shuffle_hash"), F.col("key") == F.col("copy"), "left_anti")
+    copies = written(digest.join(first, "d").filter("doc > low").select("doc", "key", F.lit(0).cast("long").alias("s"), F.col("n").cast("long").alias("e")), "repeat-copies")
+    small = copies.count() * 32 <= sent_bytes
+    only = rows.join(F.broadcast(copies) if small else copies.hint("shuffle_hash"), ["doc", "key"], "left_anti")
     shards = pieces_for(nbytes, SHARD_BYTES)
     sent = only.select("doc", "text").mapInArrow(sender(lambda b: _sent(b, min_bytes), shards), SENT)
-    lists = repeats(sent).groupBy("doc").agg(F.collect_list("fp").alias("fps")).withColumnRenamed("doc", "of")
+    found = written(repeats(sent).select("fp", "doc"), "repeat-anchors")
+    hot = written(found.groupBy("fp").count().filter(F.col("count") > HOT).select("fp", F.when(F.col("count") > HOTTEST, 2).otherwise(1).alias("way")), "repeat-hot")
+    n_hot = hot.count()
+    if n_hot:
+        found = found.join(F.broadcast(hot) if n_hot * 12 <= sent_bytes else hot.hint("shuffle_hash"), "fp", "left")
+    way = F.coalesce("way", F.lit(0)) if n_hot else F.lit(0)
+    lists = found.groupBy("doc").agg(F.collect_list(F.struct("fp", way.alias("way"))).alias("fps")).withColumnRenamed("doc", "of")
     texts = only.join(lists.hint("shuffle_hash"), F.col("doc") == F.col("of")).select("key", "doc", "text", "fps")
     buckets = pieces_for(nbytes, BUCKET_BYTES)
     asked = texts.mapInArrow(_contexts(min_bytes, buckets), "bucket int, kind int, " + ", ".join(f"{c} binary" for c in _ASKED))
-    spans = asked.groupBy("bucket").applyInArrow(_solve(min_bytes), "key long, s long, e long").union(copies.select(F.col("copy").alias("key"), "s", "e"))
+    spans = asked.groupBy("bucket").applyInArrow(_solve(min_bytes), "doc long, key long, s long, e long").union(copies)
     # Spans of a row that touch are joined: a row's are in order of their start, and a gap to all before starts a new one.
-    w = W.partitionBy("key").orderBy("s", "e")
+    w = W.partitionBy("doc", "key").orderBy("s", "e")
     before = F.max("e").over(w.rowsBetween(W.unboundedPreceding, -1))
     spans = spans.withColumn("new", (before.isNull() | (F.col("s") > before)).cast("int")).withColumn("run", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    spans = spans.groupBy("key", "run").agg(F.min("s").alias("s"), F.max("e").alias("e")).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans"))
-    spans = written(spans.withColumnRenamed("key", "_of"), "repeat-spans")
-    size = spans.agg(F.sum(F.size("spans") * 16 + 16)).first()[0] or 0
+    spans = spans.groupBy("doc", "key", "run").agg(F.min("s").alias("s"), F.max("e").alias("e")).groupBy("doc", "key").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans"))
+    spans = written(spans.select(F.col("doc").alias("_doc"), F.col("key").alias("_of"), "spans"), "repeat-spans")
+    size = spans.agg(F.sum(F.size("spans") * 16 + 24)).first()[0] or 0
     given = F.broadcast(spans) if size <= sent_bytes else spans.hint("shuffle_hash")
     columns = without(df, *OWN).columns
-    key = F.xxhash64("doc", "text")
-    joined = sc_rows.withColumn("_key", F.when(F.col("doc").isNotNull(), key)).join(given, F.col("_key") == F.col("_of"), "left")
+    joined = sc_rows.withColumn("_key", F.xxhash64("text")).join(given, (F.col("doc") == F.col("_doc")) & (F.col("_key") == F.col("_of")), "left")
     span = "array<struct<s:bigint,e:bigint>>"
     joined = joined.select("_row", F.coalesce("text", F.lit("")).cast("binary").alias("raw"), "spans")
     row = joined.schema["_row"]

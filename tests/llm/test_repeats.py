@@ -68,6 +68,32 @@ def test_shuffled_spans_small_parts_and_shards(spark, monkeypatch):
     assert first[0] == 0 and last[-1] == len(raw) - 50 and (first[1:] == last[:-1] + 1).all() and ((at >= first) & (at + 16 <= last + 50)).all()
 
 
+@pytest.mark.parametrize("hottest", [5, 10**9])
+def test_hot_anchors_are_split(spark, monkeypatch, hottest):
+    """One anchor in all documents, with distinct contexts, some of which repeat."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 2)
+    monkeypatch.setattr(suffix_dedup, "HOTTEST", hottest)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 300)
+    monkeypatch.setattr(suffix_dedup, "MANY", 2)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 30)))
+    rows = [(i, f"{word()} {word()} {'-' * 16} the same sixteen {word()} {word()}") for i in range(60)]
+    rows += [(100 + i, word() + rows[i][1][5:]) for i in range(10)] + [(200 + i, "-" * rng.randrange(40, 200) + word()) for i in range(10)] + [(300 + i, rows[0][1] + word()) for i in range(6)]
+    same(suffix_dedup.remove_repeats(documents(spark, rows)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept").collect(), brute(rows))
+
+
+def test_a_hot_anchor_spreads_over_keys():
+    rng = random.Random(2)
+    raws = [("".join(rng.choice("abcdefgh") for _ in range(40)) + "=" * 16 + "".join(rng.choice("abcdefgh") for _ in range(40))).encode() for _ in range(500)]
+    for way, most in ((1, 60), (2, 3)):
+        seen = {}
+        for raw in raws:
+            for a, b, k in suffix_dedup._split(raw, 6, 40, 7, way, 50):
+                assert 6 <= a <= b <= 40
+                seen[k] = seen.get(k, 0) + 1
+        assert max(seen.values()) <= most
+
+
 def test_nulls_and_empty_table(spark):
     t = "a passage that is certainly longer than fifty bytes, is it not?"
     rows = [(None, t), (None, t), (5, t), (5, t), (6, t), (7, None), (8, "")]
@@ -90,7 +116,7 @@ def test_interleave_orders_rotations():
     parts = [[b"banana", b"bandana"], [b"anna", b"nab"], [b"ban"]]
     t = [bwt.Strings(p) for p in parts]
     built = [bwt.transform(x) for x in t]
-    z, block = bwt.merge([b for b, _ in built], 4)
+    z, prefix = bwt.merge([b for b, _ in built], 4)
     ranks = [iter(o.tolist()) for _, o in built]
     seen = []
     for s in z.tolist():
@@ -98,7 +124,9 @@ def test_interleave_orders_rotations():
         x = t[s]
         seen.append(bytes(x.symbols[x.starts[x.owner[i]] + (x.place[i] + q) % x.lengths[x.owner[i]]] for q in range(4)))
     assert seen == sorted(seen)
-    assert [a == b for a, b in zip(seen[1:], seen[:-1])] == (block[1:] == block[:-1]).tolist()
+    common = [next((k for k in range(4) if a[k] != b[k]), 4) // 2 * 2 for a, b in zip(seen[1:], seen[:-1])]
+    assert prefix.tolist() == [0, *common]
+    assert bwt.intervals(prefix, 2).tolist() == [0, *[i + 1 for i, c in enumerate(common) if c < 2]]
 
 
 def test_what_shares_a_passage_is_kept():
