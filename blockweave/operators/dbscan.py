@@ -13,11 +13,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.tables import shared_table
-from .knn import paired, squares
+from .knn import BLOCK, celled, paired, squares
 
 
-def neighbours(vectors: DataFrame, eps: float) -> DataFrame:
-    """(i, j, d2) for all pairs within ``eps``, each with itself, both ways. One search serves every smaller eps."""
+def neighbours(vectors: DataFrame, eps: float, block: int = BLOCK) -> DataFrame:
+    """(i, j, d2) for all pairs within ``eps``, each with itself, both ways. One search serves every smaller eps. Cells that
+    the triangle inequality keeps apart do not meet."""
 
     def near(ids, x, others, y):
         out = [[], [], []]
@@ -28,7 +29,8 @@ def neighbours(vectors: DataFrame, eps: float) -> DataFrame:
             out[2].append(d[r, c])
         return pa.table({n: pa.array(np.concatenate(c) if c else [], t) for n, c, t in zip(("i", "j", "d2"), out, (pa.int64(), pa.int64(), pa.float64()), strict=True)})
 
-    return paired(vectors, near, "i long, j long, d2 double")
+    found, cells = celled(vectors, block)
+    return paired(found, cells, float(eps), near, "i long, j long, d2 double")
 
 
 def labels(vectors: DataFrame, eps: float, min_samples: int, near: DataFrame | None = None) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,6 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, squared_l2
+from ..plans.tables import shared_table
+
+#: Vectors of a part of a cell, and pivots at most.
+BLOCK, PIVOTS = 4096, 1024
 
 
 def _nearest(pairs: DataFrame, k: int) -> DataFrame:
@@ -18,27 +20,71 @@ def _nearest(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("r", r).filter(F.col("r") <= k).select(F.col("i").alias("block_id"), F.col("j").alias("id"))
 
 
-def paired(vectors: DataFrame, fn, schema: str, block: int = 4096) -> DataFrame:
-    """``fn(ids, rows, other ids, other rows)`` over blocks of at most about ``block`` vectors against such blocks.
+def _vectors(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    f = t["features"].combine_chunks()
+    return np.asarray(t["id"]), np.asarray(f.flatten()).reshape(len(t), -1) if len(t) else np.zeros((0, 1))
+
 
-    Every vector meets every other once. Blocks are by hash, their number follows the number of vectors, and each
-    vector is sent once to each block of the other side: the pairs themselves are never rows.
+def celled(vectors: DataFrame, block: int = BLOCK) -> tuple[DataFrame, list]:
+    """(id, features, cell, part) as a table, and of each cell (pivot, radius, parts).
+
+    A cell holds the vectors that are nearest to its pivot; pivots are the vectors with the least hash of their id, about
+    one a block and at most PIVOTS. A cell of many vectors (one point may hold a third of them) is dealt to parts of
+    about ``block``.
     """
     n = vectors.count()
-    cores = vectors.sparkSession.sparkContext.defaultParallelism
-    side = max(-(-n // block), math.isqrt(max(1, cores - 1)) + 1)
-    own, every = F.pmod(F.xxhash64("id"), F.lit(side)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
     v = vectors.select("id", F.col("features").cast("array<double>").alias("features"))
-    left, right = v.select("id", "features", own.alias("a"), every.alias("b")), v.select("id", "features", own.alias("b"), every.alias("a"))
-
-    def run(x: pa.Table, y: pa.Table) -> pa.Table:
-        sides = []
-        for t in (x, y):
-            f = t["features"].combine_chunks()
-            sides += [np.asarray(t["id"]), np.asarray(f.flatten()).reshape(len(t), -1) if len(t) else np.zeros((0, 1))]
-        return fn(*sides)
-
-    return left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(run, schema)
+    pivots = np.array([r["features"] for r in v.orderBy(F.xxhash64("id"), "id").limit(max(1, min(PIVOTS, -(-n // block)))).collect()])
+
+    def nearest(batches):
+        for batch in batches:
+            ids, x = _vectors(pa.table(batch))
+            best, far = np.zeros(len(x), np.int32), np.full(len(x), np.inf)
+            for c, p in enumerate(pivots):
+                d = np.sqrt(((x - p) ** 2).sum(axis=1))
+                best[d < far], far = c, np.minimum(d, far)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best), pa.array(far)], ["id", "features", "cell", "away"])
+
+    near = shared_table(v.mapInArrow(nearest, "id long, features array<double>, cell int, away double"), "cells")
+    told = {r["cell"]: (r["radius"], -(-r["n"] // block)) for r in near.groupBy("cell").agg(F.max("away").alias("radius"), F.count("*").alias("n")).collect()}  # PIVOTS rows
+    cells = [(p, *told.get(c, (0.0, 0))) for c, p in enumerate(pivots)]
+    parts = F.element_at(F.array(*[F.lit(max(1, c[2])) for c in cells]), F.col("cell") + 1) if cells else F.lit(1)
+    return near.select("id", "features", "cell", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part")), cells
+
+
+def paired(near: DataFrame, cells: list, reach, fn, schema: str) -> DataFrame:
+    """``fn(ids, rows, other ids, other rows)`` over all parts of cells against those that they may reach.
+
+    ``reach`` is how far a vector looks: a number, or the name of a column of ``near``. A vector x may have a neighbour in
+    a cell only if its distance from the pivot is within the radius and the reach, by the triangle inequality; else it is
+    not sent there, nor is a cell's vector to a block that cannot reach it. Where nothing can be told apart, every
+    vector meets every other once; the pairs themselves are never rows.
+    """
+    fixed = not isinstance(reach, str)
+    own = {} if fixed else {r["cell"]: r["m"] for r in near.groupBy("cell").agg(F.max(reach).alias("m")).collect()}  # PIVOTS rows
+    look = [reach if fixed else own.get(c, 0.0) for c in range(len(cells))]
+    slack = 1 + 1e-9  # rounding must not part neighbours
+
+    def dealt(left: bool):
+        def run(batches):
+            for batch in batches:
+                ids, x = _vectors(pa.table(batch).select(["id", "features"]))
+                cell, part = (np.asarray(batch.column(batch.schema.get_field_index(k))) for k in ("cell", "part"))
+                mine = np.asarray(batch.column(batch.schema.get_field_index(reach))) if left and not fixed else None
+                for c, (pivot, radius, parts) in enumerate(cells):
+                    bound = radius + ((reach if fixed else mine) if left else look[c])
+                    to = np.flatnonzero(np.sqrt(((x - pivot) ** 2).sum(axis=1)) <= bound * slack + 1e-12) if parts else np.zeros(0, np.int64)
+                    if len(to):
+                        rows = batch.select(["id", "features"]).take(pa.array(to))
+                        for q in range(parts):
+                            here, there = (cell[to], part[to]), (np.full(len(to), c, np.int32), np.full(len(to), q, np.int32))
+                            keys = (*here, *there) if left else (*there, *here)
+                            yield pa.RecordBatch.from_arrays([*rows.columns, *[pa.array(k, pa.int32()) for k in keys]], ["id", "features", "a", "ap", "b", "bp"])
+
+        return near.mapInArrow(run, "id long, features array<double>, a int, ap int, b int, bp int")
+
+    keys = ("a", "ap", "b", "bp")
+    return dealt(True).groupBy(*keys).cogroup(dealt(False).groupBy(*keys)).applyInArrow(lambda x, y: fn(*_vectors(x), *_vectors(y)), schema)
 
 
 def squares(x: np.ndarray, y: np.ndarray, at_once: int = 1 << 22):
@@ -49,9 +95,25 @@ def squares(x: np.ndarray, y: np.ndarray, at_once: int = 1 << 22):
         yield i, np.einsum("ijk,ijk->ij", d, d)
 
 
-def exact_blocks(vectors: DataFrame, k: int = 10) -> DataFrame:
-    """(block_id, id): the ``k`` nearest of each vector, itself included; ties by id. A block of rows keeps its own best
-    ``k`` for each query before the merge."""
+def exact_blocks(vectors: DataFrame, k: int = 10, block: int = BLOCK) -> DataFrame:
+    """(block_id, id): the ``k`` nearest of each vector, itself included; ties by id.
+
+    The ``k``-th distance within a vector's own part is as far as it has to look elsewhere. A block of rows keeps its own
+    best ``k`` for each query before the merge.
+    """
+    near, cells = celled(vectors, block)
+    if not cells:
+        return near.select(F.col("id").alias("block_id"), "id")
+
+    def bound(t: pa.Table) -> pa.Table:
+        ids, x = _vectors(t)
+        kth = np.full(len(x), np.inf)
+        for i, d in squares(x, x):
+            if len(x) >= k:
+                kth[i : i + len(d)] = np.sqrt(np.partition(d, k - 1, axis=1)[:, k - 1])
+        return t.append_column("kth", pa.array(kth))
+
+    near = shared_table(near.groupBy("cell", "part").applyInArrow(bound, "id long, features array<double>, cell int, part int, kth double"), "bounds")
 
     def best(ids, x, others, y):
         out = [[], [], []]
@@ -64,7 +126,7 @@ def exact_blocks(vectors: DataFrame, k: int = 10) -> DataFrame:
                 out[2].append(row[at])
         return pa.table({n: pa.array(np.concatenate(c) if c else [], t) for n, c, t in zip(("i", "j", "d2"), out, (pa.int64(), pa.int64(), pa.float64()), strict=True)})
 
-    return _nearest(paired(vectors, best, "i long, j long, d2 double"), k)
+    return _nearest(paired(near, cells, "kth", best, "i long, j long, d2 double"), k)
 
 
 def multiprobe_blocks(centred: DataFrame, planes: DataFrame, k: int = 10, probes: int = 20) -> DataFrame:

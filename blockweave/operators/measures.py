@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..plans.tables import shared_table
 
+#: Groups of an id up to which its pairs are counted without being made: an id has 2 ** MOST_GROUPS sets of groups at most.
+MOST_GROUPS = 8
 RESULT = ("pc", "pq", "rr", "db", "b")
 
 
@@ -42,20 +44,38 @@ def duplicate_pairs(entities: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def pair_counts(m: DataFrame, keys: list[str], by: list[str], distinct: bool = True) -> DataFrame:
     """(by..., n): pairs of ids that share ``keys``, from the groups' sizes; ``distinct`` counts a pair of several groups
-    once. Only pairs of ids that are both in several groups can repeat, so no others are ever made."""
+    once."""
     sizes = m.groupBy(*by, *keys).agg(F.count("*").alias("size"))
     total = sizes.groupBy(*by).agg(F.coalesce(F.sum(_choose2(F.col("size"))), F.lit(0.0)).alias("n"))
     if not distinct:
         return total
-    several = m.groupBy(*by, "id").agg(F.count("*").alias("groups")).filter("groups > 1")
-    some = m.join(several.drop("groups"), [*by, "id"], "left_semi")
-    on = [*by, *keys]
-    left, right = some.select(*on, F.col("id").alias("i")), some.select(*on, F.col("id").alias("j"))
-    again = left.join(right, on).filter("i < j").groupBy(*by, "i", "j").agg((F.count("*") - 1).alias("more")).groupBy(*by).agg(F.sum("more").alias("more"))
+    again = _repeated(m.join(sizes.filter("size > 1").drop("size"), [*by, *keys], "left_semi"), keys, by)
     both = total.join(again, by, "left") if by else total.crossJoin(again)  # one row each
     return both.select(*by, (F.col("n") - F.coalesce("more", F.lit(0))).alias("n"))
 
 
+def _repeated(m: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """(by..., more): how often pairs of ids are counted beyond their first common group.
+
+    For ids of at most MOST_GROUPS groups no pair is made: by inclusion and exclusion, a pair of c common groups is
+    counted c - 1 times too often, which is the sum over sets of two and more common groups, added for even sets and
+    taken off for odd ones, and as many pairs share a set as its holders make. So the cost follows the rows, not the
+    pairs. Only pairs with an id of more groups are made.
+    """
+    held = m.groupBy(*by, "id").agg(F.count("*").alias("groups")).filter("groups > 1")
+    some = m.join(held, [*by, "id"])
+    few = some.filter(F.col("groups") <= MOST_GROUPS).groupBy(*by, "id").agg(F.sort_array(F.collect_list(F.struct(*keys))).alias("of"))
+    bit = lambda i: F.call_function("shiftleft", F.lit(1), i)
+    sets = F.transform(F.sequence(F.lit(1), bit(F.size("of")) - 1), lambda mask: F.filter("of", lambda x, i: mask.bitwiseAND(bit(i)) != 0))
+    sets = few.select(*by, F.explode(F.filter(sets, lambda x: F.size(x) > 1)).alias("set")).groupBy(*by, "set").agg(F.count("*").alias("size")).filter("size > 1")
+    counted = sets.select(*by, (F.when(F.size("set") % 2 == 0, 1).otherwise(-1) * _choose2(F.col("size"))).alias("more"))
+    on = [*by, *keys]
+    left = some.filter(F.col("groups") > MOST_GROUPS).select(*on, F.col("id").alias("i"))
+    right = some.select(*on, F.col("id").alias("j"), (F.col("groups") > MOST_GROUPS).alias("many"))
+    made = left.join(right, on).filter("not many or i < j").groupBy(*by, "i", "j").agg((F.count("*") - 1).cast("double").alias("more"))
+    return counted.union(made.select(*by, "more")).groupBy(*by).agg(F.sum("more").alias("more"))
+
+
 def evaluate(entities: DataFrame, blocks: DataFrame, distinct: bool = False) -> DataFrame:
     """One row (pc, pq, rr, db, b). Ratios without a denominator are 0; without blocks all five are 0."""
     blocks = shared_table(members(blocks), "members")  # read by each of the counts below

@@ -12,18 +12,34 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def shared_table(df: DataFrame, name: str = "table") -> DataFrame:
-    """``df`` written to the folder the cluster names in ``spark.checkpoint.dir``: computed once, safe from lost executors."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir`` as the session has it.
+
+    A session on one machine (a local master, as in tests) that names none gets a temporary folder; a cluster that
+    names none is refused, since its executors could not read each other's tables.
+    """
+    sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is to name a folder that all executors share")
         made = tempfile.mkdtemp(prefix="blockweave-")
         atexit.register(shutil.rmtree, made, ignore_errors=True)
         sc.setCheckpointDir(made)
         folder = sc.getCheckpointDir()
-    path = f"{folder}/{name}-{uuid.uuid4().hex}.parquet"
+    return folder
+
+
+def shared_table(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` as a table in the shared folder: it is computed once, and a lost executor does not lose it. Results may read
+    it as long as the application lives; with its end the table is removed."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -111,3 +111,42 @@ def test_clusters_do_not_depend_on_order(spark):
     rows = [(i, [float(x) for x in rng.normal(size=2)]) for i in range(60)]
     a, b = (dict(map(tuple, dbscan.labels(spark.createDataFrame(r, "id long, features array<float>"), 0.5, 4).collect())) for r in (rows, rows[::-1]))
     assert a == b and max(a.values()) >= 0
+
+
+@pytest.mark.parametrize("most", [1, 3, 8])
+def test_distinct_pairs_are_counted_without_pairs(spark, monkeypatch, most):
+    import itertools
+    import random
+
+    monkeypatch.setattr(measures, "MOST_GROUPS", most)
+    rng = random.Random(most)
+    rows = list({(c, rng.randrange(9), i) for c in range(2) for i in range(40) for _ in range(rng.randrange(1, 8))})
+    df = spark.createDataFrame(rows, "config_id int, block_id int, id int")
+    got = {r["config_id"]: r["n"] for r in measures.pair_counts(df, ["block_id"], ["config_id"]).collect()}
+    for c in range(2):
+        of = {}
+        for k, b, i in rows:
+            if k == c:
+                of.setdefault(b, []).append(i)
+        assert got[c] == len({p for x in of.values() for p in itertools.combinations(sorted(x), 2)})
+    assert measures.pair_counts(df.filter("config_id = 0"), ["block_id"], []).first()["n"] == got[0]
+
+
+@pytest.mark.parametrize("block", [10, 64, 4096])
+def test_cells_that_are_apart_do_not_meet(spark, block):
+    import numpy as np
+
+    rng = np.random.default_rng(block)
+    centres = rng.normal(size=(8, 5)) * 20
+    x = np.concatenate([centres[rng.integers(8, size=180)] + rng.normal(size=(180, 5)), np.tile(centres[0], (60, 1))])
+    v = spark.createDataFrame([(i, [float(c) for c in r]) for i, r in enumerate(x)], "id long, features array<double>")
+    d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    want = {(i, int(j)) for i in range(len(x)) for j in np.lexsort((np.arange(len(x)), d[i]))[:4]}
+    assert {tuple(r) for r in knn.exact_blocks(v, 4, block).collect()} == want
+    near = dbscan.neighbours(v, 1.5, block).collect()
+    assert len(near) == len({(r["i"], r["j"]) for r in near}) and {(r["i"], r["j"]) for r in near} == set(zip(*map(np.ndarray.tolist, np.nonzero(d <= 2.25)), strict=True))
+    if block < 4096:
+        cells = knn.celled(v, block)
+        sent = []
+        out = knn.paired(*cells, 1.5, lambda i, a, j, b: sent.append(1) or __import__("pyarrow").table({"n": [len(i) * len(j)]}), "n long")
+        assert out.agg({"n": "sum"}).first()[0] < 0.6 * len(x) ** 2
