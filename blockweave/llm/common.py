@@ -2,49 +2,21 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import shutil
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.tables import shared_dir, shared_table as written  # noqa: F401
+
 #: The white space of every contract, as text and as a regular expression's class.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` as the session has it.
-
-    A session on one machine (a local master, as in tests) that names none gets a temporary folder; a cluster that
-    names none is refused, since its executors could not read each other's tables.
-    """
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir is to name a folder that all executors share")
-        made = tempfile.mkdtemp(prefix="blockweave-")
-        atexit.register(shutil.rmtree, made, ignore_errors=True)
-        sc.setCheckpointDir(made)
-        found = sc.getCheckpointDir()
-    return found
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: it is computed once, and a lost executor does not lose it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def release() -> None:
     """Give freed memory back to the system: Python workers live on between tasks, and would keep their largest size."""
     pa.default_memory_pool().release_unused()

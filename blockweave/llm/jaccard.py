@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces_for, release, text_bytes, written
+from .common import id_column, pieces_for, release, text_bytes, written
 from .graph import components
 from .shingles import set_digest, shingle_sets
 from .sightings import SENT, repeats, sender
@@ -36,6 +36,9 @@ SHARD_BYTES, CELL_PAIRS = 32 << 20, 1000
 BLOCK_DOCS, PAIRS_AT_ONCE, BINS = 128, 500_000, 256
 #: Requests for texts that are sent to every worker (about 16 MB); beyond, the texts are shuffled.
 SENT_ROWS = 200_000
+#: Bytes of texts in a cell.
+CELL_BYTES = 16 << 20
+_AT = (1 << 28) - 1
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
@@ -117,7 +120,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     id are one node. An empty table gives none; other columns are not read.
     """
     sc = df.sparkSession.sparkContext
-    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").alias("text"))
+    rows = df.select(id_column(df, id_col).alias("doc"), F.col(f"`{text_col}`").alias("text"))
     nbytes = text_bytes(rows)
     total = sketch(rows, k, nbytes)
     common = float(np.median(total) + 3 * math.sqrt(np.median(total) + 1))
@@ -143,8 +146,9 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     only = nodes.filter("doc = node").dropDuplicates(["doc", "hi", "lo"]).select("doc", "n", "matches", "tokens")
     shards = pieces_for(nbytes, SHARD_BYTES)
     found = written(repeats(only.mapInArrow(sender(_entries, shards), SENT)), "shingle-tokens")
-    # rest holds the size of the set, the multi-match and the place in the prefix.
-    p = found.select("fp", "doc", F.col("rest").bitwiseAND(0xFFFFFF).alias("at"), F.shiftright("rest", 24).bitwiseAND(0xFF).alias("m"), F.shiftright("rest", 32).alias("n"))
+    # rest holds the size of the set, the multi-match (4 bits) and the place in the prefix (28 bits: a text has at most
+    # 2**31 bytes, so 2**30 words, of which a prefix at these similarities takes less than a quarter).
+    p = found.select("fp", "doc", F.col("rest").bitwiseAND(_AT).alias("at"), F.shiftright("rest", 28).bitwiseAND(0xF).alias("m"), F.shiftright("rest", 32).alias("n"))
 
     degree = p.groupBy("doc").agg(F.count("*").alias("degree"))
     ranked = p.join(degree, "doc")
@@ -154,7 +158,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     late = _ceil((F.col("n") + F.col("hn")) * num, num + den) - F.least("m", "hm")
     near = p.join(hubs, "fp").filter((F.col("doc") != F.col("hub")) & (den * F.least("n", "hn") >= num * F.greatest("n", "hn")) & (F.col("at") < F.col("n") - late) & (F.col("hat") < F.col("hn") - late))
     pairs = written(near.select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).distinct(), "shingle-pairs")
-    links = linked(rows, pairs, k, num, den)
+    sizes = written(rows.filter("doc is not null").groupBy("doc").agg(F.sum(F.octet_length("text")).alias("bytes")), "shingle-sizes")
+    links = linked(rows, pairs, sizes, k, num, den)
     # Rows that repeat an id tie the nodes of their sets together.
     ties = nodes.filter("doc != node").select(F.col("doc").alias("a"), F.col("node").alias("b"))
     start = written(links.union(ties), "shingle-links")
@@ -189,7 +194,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     pairs2 = shared.union(plain).groupBy("x_doc", "y_doc").agg(F.count("*").alias("shared"), F.min("least").alias("least")).filter("shared >= least")
     pairs2 = pairs2.select(F.least("x_doc", "y_doc").alias("a"), F.greatest("x_doc", "y_doc").alias("b"))
     pairs2 = written(pairs2.join(pairs, ["a", "b"], "left_anti"), "shingle-pairs")
-    more = linked(rows, pairs2, k, num, den)
+    more = linked(rows, pairs2, sizes, k, num, den)
     final = written(components(start.union(written(more, "shingle-links"))), "shingle-components")
 
     by_set = nodes.select("doc", "node").distinct().join(final, "node", "left")
@@ -267,18 +272,21 @@ def _entries(batch: pa.RecordBatch):
     lengths = np.fromiter((len(b) // 8 for b in blobs), np.int64, len(blobs))
     fps = np.frombuffer(b"".join(blobs), np.uint64).copy()
     at = np.arange(len(fps)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    rest = (np.repeat(np.array(n, np.int64), lengths) << 32) | (np.repeat(np.array(m, np.int64), lengths) << 24) | at
+    rest = (np.repeat(np.array(n, np.int64), lengths) << 32) | (np.repeat(np.array(m, np.int64), lengths) << 28) | at
     return fps, rest.view(np.uint64), np.repeat(np.array(docs, np.int64), lengths)
 
 
-def linked(rows: DataFrame, pairs: DataFrame, k: int, num: int, den: int, sent_rows: int = SENT_ROWS) -> DataFrame:
-    """The pairs (a, b) of a written table whose whole texts are similar enough.
+def linked(rows: DataFrame, pairs: DataFrame, sizes: DataFrame, k: int, num: int, den: int, sent_rows: int = SENT_ROWS, cell_bytes: int = CELL_BYTES) -> DataFrame:
+    """The pairs (a, b) of a written table whose whole texts are similar enough. ``sizes``: the bytes of each doc's texts.
 
-    Pairs are dealt to cells by a hash of either side, so that a text goes to a cell once for all its pairs there; the
-    number of cells follows the number of pairs.
+    Pairs are dealt to cells by a hash of either side, so that a text goes to a cell once for all its pairs there. The
+    number of cells follows the number of pairs and the bytes of the texts that they name. A cell's texts become sets one
+    after the other in bounded memory.
     """
     n = pairs.count()
-    side = max(1, math.isqrt(n // CELL_PAIRS) + 1)
+    nbytes = pairs.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").count().join(sizes, "doc").agg(F.sum(F.col("count") * F.col("bytes"))).first()[0] or 0
+    # A cell holds no more than both texts of each of its pairs.
+    side = math.isqrt(max(n // CELL_PAIRS, nbytes // cell_bytes)) + 1
     cell = F.pmod(F.xxhash64("a"), F.lit(side)) * side + F.pmod(F.xxhash64("b"), F.lit(side))
     dealt = pairs.withColumn("cell", cell)
     wanted = written(dealt.select("cell", F.explode(F.array("a", "b")).alias("want")).distinct(), "shingle-cells")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces_for, text_bytes, written
+from .common import id_column, pieces_for, text_bytes, written
 
 #: Bytes of text in a bucket, and buckets for each shard of words.
 BUCKET_BYTES, BUCKETS_A_SHARD = 16 << 20, 2
@@ -182,7 +182,7 @@ def _answer(vocabulary_path: str, counts, ends: int):
         for words in asked["words"].to_pylist():
             ws = words.split(b" ")
             times.append(np.fromiter((total[w] for w in ws), np.int64, len(ws)).tobytes())
-            scores.append(np.fromiter((logs[w] for w in ws), np.float32, len(ws)).tobytes())
+            scores.append(np.fromiter((logs[w] for w in ws), np.float64, len(ws)).tobytes())
         return pa.table({"shard": asked["shard"], "bucket": asked["bucket"], "times": pa.array(times, pa.binary()), "scores": pa.array(scores, pa.binary())})
 
     return run
@@ -196,7 +196,7 @@ def _score(shards: int, n: int, distinct: int, ends: int, end_log: float):
         told = {s: (a, b) for s, a, b in zip(answers["shard"].to_pylist(), answers["times"].to_pylist(), answers["scores"].to_pylist(), strict=True)}
         for s, at in _by_shard(words, shards):
             if len(at):
-                c[at], logs[at] = np.frombuffer(told[s][0], np.int64), np.frombuffer(told[s][1], np.float32)
+                c[at], logs[at] = np.frombuffer(told[s][0], np.int64), np.frombuffer(told[s][1], np.float64)
         under = n + 0.1 * (distinct + 1)
         base = np.log10((c + 0.1) / under)
         end = math.log10((ends + 0.1) / under)
@@ -213,10 +213,11 @@ def lattice_scores(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
 
     Documents whose crc32(id as text) mod 10 is not 0 are learnt from. Tokens are words and one end a document. Null and
     empty texts are an end alone. A null id is learnt from and not held out; repeated rows count each. An empty table
-    gives none. Other columns are not read. Words are cut at white space only and may be of any length.
+    gives none. Ids are integers. Other columns are not read, and there are no ties. Very long texts are read whole;
+    words are cut at white space only and may be of any length.
     """
     sc = df.sparkSession.sparkContext
-    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").alias("text"))
+    rows = df.select(id_column(df, id_col).alias("doc"), F.col(f"`{text_col}`").alias("text"))
     buckets = pieces_for(text_bytes(rows), bucket_bytes)
     shards = pieces_for(buckets, BUCKETS_A_SHARD)
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc", "text"), F.lit(buckets)).cast("int"))

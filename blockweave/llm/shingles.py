@@ -53,11 +53,26 @@ def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     solid = ~_WHITE[raw]
     edge = np.flatnonzero(np.diff(solid.view(np.int8), prepend=0))
     starts, ends = edge[::2], edge[1::2]
-    _POWERS.to(len(raw) + 1)
-    sums = np.cumsum(_BYTE[_LOWER[raw]] * _POWERS.up[: len(raw)])
-    before = np.where(starts > 0, sums[starts - 1], np.uint64(0)) if len(starts) else np.zeros(0, np.uint64)
-    h = mix((sums[ends - 1] - before) * _POWERS.down[starts]) if len(starts) else before
-    return h, np.searchsorted(starts, bounds)
+    return _hashes(raw, starts, ends), np.searchsorted(starts, bounds)
+
+
+def _hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the words at these places. Sums run over the bytes in parts of BLOCK, so that a long text or word costs
+    little more than its length."""
+    before, upto, back = (np.zeros(len(starts), np.uint64) for _ in range(3))
+    carry = np.zeros(1, np.uint64)
+    for s in range(0, len(raw) if len(starts) else 0, BLOCK):
+        e = min(s + BLOCK, len(raw))
+        _POWERS.to(e - s)
+        sums = np.cumsum(_BYTE[_LOWER[raw[s:e]]] * _POWERS.up[: e - s])
+        ahead, behind = (np.array([pow(int(x), s, 1 << 64)], np.uint64) for x in (_STEP, _BACK))
+        for into, at in ((before, starts - 1), (upto, ends - 1)):
+            i, j = np.searchsorted(at, (s, e))
+            into[i:j] = carry + ahead * sums[at[i:j] - s]
+        i, j = np.searchsorted(starts, (s, e))
+        back[i:j] = behind * _POWERS.down[starts[i:j] - s]
+        carry = carry + ahead * sums[-1:]
+    return mix((upto - before) * back)
 
 
 def shingle_sets(texts: list[bytes | None], k: int):

@@ -69,7 +69,7 @@ def test_components(spark, sf_dir, which, k, num, den):
 
 
 def test_a_search_without_the_sent_request(spark, monkeypatch):
-    monkeypatch.setattr(jaccard.linked, "__defaults__", (0,))
+    monkeypatch.setattr(jaccard.linked, "__defaults__", (0, 2000))
     monkeypatch.setattr(jaccard, "CELL_PAIRS", 20)
     rows = near_copies(40)
     same(jaccard.jaccard_components(documents(spark, rows), k=3, num=90, den=100).collect(), brute(rows, 3, 90, 100))
@@ -164,3 +164,24 @@ def test_sets_of_an_id_keep_their_places():
     sent = [r for part in ((fps, rest, docs), (fps[:1], rest[:1] + np.uint64(2), docs[:1] + 2)) for r in sightings.packed(*part, 1)]
     told = sightings._told(pa.table({k: pa.array([r[i] for r in sent]) for i, k in enumerate(("shard", "kind", "fps", "rest", "docs"))}))
     assert sorted(zip(told["doc"].to_pylist(), told["rest"].to_pylist(), strict=True)) == [(7, 1), (7, 2), (9, 3)]
+
+
+@pytest.mark.parametrize("block", [1, 7, 64])
+def test_words_are_hashed_in_parts(monkeypatch, block):
+    from blockweave.llm import shingles
+
+    texts = [b"one two  three", None, b"", b"  a", "é漢 Two x".encode() * 20, b"y" * 300, b"one"]
+    want = [s.tolist() for s in shingles.shingle_sets(texts, 2)]
+    h, at = shingles.word_hashes(texts)
+    monkeypatch.setattr(shingles, "BLOCK", block)
+    part, where = shingles.word_hashes(texts)
+    assert part.tolist() == h.tolist() and where.tolist() == at.tolist() and h[0] == h[-1] and len(set(h[:3].tolist())) == 3
+    assert [s.tolist() for s in shingles.shingle_sets(texts, 2)] == want
+
+
+def test_a_long_text_takes_little_memory():
+    import subprocess
+    import sys
+
+    code = "import resource, sys; from blockweave.llm.shingles import shingle_sets; t = b' '.join(b'w%d' % (i % 90001) for i in range(3_000_000)); a = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; n = sum(len(s) for s in shingle_sets([t], 3)); print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - a) * 1024 / len(t))"
+    assert float(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) < 16

@@ -35,14 +35,23 @@ def brute_lines(rows, least=5):
     return out
 
 
+@pytest.mark.parametrize("sent", [1 << 20, 0])
 @pytest.mark.parametrize("which", ["odd", "real"])
-def test_line_dedup(spark, sf_dir, which):
+def test_line_dedup(spark, sf_dir, which, sent):
     rows = ODD if which == "odd" else real(spark, sf_dir)
-    got = dedup_lines(documents(spark, rows))
+    got = dedup_lines(documents(spark, rows), sent_bytes=sent)
     assert "kept" in got.columns
     same(got.select("doc_id", "text", "n_lines", "n_dropped").collect(), brute_lines(rows))
 
 
+def test_line_dedup_of_a_text_of_many_lines(spark):
+    long = "\n".join(f"{LINE} number {i % 20_000}" for i in range(60_000))
+    rows = [(i, long) for i in range(6)]
+    for sent in (1 << 20, 0):
+        got = dedup_lines(documents(spark, rows, extra=False), sent_bytes=sent).select("doc_id", "n_lines", "n_dropped").collect()
+        same(got, [(i, 60_000, 60_000 if i < 5 else 0) for i in range(6)])
+
+
 def test_line_dedup_nulls_and_empty_table(spark):
     rows = [(None, LINE)] * 6 + [(1, LINE)]
     got = dedup_lines(documents(spark, rows)).select("doc_id", "text", "n_dropped").collect()
