@@ -28,11 +28,22 @@ class Strings:
         raw = np.frombuffer(b"\xff".join(strings) + b"\xff", np.uint8)
         self.symbols = raw + np.uint8(1)  # 255, the end, wraps to 0
         self.owner = np.repeat(np.arange(len(strings)), self.lengths)
-        self.place = np.arange(len(raw)) - self.starts[self.owner]
+        self._first, self._size = self.starts[self.owner], self.lengths[self.owner]
+        self._end = self._first + self._size
+        self._least = int(self.lengths.min()) if len(strings) else 0
+
+    @property
+    def place(self) -> np.ndarray:
+        return np.arange(len(self.symbols)) - self._first
 
     def turned(self, by: int) -> np.ndarray:
         """Index of the symbol ``by`` further on in each one's circle."""
-        return self.starts[self.owner] + (self.place + by) % self.lengths[self.owner]
+        at = np.arange(by, by + len(self.symbols))
+        if abs(by) > self._least:
+            return self._first + (at - self._first) % self._size
+        if by < 0:
+            return np.where(at < self._first, at + self._size, at)
+        return np.where(at >= self._end, at - self._size, at)
 
 
 def _ranks(keys: np.ndarray) -> np.ndarray:
@@ -62,14 +73,18 @@ def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndar
     with the one before, as the greatest even number of symbols that does not exceed it, and ``depth`` at most (the
     first place has none: 0). A transform holds the two symbols before each rotation, so a step of refinement makes the
     interleave right to two more."""
-    z = np.repeat(np.arange(len(transforms), dtype=np.uint16), [len(x) for x in transforms])
+    few = len(transforms) <= 8
+    z = np.repeat(np.arange(len(transforms), dtype=np.uint8 if few else np.uint16), [len(x) for x in transforms])
     held = np.concatenate(transforms)
     symbols = np.empty_like(held)
     block = np.zeros(len(z), np.int32)
-    prefix = np.full(len(z), depth, np.uint16)
-    prefix[:1] = 0
-    for step in range(depth // 2):
-        symbols[np.argsort(z, kind="stable")] = held
+    prefix = np.zeros(len(z), np.uint16)
+    for _ in range(depth // 2):
+        if few:
+            for i, x in enumerate(transforms):
+                symbols[z == i] = x
+        else:
+            symbols[np.argsort(z, kind="stable")] = held
         p = np.argsort(symbols, kind="stable")
         s, block, z = symbols[p], block[p], z[p]
         edge = np.empty(len(z), bool)
@@ -77,7 +92,9 @@ def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndar
         np.not_equal(s[1:], s[:-1], out=edge[1:])
         edge[1:] |= block[1:] != block[:-1]
         block = np.cumsum(edge, dtype=np.int32)
-        prefix[edge & (prefix == depth)] = 2 * step
+        prefix += ~edge  # a boundary stays one
+    prefix *= 2
+    prefix[:1] = 0
     return z, prefix
 
 

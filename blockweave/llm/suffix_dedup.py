@@ -31,7 +31,7 @@ from .sightings import SENT, numbers, planes, repeats, sender
 
 ANCHOR = 16
 #: Bytes of text for a shard of the filters and for a bucket of contexts.
-SHARD_BYTES, BUCKET_BYTES = 32 << 20, 8 << 20
+SHARD_BYTES, BUCKET_BYTES = 32 << 20, 4 << 20
 #: Symbols of the strings that are merged at once.
 MERGED = 1 << 20
 #: Places of one context in a batch that go to its bucket; beyond, only its least document's do.
@@ -242,7 +242,10 @@ def _solve(length: int):
             for part in _parts(some.tolist(), fp, size):
                 solved |= zip(part, bwt.least_holder([strings[i] for i in part], low[part], length), strict=True)
             least, most = np.full(len(strings), far), np.full(len(strings), far)
-            least[some], most[some] = [int(solved[i].min()) for i in some.tolist()], [int(solved[i].max()) for i in some.tolist()]
+            if len(some):
+                every = np.concatenate([solved[i] for i in some.tolist()])
+                first = np.r_[0, np.cumsum(size[some] - length + 1)[:-1]]
+                least[some], most[some] = np.minimum.reduceat(every, first), np.maximum.reduceat(every, first)
             whole = docs > most[at]
             done.append(np.stack([docs[whole], keys[whole], starts[whole], starts[whole] + size[at[whole]]]))
             spans = []
