@@ -127,9 +127,10 @@ def top_cells(cells: DataFrame, edges: DataFrame, k: int = 20, p_accept: float =
     """The cells that a scan by rank accepts: no neighbour of one accepted before, or by a chance of ``p_accept``.
 
     The scan is sequential over at most ``n`` by ``n`` cells, so it is one bounded group; the candidates and edges are
-    made by joins. Chance is a hash of the cell and ``seed``, so that it is the same on every run.
+    made by joins. Chance is a digest of the cell and ``seed``, so that it is the same on every run.
     """
-    u = F.pmod(F.xxhash64(F.lit(seed), "cell_x", "cell_y"), F.lit(1_000_000)) / 1e6
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("cell_x").cast("string"), F.col("cell_y").cast("string")).cast("binary"))
+    u = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / float(1 << 32)
     before = edges.groupBy("candidate").agg(F.collect_list("chosen").alias("against"))
     one = cells.join(before, cells["rank"] == before["candidate"], "left").select(F.lit(0).alias("g"), "rank", "cell_x", "cell_y", (u < p_accept).alias("lucky"), F.coalesce("against", F.array().cast("array<bigint>")).alias("against"))
 

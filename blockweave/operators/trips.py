@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.geo import haversine
+from ..functions.geo import METHODS
 from .grid import Grid, assign
 from .kinematics import trip
 
@@ -43,8 +43,8 @@ def of_driver(points: DataFrame, driver_id: int) -> DataFrame:
 
 
 def sample(df: DataFrame, most: int, seed: int = 1, key: str = "traj_id") -> DataFrame:
-    """``most`` rows without replacement, the same for the same seed: those with the least hash of ``key``."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(most)
+    """``most`` rows without replacement, the same for the same seed: those with the least digest of ``key`` and seed."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary")), key).limit(most)
 
 
 def od_pairs(points: DataFrame, grid: Grid) -> DataFrame:
@@ -68,10 +68,10 @@ def two_drivers(od: DataFrame, sd: str, a: int, b: int, most_a: int, most_b: int
     return sample(here.filter(F.col("driver_id") == a), most_a).union(sample(here.filter(F.col("driver_id") == b), most_b))
 
 
-def stays(points: DataFrame, mins: float) -> DataFrame:
+def stays(points: DataFrame, mins: float, method: str = "haversine") -> DataFrame:
     """Of each trip the gaps of more than ``mins`` minutes: their number, hours and mean distance (0 without gaps)."""
     w = trip()
-    g = points.withColumns({"gap": F.lead("t").over(w) - F.col("t"), "_d": haversine(F.col("lon"), F.col("lat"), F.lead("lon").over(w), F.lead("lat").over(w))})
+    g = points.withColumns({"gap": F.lead("t").over(w) - F.col("t"), "_d": METHODS[method](F.col("lon"), F.col("lat"), F.lead("lon").over(w), F.lead("lat").over(w))})
     long = F.col("gap") > mins * 60
     return g.groupBy("traj_id").agg(
         F.sum(F.coalesce(long, F.lit(False)).cast("long")).alias("stays"),

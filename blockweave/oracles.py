@@ -328,3 +328,37 @@ SQL["od_counts"] = _with(PTS, TRIPS, ODS) + "select sd, count(*) as n from od gr
 SQL["od_driver_counts"] = _with(PTS, TRIPS, ODS) + "select sd, driver_id, count(*) as n from od group by 1, 2"
 SQL["start_centroid"] = _with(PTS, TRIPS) + "select round(avg(start_lon), 6) as lon, round(avg(start_lat), 6) as lat from tm"
 SQL["expanded_trips"] = _with(PTS) + "select traj_id, driver_id, p::int as p, t::bigint as t, round(lon, 6) as lon, round(lat, 6) as lat from pts"
+SQL["sample_trips"] = _with(PTS, TRIPS) + "select traj_id, driver_id from tm order by md5(traj_id || ':1'), traj_id limit 10"
+_TOP = "tp as (select sd, count(*) as n, min(driver_id) as a, max(driver_id) as b from od group by sd order by n desc, sd limit 1)"
+_SOME = lambda c, n: f"(select sd, driver_id, traj_id from od where (sd, driver_id) in (select (sd, {c}) from tp) order by md5(traj_id || ':1'), traj_id limit {n})"
+SQL["od_two_drivers"] = _with(PTS, TRIPS, ODS, _TOP) + f"select * from {_SOME('a', 2)} union all select * from {_SOME('b', 3)}"
+_LUCK = "('0x' || substr(md5('10086:' || cell_x || ':' || cell_y), 1, 8))::bigint / 4294967296.0 < 0.1"
+_CHANCE = RUN.replace("as against from cd", f"as against, {_LUCK} as lucky from cd").replace("not list_has_any(sel, against)", "(lucky or not list_has_any(sel, against))")
+SQL["grid_topk_chance"] = _with(PTS, _CHANCE) + "select rank, cell_x, cell_y from top"
+SQL["pair_csv"] = _with(PTS, PAIRS) + "select lid, rid from pr"
+SQL["feature_sink"] = SQL["graph_features"].replace("select traj_id, too_much_noise,", "select traj_id, traj_id // 10 as label,")
+SQL["cluster_files"] = _with(VEC, *[f"ext{r} as (select label as block_id, id from vec where label % 2 = {r})" for r in (0, 1)]) + " union all ".join(
+    f"select {r} as config_id, (select count(distinct block_id) from ext{r}) as blocks, * from ({_measures(f'ext{r}', 'vec', False)})" for r in (0, 1)
+)
+_POINT = "'[' || lon || ',' || lat || ']'"
+SQL["trip_geojson"] = _with(PTS) + (
+    """select traj_id, '{"type":"Feature","geometry":{"type":"LineString","coordinates":[' || string_agg("""
+    + _POINT
+    + """, ',' order by p) || ']},"properties":{"traj_id":' || traj_id || ',"driver_id":' || driver_id || '}}' as feature from pts group by traj_id, driver_id"""
+)
+
+# Vincenty's inverse formula: lam is refined in rounds, twelve of which are more than these short ways need.
+_F = 1 / 298.257223563
+_A, _B = 6378137.0, 6378137.0 * (1 - _F)
+_TERMS = """select traj_id, p, span, s1, c1, s2, c2, lam, sqrt(pow(c2 * sin(lam), 2) + pow(c1 * s2 - s1 * c2 * cos(lam), 2)) as ss, s1 * s2 + c1 * c2 * cos(lam) as cs"""
+_ANGLES = f"""select *, atan2(ss, cs) as sigma, case when ss = 0 then 0.0 else c1 * c2 * sin(lam) / ss end as sa from ({_TERMS} from {{}})"""
+_MID = f"""select *, 1 - sa * sa as c2a, case when 1 - sa * sa = 0 then 0.0 else cs - 2 * s1 * s2 / (1 - sa * sa) end as mid from ({_ANGLES})"""
+_WAY = f"""vi0 as (select traj_id, p, atan((1 - {_F!r}) * tan(radians(lag(lat) over w))) as u1, atan((1 - {_F!r}) * tan(radians(lat))) as u2, radians(lon - lag(lon) over w) as span from pts {W}),
+ vi(k, traj_id, p, span, s1, c1, s2, c2, lam) as (select 0, traj_id, p, span, sin(u1), cos(u1), sin(u2), cos(u2), span from vi0
+   union all select k + 1, traj_id, p, span, s1, c1, s2, c2, span + (1 - c) * {_F!r} * sa * (sigma + c * ss * (mid + c * cs * (2 * mid * mid - 1)))
+     from (select *, {_F!r} / 16 * c2a * (4 + {_F!r} * (4 - 3 * c2a)) as c from (select m.*, k from ({_MID.format('vi')}) m join (select traj_id as i, p as q, k from vi) n on n.i = m.traj_id and n.q = m.p)) where k < 12),
+ ve as (select *, c2a * {_A**2 - _B**2!r} / {_B**2!r} as k2 from ({_MID.format("(select * from vi where k = 12)")}))"""
+_DS = "bb * ss * (mid + bb / 4 * (cs * (2 * mid * mid - 1) - bb / 6 * mid * (4 * ss * ss - 3) * (4 * mid * mid - 3)))"
+SQL["seg_distance_ellipsoid"] = _with(PTS, _WAY) + (
+    f"select traj_id, p::int as p, round({_B!r} * ba * (sigma - {_DS}), 3) as dist from (select *, 1 + k2 / 16384 * (4096 + k2 * (-768 + k2 * (320 - 175 * k2))) as ba, k2 / 1024 * (256 + k2 * (-128 + k2 * (74 - 47 * k2))) as bb from ve)"
+)

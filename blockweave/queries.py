@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .operators import dbscan, features, grid, kinematics, knn, lsh, measures, profile, trips
 from .plans import sweeps
-from .plans.tables import entities, points, shared_table, vectors
+from .plans.tables import entities, points, shared_dir, shared_table, vectors
 from .sources import formats
 
 DIM = 64
@@ -172,6 +173,28 @@ def external_clusters(s, d):
     return measures.evaluate(e, formats.clusters(lines.union(odd)).select("block_id", "id"))
 
 
+@query
+def cluster_files(s, d):
+    """Two result files of the clustering tool in one folder, the even and the odd labels, read and scored each."""
+    e = entities(s, d)
+    of = e.groupBy("label").agg(F.array_join(F.transform(F.sort_array(F.collect_list("id")), lambda i: (i + 1).cast("string")), " ").alias("ids"))
+    place, part = 2 * F.floor(F.col("label") / 2).cast("long"), (F.col("label") % 2).alias("result")
+    lines = of.select(part, (place + 2).alias("line"), F.concat(F.lit("-1 "), "ids", F.lit(" 2.5")).alias("value")).union(of.select(part, (place + 1).alias("line"), F.lit("7 8 9")))
+    lines = lines.union(of.select(part, F.lit(0).cast("long"), F.lit("header")).distinct())
+    folder = f"{shared_dir(s)}/results-{uuid.uuid4().hex}"
+    lines.repartition("result").sortWithinPartitions("result", "line").select("result", "value").write.partitionBy("result").text(folder)
+    found = formats.read_clusters(s, folder).select(F.regexp_extract("file", "result=([0-9]+)", 1).cast("int").alias("config_id"), "block_id", "id")
+    return measures.evaluate_configs(e, found)
+
+
+@query
+def pair_csv(s, d):
+    """Pairs written as CSV and read back."""
+    folder = f"{shared_dir(s)}/pairs-{uuid.uuid4().hex}"
+    formats.write_pairs(pairs(points(s, d)), folder)
+    return formats.read_pairs(s, folder)
+
+
 @query
 def vectors_text(s, d):
     """The vectors as text lines and back."""
@@ -365,7 +388,8 @@ def seg_speed(s, d):
 
 @query
 def seg_distance_ellipsoid(s, d):
-    return kinematics.segments(points(s, d), "vincenty").select("traj_id", "p", "dist")
+    # The formula's rounding errors reach some nanometres, so millimetres are told.
+    return kinematics.segments(points(s, d), "vincenty").select("traj_id", "p", F.round("dist", 3).alias("dist"))
 
 
 @query
@@ -459,7 +483,18 @@ def driver_statistics(s, d):
 def driver_svm(s, d):
     p = points(s, d)
     f = features.labelled(features.graph_features(p, "da"), p)
-    return features.driver_classifier(f.withColumn("label", F.col("label") % 3))
+    folder = f"{shared_dir(s)}/features-{uuid.uuid4().hex}"
+    features.write_features(f, folder)
+    return features.driver_classifier(features.read_features(s, folder))
+
+
+@query
+def feature_sink(s, d):
+    """Feature rows of drivers written and read back."""
+    p = points(s, d)
+    folder = f"{shared_dir(s)}/features-{uuid.uuid4().hex}"
+    features.write_features(features.labelled(features.graph_features(p), p), folder)
+    return features.read_features(s, folder).select("traj_id", "label", F.posexplode("vec").alias("k", "v")).withColumn("k", F.col("k").cast("long"))
 
 
 # Trips
@@ -520,6 +555,14 @@ def od_driver_counts(s, d):
     return trips.od_driver_counts(trips.od_pairs(points(s, d), GRID))
 
 
+@query
+def od_two_drivers(s, d):
+    """Trips of the first and the last driver of the most frequent origin and destination."""
+    od = shared_table(trips.od_pairs(points(s, d), GRID), "od")
+    top = od.groupBy("sd").agg(F.count("*").alias("n"), F.min("driver_id").alias("a"), F.max("driver_id").alias("b")).orderBy(F.desc("n"), "sd").first()
+    return trips.two_drivers(od, top["sd"], top["a"], top["b"], 2, 3).select("sd", "driver_id", "traj_id")
+
+
 @query
 def start_centroid(s, d):
     return trips.start_centroid(points(s, d))

@@ -23,7 +23,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 def parse_vectors(lines: DataFrame) -> DataFrame:
     """(id, label, features) of lines (line, value): a label and numbers, by spaces or commas."""
     parts = F.filter(F.split(F.translate("value", " ", ","), ","), lambda x: x != "")
-    return lines.filter(F.length(F.trim("value")) > 0).select(F.col("line").alias("id"), F.element_at(parts, 1).cast("double").cast("int").alias("label"), F.transform(F.slice(parts, 2, 1_000_000), lambda x: x.cast("float")).alias("features"))
+    return lines.filter(F.length(F.trim("value")) > 0).select(F.col("line").alias("id"), F.element_at(parts, 1).cast("double").cast("int").alias("label"), F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda x: x.cast("float")).alias("features"))
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
@@ -35,6 +35,12 @@ def read_pairs(spark: SparkSession, path: str, columns: tuple[str, str] = ("ltab
     return spark.read.csv(path, header=True).select(F.col(columns[0]).cast("long").alias("lid"), F.col(columns[1]).cast("long").alias("rid"))
 
 
+def write_pairs(pairs: DataFrame, path: str, columns: tuple[str, str] = ("ltable_id", "rtable_id")) -> None:
+    """Write (lid, rid) as CSV files with a header and an id column."""
+    named = pairs.select(F.monotonically_increasing_id().alias("id"), F.col("lid").alias(columns[0]), F.col("rid").alias(columns[1]))
+    named.write.mode("overwrite").csv(path, header=True)
+
+
 def expand_trips(trips: DataFrame, step: int = 15) -> DataFrame:
     """Points of trips (traj_id, driver_id, polyline of [lon, lat]) with timestamps, or with a start and one point
     each ``step`` seconds."""

@@ -161,3 +161,20 @@ def test_streamed_sessions(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r["n"] for r in spark.sql("select * from sessions where driver_id = 1").collect()) == [1, 2]
+
+
+def test_a_curved_kernel_tells_rings_apart(spark):
+    import numpy as np
+
+    from blockweave.operators import features
+
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(400):
+        a, r = rng.uniform(0, 2 * np.pi), (1.0, 3.0)[i % 2] + rng.normal() * 0.1
+        rows.append((i, i % 2, [float(r * np.cos(a)), float(r * np.sin(a))]))
+    df = spark.createDataFrame(rows, features.FEATURE_SCHEMA)
+    got = features.driver_classifier(df).first()
+    assert 60 < got["n"] < 180 and got["accuracy"] > 0.95
+    assert features.driver_classifier(df, kernel="linear").first()["accuracy"] < 0.8
+    assert features.driver_classifier(df.limit(0)).first()["n"] == 0
