@@ -14,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Symbols of a shard of strings that is sorted at once.
-SHARD_SYMBOLS = 1 << 18
+SHARD_SYMBOLS = 1 << 17
 #: Depth to which a shard is sorted; merges may ask for less.
 SORTED = 64
 

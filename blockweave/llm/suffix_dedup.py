@@ -33,7 +33,9 @@ ANCHOR = 16
 #: Bytes of text for a shard of the filters and for a bucket of contexts.
 SHARD_BYTES, BUCKET_BYTES = 32 << 20, 4 << 20
 #: Symbols of the strings that are merged at once.
-MERGED = 1 << 20
+MERGED = 1 << 19
+#: Bytes of text whose contexts are found at once in a task.
+BATCH_BYTES = 8 << 20
 #: Places of one context in a batch that go to its bucket; beyond, only its least document's do.
 MANY = 256
 #: Sightings of an anchor from which its passages are told apart by a second anchor, and from which each by itself.
@@ -111,11 +113,22 @@ def _split(raw: bytes, first: int, last: int, fp: int, way: int, length: int):
 _ASKED = ("fps", "anchors", "lengths", "contexts", "counts", "docs", "keys", "starts")
 
 
+def _small(batches):
+    """The batches in parts of about BATCH_BYTES of text."""
+    for batch in batches:
+        total = np.cumsum(pa.compute.binary_length(batch.column(2)).fill_null(0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + BATCH_BYTES, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def _contexts(length: int, buckets: int):
     """Of a batch (key, doc, text, anchors and how each is split): its distinct contexts by bucket, with their places."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _small(batches):
             docs, raws = batch.column(1).to_numpy(), batch.column(2).cast(pa.binary()).to_pylist()
             runs = [anchors(np.frombuffer(raw, np.uint8), length) for raw in raws]
             sizes = np.fromiter((len(r[0]) for r in runs), np.int64, len(runs))
