@@ -12,11 +12,10 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from blockweave.llm import html_text, lattice, pii, quality_model, queries
-from blockweave.llm.quality_rules import quality_rules
 
 from .fixtures import ODD, documents, real, same
 from .test_pairs import brute as brute_components
-from .test_rows import brute_hits, brute_lines
+from .test_rows import brute_hits, brute_lines, brute_rules
 
 KIND = {"email": 0, "ip": 1, "card": 2, "phone": 3}
 
@@ -313,19 +312,73 @@ def test_sparse_sites_are_shrunk(spark):
     assert quality_model.quality_model(df.limit(0), labels).count() == 0
 
 
+SYMBOLS = "#*$%&|<>"
+
+
+def measured(t):
+    """Words, and characters by class: a-z, A-Z, digits, symbols, other ASCII marks, the rest."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    classes = [0] * 6
+    for c in "".join(w):
+        classes[0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3 if c in SYMBOLS else 4 if "!" <= c <= "~" else 5] += 1
+    return w, classes
+
+
+def distance(p, q):
+    half = lambda a, b: sum(x * math.log2(2 * x / (x + y)) for x, y in zip(a, b, strict=True) if x > 0)
+    return math.sqrt(max(0.0, (half(p, q) + half(q, p)) / 2))
+
+
+def brute_kept(rows):
+    """Ids of (id, text, language) that the quality rules keep, with references from distinct texts that pass the base."""
+    code = lambda x: x.lower() if x and re.fullmatch("[A-Za-z]{2,3}", x) else "und"
+    norm = collections.defaultdict(list)
+    for t, lang in {(t, code(x)) for _, t, x in rows}:
+        if not brute_rules(t)[-1]:
+            norm[lang].append(measured(t))
+    refs = {}
+    for lang, texts in norm.items():
+        classes = [sum(c[i] for _, c in texts) for i in range(6)]
+        exact = collections.Counter(x for w, _ in texts for x in w)
+        low = collections.Counter()
+        for x, n in exact.items():
+            if len(x) <= 24 and "," not in x:
+                low[x.lower()] += n
+        top = sorted(low, key=lambda x: (-low[x], x))[:32]
+        refs[lang] = [c / sum(classes) for c in classes], top, [low[x] / sum(exact.values()) for x in top]
+    kept = set()
+    for d, t, lang in rows:
+        w, classes = measured(t)
+        if brute_rules(t)[-1]:
+            continue
+        shares, top, common = refs[code(lang)]
+        far = distance([c / sum(classes) for c in classes], shares) if sum(classes) >= 200 else 0.0
+        mine = collections.Counter(x.lower() for x in w)
+        own = [mine[x] / len(w) for x in top]
+        other = distance([*own, max(0.0, 1 - sum(own))], [*common, max(0.0, 1 - sum(common))]) if len(w) >= 40 else 0.0
+        assert abs(far - 0.3) > 1e-9 and abs(other - 0.42) > 1e-9
+        if far <= 0.3 and other <= 0.42:
+            kept.add(d)
+    return kept
+
+
 def test_pipeline_stages(spark, sf_dir):
+    from tokenizers import Tokenizer
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     at = docs
     bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     for name, stage in corpus_pipeline.STAGES:
-        before = [(r["doc_id"], r["text"]) for r in at.collect()]
+        rows = at.select("doc_id", "text", "lang").collect()
+        before = [(r["doc_id"], r["text"]) for r in rows]
         new = stage(spark, at, sf_dir).cache()
         if name != "packing":
             assert new.columns == docs.columns
             got = {(r["doc_id"], r["text"]) for r in new.collect()}
             assert all(r["n_chars"] == len(r["text"]) for r in new.collect()) or name == "quality_rules"
         if name == "quality_rules":
-            assert got == {tuple(r) for r in quality_rules(at).filter("kept").select("doc_id", "text").collect()} and 0 < len(got) < len(before)
+            keep = brute_kept([tuple(r) for r in rows])
+            assert got == {(d, t) for d, t in before if d in keep} and 0 < len(got) < len(before)
         elif name == "line_dedup":
             assert got == {(d, t) for d, t, _, _ in brute_lines(before)}
         elif name == "near_duplicates":
@@ -335,9 +388,68 @@ def test_pipeline_stages(spark, sf_dir):
             clean = {d for d, _, hit, _ in brute_hits(before, bench) if not hit}
             assert got == {(d, t) for d, t in before if d in clean} and len(got) < len(before)
         else:
-            assert {r["doc_id"] for r in new.select("doc_id").collect()} == {d for d, _ in before}
+            tokenizer = Tokenizer.from_file(queries.tokenizer_path())
+            pieces = collections.defaultdict(list)
+            for r in new.orderBy("start").collect():
+                pieces[r["doc_id"]] += np.frombuffer(r["ids"], "<u4").tolist()
+            assert pieces == {d: [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for d, t in before}
         at = new
-    assert corpus_pipeline.run(spark, sf_dir).agg(F.sum("length")).first()[0] == at.agg(F.sum("length")).first()[0]
+
+
+def test_pipeline_without_rows_and_with_nulls(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    odd = docs.limit(3).withColumns({"text": F.when(F.col("doc_id") % 2 == 0, F.lit("")), "doc_id": F.lit(None).cast("long"), "lang": F.lit(None).cast("string"), "source": F.lit(None).cast("string")})
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
+        out = stage(spark, odd, sf_dir)
+        assert out.count() == (0 if name == "quality_rules" else 3)
+        assert name == "packing" or out.columns == docs.columns
+
+
+def test_quality_model_by_hand(spark, sf_dir):
+    """Evidence, posteriors and quality of every row against plain Python."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "source", "lang").collect()] + [(None, None, None, None), (3, "", "a", None)]
+    clash = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumns({c: F.lit("mine") for c in ("doc", "host", "path", "x", "quality", "kept", "n", "s")})
+    got = sorted(quality_model.quality_model(clash, labels).collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"], r["n_words"]))
+
+    def values(t):
+        w, c = measured(t)
+        n, some, chars = len(w), max(1, len(w)), max(1, sum(c))
+        lines = [x for x in (t or "").split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+        dup = len(lines) - len(set(lines))
+        return [math.log1p(n), min(sum(c) / some, 30.0), *[math.sqrt(x / chars) for x in c[1:]], len(set(w)) / some**0.85, min(dup / max(1.0, math.sqrt(some)), 3.0), max(0.0, (10 - n) / 10)]
+
+    x = {(d, t): values(t) for d, t, _, _ in rows}
+    known = {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] is not None}
+    fit = [(x[d, t], known[d]) for d, t, _, _ in rows if d in known]
+    model = quality_model.Logistic(np.array([f[0] for f in fit]), np.array([f[1] for f in fit], float))
+    z = {k: float(np.clip(model._expand(np.array([v])) @ model.w, -12, 12)[0]) for k, v in x.items()}
+    every = [(d, s or "", l or "", z[d, t], 1 / (1 + math.exp(-z[d, t])), len(measured(t)[0])) for d, t, s, l in rows]
+    mean = sum(r[4] for r in every) / len(every)
+
+    def shrunk(key, above):
+        groups = collections.defaultdict(list)
+        for r in every:
+            groups[key(r)].append(r[4])
+        n = [len(v) for v in groups.values()]
+        between = sum(len(v) * (sum(v) / len(v) - above(k)) ** 2 for k, v in groups.items())
+        within = sum(sum(p * p for p in v) - len(v) * (sum(v) / len(v)) ** 2 for v in groups.values())
+        k0 = quality_model.strength(len(n), sum(n), sum(i * i for i in n), between, within)
+        return {k: (sum(v) + k0 * above(k)) / (len(v) + k0) for k, v in groups.items()}
+
+    hosts = shrunk(lambda r: r[1], lambda k: mean)
+    paths = shrunk(lambda r: (r[1], r[2]), lambda k: hosts[k[0]])
+    want = []
+    for d, s, l, zz, p, n in every:
+        q = min(max(paths[s, l], 1e-6), 1 - 1e-6)
+        moved = zz + math.log(q / (1 - q)) - math.log(mean / (1 - mean))
+        want.append((d, n, p, hosts[s], paths[s, l], 1 / (1 + math.exp(-moved))))
+    want.sort(key=lambda r: (r[0] is not None, r[0], r[1]))
+    for g, w in zip(got, want, strict=True):
+        assert (g["doc_id"], g["n_words"]) == w[:2]
+        assert [g[c] for c in ("evidence", "host_posterior", "path_posterior", "quality")] == pytest.approx(w[2:], abs=1e-5)
 
 
 def test_digests(spark, sf_dir):
