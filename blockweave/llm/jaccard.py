@@ -117,7 +117,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Two documents link when their sets of ``k``-word shingles have intersection / union >= num / den. Words are
     ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased; a text of fewer words is one shingle. Null, empty and blank texts have
     an empty set and link with nothing; neither do rows without an id, whose component_id is null. Rows that repeat an
-    id are one node. An empty table gives none; other columns are not read.
+    id are one node. Very long texts are read whole, in parts; tied tokens go by their hash. Ids are integers. An empty
+    table gives none; other columns are not read.
     """
     sc = df.sparkSession.sparkContext
     rows = df.select(id_column(df, id_col).alias("doc"), F.col(f"`{text_col}`").alias("text"))

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import id_column, written
 from .quality_rules import CLASSES, _measured
 
 FEATURES = ("log_words", "mean_length", *[f"share_{k}" for k in CLASSES[1:]], "distinct_share", "repeated_lines", "few_words")
@@ -112,8 +112,10 @@ def quality_model(
     The classifier is fitted to at most ``max_labels`` labelled documents, those with the least hash of their id; all
     else (scores, means, strengths, posteriors) covers every row. Without labels of both kinds the evidence is 0.5 and
     everything is kept. Null hosts and paths are groups of their own; null and empty texts have no words. Labels with
-    a null id or value are left out; rows and labels that repeat count each. An empty table gives none.
+    a null id or value are left out; rows and labels that repeat count each. Very long texts are measured whole. Ids are
+    integers; labels tied at ``max_labels`` go by id. An empty table gives none; other columns are not read.
     """
+    id_column(df, id_col)
     x = written(features(df, id_col, text_col, host_col, path_col), "quality-features")
     known = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{label_col}`").cast("double").alias("y")).dropna()
     sample = x.join(known, "doc").orderBy(F.xxhash64("doc"), "doc").limit(max_labels).select("x", "y").collect()

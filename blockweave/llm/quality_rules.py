@@ -165,7 +165,8 @@ def quality_rules(
     A null or empty text has no words, fails the base and is not kept; its distances are 0. Texts below ``min_chars``
     characters of words have no class distance and those below ``min_words`` words no word distance (both 0): the
     guards keep short clean texts. So have all texts of a language without a reference. A null or odd language counts as ``und``. Rows are judged one by one, so repeated
-    rows get the same verdict; an empty table gives none. Columns of these names in ``df`` are replaced.
+    rows get the same verdict; very long texts are judged whole, and words of tied counts go by the word. An empty table
+    gives none. Columns of these names in ``df`` are replaced.
     """
     refs = references(df, text_col, lang_col) if refs is None else refs
     m = _measured(df, text_col, lang_col).join(F.broadcast(refs), "_lang", "left")
