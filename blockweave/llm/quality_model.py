@@ -4,6 +4,9 @@ A logistic model of text features gives every document a probability (its own ev
 them get posteriors: the mean evidence of their documents, drawn towards the level above as strongly as the spread
 between groups, against that within them, says. A site with few documents stays near its parent, the global mean in
 the end. The document's log odds are then moved by those of its path against the global mean.
+
+Toxicity is told by words: those of the labelled documents whose share among toxic ones is many times that among the
+others make a bounded list, and a document that holds several of them is toxic. It does not move quality or kept.
 """
 
 from __future__ import annotations
@@ -20,8 +23,31 @@ from .quality_rules import CLASSES, _measured
 FEATURES = ("log_words", "mean_length", *[f"share_{k}" for k in CLASSES[1:]], "distinct_share", "repeated_lines", "few_words")
 
 
-def features(df: DataFrame, id_col: str, text_col: str, host_col: str, path_col: str) -> DataFrame:
-    """doc, host, path, n_words and the features of each row, all of bounded size."""
+def toxic_words(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, toxic_col: str, max_labels: int, least_share: float = 0.01, least_odds: float = 3.5, most: int = 256) -> list[str]:
+    """At most ``most`` words that tell toxic texts, from at most ``max_labels`` labelled documents, each distinct text
+    once: in at least five toxic texts and ``least_share`` of them, with log odds of ``least_odds`` against the others."""
+    if toxic_col not in labels.columns:
+        return []
+    known = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{toxic_col}`").cast("int").alias("y")).filter("y in (0, 1)").dropna()
+    known = known.orderBy(F.xxhash64("doc"), "doc").limit(max_labels)
+    texts = df.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(known), "doc").select("text", "y").distinct()
+    texts = written(texts.select("y", F.array_distinct(_letters(F.col("text"))).alias("w")), "quality-toxic")
+    n = {r["y"]: r["count"] for r in texts.groupBy("y").count().collect()}
+    if len(n) < 2:
+        return []
+    counts = texts.select("y", F.explode("w").alias("w")).groupBy("w").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
+    odds = F.log((F.col("t") + 0.5) / (n[1] + 1)) - F.log((F.col("c") + 0.5) / (n[0] + 1))
+    found = counts.filter((F.col("t") >= max(5, least_share * n[1])) & (odds >= least_odds)).orderBy(F.desc("t"), "w").limit(most)
+    return sorted(r["w"] for r in found.collect())
+
+
+def _letters(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\p{L}++"), F.lit(0))
+
+
+def features(df: DataFrame, id_col: str, text_col: str, host_col: str, path_col: str, toxic: list[str] = ()) -> DataFrame:
+    """doc, host, path, n_words, the number of distinct words of ``toxic``, and the features of each row, all of bounded
+    size."""
     m = _measured(df, text_col, None)
     n = F.size("_words")
     some = F.greatest(n, F.lit(1))
@@ -35,7 +61,15 @@ def features(df: DataFrame, id_col: str, text_col: str, host_col: str, path_col:
         F.greatest(F.lit(0.0), (F.lit(10.0) - n) / 10),
     ]
     name = lambda c: F.coalesce(F.col("_row")[c].cast("string"), F.lit(""))
-    return m.select(F.col("_row")[id_col].cast("long").alias("doc"), name(host_col).alias("host"), name(path_col).alias("path"), n.cast("long").alias("n_words"), F.array(*[v.cast("double") for v in values]).alias("x"))
+    return m.select(F.col("_row")[id_col].cast("long").alias("doc"), name(host_col).alias("host"), name(path_col).alias("path"), n.cast("long").alias("n_words"), _listed(F.col("_row")[text_col], toxic).alias("n_toxic"), F.array(*[v.cast("double") for v in values]).alias("x"))
+
+
+def _listed(text: Column, words: list[str]) -> Column:
+    """How many distinct words of the list the text holds."""
+    if not words:
+        return F.lit(0).cast("long")
+    pattern = r"(?<!\p{L})(?:" + "|".join(words) + r")(?!\p{L})"
+    return F.size(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern), F.lit(0)))).cast("long")
 
 
 class Logistic:
@@ -103,8 +137,11 @@ def quality_model(
     label_col: str = "quality",
     max_labels: int = 20_000,
     threshold: float = 0.5,
+    toxic_col: str = "toxic",
+    min_toxic_words: int = 2,
 ) -> DataFrame:
-    """One row for each row of ``df``: doc_id, n_words, evidence, host_posterior, path_posterior, quality and kept.
+    """One row for each row of ``df``: doc_id, n_words, evidence, host_posterior, path_posterior, quality, kept, and
+    n_toxic_words and toxic (at least ``min_toxic_words`` distinct words of the list; without such labels none).
 
     documents has no URL, so by default its source stands for the host and its lang for the path: path_posterior is
     then that of a language within a source.
@@ -116,12 +153,13 @@ def quality_model(
     integers; labels tied at ``max_labels`` go by id. An empty table gives none; other columns are not read.
     """
     id_column(df, id_col)
-    x = written(features(df, id_col, text_col, host_col, path_col), "quality-features")
+    words = toxic_words(df, labels, id_col, text_col, toxic_col, max_labels)
+    x = written(features(df, id_col, text_col, host_col, path_col, words), "quality-features")
     known = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{label_col}`").cast("double").alias("y")).dropna()
     sample = x.join(known, "doc").orderBy(F.xxhash64("doc"), "doc").limit(max_labels).select("x", "y").collect()
     model = Logistic(np.array([r["x"] for r in sample], float).reshape(len(sample), len(FEATURES)), np.array([r["y"] for r in sample], float))
     logit = model.logit(F.col("x"))
-    scored = x.select("doc", "host", "path", "n_words", logit.alias("z"), (1 / (1 + F.exp(-logit))).alias("p"))
+    scored = x.select("doc", "host", "path", "n_words", "n_toxic", logit.alias("z"), (1 / (1 + F.exp(-logit))).alias("p"))
 
     paths = written(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("ss")), "quality-paths")
     total = paths.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
@@ -135,4 +173,4 @@ def quality_model(
     odds = lambda c: F.log(c / (1 - c))
     moved = F.col("z") + odds(F.least(F.greatest(F.col("path_posterior"), F.lit(1e-6)), F.lit(1 - 1e-6))) - math.log(mean / (1 - mean))
     out = scored.join(paths, ["host", "path"]).withColumn("quality", 1 / (1 + F.exp(-moved)))
-    return out.select(F.col("doc").alias("doc_id"), "n_words", F.col("p").alias("evidence"), "host_posterior", "path_posterior", "quality", (F.col("quality") >= threshold).alias("kept"))
+    return out.select(F.col("doc").alias("doc_id"), "n_words", F.col("p").alias("evidence"), "host_posterior", "path_posterior", "quality", (F.col("quality") >= threshold).alias("kept"), F.col("n_toxic").alias("n_toxic_words"), (F.col("n_toxic") >= min_toxic_words).alias("toxic"))

@@ -301,6 +301,34 @@ def test_quality_model_on_held_out_labels(spark):
     assert share[1] > 0.99 and share[0] < 0.05
 
 
+def test_toxic_documents_on_held_out_labels(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    texts = labels.join(docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("m")), "doc_id")
+    out = texts.filter(F.col("m") < "4").select("doc_id", F.col("toxic").alias("y"))  # copies of a text are on one side
+    words = quality_model.toxic_words(docs, labels.join(out, "doc_id", "left_anti"), "doc_id", "text", "toxic", 20_000)
+    assert 5 < len(words) <= 256
+    got = docs.join(out, "doc_id").groupBy("y").agg(F.avg((quality_model._listed(F.col("text"), words) >= 2).cast("int")).alias("s"))
+    share = {r["y"]: r["s"] for r in got.collect()}
+    print(share)
+    assert share[1] > 0.85 and share[0] < 0.01
+
+
+def test_toxic_words_without_labels(spark):
+    df = documents(spark)
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality_model.toxic_words(df, none, "doc_id", "text", "toxic", 100) == []
+    assert quality_model.toxic_words(df, none.drop("toxic"), "doc_id", "text", "toxic", 100) == []
+    rows = [(i, f"plain words and a {'Clod! oaf,' if i % 2 else 'friend'} number") for i in range(40)] + [(50, None), (51, "oaf oaf"), (52, "CLOD oaf")]
+    df = spark.createDataFrame([(i, t, "s", "en") for i, t in rows], "doc_id long, text string, source string, lang string").withColumn("toxic", F.lit("mine"))
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    texts = df.withColumn("text", F.concat("text", F.lit(" x"), F.col("doc_id").cast("string")))
+    assert quality_model.toxic_words(texts, labels, "doc_id", "text", "toxic", 100) == ["clod", "oaf"]
+    assert quality_model._listed(F.lit("x"), []) is not None
+    got = {r["doc_id"]: (r["n_toxic_words"], r["toxic"]) for r in quality_model.quality_model(texts, labels).collect()}
+    assert (got[0], got[1], got[50], got[51], got[52]) == ((0, False), (2, True), (0, False), (1, False), (2, True))
+
+
 def test_sparse_sites_are_shrunk(spark):
     rows = [(i, "Good plain words of a text. " * 6 if i % 10 else "### $$$ %%% " * 10, "big") for i in range(200)]
     rows += [(200 + i, "### $$$ %%% " * 10, "bad") for i in range(100)] + [(300, "### $$$ %%% " * 10, "once"), (301, None, None), (302, "", "big"), (302, "", "big")]
