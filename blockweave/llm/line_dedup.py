@@ -94,8 +94,10 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     out = T.StructType([*schema, *[T.StructField(n, T.LongType()) for n in OWN]])
     id_at, text_at = columns.index(id_col), columns.index(text_col)
     if held.count() * 24 <= sent_bytes:
-        top = sorted(_digest(r["fp"], r["rest"]) + r["last"].to_bytes(8, "big", signed=True) for r in held.collect())
-        known = df.sparkSession.sparkContext.broadcast((np.array([t[:16] for t in top], "S16"), np.array([int.from_bytes(t[16:], "big", signed=True) for t in top], np.int64)))
+        t = held.toArrow()
+        every = np.stack([np.asarray(t["fp"]), np.asarray(t["rest"])], axis=1).astype(">i8").view("S16").reshape(-1)
+        order = np.argsort(every)
+        known = df.sparkSession.sparkContext.broadcast((every[order], np.asarray(t["last"])[order]))
 
         def gone(batch, keys, of):
             every, last = known.value
@@ -121,6 +123,3 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
     return joined.select(*[F.col("_row")[c].alias(f"c{i}") for i, c in enumerate(columns)], "_drops").mapInArrow(_cut(n, text_at, [*columns, *OWN], min_chars, own), out)
 
-
-def _digest(fp: int, rest: int) -> bytes:
-    return b"".join(x.to_bytes(8, "big", signed=True) for x in (fp, rest))
