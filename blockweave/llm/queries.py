@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import mark_contaminated
+from .divergence import divergence
 from .html_text import main_text
 from .jaccard import jaccard_components
 from .lattice import lattice_scores
@@ -15,7 +16,7 @@ from .packing import pack
 from .pii import KINDS, find_pii, written_out
 from .quality_model import quality_model
 from .quality_rules import quality_rules, references
-
+from .resample import resample
 from .sql import SQL  # noqa: F401
 from .suffix_dedup import remove_repeats
 
@@ -81,10 +82,18 @@ def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_scores(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_model, op2_line_dedup, op3_decontaminate, op4_jaccard_join, op5_packing, op6_quality_rules, op7_suffix_dedup, op8_pii, op9_html_text, op10_lattice, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_quality_model, op2_line_dedup, op3_decontaminate, op4_jaccard_join, op5_packing, op6_quality_rules, op7_suffix_dedup, op8_pii, op9_html_text, op10_lattice, op11_source_divergence, op13_resample, pipeline)}

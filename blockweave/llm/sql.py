@@ -72,3 +72,41 @@ with wd as materialized (select doc_id, text, case when regexp_full_match(lower(
 select doc_id, len(w)::bigint as n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, len(w) < 10 or 100 * n_repeat_words > 20 * len(w) as base_failed,
  not (len(w) < 10 or 100 * n_repeat_words > 20 * len(w)) and cd <= 0.3 and wdist <= 0.42 as kept, round(cd, 6) as class_distance, round(wdist, 6) as word_distance from js
 """
+
+_SHARE = "(1 + 1000000000::hugeint * ({n} + 5) // ({N} + 5 * {V}))"
+SQL["op11_source_divergence"] = f"""
+with d as (select row_number() over () as row, coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all(translate(coalesce(text, ''), {LOWER}), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as w from documents),
+ c as materialized (select lang, source, row, w, count(*) as n from (select lang, source, row, unnest(w) as w from d) group by all),
+ k as materialized (select lang, w, sum(n) as n from c group by lang, w having count(*) >= 30),
+ l as (select lang, count(*) as v, sum(n) as total from k group by lang),
+ g as materialized (select d.lang, d.source, coalesce(v, 0) as v, coalesce(total, 0) as total from (select distinct lang, source from d) d left join l using (lang)),
+ s as (select lang, source, w, sum(c.n) as n from c semi join k using (lang, w) group by all),
+ gn as materialized (select g.*, coalesce(n, 0) as n from g left join (select lang, source, sum(n) as n from s group by all) using (lang, source)),
+ p as materialized (select gn.lang, gn.source, k.w, coalesce(s.n, 0) as c, {_SHARE.format(n="coalesce(s.n, 0)", N="gn.n", V="v")} as p, {_SHARE.format(n="k.n", N="total", V="v")} as q from gn join k using (lang) left join s on s.lang = gn.lang and s.source = gn.source and s.w = k.w),
+ pairs as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value from p a join p b on a.lang = b.lang and a.w = b.w and a.source <> b.source group by all),
+ listed as (select g.lang, g.source, 'pair' as part, h.source as item, coalesce(value, 0) as value from g join g h on g.lang = h.lang and g.source <> h.source left join pairs on pairs.lang = g.lang and pairs.source = g.source and pairs.item = h.source
+  union all select lang, source, 'term', w, p - q from p where c > 0 and p > q),
+ r as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from listed)
+select lang, source, part, item, value::bigint as value, rank::int as rank from r where part = 'pair' or rank <= 50
+"""
+
+# DuckDB has no crc32: its table of 256 is made by rule, and each distinct feature is folded over its bytes.
+_BIT = "(case when {c} & 1 = 1 then xor({c} >> 1, 3988292384) else {c} >> 1 end)"
+_FEATURES = """select {id}, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as f from (select {id}, regexp_extract_all(translate(coalesce(text, ''), {lower}), '{word}') as w from {table})"""
+SQL["op13_resample"] = f"""
+with recursive bits as (select i, i::bigint as c, 0 as k from range(256) t(i) union all select i, {_BIT.format(c="c")}, k + 1 from bits where k < 8),
+ crc as materialized (select list(c order by i) as tab from bits where k = 8),
+ df as materialized (select doc_id, f, count(*) as n from ({_FEATURES.format(id="doc_id", lower=LOWER, word=_WORD, table="documents")}) group by all),
+ bf as materialized (select f, count(*) as n from ({_FEATURES.format(id="item_id", lower=LOWER, word=_WORD, table="benchmark")}) group by all),
+ hx as (select f, hex(encode(f)) as h from (select f from df union select f from bf)),
+ bk as materialized (select f, xor(list_reduce(list_transform(range(0, len(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::bigint), lambda c, b: xor(c >> 8, tab[1 + (xor(c, b) & 255)]), 4294967295::bigint), 4294967295) % 10000 as b from hx, crc),
+ s as (select b, sum(n) as n from df join bk using (f) group by b),
+ t as (select b, sum(n) as n from bf join bk using (f) group by b),
+ c as (select i as b, coalesce(s.n, 0)::double as s, coalesce(t.n, 0)::double as t from range(10000) r(i) left join s on s.b = i left join t on t.b = i),
+ g as materialized (select b, floor(1000 * ln(((t + 1) * ((select sum(s) from c) + 10000)) / ((s + 1) * ((select sum(t) from c) + 10000))))::bigint as gain from c),
+ w as (select doc_id, sum(n)::bigint as n, sum(n * gain)::bigint as total from df join bk using (f) join g using (b) group by doc_id),
+ h as (select doc_id, ('0x' || substr(sha256('7:' || doc_id::varchar), 1, 8))::bigint::double as h from documents),
+ sc as (select doc_id, coalesce(n, 0) as n, coalesce((total - ((total % n) + n) % n) // n, 0)::bigint as weight, floor(-1000 * ln(-ln((h + 0.5) / 4294967296.0)))::bigint as luck from h left join w using (doc_id)),
+ r as (select doc_id, weight + luck as score, row_number() over (order by weight + luck desc, doc_id) as rank, count(*) over () as able from sc where n >= 39)
+select doc_id, n::bigint as n_features, weight, weight + luck as score, case when rank <= 25 * able // 100 then rank end as rank from sc left join (select doc_id, rank, able from r) using (doc_id)
+"""
