@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe_chunks import decode, encode
 from .common import table
 from .decontaminate import mark_contaminated
 from .divergence import divergence
@@ -27,6 +28,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def word_tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def vocabulary_path() -> str:
     import public_tokenizers
 
@@ -86,6 +93,11 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(table(spark, sf_dir, "documents"))
 
 
+def op12_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = decode(encode(table(spark, sf_dir, "documents"), word_tokenizer_path()), word_tokenizer_path())
+    return d.select("doc_id", "n_tokens", F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -96,4 +108,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_model, op2_line_dedup, op3_decontaminate, op4_jaccard_join, op5_packing, op6_quality_rules, op7_suffix_dedup, op8_pii, op9_html_text, op10_lattice, op11_source_divergence, op13_resample, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_quality_model, op2_line_dedup, op3_decontaminate, op4_jaccard_join, op5_packing, op6_quality_rules, op7_suffix_dedup, op8_pii, op9_html_text, op10_lattice, op11_source_divergence, op12_bpe_chunks, op13_resample, pipeline)}
