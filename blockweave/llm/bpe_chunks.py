@@ -20,6 +20,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,11 +31,11 @@ from .common import id_column, release, written
 #: Bytes that the rolling hash looks at (a power of two), bytes of a chunk: at least, wanted beyond these, at most.
 WINDOW, LEAST, WANTED, MOST = 32, 256, 1024, 8192
 #: Bytes that are hashed, and that are split into pieces, at once; pieces that a worker remembers, and the longest of them.
-BLOCK, SPLIT, REMEMBERED, LONGEST = 1 << 18, 2 << 20, 400_000, 64
+BLOCK, SPLIT, REMEMBERED, LONGEST = 1 << 18, 1 << 20, 250_000, 64
 #: Bits of the filter for each repeated chunk, and in all; bits set for a chunk.
 BITS, MOST_BITS, HASHES = 12, 1 << 27, 4
-#: Ids of a batch of results.
-BATCH_IDS = 1 << 20
+#: Bytes of text that are worked on at once, and ids of a batch of results.
+PORTION, BATCH_IDS = 4 << 20, 1 << 20
 #: ASCII white space.
 WHITE = b" \t\n\r\x0b\x0c"
 _WHITE = re.compile(rb"[\t-\r ]")
@@ -160,12 +161,16 @@ def inner(chunk: bytes) -> tuple[int, int]:
 
 
 def _texts(batches):
-    """(ids, bytes of all texts, their offsets) of batches (id, text as bytes), without a copy of the texts."""
+    """(ids, bytes of all texts, their offsets) of PORTIONs of batches (id, text as bytes), without a copy of the texts."""
     for batch in batches:
         raw = batch.column(1).cast(pa.binary())
         offsets = np.frombuffer(raw.buffers()[1], np.int32, len(raw) + 1, 4 * raw.offset) if len(raw) else np.zeros(1, np.int32)
-        data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[: offsets[-1]]
-        yield batch.column(0), data, offsets
+        data, at = np.frombuffer(raw.buffers()[2] or b"", np.uint8), 0
+        while at < len(raw):
+            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PORTION)) - 1)
+            yield batch.column(0).slice(at, end - at), data[: offsets[end]], offsets[at : end + 1]
+            at = end
+        release()
 
 
 def _chunked(data: np.ndarray, offsets: np.ndarray):
@@ -325,6 +330,23 @@ def encode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     return parts.filter(alone).select("row", "id", "ids").mapInArrow(_assembled(kind, id_col), out).unionByName(ordered.mapInArrow(_assembled(kind, id_col), out))
 
 
+@lru_cache(1)
+def _strings(path: str) -> pa.Array:
+    """The string of each id up to the largest."""
+    t = tokenizer(path)
+    return pa.array([t.id_to_token(i) for i in range(1 + max(t.get_vocab(with_added_tokens=True).values()))], pa.string())
+
+
+def _decoded(path: str, lists: pa.ListArray) -> pa.Array:
+    """The tokenizer's texts of lists of ids. Without a decoder these are the tokens' strings with a space between."""
+    if tokenizer(path).decoder is None and not lists.null_count:
+        first = lists.offsets[0].as_py()
+        ids = lists.values.slice(first, lists.offsets[-1].as_py() - first)
+        return pa.compute.binary_join(pa.ListArray.from_arrays(pa.compute.subtract(lists.offsets, first), _strings(path).take(ids)), " ")
+    read = tokenizer(path).decode
+    return pa.array([None if x is None else read(x, skip_special_tokens=False) for x in lists.to_pylist()], pa.string())
+
+
 def decode(df: DataFrame, tokenizer_path: str, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
     """``df`` with the tokenizer's text of each row's ids, special tokens included; null ids have none, empty ones an empty
     text. A column ``name`` is replaced, others stay."""
@@ -332,10 +354,14 @@ def decode(df: DataFrame, tokenizer_path: str, ids_col: str = "ids", name: str =
     names, at = [*base.columns, name], base.columns.index(ids_col)
 
     def run(batches):
-        read = tokenizer(tokenizer_path).decode
         for batch in batches:
-            texts = [None if x is None else read(x, skip_special_tokens=False) for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names)
-        release()
+            ends = pa.compute.list_value_length(batch.column(at)).fill_null(0).to_numpy().cumsum()
+            start = 0
+            while start < batch.num_rows:
+                n = max(1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + BATCH_IDS, side="right")) - start)
+                some = batch.slice(start, n)
+                yield pa.RecordBatch.from_arrays([*some.columns, _decoded(tokenizer_path, some.column(at))], names)
+                start += n
+            release()
 
     return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField(name, T.StringType())]))
