@@ -1,67 +1,264 @@
-"""Density clustering by joins: neighbours within eps, core points, components of cores, border points.
+"""Density clustering by a graph of micro-cells, and for all densities at once by spanning trees.
 
 Clusters are numbered by the smallest id of their core points; a border point takes the smallest cluster number among
 its core neighbours, so the labels do not depend on the order of rows. Noise is -1.
+
+Pairs of neighbours are never rows. Within a part of the metric partition, vectors are covered by micro-cells of half of eps
+as radius: all of a micro-cell are neighbours, so one of enough members needs no counting, and the cores of a micro-cell
+are one node. Workers count for the others, and join the micro-cells of two parts in memory: most are told near or far by
+their centres, a few are compared, and what leaves a worker is one edge a node, and the nodes near each border point,
+of which it has fewer than ``min_samples``.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.tables import shared_table
-from .knn import BLOCK, celled, paired, squares
-
-
-def neighbours(vectors: DataFrame, eps: float, block: int = BLOCK) -> DataFrame:
-    """(i, j, d2) for all pairs within ``eps``, each with itself, both ways. One search serves every smaller eps. Cells that
-    the triangle inequality keeps apart do not meet."""
-
-    def near(ids, x, others, y):
-        out = [[], [], []]
-        for i, d in squares(x, y):
-            r, c = np.nonzero(d <= eps * eps)
-            out[0].append(ids[i + r])
-            out[1].append(others[c])
-            out[2].append(d[r, c])
-        return pa.table({n: pa.array(np.concatenate(c) if c else [], t) for n, c, t in zip(("i", "j", "d2"), out, (pa.int64(), pa.int64(), pa.float64()), strict=True)})
-
-    found, cells = celled(vectors, block)
-    return paired(found, cells, float(eps), near, "i long, j long, d2 double")
-
-
-def labels(vectors: DataFrame, eps: float, min_samples: int, near: DataFrame | None = None) -> DataFrame:
-    """(id, cluster) for every vector. ``near``: neighbours found before for at least this eps."""
-    near = (neighbours(vectors, eps) if near is None else near).filter(F.col("d2") <= eps * eps).select("i", "j")
-    near = shared_table(near, "near")
-    cores = near.groupBy("i").agg(F.count("*").alias("n")).filter(F.col("n") >= min_samples).select("i")
-    cores = shared_table(cores, "cores")
-    edges = shared_table(near.join(cores, "i", "left_semi").join(cores.withColumnRenamed("i", "j"), "j", "left_semi").select("i", "j"), "edges")
-    root = cores.select("i", F.col("i").alias("c"))
-    changed = 1
-    while changed:  # each round takes the least of the neighbours' and then jumps to its root
-        low = edges.join(root.withColumnRenamed("i", "j").withColumnRenamed("c", "d"), "j").groupBy("i").agg(F.min("d").alias("d"))
-        step = root.join(low, "i").select("i", "c", F.least("c", "d").alias("d"))
-        jump = step.join(root.select(F.col("i").alias("d"), F.col("c").alias("e")), "d").select("i", "c", F.least("d", "e").alias("new"))
-        done = shared_table(jump, "roots")
-        changed = done.filter("c != new").limit(1).count()
-        root = done.select("i", F.col("new").alias("c"))
-    numbered = root.join(_numbered(root.select("c").distinct()), "c").select("i", "cluster")
-    border = near.join(cores.withColumnRenamed("i", "j"), "j", "left_semi").join(numbered.withColumnRenamed("i", "j"), "j").groupBy("i").agg(F.min("cluster").alias("border"))
-    out = vectors.select(F.col("id").alias("i")).join(numbered, "i", "left").join(border, "i", "left")
-    return out.select(F.col("i").alias("id"), F.coalesce("cluster", "border", F.lit(-1)).cast("long").alias("cluster"))
-
-
-def _numbered(roots: DataFrame) -> DataFrame:
-    """(c, cluster): the place of each root in their order, counted by ranges so that no task sees all of them."""
-    parts = shared_table(roots.repartitionByRange("c").withColumn("part", F.spark_partition_id()), "ranges")
-    sizes = parts.groupBy("part").agg(F.count("*").alias("n"))  # a row a range
-    before = sizes.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
-    place = F.row_number().over(W.partitionBy("part").orderBy("c")) - 1
-    return parts.withColumn("place", place).join(F.broadcast(before), "part").select("c", (F.col("before") + F.col("place")).cast("long").alias("cluster"))
+from . import knn
+from .cells import BLOCK, SLACK, away, celled, column, meet, squares, vectors_of, within
+from .components import components, numbered
+
+
+def covered(x: np.ndarray, radius: float) -> np.ndarray:
+    """The row that is the centre of each row's micro-cell: rows not yet covered become centres in turn."""
+    centre, rest = np.full(len(x), -1), np.arange(len(x))
+    while len(rest):
+        near = away(x[rest], x[rest[0]]) <= radius
+        near[0] = True
+        centre[rest[near]] = rest[0]
+        rest = rest[~near]
+    return centre
+
+
+def _micro(eps: float, least: int):
+    """Adds to the rows of a part their micro-cell, named by its centre's id, and their number of neighbours in the part, or
+    ``least`` where there are as many."""
+
+    def run(t: pa.Table) -> pa.Table:
+        ids, x = column(t, "id"), vectors_of(t)
+        centre = covered(x, eps / 2 / SLACK)
+        _, at, n = np.unique(centre, return_inverse=True, return_counts=True)
+        counts = np.minimum(n[at], least)
+        few = np.flatnonzero(counts < least)
+        for i, d in squares(x[few], x):
+            counts[few[i : i + len(d)]] = np.minimum((d <= eps * eps).sum(axis=1), least)
+        return t.append_column("micro", pa.array(ids[centre])).append_column("near", pa.array(counts.astype(np.int64)))
+
+    return run
+
+
+def _counted(eps: float):
+    def run(t: pa.Table, others: pa.Table) -> pa.Table:
+        x, y = vectors_of(t), vectors_of(others)
+        n = np.concatenate([(d <= eps * eps).sum(axis=1) for _, d in squares(x, y)]) if len(x) and len(y) else np.zeros(len(x), np.int64)
+        return pa.table({"id": t["id"], "more": pa.array(n.astype(np.int64))})
+
+    return run
+
+
+class Micros:
+    """The micro-cells of some cores: their names, members, means and radii."""
+
+    def __init__(self, names: np.ndarray, x: np.ndarray):
+        self.order = np.argsort(names, kind="stable")
+        self.x = x[self.order]
+        self.names, self.starts, self.sizes = np.unique(names[self.order], return_index=True, return_counts=True)
+        self.means = np.add.reduceat(self.x, self.starts, axis=0) / self.sizes[:, None] if len(names) else x
+        lone = self.sizes == 1
+        self.means[lone] = self.x[self.starts[lone]]
+        self.radii = np.maximum.reduceat(away(self.x, np.repeat(self.means, self.sizes, axis=0)), self.starts) if len(names) else np.zeros(0)
+
+    def members(self, k: int) -> np.ndarray:
+        return self.x[self.starts[k] : self.starts[k] + self.sizes[k]]
+
+
+def joined(a: Micros, b: Micros, eps: float) -> list[tuple[int, int]]:
+    """(name, name of its component's root) of the micro-cells that are joined by members within ``eps`` of each other."""
+    sure, shell = np.zeros((len(a.names), len(b.names)), bool), []
+    for i, d2 in squares(a.means, b.means):
+        d, reach = np.sqrt(d2), a.radii[i : i + len(d2), None] + b.radii[None]
+        lone = (a.sizes[i : i + len(d2), None] == 1) & (b.sizes[None] == 1)
+        sure[i : i + len(d2)] = np.where(lone, d2 <= eps * eps, (d + reach) * SLACK <= eps)
+        r, c = np.nonzero(~sure[i : i + len(d2)] & ~lone & (d - reach <= eps * SLACK))
+        shell += zip(d[r, c].tolist(), (r + i).tolist(), c.tolist(), strict=True)
+    # Components of what is sure: each row and column is visited once.
+    rows, cols = np.full(len(a.names), -1), np.full(len(b.names), -1)
+    n = 0
+    for s in range(len(rows)):
+        if rows[s] < 0:
+            front, rows[s] = np.array([s]), n
+            while len(front):
+                reached = np.flatnonzero(sure[front].any(axis=0) & (cols < 0))
+                cols[reached] = n
+                front = np.flatnonzero(sure[:, reached].any(axis=1) & (rows < 0)) if len(reached) else reached
+                rows[front] = n
+            n += 1
+    for c in np.flatnonzero(cols < 0):
+        cols[c], n = n, n + 1
+    up = list(range(n))
+
+    def top(k: int) -> int:
+        while up[k] != k:
+            up[k] = up[up[k]]
+            k = up[k]
+        return k
+
+    for name, k in zip(a.names.tolist(), rows.tolist(), strict=True):  # a micro-cell on both sides is one
+        at = int(np.searchsorted(b.names, name))
+        if at < len(b.names) and b.names[at] == name:
+            up[top(k)] = top(int(cols[at]))
+    for _, i, j in sorted(shell):  # the nearest first, and only where they join two components
+        u, v = top(int(rows[i])), top(int(cols[j]))
+        if u != v and any((d <= eps * eps).any() for _, d in squares(a.members(i), b.members(j))):
+            up[u] = v
+    root, out = {}, {}
+    for names, of in ((a.names, rows), (b.names, cols)):
+        for name, k in zip(names.tolist(), of.tolist(), strict=True):
+            out[name] = root.setdefault(top(k), name)
+    return [(name, r) for name, r in out.items() if name != r]
+
+
+def _edges(eps: float):
+    """Rows (id, u, v): an edge between micro-cells without an id, or a micro-cell ``v`` near the border point ``id``."""
+
+    def run(t: pa.Table, others: pa.Table) -> pa.Table:
+        x, y, core = vectors_of(t), vectors_of(others), column(t, "core")
+        u, v = column(t, "micro"), column(others, "micro")
+        ids, froms, tos = [], [], []
+        if len(y):
+            pairs = joined(Micros(u[core], x[core]), Micros(v, y), eps)
+            ids, froms, tos = [None] * len(pairs), [a for a, _ in pairs], [b for _, b in pairs]
+            border = column(t, "id")[~core]
+            for i, d in squares(x[~core], y):
+                r, c = np.nonzero(d <= eps * eps)
+                found = set(zip(border[i + r].tolist(), v[c].tolist(), strict=True))
+                ids += [k for k, _ in found]
+                froms += [None] * len(found)
+                tos += [m for _, m in found]
+        return pa.table({"id": pa.array(ids, pa.int64()), "u": pa.array(froms, pa.int64()), "v": pa.array(tos, pa.int64())})
+
+    return run
+
+
+def labels(vectors: DataFrame, eps: float, min_samples: int, block: int = BLOCK) -> DataFrame:
+    """(id, cluster) for every vector. Rows that leave a worker grow with the vectors and the parts that each may reach."""
+    near, cells = celled(vectors, block)
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in near.schema.fields)
+    told = shared_table(near.groupBy("cell", "part").applyInArrow(_micro(eps, min_samples), f"{kind}, micro long, near long"), "micro-cells")
+    n = F.col("near")
+    if not cells.single:
+        few = told.filter(n < min_samples).select("id", "features", "cell", "part")
+        more = meet(few, near.select("features", "cell", "part"), cells, within(eps), _counted(eps), "id long, more long", own=False, block=block)
+        told = told.join(more.groupBy("id").agg(F.sum("more").alias("more")), "id", "left")
+        n = n + F.coalesce("more", F.lit(0))
+    told = shared_table(told.select("id", "features", "cell", "part", "micro", (n >= min_samples).alias("core")), "cores")
+    found = shared_table(meet(told, told.filter("core").select("features", "cell", "part", "micro"), cells, within(eps), _edges(eps), "id long, u long, v long", block=block), "micro-edges")
+    cores = told.filter("core").groupBy("micro").agg(F.min("id").alias("least"))
+    root = components(cores.select(F.col("micro").alias("node")), found.filter("id is null").select("u", "v"))
+    # A component is named by its smallest core id.
+    named = root.join(cores.withColumnRenamed("micro", "node"), "node")
+    named = named.join(named.groupBy("root").agg(F.min("least").alias("c")), "root").select("node", F.col("c").alias("root"))
+    of = shared_table(named.join(numbered(named), "root").select(F.col("node").alias("micro"), F.col("number").alias("cluster")), "clusters")
+    border = found.filter("id is not null").join(of.withColumnRenamed("micro", "v"), "v").groupBy("id").agg(F.min("cluster").alias("border"))
+    out = told.select("id", F.when(F.col("core"), F.col("micro")).alias("micro")).join(of, "micro", "left").join(border, "id", "left")
+    return out.select("id", F.coalesce("cluster", "border", F.lit(-1)).cast("long").alias("cluster"))
+
+
+# All densities at once: trees that span the vectors by mutual reachability.
+
+def tree(d2: np.ndarray, core: np.ndarray) -> list[tuple[int, int, float]]:
+    """A least spanning tree as (i, j, w) of the weights max(d2, core of i, core of j)."""
+    n, at, out = len(d2), 0, []
+    best, of, rest = np.full(n, np.inf), np.zeros(n, int), np.ones(n, bool)
+    for _ in range(n - 1):
+        rest[at] = False
+        w = np.maximum(np.maximum(d2[at], core[at]), core)
+        nearer = rest & (w < best)
+        best[nearer], of[nearer] = w[nearer], at
+        at = int(np.argmin(np.where(rest, best, np.inf)))
+        if not np.isfinite(best[at]) or not rest[at]:
+            at = int(np.argmax(rest))  # what is left reaches nothing
+            continue
+        out.append((at, int(of[at]), float(best[at])))
+    return out
+
+
+def _trees(least: list[int], reach: float):
+    """Trees of the vectors of two parts, one for each of ``least``. Whatever connects two of them at some distance in all
+    the vectors does so in the trees of the parts that they lie in."""
+
+    def run(t: pa.Table, others: pa.Table | None = None) -> pa.Table:
+        t = t.select(["id", "features", "core"])
+        if others is not None:
+            t = pa.concat_tables([t, others.select(["id", "features", "core"])])
+        ids, x = column(t, "id"), vectors_of(t)
+        ids, at = np.unique(ids, return_index=True)
+        x, core = x[at], np.asarray(t["core"].combine_chunks().flatten()).reshape(len(t), -1)[at]
+        d2 = np.concatenate([d for _, d in squares(x, x)]) if len(x) else np.zeros((0, 0))
+        rows = [(m, int(ids[i]), int(ids[j]), w) for k, m in enumerate(least) for i, j, w in tree(d2, core[:, k]) if w <= reach * reach]
+        return pa.table({n: pa.array([r[c] for r in rows], kind) for c, (n, kind) in enumerate((("m", pa.int32()), ("u", pa.int64()), ("v", pa.int64()), ("w", pa.float64())))})
+
+    return run
+
+
+def spanning_forest(edges: DataFrame, by: str = "m") -> DataFrame:
+    """The edges (by, u, v, w) of a least spanning forest, by rounds in which every component takes its least edge; equal
+    weights go by the edges' ends, so the least edges make no cycle."""
+    live = shared_table(edges.select(by, F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "w").distinct().select("*", F.col("u").alias("a"), F.col("v").alias("b")), "live")
+    taken = []
+    while live.limit(1).count():
+        ends = [live.select(by, F.col(c).alias("c"), F.struct("w", "u", "v", F.col(o).alias("other")).alias("e")) for c, o in (("a", "b"), ("b", "a"))]
+        least = shared_table(ends[0].union(ends[1]).groupBy(by, "c").agg(F.min("e").alias("e")).select(by, "c", "e.*"), "least")
+        taken.append(least.select(by, "u", "v", "w").distinct())
+        nodes = least.select(by, "c").union(least.select(by, "other")).distinct().withColumnRenamed("c", "node")
+        root = components(nodes, least.select(by, F.col("c").alias("u"), F.col("other").alias("v")), [by])
+        of = lambda c: root.select(by, F.col("node").alias(c), F.col("root").alias(f"{c}2"))  # noqa: B023, E731
+        live = live.join(of("a"), [by, "a"]).join(of("b"), [by, "b"]).filter("a2 != b2")
+        live = shared_table(live.select(by, "u", "v", "w", F.col("a2").alias("a"), F.col("b2").alias("b")), "live")
+    return reduce(DataFrame.union, taken) if taken else live.select(by, "u", "v", "w")
+
+
+def sweep(vectors: DataFrame, eps: list[float], min_samples: list[int], block: int = BLOCK, tree_block: int = 1024) -> DataFrame:
+    """(eps, m, id, cluster) for every vector at every eps and min_samples, as ``labels`` gives it.
+
+    One search of the nearest neighbours gives the core distances of every m and the core neighbours of border points,
+    of which there are fewer than m. A spanning tree of each m, cut at eps, gives the clusters: parts of the partition
+    make trees of their vectors in memory, and Boruvka's rounds over their edges join them.
+    """
+    least = sorted(set(min_samples))
+    near = shared_table(knn.search(vectors, least[-1], block).select("id", "near"), "neighbours")
+    core = F.array(*[F.coalesce(F.get("near", F.lit(m - 1))["d2"], F.lit(float("inf"))) for m in least])
+    cores = near.select("id", core.alias("core"))
+    placed, cells = celled(vectors, tree_block)
+    placed = shared_table(placed.join(cores, "id").select("id", "features", "cell", "part", "core"), "placed")
+    kind, reach = "m int, u long, v long, w double", float(max(eps))
+    trees = _trees(least, reach)
+    if cells.single:
+        forest = placed.groupBy("cell", "part").applyInArrow(lambda t: trees(t), kind)
+    else:
+
+        def later(t: pa.Table, low: np.ndarray) -> np.ndarray:
+            return (low <= reach * SLACK) & (np.arange(low.shape[1]) >= column(t, "cell")[:, None])
+
+        forest = spanning_forest(meet(placed, placed, cells, later, trees, kind, block=tree_block))
+    forest = shared_table(forest, "forest")
+    spark = vectors.sparkSession
+    configs = F.broadcast(spark.createDataFrame([(float(e), float(e) * float(e), m) for e in eps for m in min_samples], "eps double, e2 double, m int"))  # the caller's lists
+    by = ["eps", "m"]
+    of = cores.select("id", F.explode(F.arrays_zip(F.array(*[F.lit(m) for m in least]).alias("m"), F.col("core").alias("d"))).alias("c")).select("id", "c.m", "c.d").join(configs, "m")
+    of = shared_table(of.select(*by, "e2", "id", (F.col("d") <= F.col("e2")).alias("core")), "core-points")
+    root = components(of.filter("core").select(*by, F.col("id").alias("node")), forest.join(configs, "m").filter("w <= e2").select(*by, "u", "v"), by)
+    told = shared_table(root.join(numbered(root, by), [*by, "root"]).select(*by, F.col("node").alias("id"), F.col("number").alias("cluster")), "clusters")
+    few = of.filter("not core").join(near, "id").select(*by, F.col("id").alias("i"), F.explode(F.filter("near", lambda x: x["d2"] <= F.col("e2"))["j"]).alias("id"))
+    border = few.join(told, [*by, "id"]).groupBy(*by, F.col("i").alias("id")).agg(F.min("cluster").alias("border"))
+    out = of.select(*by, "id").join(told, [*by, "id"], "left").join(border, [*by, "id"], "left")
+    return out.select(*by, "id", F.coalesce("cluster", "border", F.lit(-1)).cast("long").alias("cluster"))
 
 
 def blocks(labelled: DataFrame, noise: str = "block") -> DataFrame:

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, squared_l2
 from ..plans.tables import shared_table
+from .cells import BLOCK, SLACK, celled, column, meet, squares, vectors_of
 
-#: Vectors of a part of a cell, and pivots at most.
-BLOCK, PIVOTS = 4096, 1024
+#: How many cells a vector looks into in each round, the nearest first; the last round looks into all that are left.
+ROUNDS = (1, 3)
+_NEAR = "array<struct<d2:double,j:long>>"
 
 
 def _nearest(pairs: DataFrame, k: int) -> DataFrame:
@@ -20,113 +22,77 @@ def _nearest(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("r", r).filter(F.col("r") <= k).select(F.col("i").alias("block_id"), F.col("j").alias("id"))
 
 
-def _vectors(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    f = t["features"].combine_chunks()
-    return np.asarray(t["id"]), np.asarray(f.flatten()).reshape(len(t), -1) if len(t) else np.zeros((0, 1))
+def _best(x: np.ndarray, others: np.ndarray, y: np.ndarray, k: int) -> pa.ListArray:
+    """For each row of ``x`` the ``k`` nearest rows of ``y`` as (d2, j), ties by id."""
+    sizes, d2, js = [], [], []
+    for _, d in squares(x, y):
+        kth = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if d.shape[1] > k else np.inf
+        r, c = np.nonzero(d <= kth)
+        order = np.lexsort((others[c], d[r, c], r))
+        r, c = r[order], c[order]
+        starts = np.searchsorted(r, np.arange(len(d)))
+        keep = np.arange(len(r)) - starts[r] < k
+        sizes.append(np.bincount(r[keep], minlength=len(d)))
+        d2.append(d[r[keep], c[keep]])
+        js.append(others[c[keep]])
+    sizes = np.concatenate(sizes) if sizes else np.zeros(len(x), np.int64)
+    values = pa.StructArray.from_arrays([pa.array(np.concatenate(d2) if d2 else [], pa.float64()), pa.array(np.concatenate(js) if js else [], pa.int64())], ["d2", "j"])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), values)
+
+
+def _looked(first: int, last: int | None):
+    """The cells that a vector looks into: the ``first`` to ``last`` nearest ones, if they may hold a vector nearer than its k-th."""
+    most = max(np.cumsum(ROUNDS))
+
+    def targets(t: pa.Table, low: np.ndarray) -> np.ndarray:
+        to = low <= column(t, "kth")[:, None] * SLACK + 1e-12
+        if low.shape[1] > most:
+            at = np.argpartition(low, most, axis=1)[:, :most]
+        else:
+            at = np.tile(np.arange(low.shape[1]), (len(low), 1))
+        at = np.take_along_axis(at, np.lexsort((at, np.take_along_axis(low, at, axis=1)), axis=1), axis=1)
+        some = np.zeros(low.shape, bool)
+        np.put_along_axis(some, at[:, first:last] if last else at, True, axis=1)
+        return to & (some if last else ~some)
+
+    return targets
+
+
+def search(vectors: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """(id, near, visits): the ``k`` nearest of each vector as (d2, j), itself included and ties by id, and how many parts of
+    the partition were searched for it.
+
+    A vector finds its first neighbours in its own part. Then it looks into other cells, the nearest first, as long as their
+    bound is within the k-th distance so far, which shrinks from round to round; a part keeps its own best before the
+    merge. Where vectors have no clusters, nothing can be told apart and every vector meets every other once.
+    """
+    near, cells = celled(vectors, block)
 
+    def own(t: pa.Table) -> pa.Table:
+        return t.append_column("near", _best(vectors_of(t), column(t, "id"), vectors_of(t), k))
 
-def celled(vectors: DataFrame, block: int = BLOCK) -> tuple[DataFrame, list]:
-    """(id, features, cell, part) as a table, and of each cell (pivot, radius, parts).
+    kind = f"id long, features array<double>, cell int, part int, near {_NEAR}"
+    found = near.groupBy("cell", "part").applyInArrow(own, kind).withColumn("visits", F.lit(1).cast("long"))
+    if cells.single or not len(cells):
+        return found.select("id", "near", "visits")
 
-    A cell holds the vectors that are nearest to its pivot; pivots are the vectors with the least hash of their id, about
-    one a block and at most PIVOTS. A cell of many vectors (one point may hold a third of them) is dealt to parts of
-    about ``block``.
-    """
-    n = vectors.count()
-    v = vectors.select("id", F.col("features").cast("array<double>").alias("features"))
-    pivots = np.array([r["features"] for r in v.orderBy(F.xxhash64("id"), "id").limit(max(1, min(PIVOTS, -(-n // block)))).collect()])
-
-    def nearest(batches):
-        for batch in batches:
-            ids, x = _vectors(pa.table(batch))
-            best, far = np.zeros(len(x), np.int32), np.full(len(x), np.inf)
-            for c, p in enumerate(pivots):
-                d = np.sqrt(((x - p) ** 2).sum(axis=1))
-                best[d < far], far = c, np.minimum(d, far)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best), pa.array(far)], ["id", "features", "cell", "away"])
-
-    near = shared_table(v.mapInArrow(nearest, "id long, features array<double>, cell int, away double"), "cells")
-    told = {r["cell"]: (r["radius"], -(-r["n"] // block)) for r in near.groupBy("cell").agg(F.max("away").alias("radius"), F.count("*").alias("n")).collect()}  # PIVOTS rows
-    cells = [(p, *told.get(c, (0.0, 0))) for c, p in enumerate(pivots)]
-    parts = F.element_at(F.array(*[F.lit(max(1, c[2])) for c in cells]), F.col("cell") + 1) if cells else F.lit(1)
-    return near.select("id", "features", "cell", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part")), cells
-
-
-def paired(near: DataFrame, cells: list, reach, fn, schema: str) -> DataFrame:
-    """``fn(ids, rows, other ids, other rows)`` over all parts of cells against those that they may reach.
-
-    ``reach`` is how far a vector looks: a number, or the name of a column of ``near``. A vector x may have a neighbour in
-    a cell only if its distance from the pivot is within the radius and the reach, by the triangle inequality; else it is
-    not sent there, nor is a cell's vector to a block that cannot reach it. Where nothing can be told apart, every
-    vector meets every other once; the pairs themselves are never rows.
-    """
-    fixed = not isinstance(reach, str)
-    own = {} if fixed else {r["cell"]: r["m"] for r in near.groupBy("cell").agg(F.max(reach).alias("m")).collect()}  # PIVOTS rows
-    look = [reach if fixed else own.get(c, 0.0) for c in range(len(cells))]
-    slack = 1 + 1e-9  # rounding must not part neighbours
-
-    def dealt(left: bool):
-        def run(batches):
-            for batch in batches:
-                ids, x = _vectors(pa.table(batch).select(["id", "features"]))
-                cell, part = (np.asarray(batch.column(batch.schema.get_field_index(k))) for k in ("cell", "part"))
-                mine = np.asarray(batch.column(batch.schema.get_field_index(reach))) if left and not fixed else None
-                for c, (pivot, radius, parts) in enumerate(cells):
-                    bound = radius + ((reach if fixed else mine) if left else look[c])
-                    to = np.flatnonzero(np.sqrt(((x - pivot) ** 2).sum(axis=1)) <= bound * slack + 1e-12) if parts else np.zeros(0, np.int64)
-                    if len(to):
-                        rows = batch.select(["id", "features"]).take(pa.array(to))
-                        for q in range(parts):
-                            here, there = (cell[to], part[to]), (np.full(len(to), c, np.int32), np.full(len(to), q, np.int32))
-                            keys = (*here, *there) if left else (*there, *here)
-                            yield pa.RecordBatch.from_arrays([*rows.columns, *[pa.array(k, pa.int32()) for k in keys]], ["id", "features", "a", "ap", "b", "bp"])
-
-        return near.mapInArrow(run, "id long, features array<double>, a int, ap int, b int, bp int")
-
-    keys = ("a", "ap", "b", "bp")
-    return dealt(True).groupBy(*keys).cogroup(dealt(False).groupBy(*keys)).applyInArrow(lambda x, y: fn(*_vectors(x), *_vectors(y)), schema)
-
-
-def squares(x: np.ndarray, y: np.ndarray, at_once: int = 1 << 22):
-    """(first row, squared distances) of consecutive rows of ``x`` from all of ``y``, in bounded memory."""
-    step = max(1, at_once // max(1, y.size))
-    for i in range(0, len(x) if y.size else 0, step):
-        d = x[i : i + step, None, :] - y[None]
-        yield i, np.einsum("ijk,ijk->ij", d, d)
+    def met(t: pa.Table, others: pa.Table) -> pa.Table:
+        return pa.table({"id": t["id"], "near": _best(vectors_of(t), column(others, "id"), vectors_of(others), k), "visits": pa.array(np.ones(len(t), np.int64))})
 
+    ends = [*np.cumsum(ROUNDS).tolist(), None]
+    for first, last in zip([0, *ends], ends, strict=False):
+        kth = F.when(F.size("near") >= k, F.sqrt(F.element_at("near", -1)["d2"])).otherwise(float("inf"))
+        found = shared_table(found.withColumn("kth", kth), "neighbours")
+        looking = found.select("id", "features", "cell", "part", "kth")
+        more = meet(looking, near, cells, _looked(first, last), met, f"id long, near {_NEAR}, visits long", own=False, block=block)
+        every = found.select("id", "near", "visits").union(more).groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"), F.sum("visits").alias("visits"))
+        found = found.drop("near", "visits", "kth").join(every, "id") if last else every
+    return found
 
-def exact_blocks(vectors: DataFrame, k: int = 10, block: int = BLOCK) -> DataFrame:
-    """(block_id, id): the ``k`` nearest of each vector, itself included; ties by id.
 
-    The ``k``-th distance within a vector's own part is as far as it has to look elsewhere. A block of rows keeps its own
-    best ``k`` for each query before the merge.
-    """
-    near, cells = celled(vectors, block)
-    if not cells:
-        return near.select(F.col("id").alias("block_id"), "id")
-
-    def bound(t: pa.Table) -> pa.Table:
-        ids, x = _vectors(t)
-        kth = np.full(len(x), np.inf)
-        for i, d in squares(x, x):
-            if len(x) >= k:
-                kth[i : i + len(d)] = np.sqrt(np.partition(d, k - 1, axis=1)[:, k - 1])
-        return t.append_column("kth", pa.array(kth))
-
-    near = shared_table(near.groupBy("cell", "part").applyInArrow(bound, "id long, features array<double>, cell int, part int, kth double"), "bounds")
-
-    def best(ids, x, others, y):
-        out = [[], [], []]
-        for i, d in squares(x, y):
-            for r, row in enumerate(d):
-                at = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1]) if len(row) > k else np.arange(len(row))
-                at = at[np.lexsort((others[at], row[at]))][:k]
-                out[0].append(np.full(len(at), ids[i + r]))
-                out[1].append(others[at])
-                out[2].append(row[at])
-        return pa.table({n: pa.array(np.concatenate(c) if c else [], t) for n, c, t in zip(("i", "j", "d2"), out, (pa.int64(), pa.int64(), pa.float64()), strict=True)})
-
-    return _nearest(paired(near, cells, "kth", best, "i long, j long, d2 double"), k)
+def exact_blocks(vectors: DataFrame, k: int = 10, block: int = BLOCK) -> DataFrame:
+    """(block_id, id): the ``k`` nearest of each vector, itself included; ties by id."""
+    return search(vectors, k, block).select(F.col("id").alias("block_id"), F.explode("near.j").alias("id"))
 
 
 def multiprobe_blocks(centred: DataFrame, planes: DataFrame, k: int = 10, probes: int = 20) -> DataFrame:

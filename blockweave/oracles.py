@@ -6,7 +6,7 @@ import math
 
 from .operators import lsh
 from .operators.grid import Grid
-from .queries import CELLS, DIM, EPS, FINE, GRID, HYPERPLANE, K, MIN_SAMPLES, PROBE, PSTABLE, SMALL, SWEEP, TOP  # noqa: F401
+from .queries import CELLS, DIM, EPS, FINE, GRID, HYPERPLANE, K, MIN_SAMPLES, PROBE, PSTABLE, SMALL, SWEEP, SWEEP_EPS, SWEEP_LEAST, TOP  # noqa: F401
 
 SQL: dict[str, str] = {}
 
@@ -109,6 +109,25 @@ _RUNS = [(e, m, f"_{i}") for i, (e, m) in enumerate((e, m) for e in (1.1, 1.15)
 SQL["dbscan_sweep"] = _with(VEC, ALL, *[_dbscan(e, m, t) for e, m, t in _RUNS], *[f"bl{t} as (select cluster as block_id, id from lab{t})" for _, _, t in _RUNS]) + " union all ".join(
     _measures(f"bl{t}", "vec", False, f", '{e:g}/{m}' as config_id, (select count(distinct block_id) from bl{t}) as blocks") for e, m, t in _RUNS
 )
+SQL["dbscan_sweep_all"] = (
+    _with(
+        VEC,
+        ALL,
+        f"cf as materialized (select e, m, e::int::varchar || '/' || m as config_id from (select unnest({SWEEP_EPS}::double[]) as e), (select unnest({SWEEP_LEAST}) as m))",
+        "deg as materialized (select e, i, count(*) as n from (select distinct e from cf) join d2 on d <= e * e group by e, i)",
+        "core as materialized (select cf.e, m, i from cf join deg on deg.e = cf.e and n >= m)",
+        "ce as materialized (select x.e, x.m, x.i, y.i as j from core x join d2 on d2.i = x.i and d2.d <= x.e * x.e join core y on y.e = x.e and y.m = x.m and y.i = d2.j)",
+        """rt(e, m, i, r) using key (e, m, i) as (select e, m, i, i from core union
+  select ce.e, ce.m, ce.j, min(rt.r) from rt join ce on ce.e = rt.e and ce.m = rt.m and ce.i = rt.i join recurring.rt old on old.e = ce.e and old.m = ce.m and old.i = ce.j group by ce.e, ce.m, ce.j having min(rt.r) < min(old.r))""",
+        "num as materialized (select e, m, i, dense_rank() over (partition by e, m order by r) - 1 as cluster from rt)",
+        "bor as (select num.e, num.m, d2.i, min(cluster) as cluster from num join d2 on d2.j = num.i and d2.d <= num.e * num.e group by all)",
+        "lb as materialized (select config_id, id, vec.label, coalesce(num.cluster, bor.cluster, -1)::bigint as cluster from cf cross join vec left join num on num.e = cf.e and num.m = cf.m and num.i = id left join bor on bor.e = cf.e and bor.m = cf.m and bor.i = id)",
+        "b as (select config_id, count(*) as blocks, sum(n * (n - 1) / 2.0)::double as b from (select config_id, cluster, count(*) as n from lb group by all) group by all)",
+        "db as (select config_id, sum(n * (n - 1) / 2.0)::double as db from (select config_id, cluster, label, count(*) as n from lb group by all) group by all)",
+        "tot as (select count(*)::double as n, (select sum(m * (m - 1) / 2.0)::double from (select count(*) m from vec group by label)) as de from vec)",
+    )
+    + "select config_id, blocks, round(db / de, 6) as pc, round(case when b > 0 then db / b else 0 end, 6) as pq, round(1 - b / (n * (n - 1) / 2), 6) as rr, db, b from b join db using (config_id) cross join tot"
+)
 SQL["dbscan_export"] = "select vec_id + 1 as line, (vec_id + 1) || chr(9) || array_to_string(list_transform(embedding, lambda x: trunc((x::double + 1) * 5000)::int::varchar), chr(9)) as value from embeddings"
 SQL["external_clusters"] = _with(VEC, "ext as (select label as block_id, id from vec)") + _measures("ext", "vec", False)
 SQL["vectors_text"] = "select vec_id as id, label::int as label, unnest(range(64)) as dim, round(unnest(embedding)::double, 6) as x from embeddings"

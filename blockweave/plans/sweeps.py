@@ -23,16 +23,10 @@ def neighbour_comparison(vectors: DataFrame, entities: DataFrame, planes: DataFr
 
 
 def dbscan_sweep(vectors: DataFrame, entities: DataFrame, eps: list[float], min_samples: list[int]) -> DataFrame:
-    """Measures of each (eps, min_samples). Neighbours are found once, for the largest eps."""
-    from .tables import shared_table
-
-    near = shared_table(dbscan.neighbours(vectors, max(eps)), "sweep")
-    rows = [
-        dbscan.blocks(dbscan.labels(vectors, e, m, near)).select(F.lit(f"{e:g}/{m}").alias("config_id"), "block_id", "id")
-        for e in eps
-        for m in min_samples
-    ]
-    return measures.evaluate_configs(entities, reduce(DataFrame.union, rows))
+    """Measures of each (eps, min_samples), the labels of all of them from one spanning tree a min_samples."""
+    labelled = dbscan.sweep(vectors, eps, min_samples)
+    name = F.element_at(F.create_map(*[F.lit(x) for e in eps for x in (float(e), f"{e:g}")]), F.col("eps"))
+    return measures.evaluate_configs(entities, labelled.select(F.concat_ws("/", name, F.col("m").cast("string")).alias("config_id"), F.col("cluster").alias("block_id"), "id"))
 
 
 def grid_sweep(points: DataFrame, stops: DataFrame, entities: DataFrame, configs: list[tuple[int, int]], p_accept: float = 0.0) -> DataFrame:

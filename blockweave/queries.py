@@ -18,6 +18,8 @@ EPS, MIN_SAMPLES, K = 1.15, 5, 5
 HYPERPLANE = [lsh.Config(0, 2, 4, 30.0)]
 PSTABLE = [lsh.Config(0, 2, 4, 1.0)]
 SWEEP = [lsh.Config(i, tables, functions, w) for i, (tables, functions, w) in enumerate((t, h, w) for w in (1.0, 2.0) for t in (1, 2) for h in (2, 4))]
+# The configurations of the density sweep.
+SWEEP_EPS, SWEEP_LEAST = [1.0, 10.0, 100.0, 1000.0, 10000.0], [5, 10, 15, 20, 25, 30, 35, 40, 45]
 PROBE = [lsh.Config(0, 4, 7, 30.0)]
 GRID, FINE, CELLS, TOP = grid.Grid(16), grid.Grid(40), 20, 5
 SMALL = grid.Grid(16, 103.72, 103.90, 1.2077, 1.4809)
@@ -158,6 +160,11 @@ def dbscan_sweep(s, d):
     return sweeps.dbscan_sweep(vectors(s, d), entities(s, d), [1.1, 1.15], [5, 10])
 
 
+@query
+def dbscan_sweep_all(s, d):
+    return sweeps.dbscan_sweep(vectors(s, d), entities(s, d), SWEEP_EPS, SWEEP_LEAST)
+
+
 @query
 def dbscan_export(s, d):
     return formats.export_rows(vectors(s, d))

@@ -1,12 +1,13 @@
 """Measures, hashing, neighbours and clusters: small frames, golden values and properties."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from blockweave import queries
-from blockweave.operators import dbscan, knn, lsh, measures
+from blockweave.operators import cells, dbscan, knn, lsh, measures
 from blockweave.plans.tables import entities, vectors
 
 SF = "/root/testdata/sf0.01"
@@ -132,21 +133,100 @@ def test_distinct_pairs_are_counted_without_pairs(spark, monkeypatch, most):
     assert measures.pair_counts(df.filter("config_id = 0"), ["block_id"], []).first()["n"] == got[0]
 
 
+def _clustered(seed, n=180, dim=5, same=60):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(8, dim)) * 20
+    return np.concatenate([centres[rng.integers(8, size=n)] + rng.normal(size=(n, dim)), np.tile(centres[0], (same, 1))])
+
+
+def _frame(spark, x):
+    return spark.createDataFrame([(i, [float(c) for c in r]) for i, r in enumerate(x)], "id long, features array<double>").repartition(3)
+
+
+def _clusters(x, eps, least):
+    """Labels by a walk over all pairs."""
+    near = ((x[:, None] - x[None]) ** 2).sum(axis=2) <= eps * eps
+    core, label, n = near.sum(axis=1) >= least, np.full(len(x), -1), 0
+    for i in np.flatnonzero(core):
+        if label[i] < 0:
+            front, label[i] = [i], n
+            while front:
+                reached = np.flatnonzero(near[front.pop()] & core & (label < 0))
+                label[reached] = n
+                front += reached.tolist()
+            n += 1
+    return [int(label[i]) if core[i] else min(label[near[i] & core].tolist(), default=-1) for i in range(len(x))]
+
+
 @pytest.mark.parametrize("block", [24, 64, 4096])
 def test_cells_that_are_apart_do_not_meet(spark, block):
-    import numpy as np
-
-    rng = np.random.default_rng(block)
-    centres = rng.normal(size=(8, 5)) * 20
-    x = np.concatenate([centres[rng.integers(8, size=180)] + rng.normal(size=(180, 5)), np.tile(centres[0], (60, 1))])
-    v = spark.createDataFrame([(i, [float(c) for c in r]) for i, r in enumerate(x)], "id long, features array<double>")
+    x = _clustered(block)
+    v = _frame(spark, x)
     d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
-    want = {(i, int(j)) for i in range(len(x)) for j in np.lexsort((np.arange(len(x)), d[i]))[:4]}
-    assert {tuple(r) for r in knn.exact_blocks(v, 4, block).collect()} == want
-    near = dbscan.neighbours(v, 1.5, block).collect()
-    assert len(near) == len({(r["i"], r["j"]) for r in near}) and {(r["i"], r["j"]) for r in near} == set(zip(*map(np.ndarray.tolist, np.nonzero(d <= 2.25)), strict=True))
+    want = {i: np.lexsort((np.arange(len(x)), d[i]))[:4].tolist() for i in range(len(x))}
+    found = knn.search(v, 4, block).collect()
+    assert {r["id"]: [q["j"] for q in r["near"]] for r in found} == want
+    placed, parts = cells.celled(v, block)
     if block < 4096:
-        cells = knn.celled(v, block)
+        if block == 24:
+            assert sum(r["visits"] for r in found) / len(x) < 0.5 * int(parts.parts.sum())
         sent = []
-        out = knn.paired(*cells, 1.5, lambda i, a, j, b: sent.append(1) or __import__("pyarrow").table({"n": [len(i) * len(j)]}), "n long")
+        count = lambda a, b: sent.append(1) or pa.table({"n": [len(a) * len(b)]})
+        out = cells.meet(placed, placed, parts, cells.within(1.5), count, "n long", block=block)
         assert out.agg({"n": "sum"}).first()[0] < 0.6 * len(x) ** 2
+
+
+def test_parts_follow_the_metric(spark):
+    x = np.concatenate([_clustered(7, 400, 3, 0), np.random.default_rng(1).normal(size=(900, 3))])
+    placed, parts = cells.celled(_frame(spark, x), 40)
+    rows = placed.collect()
+    assert sorted(r["id"] for r in rows) == list(range(len(x))) and max(r["cell"] for r in rows) < len(parts)
+    sizes = {}
+    for r in rows:
+        sizes[r["cell"], r["part"]] = sizes.get((r["cell"], r["part"]), 0) + 1
+        assert np.linalg.norm(x[r["id"]] - parts.pivots[r["cell"]]) <= parts.radius[r["cell"]] * (1 + 1e-9)
+    assert max(sizes.values()) < 160 and len(sizes) > 15
+
+
+@pytest.mark.parametrize(("dim", "eps", "least", "block"), [(2, 0.6, 4, 4096), (3, 1.2, 5, 64), (5, 2.5, 5, 40), (2, 0.6, 70, 30)])
+def test_micro_cells_give_the_same_clusters(spark, dim, eps, least, block):
+    x = _clustered(dim + block, 220, dim)
+    got = dict(map(tuple, dbscan.labels(_frame(spark, x), eps, least, block).collect()))
+    assert [got[i] for i in range(len(x))] == _clusters(x, eps, least)
+
+
+@pytest.mark.parametrize(("block", "tree_block"), [(4096, 1024), (60, 50)])
+def test_trees_give_the_clusters_of_every_density(spark, block, tree_block):
+    x = _clustered(block, 150, 3, 30)
+    eps, least = [0.5, 1.5, 100.0], [3, 6, 50]
+    got = {(r["eps"], r["m"], r["id"]): r["cluster"] for r in dbscan.sweep(_frame(spark, x), eps, least, block, tree_block).collect()}
+    for e in eps:
+        for m in least:
+            assert [got[e, m, i] for i in range(len(x))] == _clusters(x, e, m)
+
+
+def test_spanning_forest_is_least(spark):
+    rng = np.random.default_rng(2)
+    rows = list({(m, int(u), int(v)): (m, int(u), int(v), float(w)) for m in (1, 2) for u, v, w in zip(rng.integers(0, 60, 300), rng.integers(0, 60, 300), rng.integers(0, 9, 300), strict=True) if u < v}.values())
+    found = dbscan.spanning_forest(spark.createDataFrame(rows, "m int, u long, v long, w double")).collect()
+    for m in (1, 2):
+        up, total, n = list(range(60)), 0.0, 0
+
+        def top(k):
+            while up[k] != k:
+                k = up[k]
+            return k
+
+        for _, u, v, w in sorted((r for r in rows if r[0] == m), key=lambda r: r[3]):
+            if top(u) != top(v):
+                up[top(u)], total, n = top(v), total + w, n + 1
+        mine = [r["w"] for r in found if r["m"] == m]
+        assert (len(mine), sum(mine)) == (n, total)
+    assert dbscan.spanning_forest(spark.createDataFrame([], "m int, u long, v long, w double")).count() == 0
+
+
+def test_no_vectors(spark):
+    none = spark.createDataFrame([], "id long, features array<double>")
+    assert knn.exact_blocks(none, 3).count() == 0
+    assert dbscan.labels(none, 1.0, 3).count() == 0
+    assert dbscan.sweep(none, [1.0], [3]).count() == 0
