@@ -110,21 +110,21 @@ def _norm(df: DataFrame, text_col: str, lang_col: str | None) -> DataFrame:
     # Copies meet in partial sums of their task, so a text in a third of all rows is one row a task.
     texts = df.select(F.col(f"`{text_col}`").alias("text"), lang.alias("lang")).distinct()
     m = _measured(texts, "text", "lang")
-    m = m.filter(~base_failed(F.size("_words"), repeated_words(F.col("_words"))))
-    return written(m.select("_lang", "_words", "_classes"), "language-texts")
+    return m.filter(~base_failed(F.size("_words"), repeated_words(F.col("_words")))).select("_lang", "_words", "_classes")
 
 
-def references(df: DataFrame, text_col: str = "text", lang_col: str | None = "lang", top_words: int = 32, every_row: bool = False) -> DataFrame:
+def references(df: DataFrame, text_col: str = "text", lang_col: str | None = "lang", top_words: int = 32) -> DataFrame:
     """One row a language: shares of the character classes and its most common words with their shares.
 
-    Each distinct text of a language that passes the base rules counts once; a language without one has no row. With
-    ``every_row`` all rows count, copies and failed ones too. Words are lower-cased as Spark does, at most 24 characters long and without commas; equal
-    counts go by the word. The table has at most 18,279 rows of at most 32 short words, so it may be broadcast at any input size.
+    Each distinct text of a language that passes the base rules counts once; a language without one has no row. Words are
+    lower-cased as Spark does, at most 24 characters long and without commas; equal counts go by the word. The table has at
+    most 18,279 rows of at most 32 short words, so it may be broadcast at any input size.
     """
-    m = _measured(df, text_col, lang_col) if every_row else _norm(df, text_col, lang_col)
-    classes = m.groupBy("_lang").agg(*[F.sum(F.col("_classes")[i]).alias(f"c{i}") for i in range(len(CLASSES))])
-    words = written(m.select("_lang", F.explode("_words").alias("w")).groupBy("_lang", "w").count(), "language-words")
-    classes = classes.join(words.groupBy("_lang").agg(F.sum("count").alias("n")), "_lang", "left")
+    each = _norm(df, text_col, lang_col).select("_lang", "_classes", F.posexplode("_words").alias("at", "w"))
+    # One aggregate for both: the first word of a text brings its characters.
+    sums = [F.sum(F.when(F.col("at") == 0, F.col("_classes")[i])).alias(f"c{i}") for i in range(len(CLASSES))]
+    words = written(each.groupBy("_lang", "w").agg(F.count("*").alias("count"), *sums), "language-words")
+    classes = words.groupBy("_lang").agg(F.sum("count").alias("n"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(len(CLASSES))])
     words = words.filter((F.length("w") <= 24) & ~F.contains("w", F.lit(","))).groupBy("_lang", F.lower("w").alias("w")).agg(F.sum("count").alias("c"))
     # Two ranked steps, each cut to ``top_words`` before its shuffle: no task sees all words of a language.
     words = words.withColumn("salt", F.pmod(F.xxhash64("w"), F.lit(64)))

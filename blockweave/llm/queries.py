@@ -16,7 +16,7 @@ from .line_dedup import dedup_lines
 from .packing import pack
 from .pii import KINDS, find_pii, written_out
 from .quality_model import quality_model
-from .quality_rules import quality_rules, references
+from .quality_rules import quality_rules
 from .resample import resample
 from .sql import SQL  # noqa: F401
 from .suffix_dedup import remove_repeats
@@ -65,8 +65,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    # The query's SQL learns from all rows; the pipeline keeps the default, each distinct text that passes the base.
-    d = quality_rules(docs, refs=references(docs, every_row=True))
+    d = quality_rules(docs)
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"))
 
 

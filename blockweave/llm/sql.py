@@ -58,16 +58,17 @@ with wd as materialized (select doc_id, text, case when regexp_full_match(lower(
  cl as materialized (select *, [c0, c1, c2, n_symbols, c4, word_chars - c0 - c1 - c2 - n_symbols - c4] as c from ct),
  wn as (select doc_id, p, count(*) over (partition by doc_id, win) as k from (select doc_id, p, w[p:p + 4] as win from (select doc_id, w, unnest(range(1, len(w) - 3)) as p from wd where len(w) >= 5))),
  rp as (select doc_id, count(distinct q) as n_repeat_words from (select doc_id, unnest(range(p, p + 5)) as q from wn where k > 1) group by doc_id),
- lw as materialized (select lang, w, count(*) as c from (select lang, unnest(w) as w from wd) group by 1, 2),
+ ok as materialized (select min(doc_id) as doc_id from cl left join rp using (doc_id) where not (len(w) < 10 or 100 * coalesce(n_repeat_words, 0) > 20 * len(w)) group by lang, text),
+ lw as materialized (select lang, w, count(*) as c from (select lang, unnest(w) as w from wd semi join ok using (doc_id)) group by 1, 2),
  tot as (select lang, sum(c) as n from lw group by lang),
  tops as (select lang, w, c from (select lang, lower(w) as w, sum(c) as c, row_number() over (partition by lang order by sum(c) desc, lower(w)) as r from lw where length(w) <= 24 and not contains(w, ',') group by lang, lower(w)) where r <= 32),
  rw as (select lang, list(w order by c desc, w) as rw, list(c / n order by c desc, w) as rs from tops join tot using (lang) group by lang),
- rc as (select lang, list_transform([sum(c[1]), sum(c[2]), sum(c[3]), sum(c[4]), sum(c[5]), sum(c[6])], lambda x: x / greatest(sum(c[1] + c[2] + c[3] + c[4] + c[5] + c[6]), 1)) as rc from cl group by lang),
+ rc as (select lang, list_transform([sum(c[1]), sum(c[2]), sum(c[3]), sum(c[4]), sum(c[5]), sum(c[6])], lambda x: x / greatest(sum(c[1] + c[2] + c[3] + c[4] + c[5] + c[6]), 1)) as rc from cl semi join ok using (doc_id) group by lang),
  hw as (select doc_id, w, count(*) as k from (select doc_id, lower(unnest(w)) as w from wd) group by 1, 2),
  seen as (select cl.doc_id, list(coalesce(k, 0) / greatest(len(cl.w), 1) order by i) as s from cl join rw using (lang) cross join lateral (select unnest(rw) as r, unnest(range(len(rw))) as i) left join hw on hw.doc_id = cl.doc_id and hw.w = r group by cl.doc_id),
  js as (select cl.*, coalesce(n_repeat_words, 0) as n_repeat_words,
-   case when word_chars >= 200 then {_JS.format(p="list_transform(c, lambda x: x / greatest(word_chars, 1))", q="rc")} else 0.0 end as cd,
-   case when len(w) >= 40 then {_JS.format(p=_REST.format(a="s"), q=_REST.format(a="rs"))} else 0.0 end as wdist
+   case when word_chars >= 200 then coalesce({_JS.format(p="list_transform(c, lambda x: x / greatest(word_chars, 1))", q="rc")}, 0.0) else 0.0 end as cd,
+   case when len(w) >= 40 then coalesce({_JS.format(p=_REST.format(a="s"), q=_REST.format(a="rs"))}, 0.0) else 0.0 end as wdist
    from cl left join rp using (doc_id) left join rc using (lang) left join rw using (lang) left join seen using (doc_id))
 select doc_id, len(w)::bigint as n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, len(w) < 10 or 100 * n_repeat_words > 20 * len(w) as base_failed,
  not (len(w) < 10 or 100 * n_repeat_words > 20 * len(w)) and cd <= 0.3 and wdist <= 0.42 as kept, round(cd, 6) as class_distance, round(wdist, 6) as word_distance from js

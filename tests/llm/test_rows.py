@@ -280,6 +280,17 @@ def test_clean_documents_survive_a_junk_group(spark, failed):
     assert got.filter("doc_id >= 1000000 and kept").count() == 0
 
 
+def test_the_query_and_a_junk_group(spark, tmp_path):
+    d = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{d}/documents.parquet").filter("doc_id < 3000")
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    junk = docs.join(labels, "doc_id").filter("lang = 'en' and quality = 0 and length(text) > 600").orderBy("doc_id").first()
+    docs.union(spark.range(1500).select(*[F.lit(junk[c]).alias(c) if c != "doc_id" else (F.col("id") + 1_000_000).alias(c) for c in docs.columns])).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op6_quality_rules(spark, str(tmp_path))
+    clean = got.join(labels, "doc_id").filter("quality = 1 and n_words >= 40 and not base_failed")
+    assert clean.agg(F.avg(F.col("kept").cast("int"))).first()[0] > 0.995
+
+
 def test_a_language_of_failed_texts_only(spark):
     rows = [(1, "word " * 300), (2, None), (3, "one two")]
     got = quality_rules(documents(spark, rows)).select("doc_id", "base_failed", "class_distance", "word_distance", "kept").collect()
