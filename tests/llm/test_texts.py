@@ -220,6 +220,68 @@ def test_pages_of_known_parts():
         assert html_text.Page(page, "h").text(()) == "\n".join(want)
 
 
+def test_names_do_not_reach_into_the_text():
+    text = lambda h: html_text.Page(h, "").text(())
+    for name in ("advertising", "search", "footer", "related", "cookies"):
+        assert text(f'<article><h2 id="{name}" class="{name}">Head</h2><p id="{name}">x</p></article>') == "Head\nx"
+        assert text(f'<body><article><h1 id="{name}">Head</h1><p>x</p></article></body>') == "Head\nx"
+    assert text('<p>A <span class="market-share">40%</span> b</p>') == "A 40% b"
+    assert text('<p>See <a class="social-link" href="x">twitter</a> for <b class="ad">more</b>.</p>') == "See twitter for more."
+    assert text('<article><p class="notice">Mind the gap.</p><div class="recommended"><p>Recommended dose: two.</p></div></article>') == "Mind the gap.\nRecommended dose: two."
+    assert text('<article><p>x</p><div class="recommended"><ul><li><a href=a>More of it</a></li><li><a href=b>And more</a></li></ul></div></article>') == "x"
+    assert text('<article><p>x</p><div class="newsletter"><p>Join us</p><input type=email></div></article>') == "x"
+    assert text('<article class="post"><p>a</p></article><article class="post social"><p>b</p></article>') == "a\nb"
+    assert text("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold.</p>") == "Let x=2 hold."
+    long = " ".join(f"word{i}" for i in range(50))
+    assert text(f'<div id="content"><article><h1>T</h1></article><div class="entry"><p>{long}</p></div></div>') == f"T\n{long}"
+    assert text(f'<form id="aspnetForm"><div><p>{long}</p></div></form>') == long
+
+
+@pytest.mark.parametrize(("unit", "end"), [("<nav>", ""), ("<nav><article>", ""), ("<article>", ""), ("<aside><div>", "<article><p>y</p></article>"), ("<div class='menu'><article class='ad'>", "")])
+def test_nested_articles_are_read_in_linear_time(unit, end):
+    import time
+
+    raw = "<p>x</p>" + unit * (1_000_000 // len(unit)) + end * 1000
+    start = time.process_time()
+    html_text.Page(raw, "").text(())
+    assert time.process_time() - start < 30
+
+
+def test_counts_alone_find_the_text(spark):
+    """Without tags and names, on hosts of ten pages and more."""
+    import html
+    from collections import Counter
+
+    df = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(df, lists=False).collect()}
+    rows = df.collect()
+    hosts = Counter(html_text.host_of(r["url"]) for r in rows)
+    hit = found = want = whole = 0
+    for r in rows:
+        if hosts[html_text.host_of(r["url"])] >= 10:
+            inner = re.search(r"<article>(.*?)(?:</article>|<footer|$)", r["html"], re.S)[1]
+            words = Counter(html.unescape(re.sub(r"<[^>]*>", " ", inner)).split())
+            mine = Counter(got[r["page_id"]].split())
+            hit, found, want = hit + (words & mine).total(), found + mine.total(), want + words.total()
+            whole += words == mine
+    assert hit / found > 0.98 and hit / want > 0.98, (hit / found, hit / want)
+
+
+def test_structure_decides_where_words_change(spark):
+    rng = np.random.default_rng(8)
+    say = lambda n: " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(n))
+    rows = []
+    for i in range(14):
+        box = f'<div class="xq"><span>{say(3)}</span><div>{say(2)}</div></div>'
+        rows.append((i, f"http://s.example.com/{i}", f'<body>{box}<div class="t{i}"><h1>{say(4)}</h1></div><div class="zz"><p>{say(40)}</p><div>{say(9)}</div></div>{box}</body>'))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for r in html_text.main_text(df).collect():
+        blocks = re.findall(r"<(?:h1|p|div)>([^<]+)<", re.sub(r'<div class="xq">.*?</div></div>', "", r["html"]))
+        assert r["text"].split("\n") == blocks
+    few = html_text.main_text(df.limit(4)).collect()
+    assert all(len(r["text"].split("\n")) == 7 for r in few)
+
+
 def test_data_pages(spark, sf_dir):
     """The test pages hold one article of headings and paragraphs and otherwise only template."""
     import html
