@@ -18,6 +18,8 @@ from .common import SPACE_CLASS, SPACES, boxed, let, without, words_of, written
 #: Characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
+#: Hashes of repeated texts that are sent to every worker, 9 bytes each; beyond, all texts are shuffled.
+SENT_HASHES = 2_000_000
 #: Class names of characters; what is in none of the first five is "other".
 CLASSES = ("lower", "upper", "digit", "symbol", "mark", "other")
 _CLASS = {"lower": "[a-z]+", "upper": "[A-Z]+", "digit": "[0-9]+", "symbol": r"[#*$%&|<>]+", "mark": r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+"}
@@ -104,12 +106,22 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < 10) | (100 * n_repeat_words > 20 * n_words)
 
 
+def _distinct(texts: DataFrame) -> DataFrame:
+    """The distinct rows of (text, lang). A text whose hash stands alone is passed on where it is; only the others are
+    shuffled, if the hashes that stand more than once, whose number is measured, can be sent to every worker."""
+    hashed = texts.withColumn("h", F.xxhash64("text", "lang"))
+    again = written(hashed.groupBy("h").count().filter("count > 1").select("h", F.lit(True).alias("again")), "repeated-texts")
+    if again.count() > SENT_HASHES:
+        return texts.distinct()
+    marked = hashed.join(F.broadcast(again), "h", "left")
+    # Copies meet in partial sums of their task, so a text in a third of all rows is one row a task.
+    return marked.filter("again is null").select("text", "lang").unionByName(marked.filter("again").select("text", "lang").distinct())
+
+
 def _norm(df: DataFrame, text_col: str, lang_col: str | None) -> DataFrame:
     """_lang, _words and _classes of each distinct text of a language that passes the base rules."""
     lang = language_of(F.col(f"`{lang_col}`")) if lang_col else F.lit("und")
-    # Copies meet in partial sums of their task, so a text in a third of all rows is one row a task.
-    texts = df.select(F.col(f"`{text_col}`").alias("text"), lang.alias("lang")).distinct()
-    m = _measured(texts, "text", "lang")
+    m = _measured(_distinct(df.select(F.col(f"`{text_col}`").alias("text"), lang.alias("lang"))), "text", "lang")
     return m.filter(~base_failed(F.size("_words"), repeated_words(F.col("_words")))).select("_lang", "_words", "_classes")
 
 

@@ -280,6 +280,16 @@ def test_clean_documents_survive_a_junk_group(spark, failed):
     assert got.filter("doc_id >= 1000000 and kept").count() == 0
 
 
+@pytest.mark.parametrize("sent", [2_000_000, 1])
+def test_distinct_texts(spark, monkeypatch, sent):
+    from blockweave.llm import quality_rules as Q
+
+    monkeypatch.setattr(Q, "SENT_HASHES", sent)
+    rows = [(t, lang) for t in (None, "", "a", "b", "c") for lang in ("en", "und")] * 2 + [("d", "en"), ("e", "en"), ("a", "en")]
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    same([tuple(r) for r in Q._distinct(df).collect()], set(rows))
+
+
 def test_the_query_and_a_junk_group(spark, tmp_path):
     d = "/root/testdata/sf0.1"
     docs = spark.read.parquet(f"{d}/documents.parquet").filter("doc_id < 3000")
