@@ -6,13 +6,15 @@ still count in n and in the pairs that duplicates should make.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.tables import shared_table
 
-#: Groups of an id up to which its pairs are counted without being made: an id has 2 ** MOST_GROUPS sets of groups at most.
-MOST_GROUPS = 8
+#: Groups of an id up to which its pairs are counted by sets: an id has 2 ** MOST_GROUPS sets of groups at most. Ids of a tile.
+MOST_GROUPS, TILE = 8, 512
 RESULT = ("pc", "pq", "rr", "db", "b")
 
 
@@ -57,7 +59,7 @@ def pair_counts(m: DataFrame, keys: list[str], by: list[str], distinct: bool = T
 def _repeated(m: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
     """(by..., more): how often pairs of ids are counted beyond their first common group.
 
-    For ids of at most MOST_GROUPS groups no pair is made: by inclusion and exclusion, a pair of c common groups is
+    For ids of at most MOST_GROUPS groups, by inclusion and exclusion, a pair of c common groups is
     counted c - 1 times too often, which is the sum over sets of two and more common groups, added for even sets and
     taken off for odd ones, and as many pairs share a set as its holders make. So the cost follows the rows, not the
     pairs. Only pairs with an id of more groups are made.
@@ -69,11 +71,39 @@ def _repeated(m: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
     sets = F.transform(F.sequence(F.lit(1), bit(F.size("of")) - 1), lambda mask: F.filter("of", lambda x, i: mask.bitwiseAND(bit(i)) != 0))
     sets = few.select(*by, F.explode(F.filter(sets, lambda x: F.size(x) > 1)).alias("set")).groupBy(*by, "set").agg(F.count("*").alias("size")).filter("size > 1")
     counted = sets.select(*by, (F.when(F.size("set") % 2 == 0, 1).otherwise(-1) * _choose2(F.col("size"))).alias("more"))
-    on = [*by, *keys]
-    left = some.filter(F.col("groups") > MOST_GROUPS).select(*on, F.col("id").alias("i"))
-    right = some.select(*on, F.col("id").alias("j"), (F.col("groups") > MOST_GROUPS).alias("many"))
-    made = left.join(right, on).filter("not many or i < j").groupBy(*by, "i", "j").agg((F.count("*") - 1).cast("double").alias("more"))
-    return counted.union(made.select(*by, "more")).groupBy(*by).agg(F.sum("more").alias("more"))
+    # Only groups with an id of many groups; each id with all its groups, as numbers.
+    on, number = [*by, *keys], F.xxhash64(*keys)
+    many = F.col("groups") > MOST_GROUPS
+    busy = some.filter(many).select(*on).distinct()
+    of = m.join(some.filter(many).select(*on).distinct(), on, "left_semi").select(*by, "id").distinct()
+    lists = m.join(of, [*by, "id"], "left_semi").groupBy(*by, "id").agg(F.sort_array(F.collect_set(number)).alias("of"))
+    rows = some.join(busy, on, "left_semi").select(*by, number.alias("g"), "id", many.alias("many")).join(lists, [*by, "id"])
+    tiles = F.floor((F.col("size") + TILE - 1) / TILE).cast("int")
+    rows = rows.join(rows.groupBy(*by, "g").agg(F.count("*").alias("size")).select(*by, "g", tiles.alias("tiles")), [*by, "g"])
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.select(*by, "g", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "many", "of")
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in m.schema.fields if f.name in by)
+    told = rows.groupBy(*by, "g", "x", "y").applyInArrow(_shared_before(list(by)), kinds + "more double")
+    return counted.union(told.select(*by, "more")).groupBy(*by).agg(F.sum("more").alias("more"))
+
+
+def _shared_before(by: list[str]):
+    """One row of a tile: how many of its pairs, one of them of many groups, share a group below the tile's own."""
+
+    def run(t: pa.Table) -> pa.Table:
+        g, own, many = t["g"][0].as_py(), np.asarray(t["own"].combine_chunks()), np.asarray(t["many"].combine_chunks())
+        of = t["of"].combine_chunks()
+        row = np.repeat(np.arange(len(t)), np.diff(np.asarray(of.offsets)))
+        groups = np.asarray(of.flatten())
+        row, (_, code) = row[groups < g], np.unique(groups[groups < g], return_inverse=True)
+        held = np.zeros((len(t), int(code.max()) + 1 if len(code) else 0), np.float32)
+        held[row, code] = 1
+        a, b = (np.flatnonzero(own == t[c][0].as_py()) for c in ("x", "y"))
+        met = (held[a] @ held[b].T > 0) & (many[a][:, None] | many[b][None])
+        n = np.triu(met, 1).sum() if t["x"][0].as_py() == t["y"][0].as_py() else met.sum()
+        return pa.table({**{c: t[c][:1] for c in by}, "more": pa.array([float(n)])})
+
+    return run
 
 
 def evaluate(entities: DataFrame, blocks: DataFrame, distinct: bool = False) -> DataFrame:

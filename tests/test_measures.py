@@ -114,11 +114,12 @@ def test_clusters_do_not_depend_on_order(spark):
     assert a == b and max(a.values()) >= 0
 
 
-@pytest.mark.parametrize("most", [1, 3, 8])
-def test_distinct_pairs_are_counted_without_pairs(spark, monkeypatch, most):
+@pytest.mark.parametrize(("most", "tile"), [(1, 512), (3, 512), (8, 512), (0, 7), (2, 5)])
+def test_distinct_pairs_are_counted_without_pairs(spark, monkeypatch, most, tile):
     import itertools
     import random
 
+    monkeypatch.setattr(measures, "TILE", tile)
     monkeypatch.setattr(measures, "MOST_GROUPS", most)
     rng = random.Random(most)
     rows = list({(c, rng.randrange(9), i) for c in range(2) for i in range(40) for _ in range(rng.randrange(1, 8))})
@@ -133,6 +134,22 @@ def test_distinct_pairs_are_counted_without_pairs(spark, monkeypatch, most):
     assert measures.pair_counts(df.filter("config_id = 0"), ["block_id"], []).first()["n"] == got[0]
 
 
+def test_distinct_measures_of_many_tables(spark):
+    """Ten tables and neighbours' blocks, against the pairs themselves."""
+    import itertools
+
+    v, e = vectors(spark, "/root/testdata/sf0.001"), entities(spark, "/root/testdata/sf0.001")
+    label = {r["id"]: r["label"] for r in e.collect()}
+    for blocks in (lsh.blocks(v, lsh.planes(spark, 64, [lsh.Config(0, 10, 3, 30.0)]), "hyperplane"), knn.exact_blocks(v, 10)):
+        blocks = blocks.select("block_id", "id").cache()
+        of = {}
+        for r in blocks.collect():
+            of.setdefault(r["block_id"], set()).add(r["id"])
+        pairs = {p for x in of.values() for p in itertools.combinations(sorted(x), 2)}
+        got = measures.evaluate(e, blocks, True).first()
+        assert (got["b"], got["db"]) == (len(pairs), sum(label[i] == label[j] for i, j in pairs))
+
+
 def _clustered(seed, n=180, dim=5, same=60):
     rng = np.random.default_rng(seed)
     centres = rng.normal(size=(8, dim)) * 20

@@ -178,3 +178,50 @@ def test_a_curved_kernel_tells_rings_apart(spark):
     assert 60 < got["n"] < 180 and got["accuracy"] > 0.95
     assert features.driver_classifier(df, kernel="linear").first()["accuracy"] < 0.8
     assert features.driver_classifier(df.limit(0)).first()["n"] == 0
+
+
+def _by_newton(x, y, ridge):
+    """Weights of the squared hinge loss by Newton's steps over active sets, halved until the loss falls."""
+    import numpy as np
+
+    w = np.zeros(x.shape[1])
+    loss = lambda v: ridge / 2 * v @ v + (np.maximum(1 - y * (x @ v), 0) ** 2).sum() / 2
+    for _ in range(100):
+        a = y * (x @ w) < 1
+        to = np.linalg.solve(x[a].T @ x[a] + ridge * np.eye(len(w)), x[a].T @ y[a])
+        t = 1.0
+        while loss(w + t * (to - w)) > loss(w) and t > 1e-9:
+            t /= 2
+        if np.abs(to - w).max() < 1e-12 or t <= 1e-9:
+            break
+        w = w + t * (to - w)
+    return w
+
+
+@pytest.mark.parametrize(("block", "part"), [(256, 4096), (2, 50)])
+def test_margins_equal_a_plain_solver(spark, monkeypatch, block, part):
+    import numpy as np
+
+    from blockweave.operators import margin
+
+    monkeypatch.setattr(margin, "BLOCK", block)
+    monkeypatch.setattr(margin, "PART", part)
+    rng = np.random.default_rng(4)
+    of = rng.integers(0, 5, 240)
+    x = np.hstack([rng.normal(size=(5, 6))[of] * 1.5 + rng.normal(size=(240, 6)), np.ones((240, 1))])
+    df = spark.createDataFrame([(i, [float(v) for v in r], f"c{c}") for i, (r, c) in enumerate(zip(x, of, strict=True))], "id long, x array<double>, name string")
+    model = margin.weights(df, 0.5).cache()
+    got = {r["name"]: np.array(r["w"]) for r in model.collect()}
+    want = {f"c{c}": _by_newton(x, np.where(of == c, 1.0, -1.0), 0.5) for c in range(5)}
+    assert got.keys() == want.keys() and all(np.abs(got[c] - want[c]).max() < 1e-4 for c in want)
+    names = sorted(want)
+    best = [names[k] for k in np.argmax(x @ np.array([want[c] for c in names]).T, axis=1)]
+    told = {r["id"]: r["name"] for r in margin.predicted(df, model).collect()}
+    assert [told[i] for i in range(240)] == best
+
+
+def test_driver_svm_golden_value(spark):
+    from blockweave import queries
+
+    r = queries.QUERIES["driver_svm"](spark, "/root/testdata/sf0.001").first()
+    assert r["n"] > 10 and 0 <= r["accuracy"] <= 1
