@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -123,29 +122,39 @@ def conflicts(cells: DataFrame, trips: DataFrame, share: float = 0.7) -> DataFra
     return beside.union(over).filter("chosen < candidate").distinct()
 
 
+#: Cells of the first stretch of ranks that is decided, for each cell wanted.
+STRETCH = 8
+
+
 def top_cells(cells: DataFrame, edges: DataFrame, k: int = 20, p_accept: float = 0.1, seed: int = 10086) -> DataFrame:
-    """The cells that a scan by rank accepts: no neighbour of one accepted before, or by a chance of ``p_accept``.
+    """The first ``k`` cells that a scan by rank accepts: no neighbour of one accepted before, or by a chance of ``p_accept``.
 
-    The scan is sequential over at most ``n`` by ``n`` cells, so it is one bounded group; the candidates and edges are
-    made by joins. Chance is a digest of the cell and ``seed``, so that it is the same on every run.
+    The scan is done in parallel: a cell is accepted as soon as all cells that could forbid it are refused, and refused as
+    soon as one of them is accepted. Each round decides at least the first open cell, and all whose forbidders are decided.
+    Ranks are taken in stretches, each twice as long as what was decided before, until ``k`` are accepted, as later ranks
+    change nothing. Chance is a digest of the cell and ``seed``, so that it is the same on every run.
     """
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("cell_x").cast("string"), F.col("cell_y").cast("string")).cast("binary"))
     u = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / float(1 << 32)
-    before = edges.groupBy("candidate").agg(F.collect_list("chosen").alias("against"))
-    one = cells.join(before, cells["rank"] == before["candidate"], "left").select(F.lit(0).alias("g"), "rank", "cell_x", "cell_y", (u < p_accept).alias("lucky"), F.coalesce("against", F.array().cast("array<bigint>")).alias("against"))
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        chosen: list[int] = []
-        keep = []
-        pdf = pdf.sort_values("rank")
-        for rank, lucky, against in zip(pdf["rank"], pdf["lucky"], pdf["against"], strict=True):
-            ok = len(chosen) < k and (lucky or not set(against) & set(chosen))
-            keep.append(ok)
-            if ok:
-                chosen.append(rank)
-        return pdf[keep][["rank", "cell_x", "cell_y"]]
-
-    return one.groupBy("g").applyInPandas(scan, "rank long, cell_x long, cell_y long")
+    every = shared_table(cells.select("rank", "cell_x", "cell_y", (u < p_accept).alias("lucky")), "ranked-cells")
+    edges = shared_table(edges.select("chosen", "candidate"), "conflicts")
+    last = every.agg(F.max("rank").alias("r")).first()["r"] or 0
+    decided, until = every.limit(0).withColumn("ok", F.lit(True)), 0
+    while until < last:
+        start, until = until, min(last, max(STRETCH * k, 2 * until))
+        stretch = every.filter((F.col("rank") > start) & (F.col("rank") <= until))
+        state = decided.unionByName(stretch.withColumn("ok", F.when(F.col("lucky"), True)))
+        open_ = 1
+        while open_:
+            met = edges.join(state.select(F.col("rank").alias("chosen"), "ok"), "chosen").groupBy(F.col("candidate").alias("rank"))
+            met = met.agg(F.max(F.coalesce("ok", F.lit(False))).alias("forbidden"), F.max(F.col("ok").isNull()).alias("waits"))
+            told = F.when(F.col("forbidden"), False).when(F.coalesce("waits", F.lit(False)), F.lit(None)).otherwise(True)
+            state = shared_table(state.join(met, "rank", "left").select("rank", "cell_x", "cell_y", "lucky", F.coalesce("ok", told).alias("ok")), "decided")
+            open_ = state.filter("ok is null").limit(1).count()
+        decided = state
+        if state.filter("ok").count() >= k:
+            break
+    return decided.filter("ok").orderBy("rank").limit(k).select("rank", "cell_x", "cell_y")
 
 
 def cell_blocks(chosen: DataFrame, trips: DataFrame, more_than: int = 2) -> DataFrame:

@@ -180,6 +180,26 @@ def test_a_curved_kernel_tells_rings_apart(spark):
     assert features.driver_classifier(df.limit(0)).first()["n"] == 0
 
 
+@pytest.mark.parametrize(("k", "chance"), [(5, 0.0), (40, 0.0), (40, 0.3), (1000, 0.1)])
+def test_top_cells_equal_a_scan(spark, monkeypatch, k, chance):
+    import hashlib
+    import random
+
+    monkeypatch.setattr(grid, "STRETCH", 2)
+    rng = random.Random(k)
+    n = 300
+    edges = sorted({(a, a + rng.randint(1, 40)) for a in range(1, n) for _ in range(3)} | {(a, a + 1) for a in range(1, 60)})
+    cells = spark.createDataFrame([(r, r * 7 % 31, r) for r in range(1, n + 1)], "rank long, cell_x long, cell_y long")
+    lucky = lambda r: int(hashlib.md5(f"10086:{r * 7 % 31}:{r}".encode()).hexdigest()[:8], 16) / 2**32 < chance
+    chosen = []
+    for r in range(1, n + 1):
+        if len(chosen) < k and (lucky(r) or not any((c, r) in set(edges) for c in chosen)):
+            chosen.append(r)
+    got = grid.top_cells(cells, spark.createDataFrame(edges, "chosen long, candidate long"), k, chance)
+    assert sorted(r["rank"] for r in got.collect()) == chosen
+    assert grid.top_cells(cells.limit(0), spark.createDataFrame(edges, "chosen long, candidate long"), k, chance).count() == 0
+
+
 def _by_newton(x, y, ridge):
     """Weights of the squared hinge loss by Newton's steps over active sets, halved until the loss falls."""
     import numpy as np
