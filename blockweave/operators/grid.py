@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -69,9 +70,17 @@ def cell_trips(points: DataFrame, grid: Grid) -> DataFrame:
     return assign(points, grid).groupBy("cell_x", "cell_y", "traj_id", "driver_id").agg(F.count("*").alias("n"))
 
 
-def cell_stats(trips: DataFrame) -> DataFrame:
+def assign_all(points: DataFrame, grids: list[Grid]) -> DataFrame:
+    """The points with their cell in each grid, a row a grid, ``cells`` the grid's size: one scan of the points for all."""
+    each = F.array(*[F.struct(F.lit(g.n).alias("cells"), g.x(F.col("lon")).alias("cell_x"), g.y(F.col("lat")).alias("cell_y")) for g in grids])
+    return points.withColumn("_cell", F.explode(each)).select(*points.columns, "_cell.*")
+
+
+# Operators below work on several grids at once if ``by`` names the columns that tell them apart.
+
+def cell_stats(trips: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """freq and n_traj of each cell. ``trips`` has a row a trip and cell, so trips are counted without a distinct."""
-    return trips.groupBy("cell_x", "cell_y").agg(F.sum("n").alias("freq"), F.count("*").alias("n_traj"))
+    return trips.groupBy(*by, "cell_x", "cell_y").agg(F.sum("n").alias("freq"), F.count("*").alias("n_traj"))
 
 
 def driver_freq(trips: DataFrame) -> DataFrame:
@@ -93,15 +102,15 @@ def cell_dwell(points: DataFrame, grid: Grid) -> DataFrame:
     return assign(dwell(points), grid).groupBy("cell_x", "cell_y").agg(F.sum("dwell").alias("dwell"))
 
 
-def scores(stats: DataFrame, stops: DataFrame, alpha: float = 1.0, weight: str = "freq") -> DataFrame:
+def scores(stats: DataFrame, stops: DataFrame, alpha: float = 1.0, weight: str = "freq", by: Sequence[str] = ()) -> DataFrame:
     """freq * sqrt(1 + stop_freq) / (n_traj ** alpha + 1) of each cell."""
-    s = stats.join(stops, ["cell_x", "cell_y"], "left").withColumn("stop_freq", F.coalesce("stop_freq", F.lit(0)).cast("long"))
+    s = stats.join(stops, [*by, "cell_x", "cell_y"], "left").withColumn("stop_freq", F.coalesce("stop_freq", F.lit(0)).cast("long"))
     return s.withColumn("score", F.col(weight) * F.sqrt(1 + F.col("stop_freq")) / (F.pow(F.col("n_traj").cast("double"), F.lit(alpha)) + 1))
 
 
-def ranked(scored: DataFrame) -> DataFrame:
+def ranked(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Cells with their rank by score, ties by (x, y). There are at most ``n`` by ``n`` cells."""
-    return scored.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "cell_x", "cell_y")).cast("long"))
+    return scored.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("score"), "cell_x", "cell_y")).cast("long"))
 
 
 def candidates(ranks: DataFrame, n_entities: int, least: int = 4) -> DataFrame:
@@ -109,16 +118,16 @@ def candidates(ranks: DataFrame, n_entities: int, least: int = 4) -> DataFrame:
     return ranks.filter((F.col("n_traj") <= n_entities / 4) & (F.col("n_traj") >= least))
 
 
-def conflicts(cells: DataFrame, trips: DataFrame, share: float = 0.7) -> DataFrame:
+def conflicts(cells: DataFrame, trips: DataFrame, share: float = 0.7, by: Sequence[str] = ()) -> DataFrame:
     """(chosen, candidate) ranks: pairs of cells where choosing the first makes the second a neighbour. A neighbour is
     the next cell along one axis, or one more than ``share`` of whose trips the chosen cell has too (not symmetric)."""
-    c = cells.select("cell_x", "cell_y", "rank", "n_traj")
+    c = cells.select(*by, "cell_x", "cell_y", "rank", "n_traj")
     steps = F.explode(F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in ((0, 1), (0, -1), (1, 0), (-1, 0))])).alias("d")
-    moved = c.select(F.col("rank").alias("chosen"), "cell_x", "cell_y", steps).select("chosen", (F.col("cell_x") + F.col("d.dx")).alias("cell_x"), (F.col("cell_y") + F.col("d.dy")).alias("cell_y"))
-    beside = moved.join(c, ["cell_x", "cell_y"]).select("chosen", F.col("rank").alias("candidate"))
-    t = trips.join(c, ["cell_x", "cell_y"]).select("traj_id", "rank", "n_traj")
-    both = t.select("traj_id", F.col("rank").alias("chosen")).join(t.select("traj_id", F.col("rank").alias("candidate"), "n_traj"), "traj_id").filter("chosen != candidate")
-    over = both.groupBy("chosen", "candidate", "n_traj").agg(F.count("*").alias("shared")).filter(F.col("shared") > share * F.col("n_traj")).select("chosen", "candidate")
+    moved = c.select(*by, F.col("rank").alias("chosen"), "cell_x", "cell_y", steps).select(*by, "chosen", (F.col("cell_x") + F.col("d.dx")).alias("cell_x"), (F.col("cell_y") + F.col("d.dy")).alias("cell_y"))
+    beside = moved.join(c, [*by, "cell_x", "cell_y"]).select(*by, "chosen", F.col("rank").alias("candidate"))
+    t = trips.join(c, [*by, "cell_x", "cell_y"]).select(*by, "traj_id", "rank", "n_traj")
+    both = t.select(*by, "traj_id", F.col("rank").alias("chosen")).join(t.select(*by, "traj_id", F.col("rank").alias("candidate"), "n_traj"), [*by, "traj_id"]).filter("chosen != candidate")
+    over = both.groupBy(*by, "chosen", "candidate", "n_traj").agg(F.count("*").alias("shared")).filter(F.col("shared") > share * F.col("n_traj")).select(*by, "chosen", "candidate")
     return beside.union(over).filter("chosen < candidate").distinct()
 
 
@@ -126,8 +135,8 @@ def conflicts(cells: DataFrame, trips: DataFrame, share: float = 0.7) -> DataFra
 STRETCH = 8
 
 
-def top_cells(cells: DataFrame, edges: DataFrame, k: int = 20, p_accept: float = 0.1, seed: int = 10086) -> DataFrame:
-    """The first ``k`` cells that a scan by rank accepts: no neighbour of one accepted before, or by a chance of ``p_accept``.
+def top_cells(cells: DataFrame, edges: DataFrame, k: int = 20, p_accept: float = 0.1, seed: int = 10086, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., rank, cell_x, cell_y, place): the first ``k`` cells that a scan by rank accepts: no neighbour of one accepted before, or by a chance of ``p_accept``.
 
     The scan is done in parallel: a cell is accepted as soon as all cells that could forbid it are refused, and refused as
     soon as one of them is accepted. Each round decides at least the first open cell, and all whose forbidders are decided.
@@ -136,8 +145,8 @@ def top_cells(cells: DataFrame, edges: DataFrame, k: int = 20, p_accept: float =
     """
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("cell_x").cast("string"), F.col("cell_y").cast("string")).cast("binary"))
     u = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / float(1 << 32)
-    every = shared_table(cells.select("rank", "cell_x", "cell_y", (u < p_accept).alias("lucky")), "ranked-cells")
-    edges = shared_table(edges.select("chosen", "candidate"), "conflicts")
+    every = shared_table(cells.select(*by, "rank", "cell_x", "cell_y", (u < p_accept).alias("lucky")), "ranked-cells")
+    edges = shared_table(edges.select(*by, "chosen", "candidate"), "conflicts")
     last = every.agg(F.max("rank").alias("r")).first()["r"] or 0
     decided, until = every.limit(0).withColumn("ok", F.lit(True)), 0
     while until < last:
@@ -146,22 +155,27 @@ def top_cells(cells: DataFrame, edges: DataFrame, k: int = 20, p_accept: float =
         state = decided.unionByName(stretch.withColumn("ok", F.when(F.col("lucky"), True)))
         open_ = 1
         while open_:
-            met = edges.join(state.select(F.col("rank").alias("chosen"), "ok"), "chosen").groupBy(F.col("candidate").alias("rank"))
+            met = edges.join(state.select(*by, F.col("rank").alias("chosen"), "ok"), [*by, "chosen"]).groupBy(*by, F.col("candidate").alias("rank"))
             met = met.agg(F.max(F.coalesce("ok", F.lit(False))).alias("forbidden"), F.max(F.col("ok").isNull()).alias("waits"))
             told = F.when(F.col("forbidden"), False).when(F.coalesce("waits", F.lit(False)), F.lit(None)).otherwise(True)
-            state = shared_table(state.join(met, "rank", "left").select("rank", "cell_x", "cell_y", "lucky", F.coalesce("ok", told).alias("ok")), "decided")
+            state = shared_table(state.join(met, [*by, "rank"], "left").select(*by, "rank", "cell_x", "cell_y", "lucky", F.coalesce("ok", told).alias("ok")), "decided")
             open_ = state.filter("ok is null").limit(1).count()
         decided = state
-        if state.filter("ok").count() >= k:
+        found = state.groupBy(*by).agg(F.count_if("ok").alias("n"), F.max("rank").alias("r"))
+        ends = every.groupBy(*by).agg(F.max("rank").alias("end"))
+        short = found.join(ends, list(by)) if by else found.crossJoin(ends)  # one row each
+        if not short.filter((F.col("n") < k) & (F.col("r") < F.col("end"))).limit(1).count():
             break
-    return decided.filter("ok").orderBy("rank").limit(k).select("rank", "cell_x", "cell_y")
+    place = F.row_number().over(W.partitionBy(*by).orderBy("rank"))
+    return decided.filter("ok").withColumn("place", place).filter(F.col("place") <= k).select(*by, "rank", "cell_x", "cell_y", "place")
 
 
-def cell_blocks(chosen: DataFrame, trips: DataFrame, more_than: int = 2) -> DataFrame:
-    """(block_id, id): the trips of each chosen cell that more than ``more_than`` trips cross."""
-    m = trips.join(F.broadcast(chosen.select("cell_x", "cell_y").distinct()), ["cell_x", "cell_y"]).select(F.concat_ws("_", "cell_x", "cell_y").alias("block_id"), F.col("traj_id").alias("id"))
-    big = m.groupBy("block_id").agg(F.count("*").alias("size")).filter(F.col("size") > more_than)
-    return m.join(big, "block_id", "left_semi")
+def cell_blocks(chosen: DataFrame, trips: DataFrame, more_than: int = 2, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., block_id, id): the trips of each chosen cell that more than ``more_than`` trips cross."""
+    on = [*by, "cell_x", "cell_y"]
+    m = trips.join(F.broadcast(chosen.select(*on).distinct()), on).select(*by, F.concat_ws("_", "cell_x", "cell_y").alias("block_id"), F.col("traj_id").alias("id"))
+    big = m.groupBy(*by, "block_id").agg(F.count("*").alias("size")).filter(F.col("size") > more_than)
+    return m.join(big, [*by, "block_id"], "left_semi")
 
 
 def rank_report(ranks: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -176,3 +190,20 @@ def select_blocks(points: DataFrame, stops: DataFrame, grid: Grid, k: int, n_ent
     ranks = ranked(scores(cell_stats(trips), stop_freq(stops, grid), alpha))
     cells = shared_table(candidates(ranks, n_entities), "cells")
     return cell_blocks(top_cells(cells, conflicts(cells, trips), k, p_accept, seed), trips)
+
+
+def select_blocks_of_all(points: DataFrame, stops: DataFrame, grids: list[Grid], ks: dict[int, list[int]], n_entities: int, alpha: float = 1.0, p_accept: float = 0.1, seed: int = 10086) -> DataFrame:
+    """(cells, k, block_id, id): ``select_blocks`` for grids of several sizes over one range, each with the numbers of cells in
+    ``ks``. The first cells of a larger number are those of a smaller one, so each grid is scanned once."""
+    by = ["cells"]
+    trips = shared_table(assign_all(in_range(points, grids[0]), grids).groupBy(*by, "cell_x", "cell_y", "traj_id", "driver_id").agg(F.count("*").alias("n")), "cell-trips")
+    stopped = assign_all(stops, grids).groupBy(*by, "cell_x", "cell_y").agg(F.count("*").alias("stop_freq"))
+    ranks = ranked(scores(cell_stats(trips, by), stopped, alpha, by=by), by)
+    found = shared_table(candidates(ranks, n_entities), "cells")
+    top = top_cells(found, conflicts(found, trips, by=by), max(max(k) for k in ks.values()), p_accept, seed, by)
+    wanted = points.sparkSession.createDataFrame([(n, k) for n, each in ks.items() for k in each], "cells int, k long")  # the caller's list
+    chosen = shared_table(top.join(F.broadcast(wanted), "cells").filter("place <= k"), "chosen")
+    # A trip and cell is met once for each k that chose the cell.
+    blocks = trips.join(chosen.select("cells", "k", "cell_x", "cell_y"), ["cells", "cell_x", "cell_y"]).select("cells", "k", F.concat_ws("_", "cell_x", "cell_y").alias("block_id"), F.col("traj_id").alias("id"))
+    big = blocks.groupBy("cells", "k", "block_id").agg(F.count("*").alias("size")).filter("size > 2")
+    return blocks.join(big, ["cells", "k", "block_id"], "left_semi")

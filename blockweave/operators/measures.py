@@ -126,11 +126,11 @@ def evaluate(entities: DataFrame, blocks: DataFrame, distinct: bool = False) ->
     return r.select(*[F.when(F.col("some"), F.col(c)).otherwise(0.0).alias(c) for c in RESULT])
 
 
-def evaluate_configs(entities: DataFrame, blocks: DataFrame, config: str = "config_id") -> DataFrame:
-    """``evaluate`` with redundant comparisons for many block collections at once, one row for each ``config``."""
+def evaluate_configs(entities: DataFrame, blocks: DataFrame, config: str = "config_id", distinct: bool = False) -> DataFrame:
+    """``evaluate`` for many block collections at once, one row for each ``config`` with blocks."""
     m = shared_table(blocks.select(config, "block_id", "id").dropDuplicates(), "members")
     blocks_of = m.groupBy(config).agg(F.count_distinct("block_id").alias("blocks"))
-    b = pair_counts(m, ["block_id"], [config], distinct=False).withColumnRenamed("n", "b").join(blocks_of, config)
+    b = pair_counts(m, ["block_id"], [config], distinct).withColumnRenamed("n", "b").join(blocks_of, config)
     db = pair_counts(m.join(entities, "id"), ["block_id", "label"], [config]).withColumnRenamed("n", "db")
     de = label_frequency(entities).agg(F.sum(_choose2(F.col("n"))).alias("de"), F.sum("n").alias("n"))
     r = b.join(db, config, "left").crossJoin(de)

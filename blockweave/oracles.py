@@ -6,7 +6,7 @@ import math
 
 from .operators import lsh
 from .operators.grid import Grid
-from .queries import CELLS, DIM, EPS, FINE, GRID, HYPERPLANE, K, MIN_SAMPLES, PROBE, PSTABLE, SMALL, SWEEP, SWEEP_EPS, SWEEP_LEAST, TOP  # noqa: F401
+from .queries import CELLS, DIM, EPS, FINE, GRID, GRID_SWEEP, HYPERPLANE, K, MIN_SAMPLES, PROBE, PSTABLE, SMALL, SWEEP, SWEEP_EPS, SWEEP_LEAST, TOP  # noqa: F401
 
 SQL: dict[str, str] = {}
 
@@ -192,8 +192,15 @@ SQL["cell_conflicts"] = _with(PTS, RUN) + "select chosen, candidate from cf"
 SQL["grid_topk"] = _with(PTS, RUN) + "select rank, cell_x, cell_y from top"
 SQL["grid_blocks"] = _with(PTS, RUN) + "select block_id, id from gb"
 SQL["grid_eval"] = _with(PTS, RUN, ENT) + _measures("gb", "ent", True)
-_GRIDS = [(16, 10, "_a"), (16, 20, "_b"), (40, 20, "_c")]
-SQL["grid_sweep"] = _with(PTS, ENT, *[_ranked(Grid(n), k, t) for n, k, t in _GRIDS]) + " union all ".join(_measures(f"gb{t}", "ent", True, f", {n}::bigint as cells, {k}::bigint as k") for n, k, t in _GRIDS)
+
+
+def _grid_sweep(runs: list[tuple[int, int]]) -> str:
+    tagged = [(n, k, f"_{i}") for i, (n, k) in enumerate(runs)]
+    return _with(PTS, ENT, *[_ranked(Grid(n), k, t) for n, k, t in tagged]) + " union all ".join(_measures(f"gb{t}", "ent", True, f", {n}::bigint as cells, {k}::bigint as k") for n, k, t in tagged)
+
+
+SQL["grid_sweep"] = _grid_sweep([(16, 10), (16, 20), (40, 20)])
+SQL["grid_sweep_all"] = _grid_sweep(GRID_SWEEP)
 SQL["cell_rank_report"] = _with(PTS, RUN) + "select cell_x || '_' || cell_y as cell, rank - 1 as rank, n_traj, freq, stop_freq, rank in (select rank from sel) as chosen from rk"
 
 PAIRS = """tp as (select distinct traj_id, driver_id from pts where traj_id % 10 >= 3),

@@ -30,13 +30,15 @@ def dbscan_sweep(vectors: DataFrame, entities: DataFrame, eps: list[float], min_
 
 
 def grid_sweep(points: DataFrame, stops: DataFrame, entities: DataFrame, configs: list[tuple[int, int]], p_accept: float = 0.0) -> DataFrame:
-    """Distinct measures of each (cells a side, k)."""
-    n = entities.count()
-    rows = []
+    """Distinct measures of each (cells a side, k), all grids from one scan of the points."""
+    ks: dict[int, list[int]] = {}
     for cells, k in configs:
-        blocks = grid.select_blocks(points, stops, grid.Grid(cells), k, n, p_accept=p_accept)
-        rows.append(measures.evaluate(entities, blocks, True).withColumns({"cells": F.lit(cells).cast("long"), "k": F.lit(k).cast("long")}))
-    return reduce(DataFrame.union, rows)
+        ks.setdefault(cells, []).append(k)
+    blocks = grid.select_blocks_of_all(points, stops, [grid.Grid(n) for n in ks], ks, entities.count(), p_accept=p_accept)
+    config = F.struct(F.col("cells").cast("long").alias("cells"), "k")
+    found = measures.evaluate_configs(entities, blocks.select(config.alias("config"), "block_id", "id"), "config", distinct=True).select("config.*", *measures.RESULT)
+    every = points.sparkSession.createDataFrame(configs, "cells long, k long")  # the caller's list
+    return every.join(found, ["cells", "k"], "left").select(*[F.coalesce(c, F.lit(0.0)).alias(c) for c in measures.RESULT], "cells", "k")
 
 
 def pair_sweep(train: DataFrame, points: DataFrame, pairs: DataFrame, configs: list[tuple[int, int]]) -> DataFrame:

@@ -20,6 +20,8 @@ PSTABLE = [lsh.Config(0, 2, 4, 1.0)]
 SWEEP = [lsh.Config(i, tables, functions, w) for i, (tables, functions, w) in enumerate((t, h, w) for w in (1.0, 2.0) for t in (1, 2) for h in (2, 4))]
 # The configurations of the density sweep.
 SWEEP_EPS, SWEEP_LEAST = [1.0, 10.0, 100.0, 1000.0, 10000.0], [5, 10, 15, 20, 25, 30, 35, 40, 45]
+# The configurations (cells a side, cells chosen) of the grid sweep.
+GRID_SWEEP = [(n, k) for sizes, ks in (((100, 104), (150, 160)), ((100, 110), (125, 130)), ((200, 204), (500, 600)), ((150, 156), (180, 240))) for n in sizes for k in ks]
 PROBE = [lsh.Config(0, 4, 7, 30.0)]
 GRID, FINE, CELLS, TOP = grid.Grid(16), grid.Grid(40), 20, 5
 SMALL = grid.Grid(16, 103.72, 103.90, 1.2077, 1.4809)
@@ -275,7 +277,7 @@ def cell_conflicts(s, d):
 
 def _top(s, d, p_accept=0.0):
     t, ranks, c = _cells(s, d)
-    return t, ranks, grid.top_cells(c, grid.conflicts(c, t), CELLS, p_accept)
+    return t, ranks, grid.top_cells(c, grid.conflicts(c, t), CELLS, p_accept).drop("place")
 
 
 @query
@@ -306,6 +308,12 @@ def grid_sweep(s, d):
     return sweeps.grid_sweep(p, stops(p), trip_entities(p), [(16, 10), (16, 20), (40, 20)])
 
 
+@query
+def grid_sweep_all(s, d):
+    p = points(s, d)
+    return sweeps.grid_sweep(p, stops(p), trip_entities(p), GRID_SWEEP)
+
+
 @query
 def cell_rank_report(s, d):
     _, ranks, top = _top(s, d)
