@@ -119,10 +119,11 @@ def _distinct(texts: DataFrame) -> DataFrame:
 
 
 def _norm(df: DataFrame, text_col: str, lang_col: str | None) -> DataFrame:
-    """_lang, _words and _classes of each distinct text of a language that passes the base rules."""
+    """_lang, _words and _classes of each distinct text of a language; _words is null where it fails the base rules. It is
+    no filter, which would be pushed below the search for distinct texts and split every text once more."""
     lang = language_of(F.col(f"`{lang_col}`")) if lang_col else F.lit("und")
     m = _measured(_distinct(df.select(F.col(f"`{text_col}`").alias("text"), lang.alias("lang"))), "text", "lang")
-    return m.filter(~base_failed(F.size("_words"), repeated_words(F.col("_words")))).select("_lang", "_words", "_classes")
+    return m.select("_lang", F.when(~base_failed(F.size("_words"), repeated_words(F.col("_words"))), F.col("_words")).alias("_words"), "_classes")
 
 
 def references(df: DataFrame, text_col: str = "text", lang_col: str | None = "lang", top_words: int = 32) -> DataFrame:
@@ -132,10 +133,10 @@ def references(df: DataFrame, text_col: str = "text", lang_col: str | None = "la
     lower-cased as Spark does, at most 24 characters long and without commas; equal counts go by the word. The table has at
     most 18,279 rows of at most 32 short words, so it may be broadcast at any input size.
     """
-    each = _norm(df, text_col, lang_col).select("_lang", "_classes", F.posexplode("_words").alias("at", "w"))
+    each = _norm(df, text_col, lang_col).select("_lang", "_classes", F.posexplode_outer("_words").alias("at", "w"))
     # One aggregate for both: the first word of a text brings its characters.
     sums = [F.sum(F.when(F.col("at") == 0, F.col("_classes")[i])).alias(f"c{i}") for i in range(len(CLASSES))]
-    words = written(each.groupBy("_lang", "w").agg(F.count("*").alias("count"), *sums), "language-words")
+    words = written(each.groupBy("_lang", "w").agg(F.count("*").alias("count"), *sums), "language-words").filter("w is not null")
     classes = words.groupBy("_lang").agg(F.sum("count").alias("n"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(len(CLASSES))])
     words = words.filter((F.length("w") <= 24) & ~F.contains("w", F.lit(","))).groupBy("_lang", F.lower("w").alias("w")).agg(F.sum("count").alias("c"))
     # Two ranked steps, each cut to ``top_words`` before its shuffle: no task sees all words of a language.
