@@ -68,8 +68,8 @@ def _listed(text: Column, words: list[str]) -> Column:
     """How many distinct words of the list the text holds."""
     if not words:
         return F.lit(0).cast("long")
-    pattern = r"(?<!\p{L})(?:" + "|".join(words) + r")(?!\p{L})"
-    return F.size(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern), F.lit(0)))).cast("long")
+    letters = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]++", -1)
+    return F.size(F.array_intersect(letters, F.array(*[F.lit(w) for w in words]))).cast("long")
 
 
 class Logistic:
