@@ -6,6 +6,9 @@ still count in n and in the pairs that duplicates should make.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -108,12 +111,19 @@ def _shared_before(by: list[str]):
 
 def evaluate(entities: DataFrame, blocks: DataFrame, distinct: bool = False) -> DataFrame:
     """One row (pc, pq, rr, db, b). Ratios without a denominator are 0; without blocks all five are 0."""
+    return evaluate_variants(entities, blocks, [distinct]).drop("variant")
+
+
+def evaluate_variants(entities: DataFrame, blocks: DataFrame, variants: Sequence[bool] = (False, True)) -> DataFrame:
+    """A row of measures for redundant (False) and for distinct comparisons (True), named by ``variant``. Blocks are made and
+    pairs of one label counted once for both."""
     blocks = shared_table(members(blocks), "members")  # read by each of the counts below
     expected = label_frequency(entities).agg(F.coalesce(F.sum(_choose2(F.col("n"))), F.lit(0.0)).alias("de"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     db = pair_counts(blocks.join(entities, "id"), ["block_id", "label"], []).withColumnRenamed("n", "db")
-    b = pair_counts(blocks, ["block_id"], [], distinct).withColumnRenamed("n", "b")
+    counts = [pair_counts(blocks, ["block_id"], [], d).select(F.lit("distinct" if d else "redundant").alias("variant"), F.col("n").alias("b")) for d in variants]
+    b = reduce(DataFrame.union, counts)
     some = blocks.select(F.lit(1).alias("x")).limit(1).agg((F.count("*") > 0).alias("some"))
-    r = expected.crossJoin(db).crossJoin(b).crossJoin(some)  # one row each
+    r = b.crossJoin(F.broadcast(expected.crossJoin(db).crossJoin(some)))  # one row each
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     r = r.select(
         ratio(F.col("db"), F.col("de")).alias("pc"),
@@ -122,8 +132,9 @@ def evaluate(entities: DataFrame, blocks: DataFrame, distinct: bool = False) ->
         "db",
         "b",
         "some",
+        "variant",
     )
-    return r.select(*[F.when(F.col("some"), F.col(c)).otherwise(0.0).alias(c) for c in RESULT])
+    return r.select(*[F.when(F.col("some"), F.col(c)).otherwise(0.0).alias(c) for c in RESULT], "variant")
 
 
 def evaluate_configs(entities: DataFrame, blocks: DataFrame, config: str = "config_id", distinct: bool = False) -> DataFrame:

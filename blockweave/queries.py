@@ -93,9 +93,7 @@ def eval_distinct(s, d):
 
 @query
 def lsh_hyperplane_eval(s, d):
-    b = _blocks(s, d, HYPERPLANE, "hyperplane")
-    e = entities(s, d)
-    return measures.evaluate(e, b).withColumn("variant", F.lit("redundant")).union(measures.evaluate(e, b, True).withColumn("variant", F.lit("distinct")))
+    return measures.evaluate_variants(entities(s, d), _blocks(s, d, HYPERPLANE, "hyperplane"))
 
 
 # Vector blocking
