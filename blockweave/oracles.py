@@ -57,6 +57,8 @@ SQL["lsh_hyperplane_eval"] = _with(HP) + _measures("blk", "vec", False, ", 'redu
 SQL["lsh_pstable_blocks"] = _with(_blocks(PSTABLE, "pstable")) + "select block_id, id from blk"
 SQL["lsh_hyperplane_blocks"] = _with(HP) + "select block_id, id from blk"
 SQL["lsh_simhash_blocks"] = _with(_blocks(HYPERPLANE, "simhash")) + "select block_id, id from blk"
+_MET = "select distinct l.id, r.id as found, {v} as version from blk l join blk r on l.block_id = r.block_id where {v} = 2 or r.id % 2 = 0"
+SQL["lsh_index_lookup"] = _with(HP) + " union all ".join(_MET.format(v=v) for v in (1, 2))
 SQL["lsh_sweep"] = (
     _with(
         _blocks(SWEEP, "pstable"),

@@ -30,16 +30,21 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder; what is written there is removed when the application ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def shared_table(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` as a table in the shared folder: it is computed once, and a lost executor does not lose it. Results may read
     it as long as the application lives; with its end the table is removed."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}.parquet"
+    path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    sc = spark.sparkContext
-    where = sc._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

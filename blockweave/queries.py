@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import dbscan, features, grid, kinematics, knn, lsh, measures, profile, trips
+from .operators import dbscan, features, grid, index, kinematics, knn, lsh, measures, profile, trips
 from .plans import sweeps
-from .plans.tables import entities, points, shared_dir, shared_table, vectors
+from .plans.tables import entities, points, shared_folder, shared_table, vectors
 from .sources import formats
 
 DIM = 64
@@ -113,6 +112,15 @@ def lsh_simhash_blocks(s, d):
     return _blocks(s, d, HYPERPLANE, "simhash")
 
 
+@query
+def lsh_index_lookup(s, d):
+    """The vectors of even ids are added first, the others later; all are looked up as of either."""
+    kept = index.BucketIndex(s)
+    b = _blocks(s, d, HYPERPLANE, "hyperplane")
+    first, second = kept.add(b.filter("id % 2 = 0")), kept.add(b.filter("id % 2 = 1"))
+    return kept.lookup(b, first).withColumn("version", F.lit(first)).union(kept.lookup(b, second).withColumn("version", F.lit(second)))
+
+
 @query
 def lsh_sweep(s, d):
     return sweeps.lsh_sweep(vectors(s, d), entities(s, d), lsh.planes(s, DIM, SWEEP), "pstable")
@@ -188,7 +196,7 @@ def cluster_files(s, d):
     place, part = 2 * F.floor(F.col("label") / 2).cast("long"), (F.col("label") % 2).alias("result")
     lines = of.select(part, (place + 2).alias("line"), F.concat(F.lit("-1 "), "ids", F.lit(" 2.5")).alias("value")).union(of.select(part, (place + 1).alias("line"), F.lit("7 8 9")))
     lines = lines.union(of.select(part, F.lit(0).cast("long"), F.lit("header")).distinct())
-    folder = f"{shared_dir(s)}/results-{uuid.uuid4().hex}"
+    folder = shared_folder(s, "results")
     lines.repartition("result").sortWithinPartitions("result", "line").select("result", "value").write.partitionBy("result").text(folder)
     found = formats.read_clusters(s, folder).select(F.regexp_extract("file", "result=([0-9]+)", 1).cast("int").alias("config_id"), "block_id", "id")
     return measures.evaluate_configs(e, found)
@@ -197,7 +205,7 @@ def cluster_files(s, d):
 @query
 def pair_csv(s, d):
     """Pairs written as CSV and read back."""
-    folder = f"{shared_dir(s)}/pairs-{uuid.uuid4().hex}"
+    folder = shared_folder(s, "pairs")
     formats.write_pairs(pairs(points(s, d)), folder)
     return formats.read_pairs(s, folder)
 
@@ -496,7 +504,7 @@ def driver_statistics(s, d):
 def driver_svm(s, d):
     p = points(s, d)
     f = features.labelled(features.graph_features(p, "da"), p)
-    folder = f"{shared_dir(s)}/features-{uuid.uuid4().hex}"
+    folder = shared_folder(s, "features")
     features.write_features(f, folder)
     return features.driver_classifier(features.read_features(s, folder))
 
@@ -505,7 +513,7 @@ def driver_svm(s, d):
 def feature_sink(s, d):
     """Feature rows of drivers written and read back."""
     p = points(s, d)
-    folder = f"{shared_dir(s)}/features-{uuid.uuid4().hex}"
+    folder = shared_folder(s, "features")
     features.write_features(features.labelled(features.graph_features(p), p), folder)
     return features.read_features(s, folder).select("traj_id", "label", F.posexplode("vec").alias("k", "v")).withColumn("k", F.col("k").cast("long"))
 

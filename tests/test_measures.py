@@ -150,6 +150,27 @@ def test_distinct_measures_of_many_tables(spark):
         assert (got["b"], got["db"]) == (len(pairs), sum(label[i] == label[j] for i, j in pairs))
 
 
+def test_index_in_steps_equals_one_step(spark):
+    from blockweave.operators.index import BucketIndex
+
+    b = lsh.blocks(vectors(spark, "/root/testdata/sf0.001"), lsh.planes(spark, 64, queries.HYPERPLANE), "hyperplane").select("block_id", "id").cache()
+    one, steps = BucketIndex(spark, 5), BucketIndex(spark, 3)
+    assert steps.lookup(b).count() == 0
+    one.add(b)
+    for i in range(3):
+        assert steps.add(b.filter(f"id % 3 = {i}")) == i + 1
+    asked = b.filter("id % 7 = 0")
+    pairs = lambda df: {tuple(r) for r in df.collect()}
+    whole = pairs(one.lookup(asked))
+    assert pairs(steps.lookup(asked)) == whole and (0, 0) in whole
+    assert pairs(steps.lookup(asked, 2)) == {(i, j) for i, j in whole if j % 3 < 2}
+    plan = steps.met(asked)._jdf.queryExecution().executedPlan().toString()
+    index_side = plan[plan.rindex("+- Sort [block_id") :]  # the join's last child
+    assert "bucket_index" in index_side and "Exchange" not in index_side, plan
+    for x in (one, steps):
+        x.drop()
+
+
 def _clustered(seed, n=180, dim=5, same=60):
     rng = np.random.default_rng(seed)
     centres = rng.normal(size=(8, dim)) * 20
