@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,51 +21,68 @@ def cell_trip_counts(points: DataFrame, grid: Grid) -> DataFrame:
     return assign(points, grid).groupBy("cell_x", "cell_y", "traj_id").agg(F.count("*").alias("n"))
 
 
-def top_drivers(hist: DataFrame, k: int = 10) -> DataFrame:
+# Operators below work on several configurations at once if ``by`` names the columns that tell them apart; ``k`` may be a column.
+
+def top_drivers(hist: DataFrame, k: int | str = 10, by: Sequence[str] = ()) -> DataFrame:
     """The ``k`` drivers with most points in each cell, ties by driver."""
-    w = W.partitionBy("cell_x", "cell_y").orderBy(F.desc("n"), "driver_id")
-    return hist.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+    w = W.partitionBy(*by, "cell_x", "cell_y").orderBy(F.desc("n"), "driver_id")
+    return hist.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= _k(k))
+
+
+def _k(k: int | str) -> Column:
+    return F.col(k) if isinstance(k, str) else F.lit(k)
 
 
 def trip_profile(points: DataFrame, tops: DataFrame, grid: Grid, k: int = 10) -> DataFrame:
     """(traj_id, driver_id, total, rank): for every point of a trip its cell's top drivers with their counts, summed,
     and the ``k`` largest. Points are counted by cell before the join."""
-    cells = assign(points, grid).groupBy("traj_id", "cell_x", "cell_y").agg(F.count("*").alias("times"))
-    t = cells.join(tops.select("cell_x", "cell_y", "driver_id", "n"), ["cell_x", "cell_y"])
-    t = t.groupBy("traj_id", "driver_id").agg(F.sum(F.col("times") * F.col("n")).alias("total"))
-    w = W.partitionBy("traj_id").orderBy(F.desc("total"), "driver_id")
-    return t.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+    return profiles(trip_cells(assign(points, grid)), tops, k)
+
+
+def trip_cells(assigned: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return assigned.groupBy(*by, "traj_id", "cell_x", "cell_y").agg(F.count("*").alias("times"))
+
+
+def profiles(cells: DataFrame, tops: DataFrame, k: int | str = 10, by: Sequence[str] = ()) -> DataFrame:
+    """``trip_profile`` from points counted by cell; of ``by``, the cells have the columns that tell grids apart."""
+    on = [*[c for c in by if c in cells.columns], "cell_x", "cell_y"]
+    t = cells.join(tops.select(*by, "cell_x", "cell_y", "driver_id", "n"), on)
+    t = t.groupBy(*by, "traj_id", "driver_id").agg(F.sum(F.col("times") * F.col("n")).alias("total"))
+    w = W.partitionBy(*by, "traj_id").orderBy(F.desc("total"), "driver_id")
+    return t.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= _k(k))
 
 
 def least_shared(k: int) -> float:
+    """How many drivers two trips are to share more than, to be judged one driver's."""
     return k / 2 if k < 20 else math.sqrt(k) / 1.3
 
 
-def judge(pairs: DataFrame, profiles: DataFrame, k: int = 10) -> DataFrame:
-    """The pairs (lid, rid, ...) with shared (drivers in both profiles), rank_score and judged."""
-    own = profiles.select("traj_id", "driver_id", "rank")
-    size = own.groupBy("traj_id").agg(F.max("rank").alias("size"))
-    own = own.join(size, "traj_id")
-    left = own.select(F.col("traj_id").alias("lid"), "driver_id", (F.col("size") - F.col("rank") + 1).alias("a"))
-    right = own.select(F.col("traj_id").alias("rid"), "driver_id", (F.col("size") - F.col("rank") + 1).alias("b"))
-    ids = pairs.select("lid", "rid").distinct()
-    both = ids.join(left, "lid").join(right, ["rid", "driver_id"]).groupBy("lid", "rid").agg(F.count("*").alias("shared"), F.sum(F.col("a") * F.col("b")).alias("rank_score"))
-    out = pairs.join(both, ["lid", "rid"], "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("shared", "rank_score")})
-    return out.withColumn("judged", F.col("shared") > least_shared(k))
+def judge(pairs: DataFrame, profiles: DataFrame, k: int | str = 10, by: Sequence[str] = ()) -> DataFrame:
+    """The pairs (by..., lid, rid, ...) with shared (drivers in both profiles), rank_score and judged."""
+    own = profiles.select(*by, "traj_id", "driver_id", "rank")
+    size = own.groupBy(*by, "traj_id").agg(F.max("rank").alias("size"))
+    own = own.join(size, [*by, "traj_id"])
+    left = own.select(*by, F.col("traj_id").alias("lid"), "driver_id", (F.col("size") - F.col("rank") + 1).alias("a"))
+    right = own.select(*by, F.col("traj_id").alias("rid"), "driver_id", (F.col("size") - F.col("rank") + 1).alias("b"))
+    ids = pairs.select(*by, "lid", "rid").distinct()
+    both = ids.join(left, [*by, "lid"]).join(right, [*by, "rid", "driver_id"]).groupBy(*by, "lid", "rid").agg(F.count("*").alias("shared"), F.sum(F.col("a") * F.col("b")).alias("rank_score"))
+    out = pairs.join(both, [*by, "lid", "rid"], "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("shared", "rank_score")})
+    least = F.when(F.col(k) < 20, F.col(k) / 2).otherwise(F.sqrt(F.col(k)) / 1.3) if isinstance(k, str) else F.lit(least_shared(k))
+    return out.withColumn("judged", F.col("shared") > least)
 
 
 def pair_ids(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("lid").alias("traj_id")).union(pairs.select(F.col("rid").alias("traj_id"))).distinct()
 
 
-def scored(judged: DataFrame, truth: str = "m") -> DataFrame:
-    """One row: precision, recall and F1 of both classes and the counts of positives; 0 where nothing is to divide."""
+def scored(judged: DataFrame, truth: str = "m", by: Sequence[str] = ()) -> DataFrame:
+    """One row for each of ``by``: precision, recall and F1 of both classes and the counts of positives; 0 where nothing is to divide."""
     hit = lambda a, b: F.sum(((F.col(truth) == F.lit(a)) & (F.col("judged") == F.lit(b))).cast("long"))
-    r = judged.agg(hit(True, True).alias("tp"), hit(False, True).alias("fp"), hit(True, False).alias("fn"), hit(False, False).alias("tn"))
+    r = judged.groupBy(*by).agg(hit(True, True).alias("tp"), hit(False, True).alias("fp"), hit(True, False).alias("fn"), hit(False, False).alias("tn"))
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     tp, fp, fn, tn = (F.col(c).cast("double") for c in ("tp", "fp", "fn", "tn"))
     return r.select(
-        ratio(tp, tp + fp).alias("precision_1"), ratio(tp, tp + fn).alias("recall_1"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1_1"),
+        *by, ratio(tp, tp + fp).alias("precision_1"), ratio(tp, tp + fn).alias("recall_1"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1_1"),
         ratio(tn, tn + fn).alias("precision_0"), ratio(tn, tn + fp).alias("recall_0"), ratio(2 * tn, 2 * tn + fp + fn).alias("f1_0"),
         (F.col("tp") + F.col("fn")).alias("positives"), (F.col("tp") + F.col("fp")).alias("judged_positives"),
     )

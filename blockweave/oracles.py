@@ -6,7 +6,7 @@ import math
 
 from .operators import lsh
 from .operators.grid import Grid
-from .queries import CELLS, DIM, EPS, FINE, GRID, GRID_SWEEP, HYPERPLANE, K, MIN_SAMPLES, PROBE, PSTABLE, SMALL, SWEEP, SWEEP_EPS, SWEEP_LEAST, TOP  # noqa: F401
+from .queries import CELLS, DIM, EPS, FINE, GRID, GRID_SWEEP, HYPERPLANE, K, MIN_SAMPLES, PAIR_SWEEP, PROBE, PSTABLE, SMALL, SWEEP, SWEEP_EPS, SWEEP_LEAST, TOP  # noqa: F401
 
 SQL: dict[str, str] = {}
 
@@ -239,8 +239,15 @@ SQL["pair_judge"] = _with(PTS, PAIRS, PROF) + "select lid, rid, m, shared, judge
 SQL["pair_rank_score"] = _with(PTS, PAIRS, PROF) + "select lid, rid, rank_score from ju"
 SQL["pair_ids_union"] = _with(PTS, PAIRS) + "select lid as traj_id from pr union select rid from pr"
 SQL["pair_prf"] = _with(PTS, PAIRS, PROF) + _prf("ju")
-_PAIRS = [(14, 4, "_a"), (16, 5, "_b"), (28, 5, "_c"), (28, 4, "_d")]
-SQL["pair_sweep"] = _with(PTS, PAIRS, *[_profiled(Grid(n), k, t) for n, k, t in _PAIRS]) + " union all ".join(_prf(f"ju{t}", f", {n}::bigint as cells, {k}::bigint as k") for n, k, t in _PAIRS)
+
+
+def _pair_sweep(runs: list[tuple[int, int]]) -> str:
+    tagged = [(n, k, f"_{i}") for i, (n, k) in enumerate(runs)]
+    return _with(PTS, PAIRS, *[_profiled(Grid(n), k, t) for n, k, t in tagged]) + " union all ".join(_prf(f"ju{t}", f", {n}::bigint as cells, {k}::bigint as k") for n, k, t in tagged)
+
+
+SQL["pair_sweep"] = _pair_sweep([(14, 4), (16, 5), (28, 5), (28, 4)])
+SQL["pair_sweep_all"] = _pair_sweep(PAIR_SWEEP)
 SQL["geo_range"] = (
     _with(PTS, "ex as (select min(lon) a, max(lon) b, min(lat) c, max(lat) d from pts group by traj_id)")
     + "select round(min(a) filter (a > 103.7), 6) as lon_min, round(max(b) filter (b < 104.0), 6) as lon_max, round(min(c) filter (c > 1.25), 6) as lat_min, round(max(d) filter (d < 1.43), 6) as lat_max from ex"

@@ -21,6 +21,8 @@ SWEEP = [lsh.Config(i, tables, functions, w) for i, (tables, functions, w) in en
 SWEEP_EPS, SWEEP_LEAST = [1.0, 10.0, 100.0, 1000.0, 10000.0], [5, 10, 15, 20, 25, 30, 35, 40, 45]
 # The configurations (cells a side, cells chosen) of the grid sweep.
 GRID_SWEEP = [(n, k) for sizes, ks in (((100, 104), (150, 160)), ((100, 110), (125, 130)), ((200, 204), (500, 600)), ((150, 156), (180, 240))) for n in sizes for k in ks]
+# The configurations (cells a side, drivers kept) of the pair sweep.
+PAIR_SWEEP = [(n, k) for sizes, ks in (((100, 110, 120), (15, 18, 21)), ((14, 21, 28), (4, 5, 6))) for n in sizes for k in ks]
 PROBE = [lsh.Config(0, 4, 7, 30.0)]
 GRID, FINE, CELLS, TOP = grid.Grid(16), grid.Grid(40), 20, 5
 SMALL = grid.Grid(16, 103.72, 103.90, 1.2077, 1.4809)
@@ -390,6 +392,12 @@ def pair_sweep(s, d):
     return sweeps.pair_sweep(p.filter("traj_id % 10 < 3"), p, pairs(p), [(14, 4), (16, 5), (28, 5), (28, 4)])
 
 
+@query
+def pair_sweep_all(s, d):
+    p = points(s, d)
+    return sweeps.pair_sweep(p.filter("traj_id % 10 < 3"), p, pairs(p), PAIR_SWEEP)
+
+
 @query
 def geo_range(s, d):
     return profile.geo_range(points(s, d), 103.7, 104.0, 1.25, 1.43)
