@@ -321,6 +321,8 @@ def _stats(value: str, name: str, where: str = "true") -> str:
 
 _GROUPS = (("speed", "speed", "true"), ("acc", "accel", "accel > 0"), ("dec", "accel", "accel <= 0"), ("turn_speed", "speed", "is_turning"), ("turn_acc", "accel", "is_turning and accel > 0"), ("turn_dec", "accel", "is_turning and accel <= 0"))
 SQL["base_stat_speed"] = _with(PTS, SEG) + f"select traj_id, {_stats('speed', 'speed')} from kp group by traj_id"
+_AT = "select {g} as driver_id, count(*) as n, {q}::double as q, round(quantile_cont(speed, {q}), 6) as value from sg where speed is not null group by {g}"
+SQL["speed_quantiles"] = _with(PTS, SEG) + " union all ".join([_AT.format(g="-1::bigint", q=q).replace("group by -1::bigint", "") for q in (0.0, 0.1, 0.5, 0.9, 1.0)] + [_AT.format(g="driver_id", q=q) for q in (0.1, 0.5, 0.9)])
 _NAMES = [f"{g}_{s}" for g, _, _ in _GROUPS for s in ("mean", "var", "p10", "p50", "p90")]
 FEATS = f"ft as (select traj_id, {', '.join(_stats(v, g, c) for g, v, c in _GROUPS)} from vt group by traj_id), lb as (select distinct traj_id, driver_id as label from pts)"
 SQL["traj_features"] = _with(PTS, SEG, ACC, VT, FEATS) + f"select traj_id, too_much_noise, label, {', '.join(f'coalesce({c}, 0.0) as {c}' for c in _NAMES)} from nz left join ft using (traj_id) join lb using (traj_id)"

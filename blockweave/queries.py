@@ -7,7 +7,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import dbscan, features, grid, index, kinematics, knn, lsh, measures, profile, trips
+from .operators import dbscan, features, grid, index, kinematics, knn, lsh, measures, profile, quantiles, trips
 from .plans import sweeps
 from .plans.tables import entities, points, shared_folder, shared_table, vectors
 from .sources import formats
@@ -493,6 +493,14 @@ def base_stat_speed(s, d):
     return seg.groupBy("traj_id").agg(*features.base_stat(seg, ["traj_id"], "speed", "speed"))
 
 
+@query
+def speed_quantiles(s, d):
+    """Quantiles of the speeds of all points as one group, and of each driver's."""
+    seg = kinematics.segments(points(s, d)).filter("speed is not null")
+    every = quantiles.quantiles(seg, [], "speed", (0.0, 0.1, 0.5, 0.9, 1.0)).withColumn("driver_id", F.lit(-1).cast("long"))
+    return every.unionByName(quantiles.quantiles(seg, ["driver_id"], "speed", (0.1, 0.5, 0.9)))
+
+
 @query
 def traj_features(s, d):
     return features.labelled(features.trip_features(points(s, d)), points(s, d))

@@ -245,3 +245,21 @@ def test_driver_svm_golden_value(spark):
 
     r = queries.QUERIES["driver_svm"](spark, "/root/testdata/sf0.001").first()
     assert r["n"] > 10 and 0 <= r["accuracy"] <= 1
+
+
+def test_quantiles_over_ranges(spark):
+    from blockweave.operators.quantiles import quantiles
+
+    rng = np.random.default_rng(6)
+    rows = [(int(g), None if rng.random() < 0.1 else float(v)) for g, v in zip(rng.integers(0, 4, 3000) ** 2 % 5, np.round(rng.normal(size=3000), 1), strict=True)] + [(7, 1.5), (8, None)]
+    df = spark.createDataFrame(rows, "g long, v double").repartition(6)
+    points = (0.0, 0.1, 0.33, 0.5, 0.9, 1.0)
+    for keys in ([], ["g"]):
+        got = {(r["g"] if keys else 0, r["q"]): (r["n"], r["value"]) for r in quantiles(df, keys, "v", points).collect()}
+        groups = {}
+        for g, v in rows:
+            if v is not None:
+                groups.setdefault(g if keys else 0, []).append(v)
+        assert got.keys() == {(g, q) for g in groups for q in points}
+        assert all(got[g, q][0] == len(x) and abs(got[g, q][1] - np.quantile(x, q)) < 1e-9 for g, x in groups.items() for q in points)
+    assert quantiles(df.limit(0), ["g"], "v", points).count() == 0
