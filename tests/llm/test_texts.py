@@ -331,6 +331,47 @@ def test_base_scores(spark, sf_dir, which):
     assert all(r["score"] < 0 for r in got)
 
 
+def brute_scores(rows):
+    """score of each row by plain counting and a forward sum over all segmentations of each distinct word."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=queries.vocabulary_path())
+    usual = [i for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
+    spelt = {b: sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)}
+    words = [(t or "").encode().lower().split() for _, t in rows]
+    train = [w for (d, _), w in zip(rows, words, strict=True) if d is None or zlib.crc32(str(d).encode()) % 10]
+    pieces = collections.Counter()
+    for w, n in collections.Counter(x for ws in train for x in ws).items():
+        for i in sp.encode(w.decode()):
+            pieces[i] += n
+    used = [*usual, *spelt.values()]
+    total = sum(pieces[i] for i in used) + len(train) + 0.5 * (len(used) + 1)
+    of = {sp.id_to_piece(i): math.log((pieces[i] + 0.5) / total) for i in usual}
+    byte = {b: math.log((pieces[i] + 0.5) / total) for b, i in spelt.items()}
+    longest = max(map(len, of))
+
+    def word(w):
+        at = [0.0]
+        for end in range(1, len(w) + 1):
+            terms = [at[end - 1] + sum(byte[b] for b in w[end - 1].encode())]
+            terms += [at[k] + of[w[k:end]] for k in range(max(0, end - longest), end) if w[k:end] in of]
+            at.append(max(terms) + math.log(sum(math.exp(x - max(terms)) for x in terms)))
+        return at[-1]
+
+    known = {w: word("▁" + w.decode()) for w in {x for ws in words for x in ws}}
+    end = math.log((len(train) + 0.5) / total)
+    return [(d, (sum(known[x] for x in ws) + end) / math.log(10)) for (d, _), ws in zip(rows, words, strict=True)]
+
+
+@pytest.mark.parametrize("which", ["odd", "real", "long"])
+def test_scores_end_to_end(spark, sf_dir, which):
+    rows = {"odd": lambda: [*ODD, (None, "a null id")], "real": lambda: real(spark, sf_dir, 60), "long": lambda: [(1, " ".join(f"w{i}ü{i * 7919 % 1000}" for i in range(30_000))), (2, "w1ü919 short")]}[which]()
+    got = lattice.lattice_scores(documents(spark, rows), queries.vocabulary_path(), bucket_bytes=40_000).select("doc_id", "score").collect()
+    key = lambda r: (str(r[0]), r[1])
+    for (a, x), (b, y) in zip(sorted(map(tuple, got), key=key), sorted(brute_scores(rows), key=key), strict=True):
+        assert a == b and x == pytest.approx(y, rel=1e-9)
+
+
 def test_lattice_sums_all_segmentations():
     v = lattice.Vocabulary(queries.vocabulary_path())
     v.weigh(np.arange(v.size), 10)
