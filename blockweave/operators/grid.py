@@ -148,17 +148,21 @@ def top_cells(cells: DataFrame, edges: DataFrame, k: int = 20, p_accept: float =
     every = shared_table(cells.select(*by, "rank", "cell_x", "cell_y", (u < p_accept).alias("lucky")), "ranked-cells")
     edges = shared_table(edges.select(*by, "chosen", "candidate"), "conflicts")
     last = every.agg(F.max("rank").alias("r")).first()["r"] or 0
+
+    def decide(state: DataFrame) -> DataFrame:
+        met = edges.join(state.select(*by, F.col("rank").alias("chosen"), "ok"), [*by, "chosen"]).groupBy(*by, F.col("candidate").alias("rank"))
+        met = met.agg(F.max(F.coalesce("ok", F.lit(False))).alias("forbidden"), F.max(F.col("ok").isNull()).alias("waits"))
+        told = F.when(F.col("forbidden"), False).when(F.coalesce("waits", F.lit(False)), F.lit(None)).otherwise(True)
+        return state.join(met, [*by, "rank"], "left").select(*by, "rank", "cell_x", "cell_y", "lucky", F.coalesce("ok", told).alias("ok"))
+
     decided, until = every.limit(0).withColumn("ok", F.lit(True)), 0
     while until < last:
         start, until = until, min(last, max(STRETCH * k, 2 * until))
         stretch = every.filter((F.col("rank") > start) & (F.col("rank") <= until))
         state = decided.unionByName(stretch.withColumn("ok", F.when(F.col("lucky"), True)))
         open_ = 1
-        while open_:
-            met = edges.join(state.select(*by, F.col("rank").alias("chosen"), "ok"), [*by, "chosen"]).groupBy(*by, F.col("candidate").alias("rank"))
-            met = met.agg(F.max(F.coalesce("ok", F.lit(False))).alias("forbidden"), F.max(F.col("ok").isNull()).alias("waits"))
-            told = F.when(F.col("forbidden"), False).when(F.coalesce("waits", F.lit(False)), F.lit(None)).otherwise(True)
-            state = shared_table(state.join(met, [*by, "rank"], "left").select(*by, "rank", "cell_x", "cell_y", "lucky", F.coalesce("ok", told).alias("ok")), "decided")
+        while open_:  # two rounds a table
+            state = shared_table(decide(decide(state)), "decided")
             open_ = state.filter("ok is null").limit(1).count()
         decided = state
         found = state.groupBy(*by).agg(F.count_if("ok").alias("n"), F.max("rank").alias("r"))
