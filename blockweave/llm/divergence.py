@@ -22,7 +22,9 @@ from .common import pieces_for, written
 #: Probabilities are whole numbers of this unit; every count is raised by SMOOTH.
 UNIT, SMOOTH = 1_000_000_000, 5
 #: Distinct terms that a worker's counters hold, bytes of a text that are split at once, postings of a shard, sources of a tile's side.
-HELD, SLICE, SHARD, TILE = 300_000, 4 << 20, 500_000, 64
+HELD, SLICE, SHARD, TILE = 300_000, 4 << 20, 50_000, 64
+#: Shards of the postings that one search for a group's terms takes together.
+SEARCHED = 8
 #: A-Z become a-z; bytes 0x00-0x40, 0x5B-0x60 and 0x7B-0x7F part terms.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 RESULT = "lang string, source string, part string, item string, value long, rank int"
@@ -174,7 +176,7 @@ def divergence(df: DataFrame, min_docs: int = 30, k: int = 50, lang_col: str = "
     shards = pieces_for(postings.count(), shard)
     told = postings.join(groups, ["lang", "source"]).select("lang", "source", "g", "term", "n", share(F.col("n"), F.col("held"), F.col("kinds")).alias("p"), share(F.col("whole"), F.col("mass"), F.col("kinds")).alias("q"))
     told = told.withColumn("shard", F.pmod(F.xxhash64("term"), F.lit(shards)).cast("int"))
-    terms = told.groupBy("lang", "source", "shard").applyInArrow(_searched(k), "lang string, source string, item string, value long")
+    terms = told.groupBy("lang", "source", F.pmod("shard", F.lit(pieces_for(shards, SEARCHED))).alias("part")).applyInArrow(_searched(k), "lang string, source string, item string, value long")
 
     tiles = groups.groupBy("lang").agg(F.floor((F.max("g") + TILE) / TILE).cast("int").alias("tiles"))
     bases = groups.select("lang", "g", F.lit(None).cast("string").alias("term"), F.col("base").alias("p"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
