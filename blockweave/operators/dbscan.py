@@ -1,4 +1,4 @@
-"""Density clustering by a graph of micro-cells, and for all densities at once by spanning trees.
+"""Density clustering by a graph of micro-cells, for many densities at once.
 
 Clusters are numbered by the smallest id of their core points; a border point takes the smallest cluster number among
 its core neighbours, so the labels do not depend on the order of rows. Noise is -1.
@@ -7,7 +7,8 @@ Pairs of neighbours are never rows. Within a part of the metric partition, vecto
 as radius: all of a micro-cell are neighbours, so one of enough members needs no counting, and the cores of a micro-cell
 are one node. Workers count for the others, and join the micro-cells of two parts in memory: most are told near or far by
 their centres, a few are compared, and what leaves a worker is one edge a node, and the nodes near each border point,
-of which it has fewer than ``min_samples``.
+of which it has fewer than ``min_samples``. Numbers of neighbours are counted up to the largest ``min_samples``, so one count
+serves all of them.
 """
 
 from __future__ import annotations
@@ -20,19 +21,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.tables import shared_table
-from . import knn
-from .cells import BLOCK, SLACK, away, celled, column, meet, squares, vectors_of, within
+from .cells import BLOCK, SLACK, away, celled, close, column, counts_within, meet, vectors_of, within
 from .components import components, numbered
 
 
-def covered(x: np.ndarray, radius: float) -> np.ndarray:
+def covered(x: np.ndarray, radius: float, at_once: int = 256) -> np.ndarray:
     """The row that is the centre of each row's micro-cell: rows not yet covered become centres in turn."""
     centre, rest = np.full(len(x), -1), np.arange(len(x))
     while len(rest):
-        near = away(x[rest], x[rest[0]]) <= radius
-        near[0] = True
-        centre[rest[near]] = rest[0]
-        rest = rest[~near]
+        some, pairs = rest[:at_once], list(close(x[rest[:at_once]], x[rest], radius * radius))
+        r, c = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
+        ends = np.searchsorted(r, np.arange(len(some) + 1))
+        for k, i in enumerate(some):
+            if centre[i] < 0:
+                near = rest[c[ends[k] : ends[k + 1]]]
+                centre[near[centre[near] < 0]] = i
+                centre[i] = i
+        rest = rest[centre[rest] < 0]
     return centre
 
 
@@ -46,8 +51,7 @@ def _micro(eps: float, least: int):
         _, at, n = np.unique(centre, return_inverse=True, return_counts=True)
         counts = np.minimum(n[at], least)
         few = np.flatnonzero(counts < least)
-        for i, d in squares(x[few], x):
-            counts[few[i : i + len(d)]] = np.minimum((d <= eps * eps).sum(axis=1), least)
+        counts[few] = np.minimum(counts_within(x[few], x, eps * eps), least)
         return t.append_column("micro", pa.array(ids[centre])).append_column("near", pa.array(counts.astype(np.int64)))
 
     return run
@@ -55,9 +59,7 @@ def _micro(eps: float, least: int):
 
 def _counted(eps: float):
     def run(t: pa.Table, others: pa.Table) -> pa.Table:
-        x, y = vectors_of(t), vectors_of(others)
-        n = np.concatenate([(d <= eps * eps).sum(axis=1) for _, d in squares(x, y)]) if len(x) and len(y) else np.zeros(len(x), np.int64)
-        return pa.table({"id": t["id"], "more": pa.array(n.astype(np.int64))})
+        return pa.table({"id": t["id"], "more": pa.array(counts_within(vectors_of(t), vectors_of(others), eps * eps))})
 
     return run
 
@@ -81,16 +83,19 @@ class Micros:
 def joined(a: Micros, b: Micros, eps: float) -> list[tuple[int, int]]:
     """(name, name of its component's root) of the micro-cells that are joined by members within ``eps`` of each other."""
     sure, shell = np.zeros((len(a.names), len(b.names)), bool), []
-    for i, d2 in squares(a.means, b.means):
-        d, reach = np.sqrt(d2), a.radii[i : i + len(d2), None] + b.radii[None]
-        lone = (a.sizes[i : i + len(d2), None] == 1) & (b.sizes[None] == 1)
-        sure[i : i + len(d2)] = np.where(lone, d2 <= eps * eps, (d + reach) * SLACK <= eps)
-        r, c = np.nonzero(~sure[i : i + len(d2)] & ~lone & (d - reach <= eps * SLACK))
-        shell += zip(d[r, c].tolist(), (r + i).tolist(), c.tolist(), strict=True)
+    reach = a.radii + (b.radii.max() if len(b.radii) else 0)
+    for r, c, d2 in close(a.means, b.means, ((eps + reach) * SLACK) ** 2):
+        d, both = np.sqrt(d2), a.radii[r] + b.radii[c]
+        lone = (a.sizes[r] == 1) & (b.sizes[c] == 1)
+        at = np.where(lone, d2 <= eps * eps, (d + both) * SLACK <= eps)
+        sure[r[at], c[at]] = True
+        at = ~at & ~lone & (d - both <= eps * SLACK)
+        shell += zip(d[at].tolist(), r[at].tolist(), c[at].tolist(), strict=True)
     # Components of what is sure: each row and column is visited once.
     rows, cols = np.full(len(a.names), -1), np.full(len(b.names), -1)
-    n = 0
-    for s in range(len(rows)):
+    some = sure.any(axis=1)
+    rows[~some] = np.arange(n := int((~some).sum()))
+    for s in np.flatnonzero(some):
         if rows[s] < 0:
             front, rows[s] = np.array([s]), n
             while len(front):
@@ -99,9 +104,9 @@ def joined(a: Micros, b: Micros, eps: float) -> list[tuple[int, int]]:
                 front = np.flatnonzero(sure[:, reached].any(axis=1) & (rows < 0)) if len(reached) else reached
                 rows[front] = n
             n += 1
-    for c in np.flatnonzero(cols < 0):
-        cols[c], n = n, n + 1
-    up = list(range(n))
+    alone = cols < 0
+    cols[alone] = np.arange(n, n + int(alone.sum()))
+    up = list(range(n + int(alone.sum())))
 
     def top(k: int) -> int:
         while up[k] != k:
@@ -109,13 +114,12 @@ def joined(a: Micros, b: Micros, eps: float) -> list[tuple[int, int]]:
             k = up[k]
         return k
 
-    for name, k in zip(a.names.tolist(), rows.tolist(), strict=True):  # a micro-cell on both sides is one
-        at = int(np.searchsorted(b.names, name))
-        if at < len(b.names) and b.names[at] == name:
-            up[top(k)] = top(int(cols[at]))
+    _, i, j = np.intersect1d(a.names, b.names, assume_unique=True, return_indices=True)  # a micro-cell on both sides is one
+    for k, at in zip(rows[i].tolist(), cols[j].tolist(), strict=True):
+        up[top(k)] = top(at)
     for _, i, j in sorted(shell):  # the nearest first, and only where they join two components
         u, v = top(int(rows[i])), top(int(cols[j]))
-        if u != v and any((d <= eps * eps).any() for _, d in squares(a.members(i), b.members(j))):
+        if u != v and any(len(r) for r, _, _ in close(a.members(i), b.members(j), eps * eps)):
             up[u] = v
     root, out = {}, {}
     for names, of in ((a.names, rows), (b.names, cols)):
@@ -124,87 +128,71 @@ def joined(a: Micros, b: Micros, eps: float) -> list[tuple[int, int]]:
     return [(name, r) for name, r in out.items() if name != r]
 
 
-def _edges(eps: float):
-    """Rows (id, u, v): an edge between micro-cells without an id, or a micro-cell ``v`` near the border point ``id``."""
+def _edges(eps: float, least: list[int]):
+    """Rows (m, id, u, v): for each of ``least`` an edge between micro-cells without an id, or a micro-cell ``v`` near the border
+    point ``id``."""
 
     def run(t: pa.Table, others: pa.Table) -> pa.Table:
-        x, y, core = vectors_of(t), vectors_of(others), column(t, "core")
-        u, v = column(t, "micro"), column(others, "micro")
-        ids, froms, tos = [], [], []
-        if len(y):
-            pairs = joined(Micros(u[core], x[core]), Micros(v, y), eps)
-            ids, froms, tos = [None] * len(pairs), [a for a, _ in pairs], [b for _, b in pairs]
-            border = column(t, "id")[~core]
-            for i, d in squares(x[~core], y):
-                r, c = np.nonzero(d <= eps * eps)
-                found = set(zip(border[i + r].tolist(), v[c].tolist(), strict=True))
-                ids += [k for k, _ in found]
-                froms += [None] * len(found)
-                tos += [m for _, m in found]
-        return pa.table({"id": pa.array(ids, pa.int64()), "u": pa.array(froms, pa.int64()), "v": pa.array(tos, pa.int64())})
+        x, y, n, k = vectors_of(t), vectors_of(others), column(t, "n"), column(others, "n")
+        u, v, ids = column(t, "micro"), column(others, "micro"), column(t, "id")
+        out, last = [], None
+        for m in least if len(y) else []:
+            a, b = n >= m, k >= m
+            if last is None or (a != last[0]).any() or (b != last[1]).any():
+                last = (a, b, np.array(joined(Micros(u[a], x[a]), Micros(v[b], y[b]), eps), np.int64).reshape(-1, 2)) if a.any() and b.any() else (a, b, np.zeros((0, 2), np.int64))
+            out.append((m, None, last[2][:, 0], last[2][:, 1]))
+        border = np.flatnonzero(n < least[-1])
+        for r, c, _ in close(x[border], y, eps * eps):
+            r = border[r]
+            for m in least:
+                at = (n[r] < m) & (k[c] >= m)
+                found = np.unique(np.stack([ids[r[at]], v[c[at]]], axis=1), axis=0)
+                out.append((m, found[:, 0], None, found[:, 1]))
+        join = lambda c: pa.concat_arrays([pa.array([], pa.int64()), *[pa.nulls(len(o[3]), pa.int64()) if o[c] is None else pa.array(o[c], pa.int64()) for o in out]])
+        return pa.table({"m": pa.array(np.concatenate([[], *[np.full(len(o[3]), o[0]) for o in out]]).astype(np.int32)), "id": join(1), "u": join(2), "v": join(3)})
 
     return run
 
 
-def labels(vectors: DataFrame, eps: float, min_samples: int, block: int = BLOCK) -> DataFrame:
-    """(id, cluster) for every vector. Rows that leave a worker grow with the vectors and the parts that each may reach."""
+def sweep(vectors: DataFrame, eps: list[float], min_samples: list[int], block: int = BLOCK, tree_block: int | None = None) -> DataFrame:
+    """(eps, m, id, cluster) for every vector at every eps and min_samples. Rows that leave a worker grow with the vectors and
+    the parts that each may reach. The vectors are placed once; each eps has its micro-cells, counts and edges, for all
+    min_samples at once, and the components of all are found together. ``tree_block`` has no effect."""
+    least = sorted(set(min_samples))
     near, cells = celled(vectors, block)
+    near = shared_table(near, "placed")
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in near.schema.fields)
-    told = shared_table(near.groupBy("cell", "part").applyInArrow(_micro(eps, min_samples), f"{kind}, micro long, near long"), "micro-cells")
-    n = F.col("near")
-    if not cells.single:
-        few = told.filter(n < min_samples).select("id", "features", "cell", "part")
-        more = meet(few, near.select("features", "cell", "part"), cells, within(eps), _counted(eps), "id long, more long", own=False, block=block)
-        told = told.join(more.groupBy("id").agg(F.sum("more").alias("more")), "id", "left")
-        n = n + F.coalesce("more", F.lit(0))
-    told = shared_table(told.select("id", "features", "cell", "part", "micro", (n >= min_samples).alias("core")), "cores")
-    found = shared_table(meet(told, told.filter("core").select("features", "cell", "part", "micro"), cells, within(eps), _edges(eps), "id long, u long, v long", block=block), "micro-edges")
-    cores = told.filter("core").groupBy("micro").agg(F.min("id").alias("least"))
-    root = components(cores.select(F.col("micro").alias("node")), found.filter("id is null").select("u", "v"))
+    points, links = [], []
+    for e in sorted({float(e) for e in eps}):
+        told = shared_table(near.groupBy("cell", "part").applyInArrow(_micro(e, least[-1]), f"{kind}, micro long, near long"), "micro-cells")
+        n = F.col("near")
+        if not cells.single:
+            few = told.filter(n < least[-1]).select("id", "features", "cell", "part")
+            more = meet(few, near.select("features", "cell", "part"), cells, within(e), _counted(e), "id long, more long", own=False, block=block)
+            told = told.join(more.groupBy("id").agg(F.sum("more").alias("more")), "id", "left")
+            n = F.least(n + F.coalesce("more", F.lit(0)), F.lit(least[-1]))
+            told = shared_table(told.select("id", "features", "cell", "part", "micro", n.alias("n")), "cores")
+        else:
+            told = told.withColumnRenamed("near", "n")
+        found = meet(told, told.filter(F.col("n") >= least[0]).select("features", "cell", "part", "micro", "n"), cells, within(e), _edges(e, least), "m int, id long, u long, v long", block=block)
+        links.append(shared_table(found, "micro-edges").withColumn("eps", F.lit(e)))
+        points.append(told.select(F.lit(e).alias("eps"), "id", "micro", "n"))
+    by, found = ["eps", "m"], reduce(DataFrame.union, links).distinct()
+    of = reduce(DataFrame.union, points).withColumn("m", F.explode(F.array(*[F.lit(m) for m in least]))).withColumn("core", F.col("n") >= F.col("m"))
+    cores = shared_table(of.filter("core").groupBy(*by, "micro").agg(F.min("id").alias("least")), "nodes")
+    root = components(cores.select(*by, F.col("micro").alias("node")), found.filter("id is null").select(*by, "u", "v"), by)
     # A component is named by its smallest core id.
-    named = root.join(cores.withColumnRenamed("micro", "node"), "node")
-    named = named.join(named.groupBy("root").agg(F.min("least").alias("c")), "root").select("node", F.col("c").alias("root"))
-    of = shared_table(named.join(numbered(named), "root").select(F.col("node").alias("micro"), F.col("number").alias("cluster")), "clusters")
-    border = found.filter("id is not null").join(of.withColumnRenamed("micro", "v"), "v").groupBy("id").agg(F.min("cluster").alias("border"))
-    out = told.select("id", F.when(F.col("core"), F.col("micro")).alias("micro")).join(of, "micro", "left").join(border, "id", "left")
-    return out.select("id", F.coalesce("cluster", "border", F.lit(-1)).cast("long").alias("cluster"))
-
-
-# All densities at once: trees that span the vectors by mutual reachability.
-
-def tree(d2: np.ndarray, core: np.ndarray) -> list[tuple[int, int, float]]:
-    """A least spanning tree as (i, j, w) of the weights max(d2, core of i, core of j)."""
-    n, at, out = len(d2), 0, []
-    best, of, rest = np.full(n, np.inf), np.zeros(n, int), np.ones(n, bool)
-    for _ in range(n - 1):
-        rest[at] = False
-        w = np.maximum(np.maximum(d2[at], core[at]), core)
-        nearer = rest & (w < best)
-        best[nearer], of[nearer] = w[nearer], at
-        at = int(np.argmin(np.where(rest, best, np.inf)))
-        if not np.isfinite(best[at]) or not rest[at]:
-            at = int(np.argmax(rest))  # what is left reaches nothing
-            continue
-        out.append((at, int(of[at]), float(best[at])))
-    return out
-
-
-def _trees(least: list[int], reach: float):
-    """Trees of the vectors of two parts, one for each of ``least``. Whatever connects two of them at some distance in all
-    the vectors does so in the trees of the parts that they lie in."""
-
-    def run(t: pa.Table, others: pa.Table | None = None) -> pa.Table:
-        t = t.select(["id", "features", "core"])
-        if others is not None:
-            t = pa.concat_tables([t, others.select(["id", "features", "core"])])
-        ids, x = column(t, "id"), vectors_of(t)
-        ids, at = np.unique(ids, return_index=True)
-        x, core = x[at], np.asarray(t["core"].combine_chunks().flatten()).reshape(len(t), -1)[at]
-        d2 = np.concatenate([d for _, d in squares(x, x)]) if len(x) else np.zeros((0, 0))
-        rows = [(m, int(ids[i]), int(ids[j]), w) for k, m in enumerate(least) for i, j, w in tree(d2, core[:, k]) if w <= reach * reach]
-        return pa.table({n: pa.array([r[c] for r in rows], kind) for c, (n, kind) in enumerate((("m", pa.int32()), ("u", pa.int64()), ("v", pa.int64()), ("w", pa.float64())))})
+    named = root.join(cores.withColumnRenamed("micro", "node"), [*by, "node"])
+    named = named.join(named.groupBy(*by, "root").agg(F.min("least").alias("c")), [*by, "root"]).select(*by, "node", F.col("c").alias("root"))
+    told = shared_table(named.join(numbered(named, by), [*by, "root"]).select(*by, F.col("node").alias("micro"), F.col("number").alias("cluster")), "clusters")
+    border = found.filter("id is not null").join(told.withColumnRenamed("micro", "v"), [*by, "v"]).groupBy(*by, "id").agg(F.min("cluster").alias("border"))
+    out = of.select(*by, "id", F.when(F.col("core"), F.col("micro")).alias("micro")).join(told, [*by, "micro"], "left").join(border, [*by, "id"], "left")
+    return out.select(*by, "id", F.coalesce("cluster", "border", F.lit(-1)).cast("long").alias("cluster"))
 
-    return run
+
+def labels(vectors: DataFrame, eps: float, min_samples: int, block: int = BLOCK) -> DataFrame:
+    """(id, cluster) for every vector."""
+    return sweep(vectors, [eps], [min_samples], block).select("id", "cluster")
 
 
 def spanning_forest(edges: DataFrame, by: str = "m") -> DataFrame:
@@ -224,43 +212,6 @@ def spanning_forest(edges: DataFrame, by: str = "m") -> DataFrame:
     return reduce(DataFrame.union, taken) if taken else live.select(by, "u", "v", "w")
 
 
-def sweep(vectors: DataFrame, eps: list[float], min_samples: list[int], block: int = BLOCK, tree_block: int = 1024) -> DataFrame:
-    """(eps, m, id, cluster) for every vector at every eps and min_samples, as ``labels`` gives it.
-
-    One search of the nearest neighbours gives the core distances of every m and the core neighbours of border points,
-    of which there are fewer than m. A spanning tree of each m, cut at eps, gives the clusters: parts of the partition
-    make trees of their vectors in memory, and Boruvka's rounds over their edges join them.
-    """
-    least = sorted(set(min_samples))
-    near = shared_table(knn.search(vectors, least[-1], block).select("id", "near"), "neighbours")
-    core = F.array(*[F.coalesce(F.get("near", F.lit(m - 1))["d2"], F.lit(float("inf"))) for m in least])
-    cores = near.select("id", core.alias("core"))
-    placed, cells = celled(vectors, tree_block)
-    placed = shared_table(placed.join(cores, "id").select("id", "features", "cell", "part", "core"), "placed")
-    kind, reach = "m int, u long, v long, w double", float(max(eps))
-    trees = _trees(least, reach)
-    if cells.single:
-        forest = placed.groupBy("cell", "part").applyInArrow(lambda t: trees(t), kind)
-    else:
-
-        def later(t: pa.Table, low: np.ndarray) -> np.ndarray:
-            return (low <= reach * SLACK) & (np.arange(low.shape[1]) >= column(t, "cell")[:, None])
-
-        forest = spanning_forest(meet(placed, placed, cells, later, trees, kind, block=tree_block))
-    forest = shared_table(forest, "forest")
-    spark = vectors.sparkSession
-    configs = F.broadcast(spark.createDataFrame([(float(e), float(e) * float(e), m) for e in eps for m in min_samples], "eps double, e2 double, m int"))  # the caller's lists
-    by = ["eps", "m"]
-    of = cores.select("id", F.explode(F.arrays_zip(F.array(*[F.lit(m) for m in least]).alias("m"), F.col("core").alias("d"))).alias("c")).select("id", "c.m", "c.d").join(configs, "m")
-    of = shared_table(of.select(*by, "e2", "id", (F.col("d") <= F.col("e2")).alias("core")), "core-points")
-    root = components(of.filter("core").select(*by, F.col("id").alias("node")), forest.join(configs, "m").filter("w <= e2").select(*by, "u", "v"), by)
-    told = shared_table(root.join(numbered(root, by), [*by, "root"]).select(*by, F.col("node").alias("id"), F.col("number").alias("cluster")), "clusters")
-    few = of.filter("not core").join(near, "id").select(*by, F.col("id").alias("i"), F.explode(F.filter("near", lambda x: x["d2"] <= F.col("e2"))["j"]).alias("id"))
-    border = few.join(told, [*by, "id"]).groupBy(*by, F.col("i").alias("id")).agg(F.min("cluster").alias("border"))
-    out = of.select(*by, "id").join(told, [*by, "id"], "left").join(border, [*by, "id"], "left")
-    return out.select(*by, "id", F.coalesce("cluster", "border", F.lit(-1)).cast("long").alias("cluster"))
-
-
 def blocks(labelled: DataFrame, noise: str = "block") -> DataFrame:
     """(block_id, id): a block a cluster. Noise is a block of its own, or dropped with ``noise='drop'``."""
     kept = labelled if noise == "block" else labelled.filter("cluster >= 0")
