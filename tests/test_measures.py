@@ -295,3 +295,23 @@ def test_probes_in_tiles(spark):
     planes = lsh.planes(spark, 64, queries.PROBE)
     found = [{tuple(r) for r in knn.multiprobe_blocks(v, planes, 5, 20, tile).collect()} for tile in (9, 1 << 14)]
     assert found[0] == found[1] and len(found[0]) == 2500
+
+
+def test_pairs_are_found_once_without_a_shuffle(spark):
+    from blockweave.operators.index import BucketIndex
+
+    rng = np.random.default_rng(8)
+    rows = list({(f"b{b}", int(i)) for b in range(9) for i in rng.integers(0, 30, 12)})
+    b = spark.createDataFrame(rows, "block_id string, id long")
+    held = {i: {k for k, j in rows if j == i} for i in range(30)}
+    e = spark.createDataFrame([(i, i % 3) for i in range(30)], "id long, label long")
+    got = [tuple(r) for r in measures.duplicate_pairs(e, b).collect()]
+    assert sorted(got) == [(i, j) for i in range(30) for j in range(i + 1, 30) if i % 3 == j % 3 and held[i] & held[j]]
+    kept = BucketIndex(spark, 3)
+    for k in range(3):  # an id is added in several steps, some rows twice
+        kept.add(b.filter(f"substring(block_id, 2) % 3 = {k} or block_id = 'b4'"))
+    found = kept.lookup(b)
+    assert sorted(tuple(r) for r in found.collect()) == [(i, j) for i in range(30) for j in range(30) if held[i] & held[j]]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join")]
+    kept.drop()
