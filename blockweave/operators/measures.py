@@ -34,11 +34,12 @@ def members(blocks: DataFrame) -> DataFrame:
 
 
 def _pairs(m: DataFrame, *keys: str) -> DataFrame:
-    """Distinct pairs i < j that share ``keys``; groups of one are dropped before the join, identical columns join as one."""
-    sizes = m.groupBy(*keys).agg(F.count("*").alias("size")).filter("size > 1")
-    m = m.join(sizes.drop("size"), list(keys), "left_semi")
-    left, right = m.select(*keys, F.col("id").alias("i")), m.select(*keys, F.col("id").alias("j"))
-    return left.join(right, list(keys)).filter("i < j").select("i", "j").dropDuplicates()
+    """Distinct pairs i < j that share ``keys``. A pair is made where its ids meet first: each row has its id's keys before
+    its own, and ids that share one of these met there. So pairs are neither shuffled nor kept to find repeated ones."""
+    of = m.groupBy("id").agg(F.sort_array(F.collect_set(F.struct(*keys))).alias("of"))
+    rows = of.select("id", "of", F.posexplode("of").alias("at", "key")).select("id", *[F.col(f"key.{c}").alias(c) for c in keys], F.slice("of", F.lit(1), F.col("at")).alias("before"))
+    left, right = (rows.select(*keys, F.col("id").alias(c), F.col("before").alias(f"before_{c}")) for c in "ij")
+    return left.join(right, list(keys)).filter(F.col("i") < F.col("j")).filter(~F.arrays_overlap("before_i", "before_j")).select("i", "j")
 
 
 def duplicate_pairs(entities: DataFrame, blocks: DataFrame) -> DataFrame:
