@@ -40,6 +40,14 @@ def noise(seg: DataFrame) -> DataFrame:
     return seg.groupBy("traj_id").agg(((n < LEAST_POINTS) | (n / F.count("*") < LEAST_SHARE)).alias("too_much_noise"))
 
 
+def without_noise(seg: DataFrame) -> DataFrame:
+    """The points of trips without much noise, as ``noise`` tells; counted over the trips as they lie, with no second pass."""
+    w = W.partitionBy("traj_id")
+    n, every = F.sum(F.col("normal").cast("long")).over(w), F.count("*").over(w)
+    m = seg.withColumns({"_n": n, "_every": every})
+    return m.filter((F.col("_n") >= LEAST_POINTS) & (F.col("_n") / F.col("_every") >= LEAST_SHARE)).drop("_n", "_every")
+
+
 def normal_points(seg: DataFrame) -> DataFrame:
     return seg.filter("normal").drop("normal")
 
@@ -80,8 +88,7 @@ def kinematics(points: DataFrame, variant: str = "vt", threshold: float = 0.3, m
     """Surviving points with every series. ``vt`` leaves trips with too much noise out."""
     seg = segments(points, method)
     if variant == "vt":
-        clean = seg.join(noise(seg).filter("not too_much_noise"), "traj_id", "left_semi")
-        return turns(headings(accelerations(normal_points(clean)), "vt"), "vt", threshold)
+        return turns(headings(accelerations(normal_points(without_noise(seg))), "vt"), "vt", threshold)
     return accelerations(normal_points(turns(headings(seg, "da"), "da")))
 
 

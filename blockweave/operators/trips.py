@@ -86,6 +86,12 @@ def speed_info(kin: DataFrame) -> tuple[DataFrame, DataFrame]:
     return s, kin.filter("is_turning").select("traj_id", "p", "speed", "t")
 
 
+def speed_rows(kin: DataFrame) -> DataFrame:
+    """Both of ``speed_info`` in one pass: a row of a turning point twice, ``turning`` telling which it is of."""
+    both = F.when(F.col("is_turning"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    return kin.select("traj_id", "p", "speed", "t", F.explode(both).alias("turning"))
+
+
 def cell_hours(kin: DataFrame, grid: Grid) -> DataFrame:
     """Mean and population variance of speed and turning speed for each cell and each of 24 hours (of UTC); null for none."""
     k = assign(kin, grid).withColumn("hour", F.floor(F.pmod("t", F.lit(86400)) / 3600).cast("int"))

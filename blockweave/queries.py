@@ -538,8 +538,7 @@ def feature_sink(s, d):
 
 @query
 def speed_info(s, d):
-    every, turning = trips.speed_info(kinematics.kinematics(points(s, d)))
-    return every.withColumn("turning", F.lit(False)).union(turning.withColumn("turning", F.lit(True)))
+    return trips.speed_rows(kinematics.kinematics(points(s, d)))
 
 
 @query

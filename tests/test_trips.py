@@ -263,3 +263,11 @@ def test_quantiles_over_ranges(spark):
         assert got.keys() == {(g, q) for g in groups for q in points}
         assert all(got[g, q][0] == len(x) and abs(got[g, q][1] - np.quantile(x, q)) < 1e-9 for g, x in groups.items() for q in points)
     assert quantiles(df.limit(0), ["g"], "v", points).count() == 0
+
+
+def test_speeds_come_from_one_pass(spark):
+    from blockweave import queries
+
+    df = queries.QUERIES["speed_info"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 1 and "Join" not in plan and "Union" not in plan
