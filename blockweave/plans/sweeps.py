@@ -22,7 +22,7 @@ def neighbour_comparison(vectors: DataFrame, entities: DataFrame, planes: DataFr
 
 
 def dbscan_sweep(vectors: DataFrame, entities: DataFrame, eps: list[float], min_samples: list[int]) -> DataFrame:
-    """Measures of each (eps, min_samples), the labels of all of them from one spanning tree a min_samples."""
+    """Measures of each (eps, min_samples), the labels of all of them from one sweep."""
     labelled = dbscan.sweep(vectors, eps, min_samples)
     name = F.element_at(F.create_map(*[F.lit(x) for e in eps for x in (float(e), f"{e:g}")]), F.col("eps"))
     return measures.evaluate_configs(entities, labelled.select(F.concat_ws("/", name, F.col("m").cast("string")).alias("config_id"), F.col("cluster").alias("block_id"), "id"))
