@@ -240,6 +240,27 @@ def test_margins_equal_a_plain_solver(spark, monkeypatch, block, part):
     assert [told[i] for i in range(240)] == best
 
 
+def test_margins_start_near_their_minimum(spark, monkeypatch):
+    import numpy as np
+
+    from blockweave.operators import margin
+
+    written = []
+    table = margin.shared_table
+    monkeypatch.setattr(margin, "shared_table", lambda df, name: written.append(name) or table(df, name))
+    monkeypatch.setattr(margin, "SAMPLE", 150, raising=False)
+    rng = np.random.default_rng(9)
+    of = rng.integers(0, 12, 300)
+    x = np.hstack([rng.normal(size=(12, 8))[of] + rng.normal(size=(300, 8)), np.ones((300, 1))])
+    df = spark.createDataFrame([(i, [float(v) for v in r], f"c{c}") for i, (r, c) in enumerate(zip(x, of, strict=True))], "id long, x array<double>, name string").cache()
+    got = {r["name"]: np.array(r["w"]) for r in margin.weights(df).collect()}
+    assert all(np.abs(got[f"c{c}"] - _by_newton(x, np.where(of == c, 1.0, -1.0), 1.0)).max() < 1e-6 for c in range(12))
+    monkeypatch.setattr(margin, "SAMPLE", 300, raising=False)
+    written.clear()
+    margin.weights(df)
+    assert len(written) <= 3  # a start from all rows needs no more than the rounds that tell it done
+
+
 def test_driver_svm_golden_value(spark):
     from blockweave import queries
 
