@@ -5,11 +5,17 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .grid import Grid, assign
+from .grid import Grid, assign, assign_all
+
+#: Trips of a task that finds profiles for many configurations; entries of the cells' top drivers that every worker may hold.
+TRIPS, HELD = 2048, 4_000_000
 
 
 def cell_drivers(points: DataFrame, grid: Grid) -> DataFrame:
@@ -52,6 +58,65 @@ def profiles(cells: DataFrame, tops: DataFrame, k: int | str = 10, by: Sequence[
     return t.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= _k(k))
 
 
+def profiles_of_all(hist: DataFrame, points: DataFrame, ids: DataFrame, configs: list[tuple[int, int]]) -> DataFrame:
+    """(traj_id, own): of each trip of ``ids`` (a table of distinct traj_id) its profile for each (cells a side, k), the drivers
+    by rank, from ``hist`` (cells, cell_x, cell_y, driver_id, n). Points are dealt by trip before they meet the grids, and the
+    cells' top drivers, as many as the grids have room for, go to the trips, so what is shuffled does not follow the
+    configurations."""
+    most = {n: max(k for m, k in configs if m == n) for n, _ in configs}
+    limit = F.element_at(F.create_map(*[F.lit(x) for pair in most.items() for x in pair]), F.col("cells"))
+    top = F.transform(F.sort_array(F.collect_list(F.struct("rank", "driver_id", "n"))), lambda x: F.struct(x["driver_id"].alias("driver_id"), x["n"].alias("n")))
+    tops = top_drivers(hist, max(most.values()), ["cells"]).filter(F.col("rank") <= limit).groupBy("cells", "cell_x", "cell_y").agg(top.alias("top"))
+    if sum((n + 1) ** 2 * k for n, k in most.items()) <= HELD:
+        tops = F.broadcast(tops)
+    parts = max(1, -(-ids.count() // TRIPS))
+    dealt = points.select("traj_id", "lon", "lat").repartition(parts, "traj_id").join(ids, "traj_id", "left_semi")
+    cells = trip_cells(assign_all(dealt, [Grid(n) for n in most]), ["cells"]).join(tops, ["cells", "cell_x", "cell_y"])
+    items = cells.groupBy("traj_id").agg(F.collect_list(F.struct("cells", "times", "top")).alias("items"))
+    return items.mapInArrow(_profiled(configs), "traj_id long, own array<array<long>>")
+
+
+def _profiled(configs: list[tuple[int, int]]):
+    def run(batches):
+        for b in batches:
+            items = b["items"].flatten()
+            tops = pc.struct_field(items, "top")
+            size = np.asarray(pc.list_value_length(tops))
+            row = np.repeat(np.repeat(np.arange(len(b)), np.asarray(pc.list_value_length(b["items"]))), size)
+            cells, times = (np.repeat(np.asarray(pc.struct_field(items, c)), size) for c in ("cells", "times"))
+            place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            driver, n = (np.asarray(pc.struct_field(tops.flatten(), c)) for c in ("driver_id", "n"))
+            count, found = np.zeros((len(b), len(configs)), np.int64), []
+            for c, (side, k) in enumerate(configs):
+                m = np.flatnonzero((cells == side) & (place < k))
+                m = m[np.lexsort((driver[m], row[m]))]
+                r, d, total = row[m], driver[m], times[m] * n[m]
+                first = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (d[1:] != d[:-1])][: len(m)])
+                total = np.add.reduceat(total, first) if len(m) else total
+                r, d = r[first], d[first]
+                o = np.lexsort((d, -total, r))
+                r, d = r[o], d[o]
+                rank = np.arange(len(r)) - np.searchsorted(r, r)
+                r, d, rank = r[rank < k], d[rank < k], rank[rank < k]
+                count[:, c] = np.bincount(r, minlength=len(b))
+                found.append((r, np.full(len(r), c), rank, d))
+            r, c, rank, d = (np.concatenate(x) for x in zip(*found, strict=True))
+            inner = pa.ListArray.from_arrays(pa.array(np.r_[0, count.ravel().cumsum()], pa.int32()), pa.array(d[np.lexsort((rank, c, r))], pa.int64()))
+            own = pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1) * len(configs), pa.int32()), inner)
+            yield pa.RecordBatch.from_arrays([b["traj_id"], own], ["traj_id", "own"])
+
+    return run
+
+
+def judged_of_all(pairs: DataFrame, profiles: DataFrame, configs: list[tuple[int, int]]) -> DataFrame:
+    """(cells, k, m, judged): each pair by the profiles (traj_id, own) of each configuration."""
+    left, right = (profiles.select(F.col("traj_id").alias(i), F.col("own").alias(f"_{i}")) for i in ("lid", "rid"))
+    both = pairs.select("lid", "rid", "m").join(left, "lid", "left").join(right, "rid", "left")
+    shared = lambda i: F.coalesce(F.when(F.col("_lid").isNotNull() & F.col("_rid").isNotNull(), F.size(F.array_intersect(F.col("_lid")[i], F.col("_rid")[i]))), F.lit(0))
+    each = [F.struct(F.lit(n).alias("cells"), F.lit(k).cast("long").alias("k"), (shared(i) > least_shared(k)).alias("judged")) for i, (n, k) in enumerate(configs)]
+    return both.select("m", F.explode(F.array(*each)).alias("_c")).select("_c.*", "m")
+
+
 def least_shared(k: int) -> float:
     """How many drivers two trips are to share more than, to be judged one driver's."""
     return k / 2 if k < 20 else math.sqrt(k) / 1.3

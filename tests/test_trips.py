@@ -292,3 +292,24 @@ def test_speeds_come_from_one_pass(spark):
     df = queries.QUERIES["speed_info"](spark, "/root/testdata/sf0.001")
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parquet") == 1 and "Join" not in plan and "Union" not in plan
+
+
+def test_profiles_of_all_are_those_of_each(spark, tmp_path):
+    from blockweave import queries
+    from blockweave.operators import profile
+    from blockweave.plans import sweeps
+    from blockweave.plans.tables import points
+
+    p = points(spark, "/root/testdata/sf0.001")
+    train, pairs, configs = p.filter("traj_id % 10 < 3"), queries.pairs(p), [(14, 4), (14, 2), (28, 5)]
+    got = {(r["cells"], r["k"]): r for r in sweeps.pair_sweep(train, p, pairs, configs).collect()}
+    assert got.keys() == set(configs)
+    for n, k in configs:
+        g = grid.Grid(n)
+        prof = profile.trip_profile(p, profile.top_drivers(profile.cell_drivers(grid.in_range(train, g), g), k), g, k)
+        assert profile.scored(profile.judge(pairs, prof, k)).first().asDict() == {c: v for c, v in got[n, k].asDict().items() if c not in ("cells", "k")}
+    # One row a trip meets the pairs, whatever the number of configurations.
+    ids = profile.pair_ids(pairs)
+    hist = grid.assign_all(train, [grid.Grid(n) for n in (14, 28)]).groupBy("cells", "cell_x", "cell_y", "driver_id").count().withColumnRenamed("count", "n")
+    found = profile.profiles_of_all(hist, p, ids, configs)
+    assert found.count() <= ids.count() and all(len(r["own"]) == 3 for r in found.collect())
