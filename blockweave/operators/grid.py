@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -135,43 +135,46 @@ def conflicts(cells: DataFrame, trips: DataFrame, share: float = 0.7, by: Sequen
 STRETCH = 8
 
 
-def top_cells(cells: DataFrame, edges: DataFrame, k: int = 20, p_accept: float = 0.1, seed: int = 10086, by: Sequence[str] = ()) -> DataFrame:
+def top_cells(cells: DataFrame, edges: DataFrame | Callable[[DataFrame], DataFrame], k: int | str = 20, p_accept: float = 0.1, seed: int = 10086, by: Sequence[str] = ()) -> DataFrame:
     """(by..., rank, cell_x, cell_y, place): the first ``k`` cells that a scan by rank accepts: no neighbour of one accepted before, or by a chance of ``p_accept``.
 
     The scan is done in parallel: a cell is accepted as soon as all cells that could forbid it are refused, and refused as
     soon as one of them is accepted. Each round decides at least the first open cell, and all whose forbidders are decided.
     Ranks are taken in stretches, each twice as long as what was decided before, until ``k`` are accepted, as later ranks
-    change nothing. Chance is a digest of the cell and ``seed``, so that it is the same on every run.
+    change nothing. ``k`` may name a column, the same for all cells of ``by``; ``edges`` may be a function of the cells looked
+    at, so that conflicts of later ranks are not found either. Chance is a digest of the cell and ``seed``, so that it is the same on every run.
     """
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("cell_x").cast("string"), F.col("cell_y").cast("string")).cast("binary"))
     u = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / float(1 << 32)
-    every = shared_table(cells.select(*by, "rank", "cell_x", "cell_y", (u < p_accept).alias("lucky")), "ranked-cells")
-    edges = shared_table(edges.select(*by, "chosen", "candidate"), "conflicts")
-    last = every.agg(F.max("rank").alias("r")).first()["r"] or 0
+    at = F.col("rank") / (STRETCH * (F.col(k) if isinstance(k, str) else F.lit(k)))  # in first stretches
+    every = shared_table(cells.select(*by, "rank", "cell_x", "cell_y", (F.col(k) if isinstance(k, str) else F.lit(k)).alias("_k"), at.alias("_at"), (u < p_accept).alias("lucky")), "ranked-cells")
+    found_edges = None if callable(edges) else shared_table(edges.select(*by, "chosen", "candidate"), "conflicts")
+    last = every.agg(F.max("_at").alias("r")).first()["r"] or 0
 
-    def decide(state: DataFrame) -> DataFrame:
+    def decide(state: DataFrame, edges: DataFrame) -> DataFrame:
         met = edges.join(state.select(*by, F.col("rank").alias("chosen"), "ok"), [*by, "chosen"]).groupBy(*by, F.col("candidate").alias("rank"))
         met = met.agg(F.max(F.coalesce("ok", F.lit(False))).alias("forbidden"), F.max(F.col("ok").isNull()).alias("waits"))
         told = F.when(F.col("forbidden"), False).when(F.coalesce("waits", F.lit(False)), F.lit(None)).otherwise(True)
-        return state.join(met, [*by, "rank"], "left").select(*by, "rank", "cell_x", "cell_y", "lucky", F.coalesce("ok", told).alias("ok"))
+        return state.join(met, [*by, "rank"], "left").select(*by, "rank", "cell_x", "cell_y", "_k", "lucky", F.coalesce("ok", told).alias("ok"))
 
-    decided, until = every.limit(0).withColumn("ok", F.lit(True)), 0
+    decided, until = every.limit(0).withColumn("ok", F.lit(True)).drop("_at"), 0
     while until < last:
-        start, until = until, min(last, max(STRETCH * k, 2 * until))
-        stretch = every.filter((F.col("rank") > start) & (F.col("rank") <= until))
+        start, until = until, min(last, max(1, 2 * until))
+        stretch = every.filter((F.col("_at") > start) & (F.col("_at") <= until)).drop("_at")
+        met = found_edges or shared_table(edges(cells.filter(at <= until)).select(*by, "chosen", "candidate"), "conflicts")
         state = decided.unionByName(stretch.withColumn("ok", F.when(F.col("lucky"), True)))
         open_ = 1
         while open_:  # two rounds a table
-            state = shared_table(decide(decide(state)), "decided")
+            state = shared_table(decide(decide(state, met), met), "decided")
             open_ = state.filter("ok is null").limit(1).count()
         decided = state
-        found = state.groupBy(*by).agg(F.count_if("ok").alias("n"), F.max("rank").alias("r"))
+        found = state.groupBy(*by).agg(F.count_if("ok").alias("n"), F.max("rank").alias("r"), F.max("_k").alias("k"))
         ends = every.groupBy(*by).agg(F.max("rank").alias("end"))
         short = found.join(ends, list(by)) if by else found.crossJoin(ends)  # one row each
-        if not short.filter((F.col("n") < k) & (F.col("r") < F.col("end"))).limit(1).count():
+        if not short.filter((F.col("n") < F.col("k")) & (F.col("r") < F.col("end"))).limit(1).count():
             break
     place = F.row_number().over(W.partitionBy(*by).orderBy("rank"))
-    return decided.filter("ok").withColumn("place", place).filter(F.col("place") <= k).select(*by, "rank", "cell_x", "cell_y", "place")
+    return decided.filter("ok").withColumn("place", place).filter(F.col("place") <= F.col("_k")).select(*by, "rank", "cell_x", "cell_y", "place")
 
 
 def cell_blocks(chosen: DataFrame, trips: DataFrame, more_than: int = 2, by: Sequence[str] = ()) -> DataFrame:
@@ -203,8 +206,9 @@ def select_blocks_of_all(points: DataFrame, stops: DataFrame, grids: list[Grid],
     trips = shared_table(assign_all(in_range(points, grids[0]), grids).groupBy(*by, "cell_x", "cell_y", "traj_id", "driver_id").agg(F.count("*").alias("n")), "cell-trips")
     stopped = assign_all(stops, grids).groupBy(*by, "cell_x", "cell_y").agg(F.count("*").alias("stop_freq"))
     ranks = ranked(scores(cell_stats(trips, by), stopped, alpha, by=by), by)
-    found = shared_table(candidates(ranks, n_entities), "cells")
-    top = top_cells(found, conflicts(found, trips, by=by), max(max(k) for k in ks.values()), p_accept, seed, by)
+    most = F.element_at(F.create_map(*[F.lit(x) for n, each in ks.items() for x in (n, max(each))]), F.col("cells"))
+    found = shared_table(candidates(ranks, n_entities).withColumn("most", most), "cells")
+    top = top_cells(found, lambda looked_at: conflicts(looked_at, trips, by=by), "most", p_accept, seed, by)
     wanted = points.sparkSession.createDataFrame([(n, k) for n, each in ks.items() for k in each], "cells int, k long")  # the caller's list
     chosen = shared_table(top.join(F.broadcast(wanted), "cells").filter("place <= k"), "chosen")
     # A trip and cell is met once for each k that chose the cell.

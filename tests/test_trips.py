@@ -313,3 +313,19 @@ def test_profiles_of_all_are_those_of_each(spark, tmp_path):
     hist = grid.assign_all(train, [grid.Grid(n) for n in (14, 28)]).groupBy("cells", "cell_x", "cell_y", "driver_id").count().withColumnRenamed("count", "n")
     found = profile.profiles_of_all(hist, p, ids, configs)
     assert found.count() <= ids.count() and all(len(r["own"]) == 3 for r in found.collect())
+
+
+def test_conflicts_are_found_for_the_ranks_looked_at(spark, monkeypatch):
+    monkeypatch.setattr(grid, "STRETCH", 2)
+    n = 400
+    cells = spark.createDataFrame([(b, r, r, 0, 3 * b) for b in (1, 2) for r in range(1, n + 1)], "b int, rank long, cell_x long, cell_y long, most int")
+    every = spark.createDataFrame([(b, r, r + 1) for b in (1, 2) for r in range(1, n)], "b int, chosen long, candidate long")
+    seen = []
+
+    def edges(looked_at):
+        seen.append({r["b"]: r["n"] for r in looked_at.groupBy("b").count().withColumnRenamed("count", "n").collect()})
+        return every
+
+    got = grid.top_cells(cells, edges, "most", 0.0, by=["b"]).collect()
+    assert sorted((r["b"], r["rank"]) for r in got) == [(1, 1), (1, 3), (1, 5)] + [(2, r) for r in range(1, 12, 2)]
+    assert seen == [{1: 6, 2: 12}]
