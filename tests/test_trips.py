@@ -261,6 +261,34 @@ def test_margins_start_near_their_minimum(spark, monkeypatch):
     assert len(written) <= 3  # a start from all rows needs no more than the rounds that tell it done
 
 
+def test_margins_send_no_sums(spark, monkeypatch):
+    import numpy as np
+
+    from blockweave.operators import margin
+
+    plans = []
+    table = margin.shared_table
+    monkeypatch.setattr(margin, "shared_table", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or table(df, name))
+    monkeypatch.setattr(margin, "BLOCK", 2)
+    monkeypatch.setattr(margin, "SAMPLE", 20)
+    rng = np.random.default_rng(3)
+    of = rng.integers(0, 12, 200)
+    x = rng.normal(size=(12, 3))[of] + rng.normal(size=(200, 3))
+    lift = lambda m: np.hstack([m, m**2, np.ones((len(m), 1))])
+    df = spark.createDataFrame([(i, [float(v) for v in r], f"c{c}") for i, (r, c) in enumerate(zip(x, of, strict=True))], "id long, x array<double>, name string").cache()
+    # Where there are blocks for all cores, the matrices of classes stay in their tasks.
+    model = margin.weights(df, lift=lift).cache()
+    assert len(plans) > 1 and not any("sums" in p for p in plans)
+    # Rows are sent as they are and mapped where they are used.
+    got = {r["name"]: np.array(r["w"]) for r in model.collect()}
+    want = {f"c{c}": _by_newton(lift(x), np.where(of == c, 1.0, -1.0), 1.0) for c in range(12)}
+    assert got.keys() == want.keys() and all(np.abs(got[c] - want[c]).max() < 1e-6 for c in want)
+    names = sorted(want)
+    best = [names[k] for k in np.argmax(lift(x) @ np.array([want[c] for c in names]).T, axis=1)]
+    told = {r["id"]: r["name"] for r in margin.predicted(df, model, lift).collect()}
+    assert [told[i] for i in range(200)] == best
+
+
 def test_driver_svm_golden_value(spark):
     from blockweave import queries
 
