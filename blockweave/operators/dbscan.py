@@ -9,6 +9,11 @@ are one node. Workers count for the others, and join the micro-cells of two part
 their centres, a few are compared, and what leaves a worker is one edge a node, and the nodes near each border point,
 of which it has fewer than ``min_samples``. Numbers of neighbours are counted up to the largest ``min_samples``, so one count
 serves all of them.
+
+Vectors whose cells have no distance between them lie in parts that all would meet all. There a vector stops looking when it
+has neighbours enough, and two cores already known to be of one component need not meet: each looks at first at some
+others of its part and at the first vectors of all, and only what is then outside of the largest component (of each
+density), and what is no core, looks at every part. A pair that could join two components has an end outside of it.
 """
 
 from __future__ import annotations
@@ -21,9 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.tables import shared_table
-from .cells import BLOCK, SLACK, away, celled, close, column, counts_within, meet, vectors_of, within
+from .cells import BLOCK, SLACK, WIDE, away, celled, close, column, counts_within, meet, vectors_of, within
 from .components import components, numbered
 
+#: Vectors that each core looks at first: of all, and about so many of its part.
+HUB, NEAR = 4096, 8192
+EDGES = "m int, id long, u long, v long"
+
 
 def covered(x: np.ndarray, radius: float, at_once: int = 256) -> np.ndarray:
     """The row that is the centre of each row's micro-cell: rows not yet covered become centres in turn."""
@@ -128,20 +137,20 @@ def joined(a: Micros, b: Micros, eps: float) -> list[tuple[int, int]]:
     return [(name, r) for name, r in out.items() if name != r]
 
 
-def _edges(eps: float, least: list[int]):
+def _edges(eps: float, least: list[int], borders: bool = True):
     """Rows (m, id, u, v): for each of ``least`` an edge between micro-cells without an id, or a micro-cell ``v`` near the border
-    point ``id``."""
+    point ``id``. A core is joined where ``loose`` has the bit of its density."""
 
     def run(t: pa.Table, others: pa.Table) -> pa.Table:
         x, y, n, k = vectors_of(t), vectors_of(others), column(t, "n"), column(others, "n")
         u, v, ids = column(t, "micro"), column(others, "micro"), column(t, "id")
-        out, last = [], None
-        for m in least if len(y) else []:
-            a, b = n >= m, k >= m
+        out, last, loose = [], None, column(t, "loose")
+        for j, m in enumerate(least if len(y) else []):
+            a, b = (n >= m) & (loose >> j & 1 == 1), k >= m
             if last is None or (a != last[0]).any() or (b != last[1]).any():
                 last = (a, b, np.array(joined(Micros(u[a], x[a]), Micros(v[b], y[b]), eps), np.int64).reshape(-1, 2)) if a.any() and b.any() else (a, b, np.zeros((0, 2), np.int64))
             out.append((m, None, last[2][:, 0], last[2][:, 1]))
-        border = np.flatnonzero(n < least[-1])
+        border = np.flatnonzero(n < least[-1]) if borders else n[:0]
         for r, c, _ in close(x[border], y, eps * eps):
             r = border[r]
             for m in least:
@@ -154,6 +163,56 @@ def _edges(eps: float, least: list[int]):
     return run
 
 
+def _looked(left: DataFrame, n: int, right: DataFrame, parts: int, offsets: range, fn, schema: str) -> DataFrame:
+    """``fn(rows, others)`` for the ``n`` rows of ``left`` with those of ``right`` in the parts that are ``offsets`` after their own, in groups
+    of about a part's rows or fewer."""
+    groups = max(1, -(-n * len(offsets) // (parts * WIDE)))
+    of = left.withColumn("to", F.explode(F.sequence(F.lit(offsets[0]), F.lit(offsets[-1])))).withColumn("to", F.pmod(F.col("part") + F.col("to"), F.lit(parts)))
+    of = of.withColumn("grp", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(groups)).cast("int"))
+    there = right.withColumnRenamed("part", "to").withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    return of.groupBy("to", "grp").cogroup(there.groupBy("to", "grp")).applyInArrow(lambda x, y: fn(x, y), schema)
+
+
+def _counted_in_turn(told: DataFrame, near: DataFrame, parts: int, eps: float, most: int) -> DataFrame:
+    """``told`` with ``n``, the neighbours in all parts up to ``most``: who has fewer looks at one more part, at four more, and so on."""
+    told, at, wide = told.withColumnRenamed("near", "n"), 1, 1
+    few = told.filter(F.col("n") < most).select("id", "features", "part", "n")
+    found = []
+    while at < parts and (n := few.count()):
+        offsets = range(at, min(parts, at + wide))
+        more = _looked(few, n, near.select("features", "part"), parts, offsets, _counted(eps), "id long, more long").groupBy("id").agg(F.sum("more").alias("more"))
+        few = shared_table(few.join(more, "id", "left").select("id", "features", "part", F.least(F.col("n") + F.coalesce("more", F.lit(0)), F.lit(most)).alias("n")), "few")
+        found.append(few.filter(F.col("n") >= most).select("id", F.col("n").alias("now")))
+        few, at, wide = few.filter(F.col("n") < most), at + wide, 4 * wide
+    if found:
+        now = reduce(DataFrame.union, [*found, few.select("id", "n")])
+        told = told.join(now, "id", "left").withColumn("n", F.coalesce("now", "n")).drop("now")
+    return shared_table(told.select("id", "features", "cell", "part", "micro", "n"), "cores")
+
+
+def _first_edges(told: DataFrame, n: int, parts: int, eps: float, least: list[int]) -> DataFrame:
+    """Some of the edges between cores: of each with about NEAR of its part, and with HUB of all."""
+    subs, find = max(1, -(-n // (parts * NEAR))), _edges(eps, least, borders=False)
+    cores = told.filter(F.col("n") >= least[0]).select("id", "features", "micro", "n", "part", F.pmod(F.xxhash64("id", F.lit(4)), F.lit(subs)).cast("int").alias("sub"))
+    hub = cores.filter(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(n)) < HUB).select("features", "micro", "n")
+    hub = hub.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("sub", F.explode(F.sequence(F.lit(0), F.lit(subs - 1))))
+
+    def run(t: pa.Table, hub: pa.Table) -> pa.Table:
+        t = t.append_column("loose", pa.array(np.full(len(t), -1)))
+        return find(t, pa.concat_tables([t.select(["features", "micro", "n"]), hub.select(["features", "micro", "n"])]))
+
+    return cores.groupBy("part", "sub").cogroup(hub.groupBy("part", "sub")).applyInArrow(run, EDGES)
+
+
+def _loose(told: DataFrame, root: DataFrame, least: list[int]) -> DataFrame:
+    """``told`` with ``loose``, the bits of the densities at which a row is a core outside of the largest component of ``root`` (m, node, root)."""
+    largest = root.groupBy("m", "root").agg(F.count("*").alias("k")).groupBy("m").agg(F.max_by("root", F.struct("k", "root")).alias("root"))
+    bit = lambda j: F.lit(1 << j)
+    held = root.join(F.broadcast(largest), ["m", "root"]).groupBy(F.col("node").alias("micro")).agg(sum((F.max(F.when(F.col("m") == m, bit(j)).otherwise(0)) for j, m in enumerate(least)), F.lit(0)).alias("held"))
+    core = sum((F.when(F.col("n") >= m, bit(j)).otherwise(0) for j, m in enumerate(least)), F.lit(0))
+    return told.join(held, "micro", "left").withColumn("loose", core.bitwiseAND(F.bitwise_not(F.coalesce("held", F.lit(0)))).cast("long")).drop("held")
+
+
 def sweep(vectors: DataFrame, eps: list[float], min_samples: list[int], block: int = BLOCK, tree_block: int | None = None) -> DataFrame:
     """(eps, m, id, cluster) for every vector at every eps and min_samples. Rows that leave a worker grow with the vectors and
     the parts that each may reach. The vectors are placed once; each eps has its micro-cells, counts and edges, for all
@@ -162,11 +221,15 @@ def sweep(vectors: DataFrame, eps: list[float], min_samples: list[int], block: i
     near, cells = celled(vectors, block)
     near = shared_table(near, "placed")
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in near.schema.fields)
-    points, links = [], []
-    for e in sorted({float(e) for e in eps}):
+    dealt = len(cells) == 1 and not cells.single  # all parts meet all
+    parts, by, every = int(cells.parts.sum()), ["eps", "m"], sorted({float(e) for e in eps})
+    points, links, cores_of = [], [], {}
+    for e in every:
         told = shared_table(near.groupBy("cell", "part").applyInArrow(_micro(e, least[-1]), f"{kind}, micro long, near long"), "micro-cells")
         n = F.col("near")
-        if not cells.single:
+        if dealt:
+            told = _counted_in_turn(told, near, parts, e, least[-1])
+        elif not cells.single:
             few = told.filter(n < least[-1]).select("id", "features", "cell", "part")
             more = meet(few, near.select("features", "cell", "part"), cells, within(e), _counted(e), "id long, more long", own=False, block=block)
             told = told.join(more.groupBy("id").agg(F.sum("more").alias("more")), "id", "left")
@@ -174,13 +237,27 @@ def sweep(vectors: DataFrame, eps: list[float], min_samples: list[int], block: i
             told = shared_table(told.select("id", "features", "cell", "part", "micro", n.alias("n")), "cores")
         else:
             told = told.withColumnRenamed("near", "n")
-        found = meet(told, told.filter(F.col("n") >= least[0]).select("features", "cell", "part", "micro", "n"), cells, within(e), _edges(e, least), "m int, id long, u long, v long", block=block)
-        links.append(shared_table(found, "micro-edges").withColumn("eps", F.lit(e)))
+        cores_of[e] = told
         points.append(told.select(F.lit(e).alias("eps"), "id", "micro", "n"))
-    by, found = ["eps", "m"], reduce(DataFrame.union, links).distinct()
     of = reduce(DataFrame.union, points).withColumn("m", F.explode(F.array(*[F.lit(m) for m in least]))).withColumn("core", F.col("n") >= F.col("m"))
     cores = shared_table(of.filter("core").groupBy(*by, "micro").agg(F.min("id").alias("least")), "nodes")
-    root = components(cores.select(*by, F.col("micro").alias("node")), found.filter("id is null").select(*by, "u", "v"), by)
+    nodes = cores.select(*by, F.col("micro").alias("node"))
+    if dealt:
+        size = near.count()
+        links = [shared_table(_first_edges(cores_of[e], size, parts, e, least), "first-edges").withColumn("eps", F.lit(e)) for e in every]
+        begun = components(nodes, reduce(DataFrame.union, links).select(*by, "u", "v").distinct(), by)
+    for e in every:
+        told = cores_of[e]
+        right = told.filter(F.col("n") >= least[0]).select("features", "cell", "part", "micro", "n")
+        if dealt:
+            left = _loose(told, begun.filter(F.col("eps") == e), least).filter((F.col("loose") != 0) | (F.col("n") < least[-1]))
+            left = shared_table(left.select("id", "features", "part", "micro", "n", "loose"), "loose")
+            found = _looked(left, left.count(), right.drop("cell"), parts, range(parts), _edges(e, least), EDGES)
+        else:
+            found = meet(told.withColumn("loose", F.lit(-1).cast("long")), right, cells, within(e), _edges(e, least), EDGES, block=block)
+        links.append(shared_table(found, "micro-edges").withColumn("eps", F.lit(e)))
+    found = reduce(DataFrame.union, links).distinct()
+    root = components(nodes, found.filter("id is null").select(*by, "u", "v"), by)
     # A component is named by its smallest core id.
     named = root.join(cores.withColumnRenamed("micro", "node"), [*by, "node"])
     named = named.join(named.groupBy(*by, "root").agg(F.min("least").alias("c")), [*by, "root"]).select(*by, "node", F.col("c").alias("root"))

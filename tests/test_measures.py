@@ -290,6 +290,32 @@ def test_vectors_without_clusters_make_few_parts(spark):
     assert [got[i] for i in range(len(x))] == _clusters(x, 5.0, 3)
 
 
+@pytest.mark.parametrize(("hub", "near"), [(60, 40), (5, 8)])
+def test_cores_of_the_largest_component_do_not_meet_all(spark, monkeypatch, hub, near):
+    for name, value in (("HUB", hub), ("NEAR", near), ("WIDE", 40)):
+        monkeypatch.setattr(dbscan, name, value, raising=False)
+    rng = np.random.default_rng(16)
+    x = rng.normal(size=(600, 24))
+    x[590:] = 40 + rng.normal(size=(10, 24))  # a component of its own
+    looking, table = {}, dbscan.shared_table
+
+    def written(df, name):
+        out = table(df, name)
+        looking.setdefault(name, []).append(out.count() if name == "loose" else None)
+        return out
+
+    monkeypatch.setattr(dbscan, "shared_table", written)
+    eps, least = [4.0, 5.0, 6.0], [3, 6, 30]
+    got = {(r["eps"], r["m"], r["id"]): r["cluster"] for r in dbscan.sweep(_frame(spark, x), eps, least, 40).collect()}
+    for e in eps:
+        for m in least:
+            assert [got[e, m, i] for i in range(len(x))] == _clusters(x, e, m), (e, m)
+    looking.clear()
+    got = dict(map(tuple, dbscan.labels(_frame(spark, x), 6.5, 3, 40).collect()))
+    assert [got[i] for i in range(len(x))] == _clusters(x, 6.5, 3)
+    assert looking["loose"][0] < 60
+
+
 def test_probes_in_tiles(spark):
     v = lsh.centred(vectors(spark, SF))
     planes = lsh.planes(spark, 64, queries.PROBE)
