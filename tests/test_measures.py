@@ -341,3 +341,18 @@ def test_pairs_are_found_once_without_a_shuffle(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan[: plan.index("Join")]
     kept.drop()
+
+
+def test_found_ids_repeat_at_short_distance(spark, monkeypatch):
+    from blockweave.operators import index
+
+    monkeypatch.setattr(index, "TILE", 10, raising=False)
+    b = spark.createDataFrame([("b", i) for i in range(200)], "block_id string, id long")
+    kept = index.BucketIndex(spark, 3)
+    kept.add(b.filter("id < 150"))
+    kept.add(b.filter("id >= 150"))
+    got = [tuple(r) for r in kept.lookup(b).collect()]
+    assert sorted(got) == [(i, j) for i in range(200) for j in range(200)]
+    assert max(len({j for _, j in got[k : k + 1000]}) for k in range(0, len(got), 1000)) <= 60
+    assert sorted(tuple(r) for r in kept.lookup(b, 1).collect()) == [(i, j) for i in range(200) for j in range(150)]
+    kept.drop()
